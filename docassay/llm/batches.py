@@ -56,12 +56,17 @@ def map_text(
     text: str,
     make: Callable[[], Callable[[pa.Array], dict[str, pa.Array | np.ndarray]]],
     fields: list[T.StructField],
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``df`` without ``text``, with ``fields`` computed per row by the function that ``make()`` returns.
+    """``df``, without ``text`` unless it is kept, with ``fields`` computed per row by the function that ``make()`` returns.
+
+    A column of ``df`` that is named like one of ``fields`` is replaced.
 
     ``make`` runs once per task, so tables it builds are shared by all the task's batches.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    new_names = {f.name for f in fields}
+    keep = [f for f in df.schema.fields if f.name not in new_names and (keep_text or f.name != text)]
+    df = df.select(*dict.fromkeys([*(f.name for f in keep), text]))
     schema = T.StructType([*keep, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
