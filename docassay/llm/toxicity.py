@@ -72,7 +72,7 @@ def indicative(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     z = (hit - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
     z[hit + 10 * rate < 0.5 * (n + 10)] = 0  # shrunk towards the base rate, not even half of its documents are toxic
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(best[z[best] >= LEAST_Z])
+    return np.sort(best[z[best] >= LEAST_Z * max(1, np.sqrt(len(toxic) / 1600))])
 
 
 def grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic > 0, 1 + (hits[:, None] > cuts[None, :]).sum(1), 0)
 
 
-def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> Model:
+def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> Model:
     """Maximum likelihood by gradient steps with per-parameter scaling; cuts stay ordered as sums of positive steps."""
     k = GRADES - 1
     level = np.clip([(grade > j).mean() for j in range(k)], 1e-4, 1 - 1e-4)
