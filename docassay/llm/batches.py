@@ -51,6 +51,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def pieces(texts: list[str], most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of a list of texts, of at most ``most`` bytes each, or of one text."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
+    for part in slices(batch, "t", most):
+        yield part.column("t")
+
+
 def map_text(
     df: DataFrame,
     text: str,

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash, spans, toxicity
+from . import decontam, langid, mixing, quality, simhash, spans, toxicity, wordpiece
+
+
+#: Wanted shares of the mix, by domain.
+SHARES = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+
+
+def domain():
+    """The domain that a labelled row stands for."""
+    return F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") > 0, "good").when(F.col("quality") == 0, "poor")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +30,34 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    # The documents name a source and no URL: the source stands for the host, its part in one language for the path.
+    return quality.grade(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.train(docs.where(rest != 2))
+    found = langid.predict(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), SHARES)
+
+
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,7 +66,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
+    "op5_mixing": op5_mixing,
     "op7_spans": op7_spans,
+    "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
 }
 

@@ -6,8 +6,8 @@ document's result has its most probable grade, the expected severity (the mean g
 reaches the value that had the best F1 in training.
 
 Where labels only say toxic or not, ``grades`` ranks toxic rows by how many indicative tokens
-they hold. Training reads a sample of at most ``SAMPLE_ROWS`` labelled rows of at most
-``SAMPLE_BYTES`` of text each and in all as many; scoring reads every text whole.
+they hold. Training reads a sample of at most ``SAMPLE_ROWS`` labelled rows and
+``SAMPLE_BYTES`` of text in all; scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and get the base rates; a model without
 labelled rows of both kinds gives grade 0 and severity 0; labels that are null or occur twice
@@ -22,12 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, buffers, map_text
+from .batches import Tokens, buffers, map_text, pieces
+from .sampling import labelled
 
-SAMPLE_ROWS, SAMPLE_BYTES, BITS, GRADES, FEATURES, LEAST_Z = 10_000, 64 << 20, 20, 4, 512, 6.0
+SAMPLE_ROWS, SAMPLE_BYTES, BITS, GRADES, FEATURES, LEAST_Z = 8000, 32 << 20, 20, 4, 256, 6.0
 
 
 @dataclass
@@ -62,12 +62,16 @@ def counts(tokens: Tokens, bucket: np.ndarray) -> np.ndarray:
     return np.bincount(document * len(bucket) + feature[at], minlength=n * len(bucket)).reshape(n, len(bucket)).astype(np.float64)
 
 
-def indicative(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
+def indicative(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """Hashed tokens whose documents are toxic clearly more often than all documents are, ascending."""
-    pair = np.unique(tokens.document() * (1 << BITS) + buckets(tokens))
-    document, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-    n = np.bincount(bucket, minlength=1 << BITS)
-    hit = np.bincount(bucket, weights=toxic[document], minlength=1 << BITS)
+    n, hit, at = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
+    for part in pieces(texts):
+        tokens = Tokens(*buffers(part))
+        pair = np.unique(tokens.document() * (1 << BITS) + buckets(tokens))
+        document, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
+        n += np.bincount(bucket, minlength=1 << BITS)
+        hit += np.bincount(bucket, weights=toxic[at + document], minlength=1 << BITS)
+        at += len(part)
     rate = toxic.mean()
     z = (hit - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
     z[hit + 10 * rate < 0.5 * (n + 10)] = 0  # shrunk towards the base rate, not even half of its documents are toxic
@@ -122,24 +126,14 @@ def best_threshold(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(p[i] + p[i + 1]) / 2 if i + 1 < len(p) else 0.0
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> list:
-    """At most SAMPLE_ROWS labelled texts and SAMPLE_BYTES in all, chosen by a hash of the id."""
-    most = SAMPLE_BYTES // SAMPLE_ROWS
-    order = F.xxhash64(F.col("sample_id_").cast("string"))
-    own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("sample_id_"), F.col(label).alias("y"))
-    own = own.orderBy(order, "sample_id_", "y").limit(SAMPLE_ROWS)  # rows of two small values
-    rows = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")).where(F.octet_length("t") <= most)
-    return rows.join(F.broadcast(own), F.col("id_") == F.col("sample_id_")).select("t", "y").collect()
-
-
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    rows = sorted((r.t, int(r.y)) for r in sample(docs, labels, doc_id, text, label))
-    toxic = np.array([y for _, y in rows], np.float64)
+    rows = labelled(docs, labels, label, SAMPLE_ROWS, SAMPLE_BYTES, doc_id, text)
+    toxic = np.array([float(y > 0) for _, y in rows])
     if not len(rows) or toxic.min() == toxic.max():
         return None
-    tokens = Tokens(*buffers(pa.array([t for t, _ in rows], pa.string())))
-    bucket = indicative(tokens, toxic)
-    own = counts(tokens, bucket)
+    texts = [t for t, _ in rows]
+    bucket = indicative(texts, toxic)
+    own = np.concatenate([counts(Tokens(*buffers(part)), bucket) for part in pieces(texts)])
     model = fit(np.log1p(own), grades(own.sum(1), toxic), bucket)
     model.least = best_threshold(model.above(np.log1p(own))[:, 0], toxic)
     return model
