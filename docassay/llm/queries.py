@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, simhash, spans, toxicity, wordpiece
+from . import decontam, langid, media, mixing, quality, simhash, spans, toxicity, warc, wordpiece
 
 
 #: Wanted shares of the mix, by domain.
@@ -49,11 +49,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), SHARES)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,7 +77,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_media": op6_media,
     "op7_spans": op7_spans,
+    "op8_warc": op8_warc,
     "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
 }
