@@ -176,3 +176,10 @@ def windows(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n - k + 1)
     inside = at + k <= last[: n - k + 1]
     return mix(h[inside]), at[inside]
+
+
+def beside(df: DataFrame, names: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(df)`` with columns of ``df`` that are called like the step's results, ``names``, out of its way."""
+    held = {n: f"{n}_held_" for n in names if n in df.columns}
+    found = step(df.withColumnsRenamed(held)).drop(*names).withColumnsRenamed({v: k for k, v in held.items()})
+    return found.select(*df.columns)

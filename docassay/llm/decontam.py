@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, buffers, map_text, windows
+from .batches import Tokens, beside, buffers, map_text, windows
 
 SHORTEST, COVERAGE = 5, 0.8
 BLOCK_BYTES = 32 << 20
@@ -205,6 +205,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    marked = docs.select("*", F.col(text).alias("text_to_tile_"))
-    found = with_leaks(marked.withColumnsRenamed({"leaks": "own_leaks_"}), benchmark, "text_to_tile_", keep_text=False, **options)
-    return found.where(F.size("leaks") == 0).drop("leaks").withColumnsRenamed({"own_leaks_": "leaks"})
+    return beside(docs, ["leaks"], lambda d: with_leaks(d, benchmark, text, **options).where(F.size("leaks") == 0))

@@ -12,7 +12,7 @@ The classifier is counted on at most ``SAMPLE_ROWS`` labelled rows; its weights,
 moments and the totals are all that reaches the driver, and their size depends on the numbers of buckets and domains only.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior and rate 1; a domain
-without labelled rows is not learned and its target must not be given; repeated rows count as often as they
+without labelled rows is not learned and its share goes to the others; without any, rates are 1; repeated rows count as often as they
 occur; an empty table gives an empty result; targets that no nonnegative rates reach are approached in the
 least-squares sense, for at most ``STEPS`` steps; only the id and the result columns are returned.
 """
@@ -126,14 +126,12 @@ def mix(
     """
     model = train(docs, labels, domain, doc_id, text)
     names = model[0]
-    if missing := sorted(set(shares) - set(names)):
-        if names:
-            raise ValueError(f"no labelled rows of {missing}")
-        found = posteriors(docs, model, doc_id, text)
-        return found.select(doc_id, "n_tokens", *[F.lit(None).cast("double").alias(f"p_{n}") for n in shares], F.lit(1.0).alias("rate"))
-    rows = cut(posteriors(docs, model, doc_id, text))
+    rows = posteriors(docs, model, doc_id, text)
+    if not any(shares.get(n) for n in names):
+        return rows.select(doc_id, "n_tokens", *[F.lit(None).cast("double").alias(f"p_{n}") for n in shares], F.lit(1.0).alias("rate"))
+    rows = cut(rows)
     if total is None:
         total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
-    weight = math.fsum(shares.values())
+    weight = math.fsum(shares.get(n, 0.0) for n in names)
     found, _ = fit_rates(rows, [total * shares.get(n, 0.0) / weight for n in names])
     return found.select(doc_id, "n_tokens", *[F.col(f"p_{i}").alias(f"p_{n}") for i, n in enumerate(names)], "rate")

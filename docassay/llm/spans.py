@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, buffers, mix, powers, slices
+from .batches import Tokens, beside, buffers, mix, powers, slices
 
 SENTENCES, WORDS, LONG, SOFT = 3, 20, 16, 8
 _SPACE = np.zeros(256, bool)
@@ -146,3 +146,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([*out, *sizes], schema.names)
 
     return rows.mapInArrow(clean, schema)
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """The documents without repeated sentences, with their own columns; those that had no other sentence are gone."""
+
+    def step(d: DataFrame) -> DataFrame:
+        found = remove_repeats(d, doc_id, text).where("n_removed = 0 or n_removed < n_sentences")
+        if n_chars in d.columns:
+            found = found.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.char_length(text).cast(d.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+        return found
+
+    return beside(docs, ["n_sentences", "n_removed"], step)

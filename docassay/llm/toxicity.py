@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import Tokens, buffers, map_text, pieces
+from .batches import Tokens, beside, buffers, map_text, pieces
 from .sampling import labelled
 
 SAMPLE_ROWS, SAMPLE_BYTES, BITS, GRADES, FEATURES, LEAST_Z = 8000, 32 << 20, 20, 4, 256, 6.0
@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bucket = indicative(texts, toxic)
     own = np.concatenate([counts(Tokens(*buffers(part)), bucket) for part in pieces(texts)])
     model = fit(np.log1p(own), grades(own.sum(1), toxic), bucket)
-    model.least = best_threshold(model.above(np.log1p(own))[:, 0], toxic)
+    # A text without any feature is never toxic, however common toxic rows are.
+    base = float(model.above(np.zeros((1, len(bucket))))[0, 0])
+    model.least = max(best_threshold(model.above(np.log1p(own))[:, 0], toxic), base + 1e-9)
     return model
 
 
@@ -156,3 +158,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: b
 
     fields = [T.StructField("grade", T.IntegerType()), T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]
     return map_text(docs, text, make, fields, keep_text)
+
+
+def clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The documents that are not toxic, with their own columns."""
+    return beside(docs, ["grade", "severity", "toxic"], lambda d: score(d, model, text, keep_text=True).where("not toxic"))
