@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import constants as K
@@ -44,10 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a SELECT over the given tables."""
-    import re
-
     named = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(?:from|join) {t}\b", sql)}
-    text = re.sub(r"\b(from|join) (%s)\b" % "|".join(named), r"\1 {\2}", sql)
+    text = re.sub(r"\b(from|join) (%s)\b" % "|".join(named), r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(text, **named)
 
 
