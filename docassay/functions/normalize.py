@@ -42,7 +42,10 @@ def exact(v: Column) -> Column:
 
 def expand_states(v: Column) -> Column:
     """State names as codes, replaced in list order (so "west virginia" becomes "west va")."""
-    return reduce(lambda out, state: F.regexp_replace(out, rf"\b{state[0]}\b", state[1]), K.STATES.items(), v)
+    states = F.from_json(F.lit(json.dumps([{"name": n, "code": c} for n, c in K.STATES.items()])), "array<struct<name: string, code: string>>")
+    word = lambda s: F.concat(F.lit(r"\b"), s["name"], F.lit(r"\b"))
+    # The plain search keeps the regular expression to texts that hold the name.
+    return F.aggregate(states, v, lambda out, s: F.when(F.contains(out, s["name"]), F.regexp_replace(out, word(s), s["code"])).otherwise(out))
 
 
 def producer_tokens(v: Column) -> Column:
@@ -82,8 +85,7 @@ def lexicon_text(v: Column) -> Column:
 
 
 def type_only(v: Column) -> Column:
-    plain = lexicon_text(v)
-    return reduce(lambda a, b: a | b, [plain.rlike(p) for p in K.WINE_STYLES])
+    return lexicon_text(v).rlike("|".join(f"(?:{p})" for p in K.WINE_STYLES))
 
 
 def lexicon_keys(entries: dict[str, list[str]]) -> list[tuple[str, str]]:
@@ -100,16 +102,19 @@ def lexicon_keys(entries: dict[str, list[str]]) -> list[tuple[str, str]]:
 def lexicon_matches(v: Column, entries: dict[str, list[str]]) -> Column:
     """Canonical names found in a text, by greedy choice: longest key first, only a key's first place, no overlap, each name once."""
     keys = F.from_json(F.lit(json.dumps([{"key": f" {k} ", "name": c} for k, c in lexicon_keys(entries)])), "array<struct<key: string, name: string>>")
-    text = F.concat(F.lit(" "), lexicon_text(v), F.lit(" "))
-    placed = once(text, lambda t: F.transform(keys, lambda e: F.struct(F.instr(t, e["key"]).alias("at"), (F.length(e["key"]) - 2).alias("size"), e["name"].alias("name"))))
-    placed = F.filter(placed, lambda e: e["at"] > 0)
-    none = F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("name"))), lambda e: F.lit(False))
+    any_key = " (?:" + "|".join(sorted({k for k, _ in lexicon_keys(entries)}, reverse=True)) + ") "
+    none = F.from_json(F.lit("[]"), "array<struct<at: int, size: int, name: string>>")
 
     def take(held: Column, e: Column) -> Column:
         clash = F.exists(held, lambda h: ((e["at"] < h["at"] + h["size"]) & (e["at"] + e["size"] > h["at"])) | (h["name"] == e["name"]))
         return F.when(clash, held).otherwise(F.concat(held, F.array(e)))
 
-    return F.transform(F.aggregate(placed, none, take), lambda e: e["name"])
+    def found(t: Column) -> Column:
+        placed = F.transform(keys, lambda e: F.struct(F.instr(t, e["key"]).alias("at"), (F.length(e["key"]) - 2).alias("size"), e["name"].alias("name")))
+        names = F.transform(F.aggregate(F.filter(placed, lambda e: e["at"] > 0), none, take), lambda e: e["name"])
+        return F.when(t.rlike(any_key), names).otherwise(F.array().cast("array<string>"))
+
+    return once(F.concat(F.lit(" "), lexicon_text(v), F.lit(" ")), found)
 
 
 def varietal(v: Column) -> Column:
@@ -133,10 +138,13 @@ def appellation_claim(v: Column) -> Column:
 
 def family(v: Column) -> Column:
     """The one product family that a text names, else null."""
-    plain = exact(v)
-    hits = [plain.rlike(K.WINE_WORDS) | varietal(v).isNotNull() | type_only(v), plain.rlike(K.MALT_WORDS), plain.rlike(K.SPIRIT_WORDS)]
-    found = F.array_compact(F.array(*[F.when(h, name) for h, name in zip(hits, K.FAMILIES)]))
-    return once(found, lambda f: F.when(F.size(f) == 1, f[0]))
+
+    def named(plain: Column) -> Column:
+        hits = [plain.rlike(K.WINE_WORDS) | type_only(v) | varietal(v).isNotNull(), plain.rlike(K.MALT_WORDS), plain.rlike(K.SPIRIT_WORDS)]
+        found = F.array_compact(F.array(*[F.when(h, name) for h, name in zip(hits, K.FAMILIES)]))
+        return once(found, lambda f: F.when(F.size(f) == 1, f[0]))
+
+    return once(exact(v), named)
 
 
 def alias_equivalent(a: Column, b: Column) -> Column:

@@ -21,10 +21,11 @@ def blank(v: Column) -> Column:
 
 
 def outcome(cases: list[tuple[Column, str, str | None]], value: Column, status: str = "pass") -> Column:
-    """The first case (condition, status, reason) that holds, else ``status`` without a reason."""
-    first = reduce(lambda w, c: w.when(c[0], c[1]), cases[1:], F.when(cases[0][0], cases[0][1]))
-    reason = reduce(lambda w, c: w.when(c[0], c[2]), cases[1:], F.when(cases[0][0], cases[0][2]))
-    return F.struct(first.otherwise(status).alias("status"), reason.alias("reason"), value.cast("string").alias("extracted_value"))
+    """The first case (condition, status, reason) that holds, else ``status`` without a reason. Conditions are tried once, in order."""
+    first = reduce(lambda w, c: w.when(c[1][0], c[0]), list(enumerate(cases))[1:], F.when(cases[0][0], 0)).otherwise(len(cases))
+    statuses = N.words_in([*(c[1] for c in cases), status])
+    reasons = F.array(*[F.lit(c[2]) for c in cases], none())
+    return N.once(first, lambda i: F.struct(F.get(statuses, i).alias("status"), F.get(reasons, i).alias("reason"), value.cast("string").alias("extracted_value")))
 
 
 def brand() -> Column:
@@ -47,19 +48,21 @@ def abv() -> Column:
 
 def warning() -> Column:
     v = F.col("warning_text")
-    plain = F.lower(N.whitespace(v))
-    same = plain == K.WARNING.lower()
-    one, two = (N.anchor_coverage(v, a) >= K.ANCHOR_SHARE for a in (K.ANCHORS_1, K.ANCHORS_2))
     text = "The Government Warning text is correct, but "
-    return outcome([
-        (blank(v), "fail", "Government Warning not detected on the label."),
-        (~same & ~F.contains(plain, F.lit(K.WARNING_PREFIX.lower())), "fail", f'The "{K.WARNING_PREFIX}" prefix is missing from the warning text.'),
-        (~same & ~one & two, "fail", "The Government Warning is missing the first sentence about the Surgeon General and pregnancy."),
-        (~same & one & ~two, "fail", "The Government Warning is missing the second sentence about driving and machinery."),
-        (~same & ~one & ~two, "fail", "The Government Warning text differs substantially from the required wording."),
+    # 0: no sentence, 1: the first, 2: the second, 3: both, or the canonical text.
+    plain = F.lower(N.whitespace(v))
+    share = lambda t, a: (F.size(F.array_intersect(t, N.words_in(a))) / F.lit(len(a)) >= K.ANCHOR_SHARE).cast("int")
+    sentences = N.once(N.content_tokens(v), lambda t: share(t, K.ANCHORS_1) + 2 * share(t, K.ANCHORS_2))
+    held = N.once(plain, lambda p: F.when(p == K.WARNING.lower(), 3).when(~F.contains(p, F.lit(K.WARNING_PREFIX.lower())), -1).otherwise(sentences))
+    return N.once(F.when(~blank(v), held), lambda h: outcome([
+        (h.isNull(), "fail", "Government Warning not detected on the label."),
+        (h == -1, "fail", f'The "{K.WARNING_PREFIX}" prefix is missing from the warning text.'),
+        (h == 2, "fail", "The Government Warning is missing the first sentence about the Surgeon General and pregnancy."),
+        (h == 1, "fail", "The Government Warning is missing the second sentence about driving and machinery."),
+        (h == 0, "fail", "The Government Warning text differs substantially from the required wording."),
         (F.coalesce(~F.col("appears_bold"), F.lit(False)), "uncertain", text + "may not appear in bold as required."),
         (F.coalesce(~F.col("appears_all_caps"), F.lit(False)), "uncertain", text + 'the "GOVERNMENT WARNING:" prefix may not be in all caps as required.'),
-    ], F.when(~blank(v), v))
+    ], F.when(h.isNotNull(), v)))
 
 
 def net_contents() -> Column:
@@ -77,14 +80,17 @@ def class_type() -> Column:
 
 def producer_origin() -> Column:
     p, c = F.col("producer"), F.col("country_of_origin")
-    inferred = blank(c) & N.implies_domestic(p)
-    country = ~blank(c) | inferred
-    shown = F.nullif(F.concat_ws(" · ", F.nullif(p, F.lit("")), F.nullif(F.coalesce(c, F.when(inferred, "USA")), F.lit(""))), F.lit(""))
-    return outcome([
-        (blank(p) & ~country, "warn", "Both producer and country of origin are missing from the label."),
-        (blank(p), "warn", "Producer information is missing from the label."),
-        (~country, "warn", "Country of origin is missing from the label."),
-    ], shown)
+
+    def judged(inferred: Column) -> Column:
+        country = ~blank(c) | inferred
+        shown = F.nullif(F.concat_ws(" · ", F.nullif(p, F.lit("")), F.nullif(F.coalesce(c, F.when(inferred, "USA")), F.lit(""))), F.lit(""))
+        return outcome([
+            (blank(p) & ~country, "warn", "Both producer and country of origin are missing from the label."),
+            (blank(p), "warn", "Producer information is missing from the label."),
+            (~country, "warn", "Country of origin is missing from the label."),
+        ], shown)
+
+    return N.once(blank(c) & N.implies_domestic(p), judged)
 
 
 #: Evaluation order; what is shown first is DISPLAY_ORDER.
@@ -106,9 +112,9 @@ def verdict_of(warning_fails: Column, mismatch: Column, any_issue: Column) -> Co
 
 def verdict_column(mismatch: Column) -> Column:
     """The verdict of a label row, given whether the cross-check found a mismatch; needs no shuffle."""
-    status = {name: rule()["status"] for name, rule in RULES.items()}
-    issue = reduce(lambda a, b: a | b, [s.isin("warn", "fail") for s in status.values()])
-    return verdict_of(status["governmentWarning"] == "fail", mismatch, issue)
+    statuses = F.array(*[rule()["status"] for rule in RULES.values()])
+    at = list(RULES).index("governmentWarning")
+    return N.once(statuses, lambda s: verdict_of(s[at] == "fail", mismatch, F.exists(s, lambda x: x.isin("warn", "fail"))))
 
 
 def initial_status(verdict: Column) -> Column:
