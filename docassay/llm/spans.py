@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A
-sentence of more than ``LONG`` words is cut further at words chosen by their own hash, so that
+sentence of more than ``LONG`` words is cut further between words chosen by a hash of the two, so that
 equal passages without punctuation are cut alike wherever they stand. From every sentence the shortest run of
 at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (96 bits over lower-cased
 words). Runs are joined over all documents; a run's first place is in the document with the
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .batches import Tokens, beside, buffers, mix, powers, slices
 
-SENTENCES, WORDS, LONG, SOFT = 3, 20, 16, 8
+SENTENCES, WORDS, LONG, SOFT = 3, 20, 12, 7
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
@@ -47,7 +47,8 @@ class Runs:
             begins[1:] = seen[tokens.start[1:]] > seen[tokens.end[:-1]]
             begins[tokens.first[:-1][tokens.count > 0]] = True
             size = np.diff(np.append(np.flatnonzero(begins), n))
-            soft = np.repeat(size > LONG, size)[:-1] & (tokens.hash[:-1] % np.uint64(SOFT) == 0)
+            pair = mix(tokens.hash[:-1] * np.uint64(3) + tokens.hash[1:])  # of two words, so frequent words do not decide alone
+            soft = np.repeat(size > LONG, size)[:-1] & (pair % np.uint64(SOFT) == 0)
             begins[1:] |= soft
         self.word = np.append(np.flatnonzero(begins), n)  # first word of each sentence
         #: Index of each document's first sentence; one more at the end.

@@ -39,7 +39,7 @@ def test_near_dedup(stages):
 
 def test_substring_dedup(stages):
     before, after = stages["simhash_near_dedup"][1], stages["substring_dedup"][1]
-    short = lambda t: all(len(re.findall(r"[^\W_]+", s)) <= 16 for s in re.split(r"\n|(?<=[.!?])\s", t))
+    short = lambda t: all(len(re.findall(r"[^\W_]+", s)) <= 12 for s in re.split(r"\n|(?<=[.!?])\s", t))
     want = brute([(i, r.text) for i, r in before.items()])
     for i, r in before.items():
         if short(r.text) and want[i][1]:
