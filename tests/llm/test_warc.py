@@ -23,6 +23,18 @@ def test_query_against_plain_grouping(spark, sf_dir):
     assert {tuple(r) for r in got} == want and len(got) == len(pages)
 
 
+def test_query_against_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{folder}/pages.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op8_warc"])
+    got = queries.op8_warc(spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def pages(spark):
     schema = "page_id long, url string, html string, payload string, digest_ int"
     rows = [(3, "http://a/é x", "one\r\n\r\nWARC/1.1\r\n", "p", 1), (1, None, "two", "p", 1), (2, "http://b/", "two", "p", 1), (4, "u", None, "p", 1), (5, "u", "", "p", 1), (6, "u", "big " * 200000, "p", 1), (None, "u", "two", "p", 1), (1, None, "two", "p", 1), (None, "n", "nil", "p", 1)]
