@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +39,61 @@ def compare_by_rule(checked: DataFrame) -> DataFrame:
     )
 
 
+def rarest_first(names: DataFrame, column: str, frequency: DataFrame) -> DataFrame:
+    """``names`` with ``ranked``: the tokens of ``column`` from the rarest to the most frequent one; equally rare ones by name."""
+    rows = names.select(column, F.explode(F.split(column, " ")).alias("token")).join(frequency, "token")
+    return rows.groupBy(column).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("ranked"))
+
+
 def token_links(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, shared, score of all pairs that share enough producer tokens.
 
-    An inverted index: both sides are exploded to tokens and joined on them. Pairs are counted where
-    they meet; the two numbers of tokens ride along, so no second join is needed. Names that occur
-    often are grouped first: only different names are compared.
+    Only different names are compared. Tokens are ordered by how many names hold them. Sets that
+    overlap by the threshold share a token among the first of both orders (prefix filter), and a
+    set within another holds its own rarest token in it; so candidates meet on rare tokens, and a
+    token that most names hold joins almost nothing. Candidates are then compared exactly.
     """
 
-    def names(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        own = df.select(key, F.array_join(F.array_sort(N.producer_tokens(F.col("v"))), " ").alias(f"{key}_name"))
-        distinct = own.select(f"{key}_name").where(F.col(f"{key}_name") != "").distinct()
-        tokens = F.split(f"{key}_name", " ")
-        return own, distinct.select(f"{key}_name", F.size(tokens).alias(f"{key}_n"), F.explode(tokens).alias("token"))
+    def own(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.array_join(F.array_sort(N.producer_tokens(F.col("v"))), " ").alias(f"{key}_name")).where(F.col(f"{key}_name") != "")
+
+    a_rows, b_rows = own(left, "left_id"), own(right, "right_id")
+    a_names, b_names = a_rows.select(F.col("left_id_name").alias("name")).distinct(), b_rows.select(F.col("right_id_name").alias("name")).distinct()
+    frequency = a_names.unionByName(b_names).select(F.explode(F.split("name", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def keys(names: DataFrame, side: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        ranked = rarest_first(names, "name", frequency).withColumnRenamed("name", side)
+        size = F.size("ranked")
+        prefix = size - F.ceil(size * K.PRODUCER_THRESHOLD).cast("int") + 1
+        token = lambda arr: ranked.select(side, F.explode(arr).alias("token"))
+        return token(F.slice("ranked", 1, prefix)), token(F.slice("ranked", 1, 1)), token(F.col("ranked"))
 
-    (a_rows, a), (b_rows, b) = names(left, "left_id"), names(right, "right_id")
-    pairs = a.join(b, "token").groupBy("left_id_name", "right_id_name", "left_id_n", "right_id_n").agg(F.count("*").alias("shared"))
-    n, m, k = F.col("left_id_n"), F.col("right_id_n"), F.col("shared")
-    score = k / (n + m - k)
-    kept = pairs.where((score >= K.PRODUCER_THRESHOLD) | ((n >= 2) & (k == n)) | ((m >= 2) & (k == m))).withColumn("score", F.round(score, 9))
-    return kept.join(a_rows, "left_id_name").join(b_rows, "right_id_name").select("left_id", "right_id", "shared", "score")
+    (a_prefix, a_first, a_all), (b_prefix, b_first, b_all) = keys(a_names, "a"), keys(b_names, "b")
+    meets = [x.join(y, "token").select("a", "b") for x, y in ((a_prefix, b_prefix), (a_first, b_all), (a_all, b_first))]
+    pairs = reduce(DataFrame.unionByName, meets).distinct()
+    n, m = F.size(F.split("a", " ")), F.size(F.split("b", " "))
+    pairs = pairs.withColumns({"shared": F.size(F.array_intersect(F.split("a", " "), F.split("b", " "))).cast("long"), "n": n, "m": m})
+    score = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
+    kept = pairs.where((score >= K.PRODUCER_THRESHOLD) | ((F.col("n") >= 2) & (F.col("shared") == F.col("n"))) | ((F.col("m") >= 2) & (F.col("shared") == F.col("m")))).withColumn("score", F.round(score, 9))
+    return kept.join(a_rows, F.col("a") == F.col("left_id_name")).join(b_rows, F.col("b") == F.col("right_id_name")).select("left_id", "right_id", "shared", "score")
 
 
 def anchor_join(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """doc_id, item_id, matched, coverage: the documents that hold at least ``share`` of an item's content tokens.
 
-    Only tokens of items take part: the documents' other tokens fall out in a semi-join that is
-    pushed below the counting.
+    A document that covers an item holds at least one of any n - share x n + 1 of its n tokens. The
+    ones that the fewest documents hold are the item's seeds: documents and items meet on seeds
+    only, and frequent tokens join nothing. Candidates are then compared exactly.
     """
-    item = items.select("item_id", N.content_tokens(F.col("text")).alias("t"))
-    item = item.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    own = docs.select("doc_id", F.explode(N.content_tokens(F.col("text"))).alias("token"))
-    found = own.join(item, "token").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("matched"))
+    own = docs.select("doc_id", N.content_tokens(F.col("text")).alias("tokens"))
+    item = items.select("item_id", N.content_tokens(F.col("text")).alias("anchors")).where(F.size("anchors") > 0)
+    wanted = item.select(F.explode("anchors").alias("token")).distinct()
+    held = own.select(F.explode("tokens").alias("token"))
+    frequency = held.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    ranked = item.select("item_id", F.explode("anchors").alias("token")).join(frequency, "token", "left")
+    ranked = ranked.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+    needed = F.size("r") - F.ceil(F.size("r") * F.lit(share) - 1e-9).cast("int") + 1
+    seeds = ranked.select("item_id", F.explode(F.slice("r", 1, needed)).alias("x")).select("item_id", "x.token")
+    pairs = own.select("doc_id", F.explode("tokens").alias("token")).join(seeds, "token").select("doc_id", "item_id").distinct()
+    found = pairs.join(item, "item_id").join(own, "doc_id").withColumns({"matched": F.size(F.array_intersect("tokens", "anchors")).cast("long"), "n": F.size("anchors")})
     return found.where(F.col("matched") / F.col("n") >= share).select("doc_id", "item_id", "matched", F.round(F.col("matched") / F.col("n"), 9).alias("coverage"))
