@@ -40,8 +40,11 @@ def paired(labels: DataFrame, forms: DataFrame) -> DataFrame:
     return seen.join(expectations(forms), "doc_id", "left")
 
 
-def _fields() -> list[tuple[str, Column, Column, Column]]:
-    """(field, declared, observed, whether they match)."""
+Fields = list[tuple[str, Column, Column, Column]]
+
+
+def default_fields() -> Fields:
+    """(field, declared, observed, whether they match); a caller may compare other fields or compare them otherwise."""
     full = lambda v: F.when(F.trim(v) != "", v)
     same = lambda a, b: N.exact(a) == N.exact(b)
     kind = lambda a, b: N.class_type_match(a, b, F.col("l_family"))
@@ -60,13 +63,13 @@ def field_status(name: str, declared: Column, observed: Column, matched: Column)
     return F.when(F.col("wine_gate").isNull(), "not_applicable").otherwise(status)
 
 
-def cross_check(pairs: DataFrame) -> DataFrame:
+def cross_check(pairs: DataFrame, fields: Fields | None = None) -> DataFrame:
     """doc_id, field_id, status, application_value, label_value, reason: six rows for each pair. Without a form, nothing applies."""
     rows = []
-    for name, declared, observed, matched in _fields():
+    for name, declared, observed, matched in fields or default_fields():
         status = field_status(name, declared, observed, matched)
         skipped = (F.coalesce(F.col("wine_gate") != "WINE", F.lit(True)) if name.startswith("wine") else F.lit(False)) | F.col("wine_gate").isNull()
-        title = FIELDS[name].lower()
+        title = FIELDS.get(name, name).lower()
         reason = (
             F.when(skipped, "Not a wine label — wine-specific field skipped." if name.startswith("wine") else "No application to compare with.")
             .when(status == "not_on_application", f"Label declares {title} but the application did not.")
@@ -79,9 +82,9 @@ def cross_check(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.*")
 
 
-def mismatch_column() -> Column:
+def mismatch_column(fields: Fields | None = None) -> Column:
     """Whether any field of a pair is a mismatch or missing on the label; needs no shuffle."""
-    return reduce(lambda a, b: a | b, [field_status(*f).isin("mismatch", "not_on_label") for f in _fields()])
+    return reduce(lambda a, b: a | b, [field_status(*f).isin("mismatch", "not_on_label") for f in fields or default_fields()])
 
 
 def verify(labels: DataFrame, forms: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,21 @@ NOTHING = ["", "-", "n/a", "na", "none", "not applicable"]
 PRODUCT_WORDS = r"\b(?:wine|blend|beer|ale|lager|vodka|whiskey|whisky|tequila|rum|gin|chardonnay|cabernet|merlot|pinot|sauvignon|riesling)\b"
 
 
+#: An extractor makes label fields (doc_id, field, value, page) of words and forms; any producer of such a table can stand in.
+Extractor = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def page_texts(words: DataFrame) -> DataFrame:
+    """doc_id, page, text of words in reading order."""
+    ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "text")))
+    return words.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
+
+
+def pattern_extractor(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """The extractor by patterns; it does not look at the forms."""
+    return first_patterns(page_texts(words)).select("doc_id", "field", "value", "page")
+
+
 def first_patterns(pages: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, field, page, value: patterns in order of priority, each over all pages before the next; the first page wins."""
     hits = []

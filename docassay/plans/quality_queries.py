@@ -61,7 +61,7 @@ found = lambda s, d: Q.parity_fields(pairs(s, d), _cols, _vlm())
 add("J11_run_parity_join", lambda s, d: found(s, d), f"with {PARITY} select doc_id, field, matched, exact, fallback from found")
 add("A8_sample_parity", lambda s, d: Q.sample_parity(pairs(s, d), found(s, d)).select("doc_id", "failed", "accuracy", "fallbacks", "fields", "latency_delta"), f"with {PARITY} select doc_id, failed, accuracy, fallbacks, fields, latency_delta from samples")
 add("A9_field_parity", lambda s, d: Q.field_parity(found(s, d)), f"with {PARITY} select field, count(*) filter (matched) as matched, count(*) as total, round(count(*) filter (matched) * 100 / count(*))::bigint as percent from found group by 1")
-add("A10_parity_gate", lambda s, d: Q.parity_gate(Q.sample_parity(pairs(s, d), found(s, d))), f"with {PARITY}, g as (select coalesce(avg(accuracy) filter (not failed), 0) a, round(avg(a_total_ms)) l, round(avg(total_ms) filter (not failed)) b, coalesce(sum(fallbacks) filter (not failed), 0)::bigint f, coalesce(sum(fields) filter (not failed), 0)::bigint n from samples) select round(a, 6) as accuracy, l as latency, b as baseline, f as fallbacks, n as fields, round(f * {Q.COST}, 3) as cost, a >= {1 - Q.TOLERANCE} and l <= b as passed from g")
+add("A10_parity_gate", lambda s, d: Q.parity_gate(Q.sample_parity(pairs(s, d), found(s, d))), f"with {PARITY}, g as (select coalesce(avg(accuracy) filter (not failed), 0) a, round(avg(a_total_ms)) l, round(avg(total_ms) filter (not failed)) b, coalesce(sum(fallbacks) filter (not failed), 0)::bigint f, coalesce(sum(fields) filter (not failed), 0)::bigint n from samples) select round(a, 6) as accuracy, l as latency, b as baseline, f as fallbacks, n as fields, round(f * {Q.COST}::double, 3) as cost, a >= {1 - Q.TOLERANCE} and l <= b as passed from g")
 add("A11_batch_progress", lambda s, d: Q.batch_progress(X.table(s, d, "events").where("event_type <> 'view'").select(c("user_id").alias("batch_id")), X.table(s, d, "events").groupBy(c("user_id").alias("batch_id")).agg(F.count("*").alias("n")).select("batch_id", (c("n") - c("batch_id") % 20).alias("total"))), "with t as (select user_id batch_id, count(*) - user_id % 20 total, count(*) filter (event_type <> 'view') received from events group by user_id) select batch_id, received, total, total > 0 and received >= total as complete from t")
 add("A12_stage_timings", lambda s, d: Q.stage_timings(X.table(s, d, "events").select((c("event_id") / 5).cast("long").alias("doc_id"), c("event_type").alias("stage"), F.floor(c("value") * 10).alias("ms")), ["click", "error", "purchase"]), "select event_id // 5 as doc_id, sum(floor(value * 10)::bigint) filter (event_type = 'click')::bigint as click, sum(floor(value * 10)::bigint) filter (event_type = 'error')::bigint as error, sum(floor(value * 10)::bigint) filter (event_type = 'purchase')::bigint as purchase from events group by 1")
 

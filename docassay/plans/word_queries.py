@@ -28,7 +28,7 @@ def add(name, make, sql=None):
 WORDS = """ln as (select doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) z from documents),
 wd as (select doc_id, z[2] as row_no, unnest(list_zip(string_split(z[1], ' '), range(len(string_split(z[1], ' '))))) y from ln),
 wp as (select doc_id, row_no, y[2] as word, y[1] as text, sum(len(y[1]) + 1) over (partition by doc_id, row_no order by y[2]) - len(y[1]) - 1 as cum from wd),
-fx_words as (select doc_id, 1 as page, row_no * 100000 + word as idx, row_no as line, text, 40 + (len(text) * 7 + word) % 60 as conf, 10.0 * cum as x0, 20.0 * row_no + word % 3 as y0, 10.0 * cum + 8 * len(text) as x1, 20.0 * row_no + word % 3 + 12 as y1 from wp where text <> '')"""
+fx_words as (select doc_id, 1 as page, row_no * 100000 + word as idx, row_no as line, text, 40 + (len(text) * 7 + word) % 60 as conf, (10 * cum)::double as x0, (20 * row_no + word % 3)::double as y0, (10 * cum + 8 * len(text))::double as x1, (20 * row_no + word % 3 + 12)::double as y1 from wp where text <> '')"""
 
 
 def words(s, d):
@@ -97,7 +97,7 @@ select doc_id, item_idx, count(*) as n, round(sum(round((x + width * st / len(te
 )
 
 # --- images and pages: lineitem rows as the images of a page ---
-IMAGES = "im as (select l_orderkey doc_id, l_linenumber page, l_quantity * 16 width, l_extendedprice / 100 height, 30.0 * l_linenumber - 40 x, 5.0 y, 600.0 page_width, 800.0 page_height, case l_returnflag when 'A' then 3 when 'N' then 1 else 2 end hits, l_linestatus = 'O' marker from lineitem)"
+IMAGES = "im as (select l_orderkey doc_id, l_linenumber page, l_quantity * 16 width, l_extendedprice / 100 height, cast(30 * l_linenumber - 40 as double) x, cast(5 as double) y, cast(600 as double) page_width, cast(800 as double) page_height, case l_returnflag when 'A' then 3 when 'N' then 1 else 2 end hits, l_linestatus = 'O' marker from lineitem)"
 STATS = f"{IMAGES}, st as (select doc_id, page, max(hits) marker_hits, bool_or(marker) has_marker, bool_or(width * height >= {W.AREA} or (least(width, height) >= {W.SHORT_SIDE} and greatest(width, height) >= {W.LONG_SIDE})) has_image, max(width * height) largest, count(*) n from im group by all)"
 
 
@@ -174,7 +174,7 @@ add(
 
 def snapped(s, d):
     rect = W.rect_union(images(s, d).select("doc_id", "page", c("x").alias("x0"), c("y").alias("y0"), (c("x") + c("width")).alias("x1"), (c("y") + c("height")).alias("y1"), "page_width", "page_height"))
-    norm = rect.select("doc_id", "page", *[F.floor(v * 1000000).alias(n) for n, v in {"x": c("x0") / 600, "y": 1 - c("y1") / 800, "w": (c("x1") - c("x0")) / 600, "h": (c("y1") - c("y0")) / 800}.items()])
+    norm = rect.select("doc_id", "page", *[F.floor(v * 1000000).cast("long").alias(n) for n, v in {"x": c("x0") / 600, "y": 1 - c("y1") / 800, "w": (c("x1") - c("x0")) / 600, "h": (c("y1") - c("y0")) / 800}.items()])
     return norm.withColumn("confidence", F.lit("high"))
 
 

@@ -132,3 +132,15 @@ def test_archiving_twice_moves_nothing(spark):
     assert [r.app_id for r in lifecycle.archive_request(state, ids).collect()] == [1]
     assert lifecycle.archive_request(state.withColumn("archived_at", F.lit("x")), ids).count() == 0
     assert state.where(lifecycle.status_filter([], None)).count() == 0
+
+
+def test_extension_points(spark):
+    from docassay.operators import cross_check
+
+    lines = ["ACME GIN 40% alc", "750 mL"]
+    rows = [(1, 1, 100 * k + j, w, 90, 10.0 * j, 40.0 * k, 10.0 * j + 9, 40.0 * k + 12) for k, line in enumerate(lines) for j, w in enumerate(line.split())]
+    df = spark.createDataFrame(rows, "doc_id int, page int, idx int, text string, conf int, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.field, r.value) for r in extract.pattern_extractor(df, df).collect()} == {("abv", "40% alc"), ("netContents", "750 mL")}
+    pairs = spark.createDataFrame([(1, "WINE", "a", "A"), (2, "WINE", "a", None)], "doc_id int, wine_gate string, form_lot string, label_lot string")
+    own = [("lot", F.col("form_lot"), F.col("label_lot"), F.lower("form_lot") == F.lower("label_lot"))]
+    assert [(r.doc_id, r.status) for r in cross_check.cross_check(pairs, own).collect()] == [(1, "match"), (2, "not_on_label")]
