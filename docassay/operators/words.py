@@ -38,7 +38,7 @@ def null_if_absent(v: Column) -> Column:
 
 def words_of_items(items: DataFrame, page_height: float = 792.0) -> DataFrame:
     """Words of text items (text, x, y, width, height): boxes in proportion to character offsets, y turned downwards, in pixels."""
-    parts = F.transform(F.split("text", r"(?<=\s)(?=\S)"), lambda t: t)
+    parts = F.split("text", r"(?<=\s)(?=\S)")
     rows = items.select("*", F.posexplode(parts).alias("k", "part"))
     before = F.length(F.array_join(F.slice(parts, 1, F.col("k")), ""))
     rows = rows.where(F.trim("part") != "").withColumn("start", before)

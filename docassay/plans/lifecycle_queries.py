@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cross_check as C
 from ..operators import lifecycle as L
 from ..operators import rules as R
 from ..sources import results as S
@@ -173,4 +172,3 @@ KEY = ["content_hash", "prompt_version", "extractor_model"]
 add("J7_run_cache_hits", lambda s, d: L.split_by_cache(_runs(s, d).where("doc_id % 4 <> 0"), _runs(s, d).where("doc_id % 4 = 0"), KEY, ["doc_id"])[0].select("doc_id"), f"with {RUNS} select doc_id from runs r where doc_id % 4 <> 0 and exists (select 1 from runs v where v.doc_id % 4 = 0 and v.content_hash = r.content_hash and v.prompt_version = r.prompt_version and v.extractor_model = r.extractor_model)")
 add("J7_run_cache", lambda s, d: L.split_by_cache(_runs(s, d).where("doc_id % 4 <> 0"), _runs(s, d).where("doc_id % 4 = 0"), KEY, ["doc_id"])[1].select("doc_id", "content_hash"), f"with {RUNS} select min(doc_id) as doc_id, content_hash from runs r where doc_id % 4 <> 0 and not exists (select 1 from runs v where v.doc_id % 4 = 0 and v.content_hash = r.content_hash and v.prompt_version = r.prompt_version and v.extractor_model = r.extractor_model) group by content_hash, prompt_version, extractor_model")
 add("S9_verification_sink", lambda s, d: apps(s, d).groupBy("content_hash").agg(F.min_by("verdict", "app_id").alias("verdict"), F.min("app_id").alias("app_id")), f"with {APPS} select content_hash, arg_min(verdict, app_id) as verdict, min(app_id) as app_id from apps group by 1")
-_ = C
