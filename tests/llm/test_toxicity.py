@@ -36,3 +36,29 @@ def test_query_and_odd_rows(spark, sf_dir):
         out = toxicity.score(d, model, keep_text=True)
         assert out.columns == ["doc_id", "text", "y", "grade", "severity", "toxic"] and out.count() == 4
         assert toxicity.score(d.limit(0), model).count() == 0
+
+
+def test_rarer_tokens_are_learned_in_other_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(d.where("doc_id % 2 = 0"), labels)
+    got = toxicity.score(d.where("doc_id % 2 = 1").select("doc_id", "lang", "text"), model).withColumnRenamed("toxic", "found")
+    rows = got.join(labels, "doc_id").select("lang", "toxic", "found").collect()
+    for lang, least in {"de": 0.6, "en": 0.9, "fr": 0.8}.items():
+        hit = [r.found for r in rows if r.lang == lang and r.toxic]
+        false = [r.found for r in rows if r.lang == lang and not r.toxic]
+        assert np.mean(hit) > least and np.mean(false) < 0.05
+
+
+def test_bar_does_not_grow_with_the_sample():
+    plain = [f"plain{i % 50} text{i % 7}" for i in range(8000)]
+    toxic = np.zeros(8000)
+    toxic[:800] = 1
+    texts = [f"{t} rare{i // 10}" if i < 800 else t for i, t in enumerate(plain)]
+    found = toxicity.indicative(toxicity.token_pairs(texts), toxic, np.ones(8000, bool))
+    assert len(found) == 80
+    many = [f"{t} word{i // 2}" if i < 800 else t for i, t in enumerate(plain * 2)]
+    many = [f"{t} rare{i % 300}" if 8000 <= i < 10400 else t for i, t in enumerate(many)]
+    mark = np.zeros(16000)
+    mark[8000:10400] = 1
+    assert len(toxicity.indicative(toxicity.token_pairs(many), mark, np.ones(16000, bool))) == 300  # more than any cap of 256
