@@ -6,7 +6,7 @@ the mean of a host is shrunk towards the global mean and that of a path towards
 the pseudo-counts that the method of moments finds from the spread between groups. The result adds the path
 posterior's log-odds, less the global ones, to the document's own.
 
-The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows of ``SAMPLE_BYTES`` in all; all
+The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, whose features the tasks compute from whole texts; all
 sums are over every row.
 
 Defined cases: null and empty texts get the evidence of an empty text; null hosts and null paths are groups
@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, buffers, map_text, pieces
+from .batches import Tokens, buffers, map_text
 from .cluster import cut
-from .sampling import labelled
+from .sampling import chosen
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 24 << 20
+SAMPLE_ROWS = 6000
 _KINDS = {
     "capital": range(65, 91), "digit": range(48, 58), "space": (32, 9), "line": (10,), "stop": b".?", "comma": b",;:", "bang": b"!",
     "bar": b"|", "sign": b"#$%&*@^~<>{}[]=+\\/_", "wide": range(128, 256),
@@ -94,11 +94,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    rows = labelled(docs, labels, label, SAMPLE_ROWS, SAMPLE_BYTES, doc_id, text)
-    y = np.array([float(v > 0) for _, v in rows])
-    if not len(rows) or y.min() == y.max():
+    texts, picked = chosen(docs, labels, label, SAMPLE_ROWS, None, doc_id, text)
+    y = np.array([float(v > 0) for *_, v in picked])
+    if not len(picked) or y.min() == y.max():
         return None
-    return fit(np.concatenate([shape(part) for part in pieces([t for t, _ in rows])]), y)
+    shapes = map_text(texts, "t", lambda: lambda column: {"x": pa.array(shape(column).tolist(), pa.list_(pa.float64()))}, [T.StructField("x", T.ArrayType(T.DoubleType()))])
+    held = {(r.id_, r.key_): r.x for r in shapes.dropDuplicates(["id_", "key_"]).collect()}
+    return fit(np.array([held[i, k] for i, k, _ in picked]), y)
 
 
 def evidence(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

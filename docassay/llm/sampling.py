@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple]:
-    """At most ``rows`` pairs (text, label), sorted, of at most ``total_bytes // rows`` bytes of text each.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple]]:
+    """The texts of a sample, as (id_, key_, t) with rows that may repeat, and its rows (id, key, label).
 
-    ``labels`` has ``doc_id`` and ``label``; rows are chosen by a hash of the id, so the choice does
-    not depend on how the tables are partitioned. Rows with a null id, text or label are left out.
+    ``labels`` has ``doc_id`` and ``label``; rows are chosen by a hash of the id, whatever the length of their text, so the choice does
+    not depend on how the tables are partitioned: at most ``rows`` of those that have a text, and as many as hold
+    ``total_bytes`` together. Only a text that is longer than all of that alone is passed over. Rows with a null id, text or label are left out.
     """
     own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("sample_id_"), F.col(label).alias("y"))
-    own = own.orderBy(F.xxhash64(F.col("sample_id_").cast("string")), "sample_id_", "y").limit(rows)
-    texts = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")).where(F.octet_length("t") <= total_bytes // rows)
-    found = texts.join(F.broadcast(own), F.col("id_") == F.col("sample_id_")).select("t", "y").limit(rows)
-    return sorted((r.t, r.y) for r in found.collect())
+    texts = docs.select(F.col(doc_id).alias("id_"), F.xxhash64(text).alias("key_"), F.col(text).alias("t")).where("t is not null")
+    sizes = texts.select("id_", "key_", F.octet_length("t").alias("size"))
+    if total_bytes is not None:
+        sizes = sizes.where(F.col("size") <= total_bytes)
+    found = sizes.join(own, F.col("id_") == F.col("sample_id_")).select("id_", "key_", "y", "size")
+    found = found.orderBy(F.xxhash64(F.col("id_").cast("string")), "id_", "key_", "y").limit(rows).collect()
+    picked, left = [], total_bytes
+    for r in found:
+        if left is not None:
+            left -= r["size"]
+            if left < 0:
+                break
+        picked.append((r.id_, r.key_, r.y))
+    schema = T.StructType([T.StructField("pick_", docs.schema[doc_id].dataType), T.StructField("pick_key_", T.LongType())])
+    picks = docs.sparkSession.createDataFrame(sorted({p[:2] for p in picked}), schema)
+    return texts.join(F.broadcast(picks), (F.col("id_") == F.col("pick_")) & (F.col("key_") == F.col("pick_key_"))).select("id_", "key_", "t"), picked
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple]:
+    """At most ``rows`` pairs (text, label), sorted, of at most ``total_bytes`` of text in all, by the rule of ``chosen``."""
+    texts, picked = chosen(docs, labels, label, rows, total_bytes, doc_id, text)
+    held = {(r.id_, r.key_): r.t for r in texts.dropDuplicates(["id_", "key_"]).collect()} if picked else {}
+    return sorted((held[i, k], y) for i, k, y in picked)
