@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A
-sentence of more than ``LONG`` words is cut further between words chosen by a hash of the two, so that
-equal passages without punctuation are cut alike wherever they stand. From every sentence the shortest run of
+sentence of more than ``LONG`` words is cut further where the hash of two neighbouring words is the least of any ``WINDOW``
+successive ones (winnowing; of equal ones the last), so that equal passages without punctuation are cut alike
+wherever they stand, at most ``WINDOW`` words apart: every passage of more than 50 words inside such a sentence holds a whole run. From every sentence the shortest run of
 at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (96 bits over lower-cased
 words). Runs are joined over all documents; a run's first place is in the document with the
 smallest id, at its first position there. All sentences that any other place covers are removed.
@@ -24,13 +25,30 @@ from pyspark.sql import types as T
 
 from .batches import Tokens, beside, buffers, mix, powers, slices
 
-SENTENCES, WORDS, LONG, SOFT = 3, 20, 12, 7
+SENTENCES, WORDS, LONG, WINDOW = 3, 20, 12, 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
+def winnowed(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which values are the least, of equal ones the last, of any WINDOW successive ones inside one text; text i has the values first[i]:first[i + 1] - 1."""
+    chosen = np.zeros(len(pair), bool)
+    n = len(pair) - WINDOW + 1
+    if n <= 0:
+        return chosen
+    least, at = pair[:n].copy(), np.arange(n)
+    for j in range(1, WINDOW):
+        value = pair[j : n + j]
+        better = value <= least
+        least[better] = value[better]
+        at[better] = np.flatnonzero(better) + j
+    end = np.repeat(first[1:], np.diff(first))[:n]  # the token after the text of each window's first token
+    chosen[at[np.arange(n) + WINDOW < end]] = True
+    return chosen
+
+
 class Runs:
     """Sentences of many texts and the hashed run that starts at each."""
 
@@ -48,8 +66,7 @@ class Runs:
             begins[tokens.first[:-1][tokens.count > 0]] = True
             size = np.diff(np.append(np.flatnonzero(begins), n))
             pair = mix(tokens.hash[:-1] * np.uint64(3) + tokens.hash[1:])  # of two words, so frequent words do not decide alone
-            soft = np.repeat(size > LONG, size)[:-1] & (pair % np.uint64(SOFT) == 0)
-            begins[1:] |= soft
+            begins[1:] |= np.repeat(size > LONG, size)[:-1] & winnowed(pair, tokens.first)
         self.word = np.append(np.flatnonzero(begins), n)  # first word of each sentence
         #: Index of each document's first sentence; one more at the end.
         self.first = np.searchsorted(self.word[:-1], tokens.first)

@@ -82,3 +82,19 @@ def test_short_texts_have_no_run(text):
     import pyarrow as pa
 
     assert len(spans.Runs(pa.array([text])).at) == 0
+
+
+def test_every_long_passage_without_punctuation_holds_a_run():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for case in range(400):
+        passage = [rng.choice("ab") if case % 4 == 0 else word() for _ in range(51 + case % 10)]
+        texts = [" ".join([*(word() for _ in range(rng.randint(10, 40))), *passage, *(word() for _ in range(rng.randint(10, 40)))]) for _ in range(2)]
+        own = spans.Runs(pa.array(["some other text", *texts]))
+        assert set(own.hash[own.document == 1]) & set(own.hash[own.document == 2])
+        alone = spans.Runs(pa.array(texts[1:]))
+        assert (alone.hash == own.hash[own.document == 2]).all()
