@@ -9,6 +9,7 @@ from ..operators import diff as DF
 from ..operators import quality as Q
 from ..operators import rules as R
 from ..sources import results as S
+from ..sources.folders import scratch
 from ..streaming import streams as T
 from . import duck as D
 from . import fixtures as X
@@ -122,7 +123,7 @@ def turns(s, d):
 
 
 def stream_lines(s, d):
-    at = T.scratch(s)
+    at = scratch(s, "stream")
     rows = T.table_stream(s, d, "events")
     body = F.expr(LINES[LINES.index("case when event_id % 101") : LINES.index(" as value from events")])
     T.drain(T.result_lines(rows.select("event_id", body.alias("value")), f"{at}/good", f"{at}/bad", f"{at}/log"))
@@ -133,7 +134,7 @@ add("T1_stream_result_lines", stream_lines, f"with {PARSED} select event_id, kin
 
 
 def stream_verify(s, d):
-    at = T.scratch(s)
+    at = scratch(s, "stream")
     stream = T.table_stream(s, d, "part")
     names = X.table(s, d, "supplier").join(F.broadcast(X.table(s, d, "nation")), c("n_nationkey") == c("s_nationkey"))
     sql = X.LABELS[len("select ") : X.LABELS.index("from part join")]
@@ -159,7 +160,7 @@ add("T2_stream_verify", stream_verify, f"with {VERDICT} select doc_id, product_t
 
 
 def stream_progress(s, d):
-    at = T.scratch(s)
+    at = scratch(s, "stream")
     counts = T.batch_progress(T.table_stream(s, d, "events").select(c("user_id").alias("batch_id")))
     T.drain(counts.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/log"))
     return s.read.parquet(f"{at}/out")
@@ -169,7 +170,7 @@ add("T3_stream_batch_progress", stream_progress, "select user_id as batch_id, co
 
 
 def stream_reviews(s, d):
-    at = T.scratch(s)
+    at = scratch(s, "stream")
     rows = T.table_stream(s, d, "events").where("event_type in ('purchase', 'error') or event_type = 'signup' and event_id % 29 = 0")
     rows = rows.select("event_id", c("user_id").alias("app_id"), c("ts").cast("timestamp").alias("ts"), F.when(c("event_type") == "signup", "archive").otherwise("review").alias("kind"), F.when(c("event_type") == "purchase", "approved").when(c("event_type") == "error", "rejected").alias("decision"), F.when(c("event_id") % 5 != 0, "why").alias("reason"), F.lit("r").alias("reviewer"))
     T.drain(T.newest_states(T.review_state(rows), f"{at}/out", f"{at}/log"))

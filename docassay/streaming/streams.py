@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +13,6 @@ from ..operators.lifecycle import review_problem
 from ..sources.results import parse_lines
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docassay-stream-")
-    return f"{where}/stream-{uuid.uuid4().hex}"
-
-
 def drain(query) -> None:
     """Starts a query on what is there now and waits for it."""
     query.trigger(availableNow=True).start().awaitTermination()
