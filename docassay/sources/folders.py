@@ -28,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """The path of a new folder in the shared one. Results are read from it later, so it goes when the application ends."""
+    """A new folder in the shared one. Results are read from it later, so it goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(own)
+    files = own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(own)
+    files.deleteOnExit(own)
     return path
