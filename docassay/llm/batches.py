@@ -71,8 +71,8 @@ def map_text(
 
     ``make`` runs once per task, so tables it builds are shared by all the task's batches.
     """
-    new_names = {f.name for f in fields}
-    keep = [f for f in df.schema.fields if f.name not in new_names and (keep_text or f.name != text)]
+    new_names = {f.name.lower() for f in fields}
+    keep = [f for f in df.schema.fields if f.name.lower() not in new_names and (keep_text or f.name != text)]
     df = df.select(*dict.fromkeys([*(f.name for f in keep), text]))
     schema = T.StructType([*keep, *fields])
 
@@ -178,8 +178,17 @@ def windows(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), at[inside]
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of the frames is called so (column names ignore case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def beside(df: DataFrame, names: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step(df)`` with columns of ``df`` that are called like the step's results, ``names``, out of its way."""
-    held = {n: f"{n}_held_" for n in names if n in df.columns}
+    own = {n.lower() for n in names}
+    held = {n: unused(f"{n}_held_", df) for n in df.columns if n.lower() in own}
     found = step(df.withColumnsRenamed(held)).drop(*names).withColumnsRenamed({v: k for k, v in held.items()})
     return found.select(*df.columns)

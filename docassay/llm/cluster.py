@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docassay-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
+from ..sources.folders import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,10 +14,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge list; root is the smallest node that it reaches.
 
-    Alternates large-star and small-star rounds until no edge changes. Each round takes minima by
+    Alternates large-star and small-star rounds until no edge changes: a round only ever moves edges to smaller
+    nodes, so it ends, after a number of rounds that grows with the logarithm of a component's size. Each round takes minima by
     node with partial aggregation before the shuffle and joins them back, so that a node with very
     many neighbours is a skewed join, which adaptive execution splits, and not one large group.
     """
@@ -37,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -50,8 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("connected components did not settle")
     return pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_text
+from .batches import map_text, unused
 from .cluster import components, cut
 
 SHINGLE, RADIUS, SEED, BITS = 3, 3, 42, 64
@@ -128,28 +128,43 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its id, ``fp`` and ``component_id``, the smallest id reachable over links."""
+def components_of(own: DataFrame) -> DataFrame:
+    """(fp_, component_id) of every fingerprint of ``own`` (id_, fp): component_id is the smallest id_ reachable."""
     if most_free_bits() > np.log2(SMALL):
         raise AssertionError("the covering levels do not bound a bucket")
-    own = cut(fingerprints(docs.select(doc_id, text), text))
-    reps = cut(own.groupBy("fp").agg(F.min(doc_id).alias("least")))
+    reps = cut(own.groupBy("fp").agg(F.min("id_").alias("least")))
     roots = components(links(reps))
     known = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = cut(known)
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, "root").select(F.col("fp").alias("fp_"), "component_id")
-    return own.join(known, own.fp == known.fp_).select(F.col(doc_id), "fp", "component_id")
+    return known.join(smallest, "root").select(F.col("fp").alias("fp_"), "component_id", F.col("root").alias("group_"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: its id, ``fp`` and ``component_id``, the smallest id reachable over links."""
+    own = cut(fingerprints(docs.select(F.col(doc_id).alias("id_"), text), text))
+    known = components_of(own)
+    return own.join(known, own.fp == known.fp_).select(F.col("id_").alias(doc_id), "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row for each such id.
+    """One row of ``docs`` of each group of near copies: that with the smallest id (null ids come last), then fingerprint and text hash.
 
-    Rows with a null id cannot stand for a group and cannot be told apart by id; they stay.
+    Rows are told apart by id and text, so rows that share an id but not their text are judged by themselves.
+    Of rows that are equal in both, the one with the least JSON form stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = cut(found.where(F.col(doc_id) == F.col("component_id")).groupBy(F.col(doc_id).alias("kept_id_")).agg(F.count("*").alias("n")))
-    rows = docs.join(kept.select("kept_id_"), docs[doc_id] == F.col("kept_id_"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([doc_id])
-    return rows.unionByName(docs.where(F.col(doc_id).isNull()))
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    own = docs.select(F.col(doc_id).alias("id_"), key.alias("text_hash"), F.col(text).alias("text_"))
+    own = cut(fingerprints(own, "text_"))
+    known = components_of(own)
+    order = F.struct(F.col("id_").isNull().alias("last"), "id_", "fp", "text_hash")
+    of_group = own.join(known, own.fp == known.fp_).groupBy("group_").agg(F.min(order).alias("b")).select("b.id_", "b.text_hash")
+    kept = cut(of_group)
+    id_, hash_, often = (unused(n, docs) for n in ("kept_id_", "kept_hash_", "kept_row_"))
+    picks = kept.select(F.col("id_").alias(id_), F.col("text_hash").alias(hash_))
+    rows = docs.join(picks, docs[doc_id].eqNullSafe(F.col(id_)) & (key == F.col(hash_)), "left_semi")
+    copies = own.join(kept, own.id_.eqNullSafe(kept.id_) & (own.text_hash == kept.text_hash), "left_semi")
+    if copies.count() > kept.count():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = rows.groupBy(F.col(doc_id).alias(id_), key.alias(hash_)).agg(F.min_by(row, F.to_json(row)).alias(often)).select(f"{often}.*")
+    return rows

@@ -27,7 +27,7 @@ from .batches import buffers, map_text, sums
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_WORD = 512
-_POP = 24  # table entries: state in the low bits, popped pieces above
+_POP = 24  # table entries: state in the low bits, popped pieces above; 64 bits wide where 32 do not hold them
 _STATE = (1 << _POP) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,7 +76,10 @@ class Automaton:
             if depth:
                 row = table[fail[nodes]].astype(np.int64)
                 alive = (row & _STATE) != self.DEAD
-                table[nodes] = np.where(alive, row + (pops[nodes][:, None] << _POP), 0)
+                row = np.where(alive, row + (pops[nodes][:, None] << _POP), 0)
+                if table.dtype == np.int32 and row.max() > np.iinfo(np.int32).max:
+                    self.table = table = table.astype(np.int64)
+                table[nodes] = row
             if depth == len(levels):
                 break
             parent, byte, node = np.array(levels[depth]).T

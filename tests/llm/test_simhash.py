@@ -77,5 +77,15 @@ def test_odd_rows(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, None)}
     kept = simhash.first_of_each(spark.createDataFrame(rows, schema))
     assert kept.columns == ["doc_id", "text", "fp", "root", "key"]
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4]  # of the null texts one stays
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    schema = "doc_id long, text string, kept_id_ string, kept_hash_ long, id_ int"
+    rows = [(1, a, "k", 1, 1), (1, b, "k", 2, 2), (2, a, "k", 3, 3), (3, c, "k", 4, 4), (3, c, "k", 4, 4), (3, c, "j", 5, 5), (None, b, "k", 6, 6), (None, "nothing like the others at all", "k", 7, 7)]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "kept_id_", "kept_hash_", "id_"]
+    # The second row of id 1 resembles nothing of a smaller id; id 2 is a copy of id 1; of the equal rows of id 3 one stays.
+    assert sorted((r.doc_id or 0, r.text, r.kept_id_) for r in kept.collect()) == [(0, "nothing like the others at all", "k"), (1, a, "k"), (1, b, "k"), (3, c, "j")]

@@ -27,6 +27,14 @@ def test_automaton_against_greedy_search():
         assert got.tolist() == [greedy(w, begin, after) for w in words]
 
 
+def test_many_pieces_popped_in_one_step():
+    begin = after = [b"b", b"b" * 300, b"c"]
+    machine = wordpiece.Automaton(begin, after)
+    words = [b"b" * 127 + b"c", b"b" * 128 + b"c", b"b" * 150 + b"c", b"b" * 200 + b"c", b"b" * 299 + b"c", b"b" * 300 + b"c", b"b" * 650 + b"cb", b"b" * 200]
+    data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    assert machine.count(data, np.cumsum(size) - size, size).tolist() == [greedy(w, set(begin), set(after)) for w in words]
+
+
 def test_query_against_brute_force(spark, sf_dir):
     begin, after = map(set, wordpiece.read_vocabulary(wordpiece.VOCABULARY))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
