@@ -3,7 +3,8 @@
 Subwords are the runs of 3 and 4 bytes of the lower-cased text, other than those with a gap between
 words inside; gaps count as one boundary byte. A text's vector is the mean embedding of its subwords. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on a sample of at most ``SAMPLE_ROWS``
-texts and ``SAMPLE_BYTES``. A fifth of the sample is kept out of it: on that part a temperature
+texts of any length: tasks count their subwords, of which a text has at most 2 ** ``BUCKET_BITS`` different ones, and the driver
+collects the counts. A fifth of the sample is kept out of it: on that part a temperature
 is fitted, and the least score at which the predictions above it keep ``PRECISION`` becomes the
 rejection threshold. Since mean and softmax input are linear, tasks add up one
 precomputed row of logits per subword.
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import _TOKEN, buffers, lowered, map_text, pieces
-from .sampling import labelled
+from .batches import _TOKEN, buffers, lowered, map_text
+from .sampling import features, own_labels
 
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12 << 20
+SAMPLE_ROWS = 3000
 BUCKET_BITS, WIDTH, EPOCHS, BATCH, RATE, PRECISION = 16, 16, 6, 32, 60.0, 0.99
 MOST_LEAST = 0.95  # no threshold above this, or rounding would decide
 UNKNOWN = "und"
@@ -103,16 +104,46 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str]) -> Model:
+@dataclass
+class Counts:
+    """Of each text, its different subwords (bucket) and each one's share of all; text i has the entries first[i]:first[i + 1]."""
+
+    bucket: np.ndarray
+    share: np.ndarray
+    first: np.ndarray
+
+    def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, shares and each text's first entry of some texts that have any."""
+        size = self.first[texts + 1] - self.first[texts]
+        at = np.repeat(self.first[texts] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.bucket[at].astype(np.int64), self.share[at], np.cumsum(size) - size
+
+    def mean(self, texts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The mean row of the subwords of each text; 0 without any."""
+        out = np.zeros((len(texts), rows.shape[1]))
+        full = np.flatnonzero(self.first[texts + 1] > self.first[texts])
+        if len(full):
+            bucket, share, starts = self.of(texts[full])
+            out[full] = np.add.reduceat(rows[bucket] * share[:, None], starts, axis=0)
+        return out
+
+
+def subword_counts(column: pa.Array) -> dict:
+    """Of each text: its different subwords and how often each occurs."""
+    bucket, first = subwords(column)
+    text = np.repeat(np.arange(len(column)), np.diff(first))
+    pair, often = np.unique(text << BUCKET_BITS | bucket, return_counts=True)
+    begin = np.searchsorted(pair >> BUCKET_BITS, np.arange(len(column) + 1)).astype(np.int32)
+    listed = lambda values: pa.ListArray.from_arrays(begin, pa.array(values.astype(np.int32)))
+    return {"bucket": listed(pair & ((1 << BUCKET_BITS) - 1)), "often": listed(often)}
+
+
+def fit(own_counts: Counts, languages: list[str]) -> Model:
     names = sorted(set(languages))
     y = np.searchsorted(names, languages)
-    parts = [subwords(part) for part in pieces(texts)]
-    bucket = np.concatenate([b.astype(np.uint16) for b, _ in parts])
-    sizes = np.concatenate([np.diff(f) for _, f in parts])
-    first = np.append(0, np.cumsum(sizes))
     rng = np.random.default_rng(4)
-    order = rng.permutation(len(texts))
-    held, own = order[: len(texts) // 5], order[len(texts) // 5 :]
+    order = rng.permutation(len(y))
+    held, own = order[: len(y) // 5], order[len(y) // 5 :]
     if not len(own):
         own = order
     embed = rng.normal(0, 1 / WIDTH, (1 << BUCKET_BITS, WIDTH))
@@ -122,41 +153,35 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         own = rng.permutation(own)
         for at in range(0, len(own), BATCH):
             pick = own[at : at + BATCH]
-            size = first[pick + 1] - first[pick]
-            pick, size = pick[size > 0], size[size > 0]
+            pick = pick[own_counts.first[pick + 1] > own_counts.first[pick]]
             if not len(pick):
                 continue
-            ids = np.concatenate([bucket[first[i] : first[i + 1]] for i in pick]).astype(np.int64)
-            text = np.repeat(np.arange(len(pick)), size)
-            share, where = np.unique(text * (1 << BUCKET_BITS) + ids, return_counts=True)
-            text, ids, part = share >> BUCKET_BITS, share & ((1 << BUCKET_BITS) - 1), where[:, None] / size[share >> BUCKET_BITS, None]
-            starts = np.searchsorted(text, np.arange(len(pick)))
+            ids, part, starts = own_counts.of(pick)
+            part = part[:, None]
             mean = np.add.reduceat(embed[ids] * part, starts, axis=0)
             slope = softmax(mean @ weight + bias)
             slope[np.arange(len(pick)), y[pick]] -= 1
             slope /= len(pick)
-            back = slope @ weight.T
+            back = np.repeat(slope @ weight.T, np.diff(np.append(starts, len(ids))), axis=0)
             weight -= rate / 4 * mean.T @ slope
             bias -= 0.1 * slope.sum(0)
-            np.subtract.at(embed, ids, rate * part * back[text])
+            np.subtract.at(embed, ids, rate * part * back)
     model = Model(names, (embed @ weight).astype(np.float32), bias)
     if len(held):
-        calibrate(model, [texts[i] for i in held], y[held])
+        calibrate(model, own_counts.mean(held, model.rows), y[held])
     return model
 
 
-def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """Temperature of the best held-out likelihood, then the least score that keeps PRECISION."""
-    column = pa.array(texts, pa.string())
+def calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
+    """Temperature of the best held-out likelihood, then the least score that keeps PRECISION. z: mean rows of held-out texts."""
     best = None
     for temperature in np.geomspace(0.3, 20, 60):
-        model.temperature = float(temperature)
-        p = model.probabilities(column)
+        p = softmax((z + model.bias) / temperature)
         loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
         if best is None or loss < best[0] - 1e-12:
             best = (loss, float(temperature))
     model.temperature = best[1]
-    p = model.probabilities(column)
+    p = softmax((z + model.bias) / model.temperature)
     score, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-score, kind="stable")
     good = np.cumsum(right[order]) / np.arange(1, len(y) + 1) >= PRECISION
@@ -164,8 +189,18 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    rows = labelled(docs, docs.select(doc_id, lang), lang, SAMPLE_ROWS, SAMPLE_BYTES, doc_id, text)
-    return fit([t for t, _ in rows], [str(y) for _, y in rows]) if rows else None
+    lists = T.ArrayType(T.IntegerType())
+    rows = docs.select(doc_id, text, F.col(lang).cast("string").alias("y_"))
+    found = features(own_labels(rows, "y_", SAMPLE_ROWS, doc_id, text), SAMPLE_ROWS, lambda: subword_counts, [T.StructField("bucket", lists), T.StructField("often", lists)])
+    found = found.toArrow().sort_by([("key_", "ascending"), ("y", "ascending")]).combine_chunks()
+    if not len(found):
+        return None
+    bucket, often = (found[c].combine_chunks() for c in ("bucket", "often"))
+    first = np.append(0, np.cumsum(bucket.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    often = often.flatten().to_numpy()
+    total = np.append(0, np.cumsum(often))[first]
+    share = (often / np.repeat(np.diff(total), np.diff(first))).astype(np.float32)
+    return fit(Counts(bucket.flatten().to_numpy().astype(np.uint16), share, first), found["y"].to_pylist())
 
 
 def has_letter(column: pa.Array) -> np.ndarray:

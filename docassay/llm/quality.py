@@ -4,10 +4,11 @@ A logistic classifier on the shape of a text (lengths, kinds of characters, repe
 log-odds of good quality. Grouped sums over all documents give each host and each path its mean;
 the mean of a host is shrunk towards the global mean and that of a path towards its host's, by
 the pseudo-counts that the method of moments finds from the spread between groups. The result adds the path
-posterior's log-odds, less the global ones, to the document's own.
+posterior's log-odds, less the global ones, to the document's own; for this, the document itself is taken out of the sums of its
+path and host, so that no evidence counts twice (a path's only document has its host's posterior as prior).
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, whose features the tasks compute from whole texts; all
-sums are over every row.
+sums are over every row. Null labels are left out, and equal texts with equal labels count once.
 
 Defined cases: null and empty texts get the evidence of an empty text; null hosts and null paths are groups
 of their own; without labelled rows of both kinds every document's evidence is neutral; repeated
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from .batches import Tokens, buffers, map_text
 from .cluster import cut
-from .sampling import chosen
+from .sampling import features, labelled
 
 SAMPLE_ROWS = 6000
 _KINDS = {
@@ -94,13 +95,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    texts, picked = chosen(docs, labels, label, SAMPLE_ROWS, None, doc_id, text)
-    y = np.array([float(v > 0) for *_, v in picked])
-    if not len(picked) or y.min() == y.max():
+    own = labels.select(doc_id, F.col(label).cast("int").alias(label))
+    listed = lambda column: {"x": pa.array(list(shape(column)), pa.list_(pa.float64()))}
+    sample = features(labelled(docs, own, label, SAMPLE_ROWS, doc_id, text), SAMPLE_ROWS, lambda: listed, [T.StructField("x", T.ArrayType(T.DoubleType()))])
+    rows = sample.toArrow().sort_by([("key_", "ascending"), ("y", "ascending")])
+    y = (rows["y"].to_numpy() > 0).astype(np.float64)
+    if not len(y) or y.min() == y.max():
         return None
-    shapes = map_text(texts, "t", lambda: lambda column: {"x": pa.array(shape(column).tolist(), pa.list_(pa.float64()))}, [T.StructField("x", T.ArrayType(T.DoubleType()))])
-    held = {(r.id_, r.key_): r.x for r in shapes.dropDuplicates(["id_", "key_"]).collect()}
-    return fit(np.array([held[i, k] for i, k, _ in picked]), y)
+    return fit(np.array(rows["x"].to_pylist()), y)
 
 
 def evidence(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -131,32 +133,40 @@ def strength(groups: DataFrame, mean: Column) -> float:
     return float(min(max(within / max(spread, 1e-12), 1.0), 1e6))
 
 
-def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host_, path_, host_posterior, path_posterior) from rows with host_, path_ and p, and the global mean."""
+def posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host_, path_, host_posterior, path_posterior, their sums s and n) from rows with host_, path_ and p; the global mean; the strengths over hosts and paths."""
     paths = cut(scored.groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")))
     hosts = cut(paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")))
     total = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = total.s / total.n if total.n else 0.5
-    k = strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host_").alias("h_"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_posterior"))
+    of_host = strength(hosts, F.lit(mean))
+    hosts = hosts.select(F.col("host_").alias("h_"), F.col("s").alias("host_s"), F.col("n").alias("host_n"), shrunk("s", "n", of_host, F.lit(mean)).alias("host_posterior"))
     paths = cut(paths.join(hosts, F.col("host_") == F.col("h_")).drop("h_"))
-    k = strength(paths, F.col("host_posterior"))
-    return paths.select("host_", "path_", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), mean
+    of_path = strength(paths, F.col("host_posterior"))
+    return paths.withColumn("path_posterior", shrunk("s", "n", of_path, F.col("host_posterior"))).drop("ss"), mean, of_host, of_path
+
+
+def shrunk(s: str | Column, n: str | Column, strength: float, mean: Column) -> Column:
+    """A group's mean, from its sum and number, shrunk towards ``mean``."""
+    s, n = (F.col(v) if isinstance(v, str) else v for v in (s, n))
+    return (s + strength * mean) / (n + strength)
 
 
 def grade(docs: DataFrame, model: Model | None, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, quality (0 to 1) and keep (at least even odds)."""
     rows = docs.select(
-        F.col(doc_id), F.col(text).alias("text_"), host.cast("string").alias("host"), path.cast("string").alias("path"),
+        F.col(doc_id).alias("id_"), F.col(text).alias("text_"), host.cast("string").alias("host"), path.cast("string").alias("path"),
         F.coalesce(host.cast("string"), F.lit("\0")).alias("host_"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path_"),
     )
     scored = evidence(rows, model, "text_").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     scored = cut(scored)
-    groups, mean = posteriors(scored)
+    groups, mean, of_host, of_path = posteriors(scored)
     mean = min(max(mean, 1e-6), 1 - 1e-6)
-    post = F.least(F.greatest("path_posterior", F.lit(1e-6)), F.lit(1 - 1e-6))
-    prior = F.log(post / (1 - post)) - float(np.log(mean / (1 - mean)))
     groups = groups.withColumnsRenamed({"host_": "h_", "path_": "p_"})
     joined = scored.join(groups, (F.col("host_") == F.col("h_")) & (F.col("path_") == F.col("p_")))
-    quality = 1 / (1 + F.exp(-(F.col("evidence") + prior)))
-    return joined.select(doc_id, "host", "path", "evidence", "host_posterior", "path_posterior", quality.alias("quality"), (quality >= 0.5).alias("keep"))
+    own_host = shrunk(F.col("host_s") - F.col("p"), F.col("host_n") - 1, of_host, F.lit(mean))
+    prior = shrunk(F.col("s") - F.col("p"), F.col("n") - 1, of_path, own_host)
+    prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.col("evidence") + F.log(prior / (1 - prior)) - float(np.log(mean / (1 - mean)))
+    quality = 1 / (1 + F.exp(-odds))
+    return joined.select(F.col("id_").alias(doc_id), "host", "path", "evidence", "host_posterior", "path_posterior", quality.alias("quality"), (quality >= 0.5).alias("keep"))

@@ -1,40 +1,52 @@
-"""Bounded samples of labelled texts for fitting models on the driver."""
+"""Bounded samples of labelled rows for fitting models on the driver.
+
+Only the number of rows is bounded. Texts are turned into features in tasks, whole and whatever their
+length, and the driver collects features, never texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import map_text
+from .cluster import cut
+
+
+def thinned(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the least hashes ``h`` (more, if hashes at the limit are equal); all, if there are no more."""
+    least = [r[0] for r in df.select(h.alias("h_")).orderBy("h_").limit(rows + 1).collect()]
+    return df if len(least) <= rows else df.where(h <= least[rows - 1])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(t, y): texts and labels of at most ``rows`` labelled ids that a document has, chosen by a hash of the id.
+
+    ``labels`` has ``doc_id`` and ``label``; rows with a null id, text or label are left out. The text column is
+    read once; what is broadcast are the chosen ids.
+    """
+    own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("sample_id_"), F.col(label).alias("y")).distinct()
+    present = own.join(docs.select(F.col(doc_id).alias("id_")), F.col("sample_id_") == F.col("id_"), "left_semi")
+    picks = thinned(present, F.xxhash64(F.col("sample_id_").cast("string")), rows)
+    texts = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")).where("t is not null")
+    return texts.join(F.broadcast(picks), F.col("id_") == F.col("sample_id_")).select("t", "y")
+
+
+def own_labels(docs: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(t, y) of at most ``rows`` rows of ``docs`` that carry their label themselves, chosen by a hash of the id."""
+    full = docs.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
+    chosen = thinned(full, F.xxhash64(F.col(doc_id).cast("string")), rows)
+    return chosen.select(F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null")
+
 
-def chosen(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple]]:
-    """The texts of a sample, as (id_, key_, t) with rows that may repeat, and its rows (id, key, label).
+def features(sample: DataFrame, rows: int, make: Callable, fields: list[T.StructField]) -> DataFrame:
+    """(key_, y, fields) of each different (text, label) of a sample (t, y), computed in tasks and kept in the shared folder.
 
-    ``labels`` has ``doc_id`` and ``label``; rows are chosen by a hash of the id, whatever the length of their text, so the choice does
-    not depend on how the tables are partitioned: at most ``rows`` of those that have a text, and as many as hold
-    ``total_bytes`` together. Only a text that is longer than all of that alone is passed over. Rows with a null id, text or label are left out.
+    key_ is a hash of the text. Rows beyond ``rows``, which repeated ids can bring, are thinned out by hash.
     """
-    own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("sample_id_"), F.col(label).alias("y"))
-    texts = docs.select(F.col(doc_id).alias("id_"), F.xxhash64(text).alias("key_"), F.col(text).alias("t")).where("t is not null")
-    sizes = texts.select("id_", "key_", F.octet_length("t").alias("size"))
-    if total_bytes is not None:
-        sizes = sizes.where(F.col("size") <= total_bytes)
-    found = sizes.join(own, F.col("id_") == F.col("sample_id_")).select("id_", "key_", "y", "size")
-    found = found.orderBy(F.xxhash64(F.col("id_").cast("string")), "id_", "key_", "y").limit(rows).collect()
-    picked, left = [], total_bytes
-    for r in found:
-        if left is not None:
-            left -= r["size"]
-            if left < 0:
-                break
-        picked.append((r.id_, r.key_, r.y))
-    schema = T.StructType([T.StructField("pick_", docs.schema[doc_id].dataType), T.StructField("pick_key_", T.LongType())])
-    picks = docs.sparkSession.createDataFrame(sorted({p[:2] for p in picked}), schema)
-    return texts.join(F.broadcast(picks), (F.col("id_") == F.col("pick_")) & (F.col("key_") == F.col("pick_key_"))).select("id_", "key_", "t"), picked
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple]:
-    """At most ``rows`` pairs (text, label), sorted, of at most ``total_bytes`` of text in all, by the rule of ``chosen``."""
-    texts, picked = chosen(docs, labels, label, rows, total_bytes, doc_id, text)
-    held = {(r.id_, r.key_): r.t for r in texts.dropDuplicates(["id_", "key_"]).collect()} if picked else {}
-    return sorted((held[i, k], y) for i, k, y in picked)
+    keyed = sample.select(F.xxhash64("t").alias("key_"), "y", "t")
+    found = cut(map_text(keyed, "t", make, fields).dropDuplicates(["key_", "y"]))
+    return thinned(found, F.xxhash64("key_", "y"), rows)

@@ -6,30 +6,34 @@ false discovery rate of ``DISCOVERY``, however many. A
 document's result has its most probable grade, the expected severity (the mean grade), and whether P(grade > 0)
 reaches the value that had the best F1 on rows held out in turn from selection and fit.
 
-Where labels only say toxic or not, ``grades`` ranks toxic rows by how many indicative tokens
-they hold. Training reads a sample of at most ``SAMPLE_ROWS`` labelled rows and
-``SAMPLE_BYTES`` of text in all; scoring reads every text whole.
+Labels above 1 are grades as they are. Where labels only say toxic or not, ``grades`` ranks toxic rows by how
+often they hold tokens that are indicative in the other folds, so that no row's grade comes from a selection that saw it.
+
+Training reads at most ``SAMPLE_ROWS`` labelled rows, of any length: tasks count their tokens, grouped
+sums over the sample give each token's evidence (at most 2 ** ``BITS`` sums), and the driver collects
+the counts of the selected tokens only. Scoring reads every text whole.
 
 Defined cases: null and empty texts have no features and get the base rates; a model without
-labelled rows of both kinds gives grade 0 and severity 0; labels that are null or occur twice
-with the same id count as given; an empty table gives an empty result; an input column named like
+labelled rows of both kinds gives grade 0 and severity 0; null labels are left out, and equal texts with equal labels count
+once; an empty table gives an empty result; an input column named like
 a result column is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, beside, buffers, map_text, pieces
-from .sampling import labelled
+from .batches import Tokens, beside, buffers, map_text
+from .sampling import features, labelled
 
-SAMPLE_ROWS, SAMPLE_BYTES, BITS, GRADES, DISCOVERY, FOLDS = 8000, 32 << 20, 20, 4, 0.05, 5
+SAMPLE_ROWS, BITS, GRADES, DISCOVERY, FOLDS = 8000, 20, 4, 0.05, 5
 
 
 @dataclass
@@ -88,30 +92,24 @@ def counts(tokens: Tokens, bucket: np.ndarray) -> Sparse:
     return Sparse(*np.divmod(pair, max(len(bucket), 1)), often.astype(np.float64), (n, len(bucket)))
 
 
-def token_pairs(texts: list[str]) -> Sparse:
-    """Of each text, how often each hashed token occurs."""
-    rows, columns, values, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], 0
-    for part in pieces(texts):
-        tokens = Tokens(*buffers(part))
-        pair, often = np.unique(tokens.document() * (1 << BITS) + buckets(tokens), return_counts=True)
-        rows.append((at + (pair >> BITS)).astype(np.int32))
-        columns.append((pair & ((1 << BITS) - 1)).astype(np.int32))
-        values.append(often.astype(np.float32))
-        at += len(part)
-    return Sparse(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), (at, 1 << BITS))
+def token_counts(column: pa.Array) -> dict:
+    """Of each text: its different hashed tokens and how often each occurs."""
+    tokens = Tokens(*buffers(column))
+    pair, often = np.unique(tokens.document() * (1 << BITS) + buckets(tokens), return_counts=True)
+    first = np.searchsorted(pair >> BITS, np.arange(len(column) + 1)).astype(np.int32)
+    listed = lambda values: pa.ListArray.from_arrays(first, pa.array(values.astype(np.int32)))
+    return {"bucket": listed(pair & ((1 << BITS) - 1)), "often": listed(often)}
 
 
-def indicative(pairs: Sparse, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Hashed tokens whose documents are toxic more often than all documents are, ascending; only the rows in ``use`` count.
+def indicative(n: np.ndarray, hit: np.ndarray, rate: float) -> np.ndarray:
+    """Hashed tokens whose documents are toxic more often than the share ``rate`` of all documents is, ascending.
 
-    Benjamini and Hochberg's step-up rule over the Chernoff bound of each token's binomial tail, which is exact
+    n and hit: of each token, the documents and the toxic documents that hold it. Benjamini and Hochberg's step-up rule over the
+    Chernoff bound of each token's binomial tail, which is exact
     for tokens that only toxic documents hold. The bar depends on the number of tokens and finds, not of rows.
     """
-    own = use[pairs.row]
-    n = np.bincount(pairs.column[own], minlength=1 << BITS)
-    hit = np.bincount(pairs.column[own], toxic[pairs.row[own]], 1 << BITS)
     seen = np.flatnonzero(n)
-    n, hit, rate = n[seen], hit[seen], toxic[use].mean()
+    n, hit = n[seen], hit[seen]
     part = hit / n
     with np.errstate(divide="ignore", invalid="ignore"):
         tail = -(hit * np.log(part / rate) + np.where(part < 1, (n - hit) * np.log((1 - part) / (1 - rate)), 0))
@@ -122,7 +120,7 @@ def indicative(pairs: Sparse, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
 
 
 def of_features(pairs: Sparse, bucket: np.ndarray) -> Sparse:
-    """The columns ``bucket`` of ``pairs``."""
+    """The columns ``bucket`` of ``pairs``, whose columns are hashed tokens."""
     index = np.full(1 << BITS, -1, np.int32)
     index[bucket] = np.arange(len(bucket))
     at = np.flatnonzero(index[pairs.column] >= 0)
@@ -135,11 +133,13 @@ def rows_of(x: Sparse, use: np.ndarray) -> Sparse:
     return Sparse((np.cumsum(use) - 1)[x.row[at]], x.column[at], x.value[at], (int(use.sum()), x.shape[1]))
 
 
-def grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for rows that are not toxic; else 1 to GRADES - 1 by thirds of the number of indicative tokens."""
-    own = hits[(toxic > 0) & (hits > 0)]
+def grades(hits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The labels, if any is above 1; else 0 for rows that are not toxic and 1 to GRADES - 1 by thirds of ``hits`` for the others."""
+    if label.max(initial=0) > 1:
+        return np.clip(label, 0, GRADES - 1).astype(np.int64)
+    own = hits[(label > 0) & (hits > 0)]
     cuts = np.quantile(own, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(own) else np.zeros(GRADES - 2)
-    return np.where(toxic > 0, 1 + (hits[:, None] > cuts[None, :]).sum(1), 0)
+    return np.where(label > 0, 1 + (hits[:, None] > cuts[None, :]).sum(1), 0)
 
 
 def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> Model:
@@ -183,30 +183,70 @@ def best_threshold(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(p[i] + p[i + 1]) / 2 if i + 1 < len(p) else 0.0
 
 
+def evidence(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(FOLDS, 2 ** BITS) each: of each fold and hashed token, the rows and the toxic rows that hold it."""
+    rows = sample.select(F.explode("bucket").alias("b"), F.pmod("key_", F.lit(FOLDS)).alias("fold"), (F.col("y") > 0).cast("int").alias("toxic"))
+    sums = [f(F.when(F.col("fold") == k, v).otherwise(0)).cast("int").alias(f"{name}{k}") for k in range(FOLDS) for name, f, v in (("n", F.sum, F.lit(1)), ("hit", F.sum, F.col("toxic")))]
+    found = rows.groupBy("b").agg(*sums).toArrow()
+    out = np.zeros((2, FOLDS, 1 << BITS), np.int32)
+    for i, name in enumerate(("n", "hit")):
+        for k in range(FOLDS):
+            out[i, k, found["b"].to_numpy()] = found[f"{name}{k}"].to_numpy()
+    return out[0], out[1]
+
+
+def chosen_counts(sample: DataFrame, bucket: np.ndarray) -> pa.Table:
+    """(key_, y, b, often) of the hashed tokens ``bucket``."""
+    sent = sample.sparkSession.sparkContext.broadcast(bucket)  # at most 2 ** BITS numbers
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bucket")
+            b, often = lists.flatten().to_numpy(), batch.column("often").flatten().to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            at = np.flatnonzero(np.isin(b, sent.value))
+            own = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column("key_").take(own), batch.column("y").take(own), pa.array(b[at]), pa.array(often[at])], ["key_", "y", "b", "often"])
+
+    schema = T.StructType([sample.schema["key_"], sample.schema["y"], T.StructField("b", T.IntegerType()), T.StructField("often", T.IntegerType())])
+    return sample.mapInArrow(pick, schema).toArrow()
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    rows = labelled(docs, labels, label, SAMPLE_ROWS, SAMPLE_BYTES, doc_id, text)
-    toxic = np.array([float(y > 0) for _, y in rows])
+    lists = T.ArrayType(T.IntegerType())
+    own = labels.select(doc_id, F.col(label).cast("int").alias(label))
+    sample = features(labelled(docs, own, label, SAMPLE_ROWS, doc_id, text), SAMPLE_ROWS, lambda: token_counts, [T.StructField("bucket", lists), T.StructField("often", lists)])
+    rows = sorted(zip(*(c.to_pylist() for c in sample.select("key_", "y").toArrow().columns)))
+    key, y = np.array([k for k, _ in rows], np.int64), np.array([v for _, v in rows], np.int64)
+    toxic = y > 0
     if not len(rows) or toxic.min() == toxic.max():
         return None
-    texts = [t for t, _ in rows]
-    fresh = np.array([i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))])  # equal texts are evidence of a token once
-    pairs = token_pairs(texts)
-
-    def fitted(use: np.ndarray) -> tuple[Model, Sparse]:
-        bucket = indicative(pairs, toxic, use & fresh)
-        own = of_features(pairs, bucket)
-        hits = own @ np.ones(len(bucket))
-        return fit(rows_of(own, use).log1p(), grades(hits[use], toxic[use]), bucket), own.log1p()
-
-    model, own = fitted(np.ones(len(rows), bool))
+    return fit_sample(key, y, *evidence(sample), lambda bucket: chosen_counts(sample, bucket))
+
+
+def fit_sample(key: np.ndarray, y: np.ndarray, n: np.ndarray, hit: np.ndarray, counts_of) -> Model:
+    """The model of rows (key, y), in order, from the evidence of each fold; ``counts_of`` gives the counts of chosen tokens."""
+    fold, toxic = key % FOLDS, y > 0
+    parted = all(len(set(toxic[fold != k])) > 1 for k in range(FOLDS))
+    every = indicative(n.sum(0), hit.sum(0), toxic.mean())
+    without = [indicative(n.sum(0) - n[k], hit.sum(0) - hit[k], toxic[fold != k].mean()) if parted else every for k in range(FOLDS)]
+    table = counts_of(np.unique(np.concatenate([every, *without])))
+    place = {r: i for i, r in enumerate(zip(key.tolist(), y.tolist()))}
+    row = np.array([place[r] for r in zip(table["key_"].to_pylist(), table["y"].to_pylist())], np.int64)
+    pairs = Sparse(row, table["b"].to_numpy(), table["often"].to_numpy(), (len(key), 1 << BITS))
+    hits = np.zeros(len(key))
+    for k in range(FOLDS):
+        hits[fold == k] = (of_features(pairs, without[k]) @ np.ones(len(without[k])))[fold == k]
+    grade = grades(hits, y)
+    own = of_features(pairs, every).log1p()
+    model = fit(own, grade, every)
     p = model.above(own)[:, 0]
-    fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])  # equal texts are held out together
-    if all(len(set(toxic[fold != k])) > 1 for k in range(FOLDS)):
+    if parted:
         for k in range(FOLDS):
-            held, x = fitted(fold != k)
-            p[fold == k] = held.above(x)[fold == k, 0]
-    # A text without any feature is never toxic, however common toxic rows are.
-    base = float(model.above(np.zeros((1, len(model.bucket))))[0, 0])
+            x, use = of_features(pairs, without[k]).log1p(), fold != k
+            p[~use] = fit(rows_of(x, use), grade[use], without[k]).above(x)[~use, 0]
+    # The threshold lies above what a text without any feature has: its severity is the base rate's and says nothing about it.
+    base = float(model.above(np.zeros((1, len(every))))[0, 0])
     model.least = max(best_threshold(p, toxic), base + 1e-9)
     return model
 

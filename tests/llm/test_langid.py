@@ -53,3 +53,30 @@ def test_odd_rows(spark):
     assert got[103][0] in ("en", "de") and got[104][0] in ("en", "de") and out.count() == len(rows)
     assert {r.lang_pred for r in langid.predict(d, langid.train(d.withColumn("lang", d.lang.substr(9, 1)).where("false"))).collect()} == {"und"}
     assert langid.predict(d.limit(0), model).count() == 0
+
+
+def test_query_against_slow_sums(spark, sf_dir):
+    """Every row's prediction from a plain list of its subwords, with the query's own model."""
+    from pyspark.sql import functions as F
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(d.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    got = {r.doc_id: r for r in queries.op4_language(spark, sf_dir).collect()}
+    for r in d.collect():
+        text = r.text.encode()
+        keys = []
+        for w in slow_subwords(langid.lowered(np.frombuffer(text, np.uint8)).tobytes().decode()):
+            x = int.from_bytes(w, "little")
+            keys.append(((x * 2654435761 if len(w) == 3 else (x ^ 0xA5A5A5A5) * 2246822519) % (1 << 32)) >> (32 - langid.BUCKET_BITS))
+        z = (model.rows[keys].astype(float).mean(0) if keys else 0) + model.bias
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p /= p.sum()
+        assert got[r.doc_id].lang_pred == model.languages[int(p.argmax())] and np.isclose(got[r.doc_id].score, p.max(), atol=1e-4)
+
+
+def test_a_long_labelled_text_is_learned(spark):
+    long = "zorg blix quam " * 80_000
+    rows = [(i, "the cat sat on the mat", "en") for i in range(20)] + [(100 + i, long + str(i), "xx") for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(spark.createDataFrame([(1, "blix zorg quam zorg")], "doc_id long, text string"), langid.train(d)).first()
+    assert found.lang_pred == "xx"

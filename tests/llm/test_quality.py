@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark):
 def test_posteriors_against_plain_arithmetic(spark):
     rng = np.random.default_rng(1)
     rows = [(f"h{h}", f"h{h}/p{p}", float(rng.beta(2 + h, 4))) for h in range(5) for p in range(3) for _ in range(int(rng.integers(1, 30)))]
-    got, mean = quality.posteriors(spark.createDataFrame(rows, "host_ string, path_ string, p double"))
+    got, mean, *_ = quality.posteriors(spark.createDataFrame(rows, "host_ string, path_ string, p double"))
     all_p = np.array([p for *_, p in rows])
     assert abs(mean - all_p.mean()) < 1e-12
 
@@ -55,3 +55,32 @@ def test_query_and_odd_rows(spark, sf_dir):
     for docs in (d, d.limit(0)):
         out = quality.grade(docs, quality.train(docs, labels), F.col("source"), F.col("source"))
         assert out.count() == docs.count() and all(0 <= r.quality <= 1 for r in out.collect())
+
+
+def test_query_against_plain_arithmetic(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.withColumn("host", F.col("source")).withColumn("path", F.concat_ws("/", "source", "lang")).collect()
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    key = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    sample = sorted({(key[r.doc_id], truth[r.doc_id], r.text) for r in rows if truth.get(r.doc_id) is not None})
+    model = quality.fit(np.concatenate([quality.shape(pa.array([t])) for *_, t in sample]), np.array([float(y > 0) for _, y, _ in sample]))
+    odds = {r.doc_id: float(model.log_odds(quality.shape(pa.array([r.text])))[0]) for r in rows}
+    p = {i: 1 / (1 + np.exp(-z)) for i, z in odds.items()}
+    mean = np.mean(list(p.values()))
+    _, _, of_host, of_path = quality.posteriors(spark.createDataFrame([(r.host, r.path, float(p[r.doc_id])) for r in rows], "host_ string, path_ string, p double"))
+    want = {}
+    for r in rows:
+        host = [p[o.doc_id] for o in rows if o.host == r.host and o is not r]
+        path = [p[o.doc_id] for o in rows if o.path == r.path and o is not r]
+        prior = (sum(path) + of_path * (sum(host) + of_host * mean) / (len(host) + of_host)) / (len(path) + of_path)
+        want[r.doc_id] = 1 / (1 + np.exp(-(odds[r.doc_id] + np.log(prior / (1 - prior)) - np.log(mean / (1 - mean)))))
+    got = {r.doc_id: (r.quality, r.keep) for r in queries.op3_quality(spark, sf_dir).collect()}
+    assert set(got) == set(want) and all(np.isclose(got[i][0], q, atol=1e-6) and got[i][1] == (got[i][0] >= 0.5) for i, q in want.items())
+
+
+def test_one_giant_group_and_ties(spark):
+    rows = [(i, "Same words in every text here.", "hot") for i in range(300)] + [(1000 + i, f"Text {i}.", f"h{i}") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1000, 1), (1001, 0)], "doc_id long, quality int")
+    out = quality.grade(d, quality.train(d, labels), F.col("source"), F.col("source")).collect()
+    assert len(out) == 305 and len({r.quality for r in out if r.host == "hot"}) == 1
