@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from docassay.llm import decontam, queries
+from pyspark.sql import functions as F
 
 
 def words(text):
@@ -77,15 +80,63 @@ def test_reordered_passages_leak_and_others_do_not(spark):
     assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [2, 3, 5, 6]
 
 
-def test_blocks_and_odd_tables(spark, monkeypatch):
-    schema = "doc_id long, text string, leaks string, item_id int, tiles int"
+def test_joined_and_odd_tables(spark, monkeypatch):
+    schema = "doc_id long, text string, leaks string, item_id int, tiles int, d1 int, t string"
     long = "intro " + "noise words here " * 5000 + " ".join(f"w{i}" for i in range(30))
-    d = spark.createDataFrame([(1, long, "own", 5, 1), (1, long, "own", 5, 1), (None, long, "own", 5, 1), (2, "clean text", "own", 5, 1)], schema)
-    b = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(9)], "item_id long, text string")
+    d = spark.createDataFrame([(1, long, "own", 5, 1, 2, "t"), (1, long, "own", 5, 1, 2, "t"), (None, long, "own", 5, 1, 2, "t"), (2, "clean text", "own", 5, 1, 2, "t"), (3, None, "own", 5, 1, 2, "t")], schema)
+    items = [(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(9)]
+    b = spark.createDataFrame([*items, (100, items[0][1]), (101, None), (102, "clean"), (103, "...")], "item_id long, text string")
     whole = sorted(map(str, decontam.leaks(d, b).collect()))
-    assert len(whole) == 27
+    assert len(whole) == 3 * 10 + 1
+    kept = [(3, None, "own", 5, 1, 2, "t")]
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     assert sorted(map(str, decontam.leaks(d, b).collect())) == whole
     left = decontam.clean(d, b)
-    assert left.columns == d.columns and [tuple(r) for r in left.collect()] == [(2, "clean text", "own", 5, 1)]
+    assert left.columns == d.columns and [tuple(r) for r in left.collect()] == kept
+    monkeypatch.undo()
+    assert [tuple(r) for r in decontam.clean(d, b).collect()] == kept
     assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
+    for name in ("item_id", "tiles"):
+        got = decontam.leaks(d.select(F.col("doc_id").alias(name), "text"), b, doc_id=name)
+        assert len(set(got.columns)) == 6 and got.columns[0] == name and got.count() == 31
+
+
+def test_seeds_prove_that_nothing_is_missed():
+    """Of texts made of an item's windows: each that could cover enough holds a seed."""
+    rng = random.Random(7)
+    for _ in range(300):
+        size = rng.randint(1, 40)
+        k = min(5, size)
+        n = size - k + 1
+        often = np.array([rng.choice([1, 1, 2, 50, 2000]) for _ in range(n)])
+        seed = decontam.chosen(often, np.arange(n), np.zeros(n, int), np.array([size]), np.array([k]), 0.8)
+        for _ in range(40):
+            held = np.array([rng.random() < rng.choice([0.3, 0.7, 0.95]) for _ in range(n)])
+            covered = np.zeros(size, bool)
+            for p in np.flatnonzero(held):
+                covered[p : p + k] = True
+            if covered.sum() >= 0.8 * size:
+                assert held[seed].any()
+    # A template at the beginning of all items is no seed where the rest suffices.
+    often = np.array([2000] * 7 + [1] * 20)
+    assert not decontam.chosen(often, np.arange(27), np.zeros(27, int), np.array([31]), np.array([5]), 0.8)[:7].any()
+
+
+def test_shared_templates_and_repeated_words_stay_small(spark, monkeypatch):
+    import tracemalloc
+
+    template = "which of the following statements about it"
+    rng = random.Random(3)
+    bench = [template + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(25)) for _ in range(2000)]
+    text = " ".join([template + f" x{i}" for i in range(1500)]) + " " + bench[7] + " " + "same " * 14_000
+    items = decontam.Items.of(list(range(2000)), bench, 5, 0.8)
+    matcher = decontam.Matcher(items, 5, 0.8)
+    tracemalloc.start()
+    found = list(matcher.leaks(pa.array([text, "same " * 14_000])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i) for d, i, *_ in found] == [(0, [7])] and peak < 64 << 20
+    d = spark.createDataFrame([(1, text), (2, template)], "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id int, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()] == [(1, 7)]
