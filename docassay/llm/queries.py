@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import decontam, langid, media, mixing, quality, simhash, spans, toxicity, warc, wordpiece
 
 
+#: Sentences of more words are cut further, so that passages that begin inside a sentence are found too.
+LONG = 12
 #: Wanted shares of the mix, by domain.
 SHARES = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
 
@@ -55,7 +57,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return spans.remove_repeats(docs, long=LONG).select("doc_id", "n_sentences", "n_units", "n_removed", "text")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

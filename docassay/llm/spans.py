@@ -1,13 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A
-sentence of more than ``LONG`` words is cut further where the hash of two neighbouring words is the least of any ``WINDOW``
-successive ones (winnowing; of equal ones the last), so that equal passages without punctuation are cut alike
-wherever they stand, at most ``WINDOW`` words apart: every passage of more than 50 words inside such a sentence holds a whole run. From every sentence the shortest run of
-at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (96 bits over lower-cased
+A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. From every sentence the
+shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed (96 bits over lower-cased
 words). Runs are joined over all documents; a run's first place is in the document with the
 smallest id, at its first position there. All sentences that any other place covers are removed.
 
+For texts without sentence ends, and for passages that begin or end inside a sentence, the parameter ``long`` cuts sentences of more than so many
+words further, where the hash of two neighbouring words is the least of any ``WINDOW``
+successive ones (winnowing; of equal ones the last): equal passages are cut alike
+wherever they stand, at most ``WINDOW`` words apart, so every passage of more than 50 words inside such a sentence holds a whole run. These pieces then
+take the place of sentences; a removed one may be a part of a sentence. Without it only whole sentences go.
+
+Words are runs of ASCII letters, digits and other characters beyond ASCII; a stretch of a script that is written without spaces is one word here.
+
 Defined cases: rows with a null id or null text are returned unchanged; texts with fewer
 sentences or words than a run has no run; rows that share an id count as one document; an empty
 table gives an empty result; an input column named like a result column is replaced.
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, beside, buffers, mix, powers, slices
+from .batches import Tokens, beside, buffers, mix, powers, slices, unused
 
-SENTENCES, WORDS, LONG, WINDOW = 3, 20, 12, 8
+SENTENCES, WORDS, WINDOW = 3, 20, 8
+ADDED = ["n_sentences", "n_units", "n_removed"]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
@@ -50,9 +56,9 @@ def winnowed(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Sentences of many texts and the hashed run that starts at each."""
+    """Sentences (or their pieces) of many texts and the hashed run that starts at each."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, long: int | None = None):
         self.data, self.off = buffers(column)
         tokens = Tokens(self.data, self.off)
         n = len(tokens.start)
@@ -64,11 +70,14 @@ class Runs:
         if n:
             begins[1:] = seen[tokens.start[1:]] > seen[tokens.end[:-1]]
             begins[tokens.first[:-1][tokens.count > 0]] = True
+        #: Number of each document's sentences.
+        self.sentences = np.diff(np.append(0, np.cumsum(begins))[tokens.first])
+        if n and long is not None:
             size = np.diff(np.append(np.flatnonzero(begins), n))
             pair = mix(tokens.hash[:-1] * np.uint64(3) + tokens.hash[1:])  # of two words, so frequent words do not decide alone
-            begins[1:] |= np.repeat(size > LONG, size)[:-1] & winnowed(pair, tokens.first)
+            begins[1:] |= np.repeat(size > long, size)[:-1] & winnowed(pair, tokens.first)
         self.word = np.append(np.flatnonzero(begins), n)  # first word of each sentence
-        #: Index of each document's first sentence; one more at the end.
+        #: Index of each document's first sentence or piece; one more at the end.
         self.first = np.searchsorted(self.word[:-1], tokens.first)
         self.count = np.diff(self.first)
         self.start = tokens.start[self.word[:-1]]  # first byte
@@ -110,43 +119,44 @@ class Runs:
         return b"".join(kept).decode("utf-8", "replace").strip()
 
 
-def runs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, h, g): every different run of every document."""
-    rows = docs.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    schema = T.StructType([rows.schema[doc_id], T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])
+def runs(docs: DataFrame, long: int | None) -> DataFrame:
+    """(id_, h, g): every different run of every document (id_, t)."""
+    rows = docs.where("id_ is not null and t is not null")
+    schema = T.StructType([rows.schema["id_"], T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, text):
-                own = Runs(part.column(text))
+            for part in slices(whole, "t"):
+                own = Runs(part.column("t"), long)
                 pick = own.firsts()
-                ids = part.column(doc_id).take(pa.array(own.document[pick]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(own.hash[pick]), pa.array(own.check[pick])], [doc_id, "h", "g"])
+                ids = part.column("id_").take(pa.array(own.document[pick]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.hash[pick]), pa.array(own.check[pick])], ["id_", "h", "g"])
 
     return rows.mapInArrow(find, schema)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated sentences taken out of ``text``, and ``n_sentences`` and ``n_removed`` added."""
-    found = runs(docs, doc_id, text)
-    first = found.groupBy("h", "g").agg(F.min(doc_id).alias("first_"), F.max(doc_id).alias("last_")).where("first_ < last_")
-    later = found.join(first.select("h", "g", "first_"), ["h", "g"]).where(F.col(doc_id) != F.col("first_"))
-    later = later.groupBy(F.col(doc_id).alias("later_id_")).agg(F.collect_set("h").alias("later_h_"))
-    keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    rows = docs.select(*keep).join(later, docs[doc_id] == F.col("later_id_"), "left").drop("later_id_")
-    added = [T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())]
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "later_h_"), *added])
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int | None = None) -> DataFrame:
+    """``docs`` with repeated sentences taken out of ``text``, and n_sentences, n_units (sentences, or pieces with ``long``) and n_removed (of these) added."""
+    found = runs(docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")), long)
+    first = found.groupBy("h", "g").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_")
+    later = found.join(first.select("h", "g", "first_"), ["h", "g"]).where("id_ <> first_")
+    # The document's own run has these 96 bits, so 64 of them find it again inside the document.
+    id_, hits = unused("later_id_", docs), unused("later_h_", docs)
+    later = later.groupBy(F.col("id_").alias(id_)).agg(F.collect_set("h").alias(hits))
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    rows = docs.select(*keep).join(later, docs[doc_id] == F.col(id_), "left").drop(id_)
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != hits), *(T.StructField(n, T.IntegerType()) for n in ADDED)])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text):
-                column, own = part.column(text), Runs(part.column(text))
+                column, own = part.column(text), Runs(part.column(text), long)
                 named = part.column(doc_id).is_valid().to_numpy(zero_copy_only=False)
                 hit = np.ones(len(own.at), bool)
                 hit[own.firsts()] = False  # a second place in the same document
                 hit &= named[own.document]
-                if part.column("later_h_").null_count < len(part):
-                    lists = part.column("later_h_").fill_null([])
+                if part.column(hits).null_count < len(part):
+                    lists = part.column(hits).fill_null([])
                     spots = np.searchsorted(own.document, np.arange(len(part) + 1))
                     for d in np.flatnonzero(np.diff(lists.offsets.to_numpy())):
                         lo, hi = spots[d], spots[d + 1]
@@ -159,20 +169,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     for d in np.flatnonzero(lost):
                         was[d] = own.without(gone, int(d))
                     column = pa.array(was, column.type)
-                out = [column if f.name == text else part.column(f.name) for f in schema.fields[:-2]]
-                sizes = [pa.array(x.astype(np.int32)) for x in (own.count, lost)]
+                out = [column if f.name == text else part.column(f.name) for f in schema.fields[: -len(ADDED)]]
+                sizes = [pa.array(x.astype(np.int32)) for x in (own.sentences, own.count, lost)]
                 yield pa.RecordBatch.from_arrays([*out, *sizes], schema.names)
 
     return rows.mapInArrow(clean, schema)
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", long: int | None = None) -> DataFrame:
     """The documents without repeated sentences, with their own columns; those that had no other sentence are gone."""
 
     def step(d: DataFrame) -> DataFrame:
-        found = remove_repeats(d, doc_id, text).where("n_removed = 0 or n_removed < n_sentences")
+        found = remove_repeats(d, doc_id, text, long).where("n_removed = 0 or n_removed < n_units")
         if n_chars in d.columns:
             found = found.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.char_length(text).cast(d.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
         return found
 
-    return beside(docs, ["n_sentences", "n_removed"], step)
+    return beside(docs, ADDED, step)

@@ -27,16 +27,18 @@ def test_second_place_goes_and_first_stays(spark):
 def test_passages_without_punctuation_are_found(spark):
     passage = " ".join(f"word{i * 7919 % 1009}" for i in range(80))
     rows = [(i, " ".join(f"own{i}x{j}" for j in range(30)) + " " + passage + " " + " ".join(f"end{i}x{j}" for j in range(30))) for i in range(3)]
-    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].n_removed == 0
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.n_removed == 0 and r.n_sentences == r.n_units == 1 for r in spans.remove_repeats(d).collect())  # only whole sentences
+    got = {r.doc_id: r for r in spans.remove_repeats(d, long=12).collect()}
+    assert got[0].n_removed == 0 and got[0].n_sentences == 1 < got[0].n_units
     for i in (1, 2):
         left = sum(w in got[i].text.split() for w in passage.split())
         assert left < 40 and f"own{i}x0" in got[i].text and f"end{i}x29" in got[i].text
 
 
-def brute(rows):
-    """Removed sentences by comparing word runs themselves, for texts without long sentences."""
-    cut = {i: pieces(t) for i, t in rows}
+def brute(rows, cut_up=pieces):
+    """(units, removed ones) by comparing word runs themselves."""
+    cut = {i: cut_up(t) for i, t in rows}
     places = {}
     for i in sorted(cut):
         s = cut[i]
@@ -63,15 +65,53 @@ def test_query_against_brute_force(spark, tmp_path):
     rows = [(i, rng.choice([" ", "\n"]).join([sentence(), rng.choice(pool), sentence(), rng.choice(pool)][: rng.randint(0, 4)])) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op7_spans(spark, str(tmp_path)).collect()
-    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == brute(rows)
+    assert {r.doc_id: (r.n_units, r.n_removed) for r in got} == brute(rows)
+    assert all(r.n_sentences == r.n_units for r in got)
+
+
+def winnowed_pieces(text, long=12):
+    """Sentences of more than ``long`` words cut before the last least pair hash of any eight successive pairs of the text."""
+    import pyarrow as pa
+
+    words = [w for s in pieces(text) for w in s]
+    own = spans.Tokens(*spans.buffers(pa.array([text])))
+    pair = [int(x) for x in spans.mix(own.hash[:-1] * spans.np.uint64(3) + own.hash[1:])]
+    marks = set()
+    for i in range(len(pair) - spans.WINDOW + 1):
+        window = pair[i : i + spans.WINDOW]
+        marks.add(i + max(j for j, x in enumerate(window) if x == min(window)))
+    out, at = [], 0
+    for s in pieces(text):
+        units = [[]]
+        for j, w in enumerate(s):
+            if j and len(s) > long and at + j - 1 in marks:
+                units.append([])
+            units[-1].append(w)
+        out += units
+        at += len(s)
+    assert at == len(words)
+    return out
+
+
+def test_cut_sentences_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pool = [some(70), some(55) + ". " + some(15), some(30)]
+    rows = [(i, rng.choice([" ", ". "]).join([some(rng.randint(5, 40)), rng.choice(pool), some(rng.randint(5, 40)), rng.choice(pool)][: rng.randint(1, 4)])) for i in range(50)]
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), long=12).collect()
+    want = brute(rows, winnowed_pieces)
+    assert {r.doc_id: (r.n_units, r.n_removed) for r in got} == want and sum(n for _, n in want.values()) > 100
 
 
 def test_odd_rows(spark):
-    schema = "doc_id long, text string, h string, g int, n_removed string, first_ int"
+    schema = "doc_id long, text string, h string, g int, n_removed string, first_ int, later_id_ int, later_h_ int"
     long = " ".join(f"Part {i} of a long text goes on." for i in range(5000))
-    rows = [(1, None, "a", 1, "x", 1), (2, "", "b", 2, "x", 1), (None, long, "c", 3, "x", 1), (4, long, "d", 4, "x", 1), (4, long, "d", 4, "x", 1), (5, long, "e", 5, "x", 1)]
+    rows = [(i, t, k, n, "x", 1, 2, 3) for i, t, k, n in [(1, None, "a", 1), (2, "", "b", 2), (None, long, "c", 3), (4, long, "d", 4), (4, long, "d", 4), (5, long, "e", 5)]]
     out = spans.remove_repeats(spark.createDataFrame(rows, schema))
-    assert out.columns == ["doc_id", "text", "h", "g", "first_", "n_sentences", "n_removed"]
+    assert out.columns == ["doc_id", "text", "h", "g", "first_", "later_id_", "later_h_", "n_sentences", "n_units", "n_removed"]
     got = {(r.doc_id, r.text, r.n_removed) for r in out.collect()}
     assert got == {(1, None, 0), (2, "", 0), (None, long, 0), (4, long, 0), (5, "", 5000)}
     assert spans.remove_repeats(spark.createDataFrame([], schema)).count() == 0
@@ -94,7 +134,7 @@ def test_every_long_passage_without_punctuation_holds_a_run():
     for case in range(400):
         passage = [rng.choice("ab") if case % 4 == 0 else word() for _ in range(51 + case % 10)]
         texts = [" ".join([*(word() for _ in range(rng.randint(10, 40))), *passage, *(word() for _ in range(rng.randint(10, 40)))]) for _ in range(2)]
-        own = spans.Runs(pa.array(["some other text", *texts]))
+        own = spans.Runs(pa.array(["some other text", *texts]), 12)
         assert set(own.hash[own.document == 1]) & set(own.hash[own.document == 2])
-        alone = spans.Runs(pa.array(texts[1:]))
+        alone = spans.Runs(pa.array(texts[1:]), 12)
         assert (alone.hash == own.hash[own.document == 2]).all()
