@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import scratch
 from . import decontam, langid, media, mixing, quality, simhash, spans, toxicity, warc, wordpiece
 
 
@@ -52,7 +53,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.features(media.stored(docs, f"{scratch(spark, 'media')}/table")).drop("height", "width")
 
 
 def op7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

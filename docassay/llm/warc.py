@@ -4,14 +4,18 @@ Reading: each archive file is a partition. Predicates on record type and other h
 down: a task parses a record's headers first and passes over an unwanted record without decoding
 its payload. In a gzipped archive every record is a member of its own; members written here
 carry their compressed length in the extra field ``SL``, so the rest of an unwanted member is not even inflated. With
-the option ``payload=false`` no payload is decoded.
+the option ``payload=false`` no payload is decoded; its length comes from the HTTP head.
 
 Writing: every task writes files of its own under a temporary name and the driver renames those of
 the attempts that committed, so a lost or repeated task leaves no records twice. Paths may be
 of any file system that pyarrow opens by URI.
 
 Of records with equal payloads the one with the smallest id is a ``response``, and the others are
-``revisit`` records that refer to it and hold no payload.
+``revisit`` records that refer to it and hold no payload. This is decided on ids and digests alone; payloads are not shuffled
+while the repeated digests are few enough for a broadcast (``MOST_BROADCAST`` rows).
+
+Ids stand percent-encoded in the records' URNs and come back as they were. White space and control characters in URLs are percent-encoded, as
+a URL must not hold them, and stay so.
 
 Defined cases: a null payload is empty; a null URL gives no target header; a null id is never the smallest
 unless all of a group's ids are null, and then all are responses; a repeated row of the smallest id is a response
@@ -20,6 +24,7 @@ too; empty tables give an empty archive and an empty result; other columns are i
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -45,7 +50,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .cluster import shared_dir
+from ..sources.folders import scratch
+from .cluster import cut
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 HEADERS = {
@@ -54,6 +60,8 @@ HEADERS = {
 }
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 8 << 20
+HEAD_BYTES = 64 << 10  # longest HTTP head that is looked for
+MOST_BROADCAST = 200_000  # repeated digests, about 100 bytes each
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -116,7 +124,10 @@ class Member:
 
 
 def records(file, size: int, wanted, decode: bool) -> Iterator[tuple[dict[bytes, bytes], bytes | None, bool]]:
-    """(headers, block or None, whether it was passed over) of each record of an archive of ``size`` bytes."""
+    """(headers, block, whether its payload was passed over) of each record of an archive of ``size`` bytes.
+
+    The block of a wanted record is whole, or with ``decode`` off begins with its HTTP head; that of others is None.
+    """
     at = 0
     file.seek(0)
     zipped = file.read(2) == b"\x1f\x8b"
@@ -140,18 +151,17 @@ def records(file, size: int, wanted, decode: bool) -> Iterator[tuple[dict[bytes,
             return
         own = headers_of(block.lstrip(b"\r\n"))
         length = int(own.get(b"content-length", b"0"))
-        take = decode and wanted(own)
         body = None
-        if take:
+        if wanted(own):
             parts, have = [rest], len(rest)
-            while have < length:
-                more = source(length - have)
+            while have < length and (decode or (have < HEAD_BYTES and b"\r\n\r\n" not in b"".join(parts))):
+                more = source(length - have if decode else 1 << 10)
                 if not more:
                     raise ValueError(f"a record at byte {at} is cut short")
                 parts.append(more)
                 have += len(more)
             body = b"".join(parts)[:length]
-        yield own, body, not take
+        yield own, body, body is None or not decode
         at = member.end() if zipped else at + len(block) + 4 + length + 4
 
 
@@ -164,6 +174,14 @@ def packed(record: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
+_URIS = {"WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To"}
+
+
+def uri(value: str) -> str:
+    """A URI with its white space and control characters percent-encoded."""
+    return re.sub(r"[\s\x00-\x20\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+
+
 def record(row: dict) -> bytes:
     """The bytes of a response or revisit record; a revisit keeps the HTTP head of the payload it leaves out."""
     payload = row.get("payload") or b""
@@ -176,7 +194,8 @@ def record(row: dict) -> bytes:
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
         ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block))),
     ]
-    lines = [f"{k}: {' '.join(str(v).split())}" for k, v in fields if v is not None]
+    plain = lambda k, v: uri(str(v)) if k in _URIS else " ".join(str(v).split())
+    lines = [f"{k}: {plain(k, v)}" for k, v in fields if v is not None]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -252,11 +271,11 @@ class Reader(DataSourceReader):
         with fs.open_input_file(partition.path) as file:
             for headers, block, passed in records(file, partition.size, self.wanted, self.decode):
                 self.passed_over += passed
-                if not self.wanted(headers):
+                if block is None:
                     continue
-                http, _, payload = (block or b"").partition(b"\r\n\r\n")
+                http, _, payload = block.partition(b"\r\n\r\n")
                 length = headers_of(http).get(b"content-length")
-                if block is None or headers.get(HEADERS["record_type"]) == b"revisit":
+                if not self.decode or headers.get(HEADERS["record_type"]) == b"revisit":
                     payload = None
                 length = int(length) if length is not None and payload is None else len(payload) if payload is not None else None
                 rows.append([*((headers[h].decode("utf-8", "replace") if h in headers else None) for h in HEADERS.values()), length, payload])
@@ -332,20 +351,32 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def urn(value: Column) -> Column:
+    """The record id of a page id; null has one of its own."""
+    return F.coalesce(F.concat(F.lit("<urn:x-page:"), F.url_encode(value.cast("string")), F.lit(">")), F.lit("<urn:x-page>"))
+
+
+def page_of(value: str, kind) -> Column:
+    """The page id of a record id."""
+    return F.when(F.col(value).startswith("<urn:x-page:"), F.url_decode(F.regexp_extract(value, "^<urn:x-page:(.*)>$", 1))).cast(kind)
+
+
 def to_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The records to write: one for each page."""
-    rows = pages.select(F.col(page_id).alias("id_"), F.col(url).alias("url_"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha1_", F.sha1("payload"))
-    small = pages.select(F.col(page_id).alias("id_"), F.sha1(F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")).alias("digest_"))
-    first = small.groupBy("digest_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
-    first = first.where("n_ > 1").select("digest_", "first_")
-    rows = rows.join(first, F.col("sha1_") == F.col("digest_"), "left")
-    again = F.col("first_").isNotNull() & ~F.col("id_").eqNullSafe(F.col("first_"))
-    urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+    small = pages.select(F.col(page_id).alias("id_"), F.sha1(body).alias("sha1_"))
+    first = cut(small.groupBy(F.col("sha1_").alias("digest_")).agg(F.min("id_").alias("first_"), F.count("*").alias("n_")).where("n_ > 1").select("digest_", "first_"))
+    rows = pages.select(F.col(page_id).alias("id_"), F.col(url).alias("url_"), body.alias("payload")).withColumn("sha1_", F.sha1("payload"))
+    if first.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(first), F.col("sha1_") == F.col("digest_"), "left")
+    else:  # by id and digest, so that no payload is met by many others
+        again = small.join(first, F.col("sha1_") == F.col("digest_")).select(F.col("id_").alias("again_"), "digest_", "first_").distinct()
+        rows = rows.join(again, (F.col("sha1_") == F.col("digest_")) & F.col("id_").eqNullSafe(F.col("again_")), "left")
+    revisit = F.col("first_").isNotNull() & ~F.col("id_").eqNullSafe(F.col("first_"))
     return rows.select(
-        urn("id_").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url_").alias("target_uri"),
-        F.lit("2020-01-01T00:00:00Z").alias("date"), F.when(again, urn("first_")).alias("refers_to"), F.concat(F.lit("sha1:"), base32(F.col("sha1_"))).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_length"), F.when(~again, F.col("payload")).alias("payload"),
+        urn(F.col("id_")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url_").alias("target_uri"),
+        F.lit("2020-01-01T00:00:00Z").alias("date"), F.when(revisit, urn(F.col("first_"))).alias("refers_to"), F.concat(F.lit("sha1:"), base32(F.col("sha1_"))).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_length"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
@@ -355,15 +386,15 @@ def write(rows: DataFrame, path: str) -> None:
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Archives written to a new folder in the shared one and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archives written to a new folder in the shared one and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
+
+    Responses are read with their payload, of which the digest is taken anew; revisits by their headers alone.
+    """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(to_records(pages, page_id, url, html), path)
     kind = pages.schema[page_id].dataType
-    rows = read(spark, path)
-    number = lambda c: F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1)
-    number_of = lambda c: F.nullif(number(c), F.lit("")).cast(kind)
-    digest = F.when(F.col("payload").isNotNull(), base32(F.sha1("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", ""))
-    return rows.select(
-        number_of("record_id").alias(page_id), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number_of("refers_to").alias("refers_to"), "target_uri"
-    )
+    responses = read(spark, path).where("record_type = 'response'").withColumn("digest", base32(F.sha1("payload")))
+    revisits = read(spark, path, payload=False).where("record_type = 'revisit'").withColumn("digest", F.regexp_replace("payload_digest", "^sha1:", ""))
+    columns = [page_of("record_id", kind).alias(page_id), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page_of("refers_to", kind).alias("refers_to"), "target_uri"]
+    return responses.select(*columns).unionByName(revisits.select(*columns))

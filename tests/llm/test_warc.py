@@ -48,6 +48,18 @@ def test_odd_rows(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
 
 
+def test_ids_and_urls_of_any_form(spark, monkeypatch):
+    rows = [("a  b", "http://x/a  b", "one"), ("a b", "http://x/a b", "two"), ("", "u", "three"), ("é/?%20<>", "http://x/%20é", "one"), ("z\n", "u", "one"), (None, "u", "two")]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for most in (warc.MOST_BROADCAST, 0):
+        monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+        got = {(r.page_id, r.record_type, r.refers_to, r.target_uri) for r in warc.round_trip(d).collect()}
+        assert got == {
+            ("a  b", "response", None, "http://x/a%20%20b"), ("a b", "response", None, "http://x/a%20b"), ("", "response", None, "u"),
+            ("é/?%20<>", "revisit", "a  b", "http://x/%20é"), ("z\n", "revisit", "a  b", "u"), (None, "revisit", "a b", "u"),
+        }
+
+
 def archive(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     warc.write(warc.to_records(pages(spark)).coalesce(1), path)
@@ -80,6 +92,8 @@ def test_headers_are_read_first_and_payloads_passed_over(spark, tmp_path):
     assert inflated <= 9 * 1024
     plan = warc.read(spark, path).where("record_type = 'revisit' and target_uri like 'http%'")
     assert plan.count() == 1 and warc.read(spark, path, payload=False).where("payload is not null").count() == 0
+    lengths = lambda payload: sorted((r.record_id, r.record_type, r.payload_length) for r in warc.read(spark, path, payload).collect())
+    assert lengths(False) == lengths(True)
 
 
 def test_other_writers_archives(spark, tmp_path):
