@@ -24,7 +24,7 @@ def words_in(values: list[str]) -> Column:
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is used and in whatever lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def whitespace(v: Column) -> Column:
@@ -111,8 +111,9 @@ def lexicon_matches(v: Column, entries: dict[str, list[str]]) -> Column:
         return F.when(clash, held).otherwise(F.concat(held, F.array(e)))
 
     def found(t: Column) -> Column:
-        placed = F.transform(keys, lambda e: F.struct(F.instr(t, e["key"]).alias("at"), (F.length(e["key"]) - 2).alias("size"), e["name"].alias("name")))
-        names = F.transform(F.aggregate(F.filter(placed, lambda e: e["at"] > 0), none, take), lambda e: e["name"])
+        held = F.filter(keys, lambda e: F.contains(t, e["key"]))
+        placed = F.transform(held, lambda e: F.struct(F.instr(t, e["key"]).alias("at"), (F.length(e["key"]) - 2).alias("size"), e["name"].alias("name")))
+        names = F.transform(F.aggregate(placed, none, take), lambda e: e["name"])
         return F.when(t.rlike(any_key), names).otherwise(F.array().cast("array<string>"))
 
     return once(F.concat(F.lit(" "), lexicon_text(v), F.lit(" ")), found)
@@ -148,16 +149,22 @@ def family(v: Column) -> Column:
     return once(exact(v), named)
 
 
+def class_families() -> Column:
+    """The class families as a constant: members, and the words of the members."""
+    rows = [{"members": f, "words": sorted({w for m in f for w in m.split()})} for f in K.CLASS_FAMILIES]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<members: array<string>, words: array<string>>>")
+
+
 def alias_equivalent(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x | y, [a.isin(f) & b.isin(f) for f in K.CLASS_FAMILIES])
+    return F.exists(class_families(), lambda f: F.array_contains(f["members"], a) & F.array_contains(f["members"], b))
 
 
 def class_tokens(v: Column) -> Column:
     """Tokens of a class name and all words of the families that have such a token as a member."""
 
     def expanded(own: Column) -> Column:
-        none = F.array().cast("array<string>")
-        return F.array_distinct(F.concat(own, *[F.when(F.arrays_overlap(own, words_in(f)), words_in(sorted({w for m in f for w in m.split()}))).otherwise(none) for f in K.CLASS_FAMILIES]))
+        near = F.filter(class_families(), lambda f: F.arrays_overlap(own, f["members"]))
+        return F.array_distinct(F.concat(own, F.flatten(F.transform(near, lambda f: f["words"]))))
 
     return once(F.array_except(F.array_distinct(F.split(v, r"\s+")), words_in([""])), expanded)
 
@@ -211,10 +218,13 @@ def parity_text(v: Column) -> Column:
 
 def presence_match(a: Column, b: Column) -> Column:
     """Both empty, or a token of three or more characters of one side that contains or is part of one of the other."""
-    x, y = parity_text(a), parity_text(b)
-    p, q = (F.filter(F.split(v, " "), lambda t: F.length(t) >= 3) for v in (x, y))
-    found = F.exists(p, lambda t: F.exists(q, lambda u: F.contains(t, u) | F.contains(u, t)))
-    return F.when((x == "") | (y == ""), x == y).when((F.size(p) == 0) | (F.size(q) == 0), x == y).otherwise(found)
+    long = lambda v: F.filter(F.split(v, " "), lambda t: F.length(t) >= 3)
+
+    def compared(x: Column, y: Column, p: Column, q: Column) -> Column:
+        found = F.exists(p, lambda t: F.exists(q, lambda u: F.contains(t, u) | F.contains(u, t)))
+        return F.when((x == "") | (y == "") | (F.size(p) == 0) | (F.size(q) == 0), x == y).otherwise(found)
+
+    return once(parity_text(a), lambda x: once(parity_text(b), lambda y: once(long(x), lambda p: once(long(y), lambda q: compared(x, y, p, q)))))
 
 
 def scrub(v: Column) -> Column:

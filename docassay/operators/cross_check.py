@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,22 +63,27 @@ def field_status(name: str, declared: Column, observed: Column, matched: Column)
     return F.when(F.col("wine_gate").isNull(), "not_applicable").otherwise(status)
 
 
+def reported(name: str, v: Column) -> Column:
+    """A report row of a field from v: its declared value a, its observed value b, the status and whether it was skipped."""
+    wine, title = name.startswith("wine"), FIELDS.get(name, name).lower()
+    reason = (
+        F.when(v["skipped"], "Not a wine label — wine-specific field skipped." if wine else "No application to compare with.")
+        .when(v["status"] == "not_on_application", f"Label declares {title} but the application did not.")
+        .when(v["status"] == "not_applicable", "No expectation declared on the application.")
+        .when(v["status"] == "not_on_label", f"Application declares {title}, but it may not have been detected on the label.")
+        .when(v["status"] == "mismatch", F.concat(F.lit('Application value may differ from the label value: application "'), v["a"], F.lit('", label "'), v["b"], F.lit('".')))
+    )
+    keep = lambda c: F.when(~v["skipped"], c)
+    return F.struct(F.lit(name).alias("field_id"), v["status"].alias("status"), keep(v["a"]).alias("application_value"), keep(v["b"]).alias("label_value"), reason.alias("reason"))
+
+
 def cross_check(pairs: DataFrame, fields: Fields | None = None) -> DataFrame:
     """doc_id, field_id, status, application_value, label_value, reason: six rows for each pair. Without a form, nothing applies."""
     rows = []
     for name, declared, observed, matched in fields or default_fields():
-        status = field_status(name, declared, observed, matched)
         skipped = (F.coalesce(F.col("wine_gate") != "WINE", F.lit(True)) if name.startswith("wine") else F.lit(False)) | F.col("wine_gate").isNull()
-        title = FIELDS.get(name, name).lower()
-        reason = (
-            F.when(skipped, "Not a wine label — wine-specific field skipped." if name.startswith("wine") else "No application to compare with.")
-            .when(status == "not_on_application", f"Label declares {title} but the application did not.")
-            .when(status == "not_applicable", "No expectation declared on the application.")
-            .when(status == "not_on_label", f"Application declares {title}, but it may not have been detected on the label.")
-            .when(status == "mismatch", F.concat(F.lit('Application value may differ from the label value: application "'), declared, F.lit('", label "'), observed, F.lit('".')))
-        )
-        keep = lambda v: F.when(~skipped, v)  # noqa: B023, E731
-        rows.append(F.struct(F.lit(name).alias("field_id"), status.alias("status"), keep(declared).alias("application_value"), keep(observed).alias("label_value"), reason.alias("reason")))
+        seen = F.struct(declared.alias("a"), observed.alias("b"), field_status(name, declared, observed, matched).alias("status"), skipped.alias("skipped"))
+        rows.append(N.once(seen, partial(reported, name)))  # or the status would be evaluated for each case of the reason
     return pairs.select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.*")
 
 

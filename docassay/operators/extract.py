@@ -15,7 +15,11 @@ from ..functions import normalize as N
 PATTERNS = {
     "abv": [r"(?i)\b\d{1,2}(?:\.\d{1,2})?\s*%\s*(?:abv|alc|by\s*vol|vol)\b", r"(?i)\balc\.?\s*\d{1,2}(?:\.\d{1,2})?\s*%", r"(?i)\(\s*\d{1,3}\s+proof\s*\)", r"\b\d{1,2}(?:\.\d{1,2})?\s*%"],
     "netContents": [r"(?i)\b\d+(?:\.\d+)?\s*(?:m?l|fl\.?\s*oz|gal)\b"],
-    "countryOfOrigin": [r"(?i)\bproduct\s+of\s+([a-z][a-z.,\s'-]{2,40}?)(?=\s*(?:\b(?:contains|net|alc|bottled|imported|distilled|produced|address|gov)\b|$|\.))"],
+    "producer": [
+        r"(?i)\b(?:produced|bottled|distilled|imported|brewed|vinified)(?:\s+and\s+\w+)?\s+by\s*:?\s*[A-Z][A-Za-z0-9'.,&\-\s]{2,120}?"
+        r"(?=\s+(?:government|contains|net\s+content|alc\.?|vol\.?|product\s+of|caution|©|approved|class/type|item\s+\d+)|\s*$)"
+    ],
+    "countryOfOrigin": [r"(?i)\bproduct\s+of\s+([a-z][a-z.,\s'-]{2,40}?)(?=\s*(?:\b(?:contains|net|alc|bottled|imported|distilled|produced|address|gov)\b|$|\.))", r"(?i)\bproduct\s+of\s+([a-z][a-z.,\s'-]{2,30})"],
 }
 #: Codes of states in an upper-cased text; texts that are not a brand.
 STATE_CODE = r"\b(?:A[LKZR]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEHINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AIT]|W[AIVY])\b"
@@ -87,21 +91,42 @@ def similar_links(left: DataFrame, right: DataFrame) -> DataFrame:
 def brand_match(pages: DataFrame) -> DataFrame:
     """doc_id, page, start, size, score: of each document the run of words that covers its brand's tokens best.
 
-    pages: doc_id, page, brand, words (array). All windows of a page are scored in place.
+    pages: doc_id, page, brand, words (array). A run that covers enough holds a word that is like, or part of, a token of the brand: only runs
+    around such words are made, inside the page's row, and only the best of them leaves it.
     """
     tokens = F.filter(F.split(F.regexp_replace(F.lower("brand"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: F.length(t) >= 2)
     rows = pages.select("doc_id", "page", "words", tokens.alias("brand"), F.transform("words", lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")).alias("plain"))
     n = F.size("brand")
-    rows = rows.where(n > 0).withColumn("n", n).select("*", F.posexplode("plain").alias("start", "first")).where(F.length("first") >= 2)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.col("n") + 1, F.lit(3)), F.lit(6)))).alias("size")).where(F.col("start") + F.col("size") <= F.size("plain"))
-    window = F.filter(F.slice("plain", F.col("start") + 1, F.col("size")), lambda t: F.length(t) >= 2)
-    rows = rows.where(~F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").rlike(NOT_BRAND)).withColumn("w", window)
-    joined = F.array_join("w", "")
-    covered = F.size(F.filter("brand", lambda b: F.exists("w", lambda t: similar(t, b)) | ((F.col("n") > 1) & F.contains(joined, b))))
-    score = covered / F.col("n") + F.when(F.size("w") == F.col("n"), 0.05).otherwise(0.0) - F.greatest(F.lit(0), F.size("w") - F.col("n")) * 0.08
-    rows = rows.withColumn("score", F.round(score, 9)).where(F.col("score") >= LEAST_BRAND)
-    best = rows.groupBy("doc_id").agg(F.max_by(F.struct("page", "start", "size", "score"), F.struct("score", -F.col("page"), -F.col("start"), -F.col("size"))).alias("b"))
-    return best.select("doc_id", "b.*")
+    whole = F.array_join("brand", "")
+    # Joined words contain a token only if one of them shares a character run with it: a word within the brand's letters, or that begins or ends one of its tokens.
+    near = lambda t: F.exists("brand", lambda b: similar(t, b) | F.contains(t, b) | F.contains(b, t) | touches(t, b))
+    at = F.filter(F.sequence(F.lit(0), F.size("plain") - 1), lambda i: N.once(F.get("plain", i), lambda t: (F.length(t) >= 2) & near(t)))
+    rows = rows.where((n > 0) & (F.size("plain") > 0) & (whole != "")).select("*", n.alias("n"), F.least(F.greatest(n + 1, F.lit(3)), F.lit(6)).alias("most"), at.alias("at"))
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(F.lit(0), i - F.col("most") + 1), i)))))
+    rows = rows.where(F.size("at") > 0).withColumn("starts", F.filter(starts, lambda i: F.length(F.get("plain", i)) >= 2))
+
+    def scored(start: Column, size: Column) -> Column:
+        def score(w: Column) -> Column:
+            joined = F.array_join(w, "")
+            covered = F.size(F.filter("brand", lambda b: F.exists(w, lambda t: similar(t, b)) | ((F.col("n") > 1) & F.contains(joined, b))))
+            points = covered / F.col("n") + F.when(F.size(w) == F.col("n"), 0.05).otherwise(0.0) - F.greatest(F.lit(0), F.size(w) - F.col("n")) * 0.08
+            return F.struct(F.round(points, 9).alias("score"), (-F.col("page")).alias("p"), (-start).alias("a"), (-size).alias("b"))
+
+        window = F.filter(F.slice("plain", start + 1, size), lambda t: F.length(t) >= 2)
+        chrome = F.array_join(F.slice("words", start + 1, size), " ").rlike(NOT_BRAND)
+        fits = start + size <= F.size("plain")
+        return F.when(fits & ~chrome, N.once(window, score))
+
+    runs = F.flatten(F.transform("starts", lambda i: F.transform(F.sequence(F.lit(1), F.col("most")), lambda k: scored(i, k))))
+    best = rows.select("doc_id", F.array_max(F.filter(runs, lambda r: r["score"] >= LEAST_BRAND)).alias("r")).where("r is not null")
+    found = best.groupBy("doc_id").agg(F.max("r").alias("r"))
+    return found.select("doc_id", (-F.col("r.p")).alias("page"), (-F.col("r.a")).alias("start"), (-F.col("r.b")).alias("size"), "r.score")
+
+
+def touches(t: Column, b: Column) -> Column:
+    """Whether a beginning of ``b`` ends ``t`` or an end of ``b`` begins it, so that joined words may hold ``b``."""
+    cuts = F.sequence(F.lit(1), F.least(F.length(t), F.length(b)))
+    return F.exists(cuts, lambda k: (F.right(t, k) == F.left(b, k)) | (F.left(t, k) == F.right(b, k)))
 
 
 def clean_line(v: Column) -> Column:

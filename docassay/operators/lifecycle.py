@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rules import initial_status
 
+VERDICTS = ["compliant", "needs_review", "non_compliant"]
 STATUSES = ["pending_approval", "pending_rejection", "approved", "rejected"]
 FINAL = ["approved", "rejected"]
 MOST_REVIEWER, MOST_REASON, MOST_ARCHIVED = 50, 2000, 200
@@ -68,9 +69,31 @@ def queue_counts(state: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("status") == "pending_approval").alias("pending_approval"), F.count_if(F.col("status") == "pending_rejection").alias("pending_rejection"), F.count_if(F.col("status").isin(FINAL)).alias("finalized"))
 
 
-def archive_request(state: DataFrame, ids: DataFrame) -> DataFrame:
-    """app_id of the requested rows that move: finalised and not archived; asking again moves nothing."""
-    return state.where(status_filter(FINAL, False)).join(ids.select("app_id").distinct(), "app_id", "left_semi").select("app_id")
+def archive_requests(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, ids, moved and problem of each request (request_id, app_id): one that names none or more than MOST_ARCHIVED different rows is refused.
+
+    Of the others those rows move that are finalised and not archived; asking again moves nothing.
+    """
+    named = requests.where("app_id is not null").distinct().withColumnRenamed("app_id", "wanted_")
+    open_ = state.where(status_filter(FINAL, False)).select("app_id", F.lit(1).alias("open_"))
+    found = named.join(open_, F.col("wanted_") == F.col("app_id"), "left").groupBy("request_id").agg(F.count("*").alias("ids"), F.count("open_").alias("moves"))
+    rows = requests.select("request_id").distinct().join(found, "request_id", "left").withColumn("ids", F.coalesce("ids", F.lit(0)))
+    problem = F.when(F.col("ids") == 0, "no ids").when(F.col("ids") > MOST_ARCHIVED, "too many ids")
+    return rows.select("request_id", "ids", F.when(problem.isNull(), F.col("moves")).otherwise(0).alias("moved"), problem.alias("problem"))
+
+
+def archived_by(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """app_id of the rows that valid requests (request_id, app_id) move."""
+    valid = archive_requests(state, requests).where("problem is null").select("request_id")
+    ids = requests.join(valid, "request_id", "left_semi").select("app_id").distinct()
+    return state.where(status_filter(FINAL, False)).join(ids, "app_id", "left_semi").select("app_id")
+
+
+def domain_violations(rows: DataFrame, table: str, key: str, domains: dict[str, list[str]]) -> DataFrame:
+    """table_name, id, column_name and value of every value outside its domain; null is no value and breaks none."""
+    bad = [F.when(~F.col(c).isin(values), F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))) for c, values in domains.items()]
+    found = rows.select(F.lit(table).alias("table_name"), F.col(key).alias("id"), F.explode(F.array_compact(F.array(*bad))).alias("x"))
+    return found.select("table_name", "id", "x.*")
 
 
 def without(apps: DataFrame, reviews: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import normalize as N
+from ..sources.folders import scratch
 
 #: What the rules are called, in the order in which they are shown.
 TITLES = {
@@ -83,17 +84,20 @@ def anchor_join(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
 
     A document that covers an item holds at least one of any n - share x n + 1 of its n tokens. The
     ones that the fewest documents hold are the item's seeds: documents and items meet on seeds
-    only, and frequent tokens join nothing. Candidates are then compared exactly.
+    only, and frequent tokens join nothing. Candidates are then compared exactly. Documents are cut into tokens once; of
+    these only the ones that any item holds are kept, in the shared folder.
     """
-    own = docs.select("doc_id", N.content_tokens(F.col("text")).alias("tokens"))
-    item = items.select("item_id", N.content_tokens(F.col("text")).alias("anchors")).where(F.size("anchors") > 0)
-    wanted = item.select(F.explode("anchors").alias("token")).distinct()
-    held = own.select(F.explode("tokens").alias("token"))
-    frequency = held.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = item.select("item_id", F.explode("anchors").alias("token")).join(frequency, "token", "left")
-    ranked = ranked.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
-    needed = F.size("r") - F.ceil(F.size("r") * F.lit(share) - 1e-9).cast("int") + 1
+    anchors = items.select("item_id", F.explode(F.array_distinct(N.content_tokens(F.col("text")))).alias("token")).distinct()
+    path = scratch(docs.sparkSession, "anchors")
+    tokens = docs.select("doc_id", F.explode(N.content_tokens(F.col("text"))).alias("token"))
+    tokens.join(anchors.select("token").distinct(), "token", "left_semi").distinct().write.parquet(path + "/tokens")
+    held = docs.sparkSession.read.parquet(path + "/tokens")
+    frequency = held.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = anchors.join(frequency, "token", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+    size = F.size("r")
+    needed = size - F.ceil(size * F.lit(share) - 1e-9).cast("int") + 1
     seeds = ranked.select("item_id", F.explode(F.slice("r", 1, needed)).alias("x")).select("item_id", "x.token")
-    pairs = own.select("doc_id", F.explode("tokens").alias("token")).join(seeds, "token").select("doc_id", "item_id").distinct()
-    found = pairs.join(item, "item_id").join(own, "doc_id").withColumns({"matched": F.size(F.array_intersect("tokens", "anchors")).cast("long"), "n": F.size("anchors")})
-    return found.where(F.col("matched") / F.col("n") >= share).select("doc_id", "item_id", "matched", F.round(F.col("matched") / F.col("n"), 9).alias("coverage"))
+    pairs = held.join(seeds, "token").select("doc_id", "item_id").distinct()
+    found = pairs.join(anchors, "item_id").join(held, ["doc_id", "token"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
+    found = found.join(ranked.select("item_id", size.alias("n")), "item_id").where(F.col("matched") / F.col("n") >= share)
+    return found.select("doc_id", "item_id", "matched", F.round(F.col("matched") / F.col("n"), 9).alias("coverage"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import normalize as N
 
@@ -59,34 +59,46 @@ def in_boxes(words: DataFrame, boxes: dict[str, tuple[float, float, float, float
     return words.select("*", F.explode(F.array_compact(F.array(*hits))).alias("field"))
 
 
-def cluster_lines(words: DataFrame, tolerance: float, centroid: bool = True, descending: bool = False) -> DataFrame:
+def ocr_tolerance(words: Column) -> Column:
+    """What counts as one line on a page of OCR words: 0.8 of the upper median height, 10 at least; 16 stands for heights where there is none."""
+    heights = F.array_sort(F.filter(F.transform(words, lambda w: w["y1"] - w["y0"]), lambda h: h > 0))
+    median = N.once(heights, lambda h: F.coalesce(F.get(h, F.floor(F.size(h) / 2).cast("int")), F.lit(16.0)))
+    return F.greatest(F.lit(10.0), median * 0.8)
+
+
+def line_begins(at: Column, tolerance: Column, centroid: bool) -> Column:
+    """Where lines begin along the ascending centres of a page's words.
+
+    Words come in the order of their centres, so only the newest line can be within the tolerance of the next one: an older line was left because a
+    word lay beyond it, and no later word lies before that. The fold keeps that line's mean and size, and what it returns grows by lines.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("begins"))
+
+    def step(line: Column, y: Column) -> Column:
+        near = F.coalesce(F.abs(line["mean"] - y) <= tolerance if centroid else F.abs(line["mean"] - y) < tolerance, F.lit(False))
+        mean = line["mean"] + (y - line["mean"]) / (line["n"] + 1) if centroid else line["mean"]
+        joined = F.struct(mean.alias("mean"), (line["n"] + 1).alias("n"), line["begins"].alias("begins"))
+        opened = F.struct(y.alias("mean"), F.lit(1).alias("n"), F.concat(line["begins"], F.array(y)).alias("begins"))
+        return F.when(near, joined).otherwise(opened)
+
+    return F.aggregate(at, start, step, lambda line: line["begins"])
+
+
+def cluster_lines(words: DataFrame, tolerance: float | Callable[[Column], Column] = ocr_tolerance, centroid: bool = True, descending: bool = False) -> DataFrame:
     """Words with ``line``: greedy clusters in reading order. A word joins the first line within ``tolerance`` of its
     centre (of the line's running mean, or of its first word's y0 without ``centroid``), else opens one.
 
-    The choice depends on order, so each page is folded by itself; a page is a bounded group.
+    ``tolerance`` is a number, or a function of the page's array of words. The choice depends on order, so a page is folded by itself; a page is a bounded group.
     """
-    schema = T.StructType([*words.schema.fields, T.StructField("line", T.IntegerType())])
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        at = (page.y0 + page.y1) / 2 if centroid else page.y0
-        page = page.assign(at_=-at if descending else at).sort_values(["at_", "x0", "idx"], kind="stable")
-        centres: list[float] = []
-        counts: list[int] = []
-        line = []
-        for y in page.at_:
-            k = next((i for i, c in enumerate(centres) if (abs(c - y) <= tolerance if centroid else abs(c - y) < tolerance)), len(centres))
-            if k == len(centres):
-                centres.append(y)
-                counts.append(1)
-            else:
-                counts[k] += 1
-                if centroid:
-                    centres[k] += (y - centres[k]) / counts[k]
-            line.append(k)
-        order = {k: i for i, k in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-        return page.drop(columns="at_").assign(line=[order[k] for k in line])
-
-    return words.groupBy(*PAGE).applyInPandas(fold, schema)
+    at = (F.col("y0") + F.col("y1")) / 2 if centroid else F.col("y0").cast("double")
+    row = F.struct((-at if descending else at).alias("at_"), *[F.col(c) for c in words.columns])
+    pages = words.groupBy(*PAGE).agg(F.collect_list(row).alias("w_"))
+    limit = tolerance(F.col("w_")) if callable(tolerance) else F.lit(float(tolerance))
+    at_ = F.array_sort(F.transform("w_", lambda w: w["at_"]))
+    begins = N.once(limit, lambda t: line_begins(at_, t, centroid))  # or the tolerance would be computed at every step
+    rows = pages.select("w_", begins.alias("begins_")).select(F.explode("w_").alias("w"), "begins_")
+    line = F.size(F.filter("begins_", lambda b: b <= F.col("w.at_"))) - 1
+    return rows.select(*[F.col(f"w.{c}").alias(c) for c in words.columns], line.alias("line"))
 
 
 def split_at_gaps(words: DataFrame, gap: float) -> DataFrame:
@@ -104,27 +116,82 @@ def span_overlap(a0, a1, b0, b1, tolerance: float = 80) -> Column:
     return (F.col(a0) <= F.col(b1) + tolerance) & (F.col(a1) >= F.col(b0) - tolerance)
 
 
+#: How far around a landmark its value may lie, in pixels.
+SAME_LINE, LEFT_OF, BELOW, DISTANCE = 18, 80, 50, 250
+
+
+@dataclass(frozen=True)
+class Landmark:
+    """A printed label of a form and where its value stands: to the ``right`` or ``below``."""
+
+    field: str
+    marker: str
+    direction: str = "below"
+    distance: float = DISTANCE
+
+
+#: The landmarks of the form, in order of priority.
+LANDMARKS = [
+    Landmark("plantRegistryNumber", "PLANT REGISTRY"), Landmark("serialNumber", "SERIAL NUMBER"), Landmark("productType", "TYPE OF PRODUCT", distance=900),
+    Landmark("productType", "CLASS/TYPE", distance=600), Landmark("productType", "CLASS TYPE", distance=600), Landmark("brandName", "BRAND NAME"),
+    Landmark("fancifulName", "FANCIFUL NAME"), Landmark("mailingAddress", "MAILING ADDRESS"), Landmark("applicant.name", "NAME AND ADDRESS OF APPLICANT"),
+    Landmark("email", "E-MAIL ADDRESS"), Landmark("phone", "TELEPHONE"), Landmark("applicationType", "TYPE OF APPLICATION"), Landmark("wineAppellation", "WINE APPELLATION"),
+    Landmark("grapeVarietals", "GRAPE VARIETAL"), Landmark("formula", "FORMULA"), Landmark("applicationDate", "DATE OF APPLICATION"),
+]
+
+
+def landmark_runs(words: DataFrame, landmarks: list[Landmark]) -> DataFrame:
+    """Every place where consecutive words of a page, in reading order (y0, x0), contain a landmark's tokens: PAGE, landmark (its number), pos, the first word's x0, y0 and idx, the last word's end_x1, end_y0 and end_y1."""
+    by = Window.partitionBy(*PAGE).orderBy("y0", "x0", "idx")
+    tokens = [m.marker.lower().split() for m in landmarks]
+    most = max(map(len, tokens))
+    rows = words.withColumns({"plain_0": F.regexp_replace(F.lower("text"), "[:.,]+$", ""), "pos": F.row_number().over(by)})
+    ahead = {f"plain_{i}": F.lead("plain_0", i).over(by) for i in range(1, most)}
+    ends = {f"end_{i}": F.lead(F.struct("x1", "y0", "y1"), i).over(by) for i in range(most)}
+    rows = rows.withColumns(ahead | ends)
+    hits = []
+    for n, own in enumerate(tokens):
+        hit = reduce(lambda a, b: a & b, [F.coalesce(F.contains(F.col(f"plain_{i}"), F.lit(t)), F.lit(False)) for i, t in enumerate(own)])
+        hits.append(F.when(hit, F.struct(F.lit(n).alias("landmark"), F.col(f"end_{len(own) - 1}").alias("e"))))
+    found = rows.select(*PAGE, "pos", "x0", "y0", "idx", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return found.select(*PAGE, "h.landmark", "pos", "x0", "y0", "idx", F.col("h.e.x1").alias("end_x1"), F.col("h.e.y0").alias("end_y0"), F.col("h.e.y1").alias("end_y1"))
+
+
 def marker_runs(words: DataFrame, marker: str) -> DataFrame:
     """The first place of each page where consecutive words contain the marker's tokens, in reading order (y0, x0)."""
-    tokens = marker.lower().split()
-    by = Window.partitionBy(*PAGE).orderBy("y0", "x0", "idx")
-    plain = F.regexp_replace(F.lower("text"), "[:.,]+$", "")
-    rows = words.withColumn("plain", plain).withColumn("pos", F.row_number().over(by))
-    hit = reduce(lambda a, b: a & b, [F.coalesce(F.contains(F.lead("plain", i).over(by), F.lit(t)), F.lit(False)) for i, t in enumerate(tokens)])
-    rows = rows.withColumns({"hit": hit, "end_x1": F.lead("x1", len(tokens) - 1).over(by), "end_y1": F.lead("y1", len(tokens) - 1).over(by)})
-    best = rows.where("hit").groupBy(*PAGE).agg(F.min_by(F.struct("x0", "y0", "end_x1", "end_y1", "idx"), "pos").alias("m"))
+    runs = landmark_runs(words, [Landmark("", marker)])
+    best = runs.groupBy(*PAGE).agg(F.min_by(F.struct("x0", "y0", "end_x1", "end_y1", "idx"), "pos").alias("m"))
     return best.select(*PAGE, "m.*")
 
 
-def value_right_of(words: DataFrame, runs: DataFrame, distance: float) -> DataFrame:
-    """Text right of a marker on its line: words with a y0 within 18 of the marker's and a gap under ``distance``.
+def landmark_values(words: DataFrame, landmarks: list[Landmark] | None = None) -> DataFrame:
+    """PAGE, landmark, field, value and idxs (its words): of each landmark the text beside its first place that has any.
 
-    Joined by document and page, so the band condition is only a filter on the joined rows.
+    To the right: words with a y0 within 18 of the landmark's and a gap under its distance. Below: words that begin under the landmark by less than two line heights
+    (50 at least), from 80 left of its first word to its distance right of its last; of these the first visual line.
+    Runs and words are joined by document and page, so the bands are only filters on the joined rows.
     """
-    m = runs.select(*PAGE, F.col("y0").alias("my0"), F.col("end_x1").alias("mx1"))
-    near = words.join(m, PAGE).where((F.abs(F.col("y0") - F.col("my0")) < 18) & (F.col("x0") > F.col("mx1")) & (F.col("x0") - F.col("mx1") < distance))
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "text")))
-    return near.groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("value"))
+    landmarks = LANDMARKS if landmarks is None else landmarks
+    runs = landmark_runs(words, landmarks).select(*PAGE, "landmark", "pos", F.col("x0").alias("mx0"), F.col("y0").alias("my0"), "end_x1", "end_y0", "end_y1")
+    near = words.select(*PAGE, "x0", "y0", "idx", "text").join(runs, PAGE)
+    distance = F.get(F.array(*[F.lit(float(m.distance)) for m in landmarks]), F.col("landmark"))
+    right = F.get(F.array(*[F.lit(m.direction == "right") for m in landmarks]), F.col("landmark"))
+    x, y = F.col("x0"), F.col("y0")
+    beside = (F.abs(y - F.col("my0")) < SAME_LINE) & (x > F.col("end_x1")) & (x - F.col("end_x1") < distance)
+    reach = F.greatest((F.col("end_y1") - F.col("end_y0")) * 2, F.lit(BELOW))
+    below = (y > F.col("end_y1")) & (y - F.col("end_y1") < reach) & (x < F.col("end_x1") + distance) & (x > F.col("mx0") - LEFT_OF)
+    near = near.where(F.when(right, beside).otherwise(below))
+    found = near.groupBy(*PAGE, "landmark", "pos").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "text"))).alias("w"))
+    line = F.when(right, F.col("w")).otherwise(F.filter("w", lambda w: w["y0"] - F.col("w")[0]["y0"] < SAME_LINE))
+    best = found.groupBy(*PAGE, "landmark").agg(F.min_by(line, "pos").alias("w"))
+    field = F.get(N.words_in([m.field for m in landmarks]), F.col("landmark"))
+    return best.select(*PAGE, "landmark", field.alias("field"), F.trim(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("value"), F.transform("w", lambda w: w["idx"]).alias("idxs"))
+
+
+def landmark_fields(words: DataFrame, family: Callable[[Column], Column], landmarks: list[Landmark] | None = None) -> DataFrame:
+    """PAGE, field, value: the form fields at their landmarks. The product type is ``family`` of the first of its landmarks whose text names exactly one."""
+    rows = landmark_values(words, landmarks).withColumn("value", F.when(F.col("field") == "productType", family(F.col("value"))).otherwise(F.col("value")))
+    return rows.where("value is not null").groupBy(*PAGE, "field").agg(F.min_by("value", "landmark").alias("value"))
 
 
 def checked_choice(scores: DataFrame) -> DataFrame:
@@ -188,3 +255,18 @@ def applicant(lines: DataFrame) -> DataFrame:
 
 def page_summary(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE).agg(F.count("*").alias("words"), F.count_distinct("line").alias("lines"), F.round(F.avg("conf")).cast("long").alias("mean_confidence"), F.count_if(F.col("conf") < 60).alias("unsure"))
+
+
+def snap_provenance(boxes: DataFrame, widgets: DataFrame) -> DataFrame:
+    """boxes (doc_id, field, page, x, y, w, h, confidence) with each field's widget in place of its box, at high confidence.
+
+    widgets: field, rx0, ry0, rx1, ry1 in points from the lower left, page_width and page_height; a field may have several, whose union counts.
+    Only fields that have a box already are replaced; fields without a widget, such as those of the label, stay as they are. Widgets are a handful of rows per form.
+    """
+    union = widgets.groupBy(F.col("field").alias("field_")).agg(
+        F.min(F.col("rx0") / F.col("page_width")).alias("x_"), F.min(1 - F.col("ry1") / F.col("page_height")).alias("y_"),
+        F.max(F.col("rx1") / F.col("page_width")).alias("x1_"), F.max(1 - F.col("ry0") / F.col("page_height")).alias("y1_"),
+    )
+    rows = boxes.join(union, F.col("field") == F.col("field_"), "left")
+    box = {"x": F.col("x_"), "y": F.col("y_"), "w": F.col("x1_") - F.col("x_"), "h": F.col("y1_") - F.col("y_")}
+    return rows.select("doc_id", "field", "page", *[F.coalesce(v, F.col(k)).alias(k) for k, v in box.items()], F.when(F.col("field_").isNotNull(), "high").otherwise(F.col("confidence")).alias("confidence"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as L
 from ..operators import rules as R
 from ..sources import results as S
+from ..sources.folders import scratch
 from . import fixtures as X
-from .text_queries import FX, RULED
+from .text_queries import FX, RULED, _reasons, _tests
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,8 +68,32 @@ add(
     lambda s, d: S.parse_lines(lines(s, d)),
     f"with {PARSED} select event_id, kind, {_get('filename', chr(107) + 'ind in (' + repr('ok') + ', ' + repr('error') + ')')} as filename, {_get('overallStatus', 'kind = ' + repr('ok'))} as overall_status, {_get('errorMessage', 'kind = ' + repr('error'))} as error_message, ({_get('durationMs', 'kind in (' + repr('ok') + ', ' + repr('error') + ')')})::double as duration_ms, case when kind like '%-error' then value end as quarantined from j",
 )
+# Result lines with a report, a fault in each of some residue classes of event_id.
+_report = """'{"status": "ok", "index": ' || case event_id % 23 when 1 then '-1' when 2 then '1.5' else event_id || '' end || ', "filename": "f", "durationMs": 5, "applicationId": ' || case event_id % 19 when 1 then '"12-34"' when 2 then 'null' else '"0a1b2c3d-0000-4000-8000-0123456789ab"' end
+ || ', "report": {"overallStatus": "' || case when event_id % 29 = 1 then 'fine' else 'compliant' end || '", "fields": {"brand": {"status": "' || case when event_id % 17 = 1 then 'good' else 'pass' end || '"}}, "provenance": {"' || case when event_id % 13 = 1 then 'label.colour' else 'label.abv' end
+ || '": {"page": ' || case when event_id % 11 = 1 then '-1' else '0' end || ', "bbox": {"x": 0.5, "y": ' || case when event_id % 31 = 1 then '1.5' else '0' end || ', "w": 1, "h": 0.25}, "confidence": "high"}}, "bboxes": {"label.abv": {"page": ' || case when event_id % 7 = 1 then '0' else '1' end
+ || ', "source": "' || case when event_id % 37 = 1 then 'scan' else 'pdf' end || '", "words": [], "meanConfidence": ' || case when event_id % 41 = 1 then '101' else 'null' end || '}}, "pages": [{"pageNumber": ' || case when event_id % 5 = 1 then '0' else '2' end || ', "kind": "front"}]}}'"""
+CONTRACT = f"cl as (select event_id, case when event_id % 43 = 1 then '{{{{' when event_id % 3 = 1 then '{{\"status\": \"error\", \"index\": ' || event_id || ', \"filename\": \"f\", \"durationMs\": ' || case when event_id % 2 = 0 then '-4' else '4' end || case when event_id % 9 = 1 then '' else ', \"errorMessage\": \"x\"' end || '}}' else {_report} end as value from events)"
+_j = lambda p: f"json_extract_string(v, '$.{p}')"
+_at = lambda p: f"json_extract_string(v, '$.report.{p}')"
+_checks = [
+    ("index: expected a whole number from 0", f"not regexp_matches({_j('index')}, '^\\d+$')"), ("durationMs: expected a number from 0", f"{_j('durationMs')}::double < 0"),
+    ("errorMessage: expected string", f"{_j('status')} = 'error' and {_j('errorMessage')} is null"),
+    ("applicationId: expected uuid", f"{_j('status')} = 'ok' and {_j('applicationId')} is not null and len({_j('applicationId')}) <> 36"),
+    ("report.overallStatus: expected compliant, needs_review, non_compliant", f"{_at('overallStatus')} not in ('compliant', 'needs_review', 'non_compliant')"),
+    ("report.fields.*.status: expected pass, warn, fail, uncertain", f"{_at('fields.brand.status')} not in ('pass', 'warn', 'fail', 'uncertain')"),
+    ("report.provenance: unknown key", "json_keys(v, '$.report.provenance')[1] not like 'label.abv'"),
+    ("report.provenance.*: page, bbox or confidence out of range", "json_extract_string(v, '$.report.provenance.*.page')[1]::int < 0 or json_extract_string(v, '$.report.provenance.*.bbox.y')[1]::double > 1"),
+    ("report.bboxes.*: page, source, words or confidence out of range", "json_extract_string(v, '$.report.bboxes.*.page')[1]::int < 1 or json_extract_string(v, '$.report.bboxes.*.source')[1] not in ('pdf', 'tesseract', 'vlm') or json_extract_string(v, '$.report.bboxes.*.meanConfidence')[1]::double > 100"),
+    ("report.pages.*: pageNumber or kind", "json_extract_string(v, '$.report.pages[0].pageNumber')::int < 1"),
+]
 add(
     "P6_result_contract_checks",
+    lambda s, d: S.check_lines(X.view(s, d, f"with {CONTRACT} select * from cl")),
+    f"with {CONTRACT}, jv as (select event_id, case when json_valid(value) then value::json end v from cl) select event_id, case when v is null then '(root): not JSON' else nullif(concat_ws('; ', {', '.join(f'case when {bad} then {chr(39)}{message}{chr(39)} end' for message, bad in _checks)}), '') end as problems from jv",
+)
+add(
+    "P6_kinds",
     lambda s, d: S.parse_lines(lines(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 3).alias("total_ms")),
     f"with {PARSED} select kind, count(*) as n, round(sum(({_get('durationMs', 'kind in (' + repr('ok') + ', ' + repr('error') + ')')})::double), 3) as total_ms from j group by kind",
 )
@@ -88,8 +113,21 @@ def report(s, d):
     return S.report_rows(results, R.rule_results(labels))
 
 
-add("S7_report_csv_sink", lambda s, d: report(s, d).select("doc_id", S.csv_line(S.CSV_COLUMNS).alias("line")))
-add("S8_report_json_sink", lambda s, d: report(s, d).select("doc_id", S.json_line(*S.CSV_COLUMNS).alias("line")))
+def report_written(s, d):
+    path = scratch(s, "report") + "/csv"
+    S.write_csv(report(s, d), path)
+    return S.read_csv_lines(s, path).select(F.col("value").alias("line"))
+
+
+_of = {"brand": "R1_rule_brand", "abv": "R2_rule_abv", "governmentWarning": "R3_rule_government_warning", "netContents": "R4_rule_net_contents", "classType": "R5_rule_class_type", "producerOrigin": "R6_rule_producer_origin"}
+_cells = {f"{k}Status": f"st_{k}" for k in _of} | {f"{k}Value": f"va_{k}" for k in _of} | {"governmentWarningReason": "re_governmentWarning"}
+REPORT = f"""{FX}, {RULED}, tests as (select doc_id, {', '.join(f"{_tests[k]} as st_{k}, {_reasons[n][2]} as re_{k}, {_reasons[n][3]} as va_{k}" for k, n in _of.items())} from pre),
+rv as (select doc_id, case when bool_or(rule_id = 'governmentWarning' and status = 'fail') then 'non_compliant' when bool_or(status in ('warn', 'fail')) then 'needs_review' else 'compliant' end verdict from ruled group by doc_id),
+rep as (select doc_id, 'file "' || doc_id || '".pdf' as filename, case when doc_id % 23 = 0 then 'error' else 'ok' end as status, case when doc_id % 23 <> 0 then verdict end as "overallStatus", {', '.join(f'case when doc_id % 23 <> 0 then {_cells[k]} end as "{k}"' for k in S.CSV_COLUMNS[3:15])}, case when doc_id % 23 = 0 then 'failed, twice' end as "errorMessage", doc_id * 7 % 1000 as "durationMs" from tests join rv using (doc_id))"""
+_csv = lambda v: f"""case when regexp_matches(coalesce({v}::varchar, ''), '[",\\r\\n]') then '"' || replace({v}::varchar, '"', '""') || '"' else coalesce({v}::varchar, '') end"""
+_json = lambda k: f"""'"{k}":' || coalesce({'"' + k + '"::varchar' if k == 'durationMs' else 'to_json("' + k + '")::varchar'}, 'null')"""
+add("S7_report_csv_sink", report_written, f"with {REPORT} select " + " || ',' || ".join(_csv(f'"{k}"') for k in S.CSV_COLUMNS) + " as line from rep")
+add("S8_report_json_sink", lambda s, d: report(s, d).select("doc_id", S.json_line(*S.CSV_COLUMNS).alias("line")), f"with {REPORT} select doc_id, '{{' || " + " || ',' || ".join(_json(k) for k in S.CSV_COLUMNS) + " || '}' as line from rep")
 
 # --- verified applications, reviews and archive requests ---
 VERDICTS = f"{FX}, {RULED}, vd as (select doc_id, case when bool_or(rule_id = 'governmentWarning' and status = 'fail') then 'non_compliant' when bool_or(status in ('warn', 'fail')) then 'needs_review' else 'compliant' end verdict from ruled group by doc_id)"
@@ -130,7 +168,19 @@ add("P1_summary_projection", lambda s, d: apps(s, d).select("app_id", "brand_nam
 add("P2_point_lookup", lambda s, d: apps(s, d).where("app_id = 42").limit(1).select("app_id", "brand_name", "verdict"), f"with {APPS} select app_id, brand_name, verdict from apps where app_id = 42")
 add("P3_status_archived_filter", lambda s, d: state(s, d).where(L.status_filter(L.FINAL, True)).select("app_id", "status"), f"with {STATE} select app_id, status from state where status in ('approved', 'rejected') and archived_at is not null")
 add("P4_archive_view", lambda s, d: L.newest(state(s, d).where(L.status_filter(["approved"], True)), "created_at", 200).select("app_id", "status", "created_at"), f"with {STATE} select app_id, status, created_at from state where status = 'approved' and archived_at is not null order by created_at desc, app_id limit 200")
-add("P5_domain_constraints", lambda s, d: reviews(s, d).where(~c("decision").isin(L.FINAL)).select("review_id", "decision"), f"with {REVIEWS} select review_id, decision from reviews where decision not in ('approved', 'rejected')")
+
+
+def violations(s, d):
+    verdict = F.when(c("app_id") % 97 == 0, "maybe").otherwise(c("verdict"))
+    status = F.when(c("app_id") % 89 == 0, "open").when(c("app_id") % 83 != 0, R.initial_status(c("verdict")))
+    rows = apps(s, d).select("app_id", verdict.alias("verdict"), status.alias("status"))
+    return L.domain_violations(rows, "applications", "app_id", {"verdict": L.VERDICTS, "status": L.STATUSES}).unionByName(L.domain_violations(reviews(s, d), "reviews", "review_id", {"decision": L.FINAL}))
+
+
+add(
+    "P5_domain_constraints", violations,
+    f"with {APPS}, {REVIEWS} select 'applications' as table_name, app_id as id, 'verdict' as column_name, 'maybe' as value from apps where app_id % 97 = 0 union all select 'applications', app_id, 'status', 'open' from apps where app_id % 89 = 0 union all select 'reviews', review_id, 'decision', decision from reviews where decision not in ('approved', 'rejected')",
+)
 add("W1_latest_review", lambda s, d: reviews(s, d).groupBy("app_id").agg(F.max_by("decision", F.struct("ts", "review_id")).alias("decision"), F.max("ts").alias("decided_at")), f"with {REVIEWS} select app_id, arg_max(decision, {{'a': ts, 'b': review_id}}) as decision, max(ts) as decided_at from reviews group by 1")
 
 
@@ -146,7 +196,19 @@ add("J8_orphan_reviews", lambda s, d: reviews(s, d).join(apps(s, d).where("app_i
 add("L1_insert_verification", lambda s, d: apps(s, d).select("app_id", "verdict", R.initial_status(c("verdict")).alias("status"), "created_at"), f"with {APPS} select app_id, verdict, case verdict when 'non_compliant' then 'pending_rejection' else 'pending_approval' end as status, created_at from apps")
 add("L2_finalize", lambda s, d: L.judged_reviews(apps(s, d), reviews(s, d), archives(s, d)).select("review_id", "app_id", "decision", "problem"), f"with {STATE} select review_id, app_id, decision, problem from judged")
 add("L5_review_state_view", lambda s, d: state(s, d).select("app_id", "status", "status_at", "archived_at"), f"with {STATE} select app_id, status, status_at, archived_at from state")
-add("L3_archive", lambda s, d: L.archive_request(state(s, d), apps(s, d).where("app_id % 2 = 0")), f"with {STATE} select app_id from state where status in ('approved', 'rejected') and archived_at is null and app_id % 2 = 0")
+# Seven requests: one without ids, three of every row (too many in larger tables), three of every other row.
+_asked = lambda s, d: apps(s, d).select((c("app_id") % 7).alias("request_id"), F.when(c("app_id") % 7 != 6, c("app_id")).alias("app_id")).where("app_id is null or request_id < 3 or app_id % 2 = 0")
+ASKED = "asked as (select * from (select app_id % 7 request_id, case when app_id % 7 <> 6 then app_id end app_id from apps) where app_id is null or request_id < 3 or app_id % 2 = 0), rq as (select request_id, count(distinct app_id) ids from asked group by 1)"
+add(
+    "L3_archive",
+    lambda s, d: L.archived_by(state(s, d), _asked(s, d)),
+    f"with {STATE}, {ASKED} select app_id from state where status in ('approved', 'rejected') and archived_at is null and app_id in (select app_id from asked join rq using (request_id) where ids between 1 and {L.MOST_ARCHIVED} and app_id is not null)",
+)
+add(
+    "L3_archive_requests",
+    lambda s, d: L.archive_requests(state(s, d), _asked(s, d)),
+    f"with {STATE}, {ASKED}, mv as (select request_id, count(distinct s.app_id) n from asked a join state s on s.app_id = a.app_id where status in ('approved', 'rejected') and archived_at is null group by 1) select request_id, ids, case when ids between 1 and {L.MOST_ARCHIVED} then coalesce(n, 0) else 0 end as moved, case when ids = 0 then 'no ids' when ids > {L.MOST_ARCHIVED} then 'too many ids' end as problem from rq left join mv using (request_id)",
+)
 add(
     "L4_delete_by_hash",
     lambda s, d: L.without(apps(s, d), reviews(s, d), apps(s, d).where("app_id % 10 = 0"), "content_hash")[1].groupBy("app_id").agg(F.count("*").alias("n")),
@@ -171,4 +233,20 @@ _runs = lambda s, d: documents(s, d).select("doc_id", F.sha2("text", 256).alias(
 KEY = ["content_hash", "prompt_version", "extractor_model"]
 add("J7_run_cache_hits", lambda s, d: L.split_by_cache(_runs(s, d).where("doc_id % 4 <> 0"), _runs(s, d).where("doc_id % 4 = 0"), KEY, ["doc_id"])[0].select("doc_id"), f"with {RUNS} select doc_id from runs r where doc_id % 4 <> 0 and exists (select 1 from runs v where v.doc_id % 4 = 0 and v.content_hash = r.content_hash and v.prompt_version = r.prompt_version and v.extractor_model = r.extractor_model)")
 add("J7_run_cache", lambda s, d: L.split_by_cache(_runs(s, d).where("doc_id % 4 <> 0"), _runs(s, d).where("doc_id % 4 = 0"), KEY, ["doc_id"])[1].select("doc_id", "content_hash"), f"with {RUNS} select min(doc_id) as doc_id, content_hash from runs r where doc_id % 4 <> 0 and not exists (select 1 from runs v where v.doc_id % 4 = 0 and v.content_hash = r.content_hash and v.prompt_version = r.prompt_version and v.extractor_model = r.extractor_model) group by content_hash, prompt_version, extractor_model")
-add("S9_verification_sink", lambda s, d: apps(s, d).groupBy("content_hash").agg(F.min_by("verdict", "app_id").alias("verdict"), F.min("app_id").alias("app_id")), f"with {APPS} select content_hash, arg_min(verdict, app_id) as verdict, min(app_id) as app_id from apps group by 1")
+
+
+def verified(s, d):
+    """Two batches that share keys, the first of them replayed."""
+    path = scratch(s, "verified") + "/table"
+    brand = F.when(c("app_id") % 6 != 0, c("brand_name"))
+    rows = apps(s, d).withColumns({"form_brand": brand, "label_brand": F.upper("brand_name"), "content_hash": F.sha2(F.concat(c("brand_name"), (c("app_id") % 7).cast("string")), 256)})
+    rows = S.verification_rows(rows.select("app_id", "content_hash", "verdict", "form_brand", "label_brand"))
+    for batch, part in ((0, rows.where("app_id % 3 <> 0")), (1, rows.where("app_id % 2 = 0")), (0, rows.where("app_id % 3 <> 0"))):
+        S.append_verified(part, path, batch)
+    return S.read_verified(s, path)
+
+
+add(
+    "S9_verification_sink", verified,
+    f"with {APPS}, v as (select app_id, sha256(brand_name || (app_id % 7)) content_hash, verdict, case verdict when 'non_compliant' then 'pending_rejection' else 'pending_approval' end status, case when app_id % 6 <> 0 then brand_name else upper(brand_name) end brand_name, case when app_id % 3 <> 0 then 0 else 1 end batch from apps where app_id % 3 <> 0 or app_id % 2 = 0), f as (select *, row_number() over (partition by content_hash order by batch, app_id) k from v) select app_id, content_hash, verdict, brand_name, status from f where k = 1",
+)

@@ -64,31 +64,53 @@ add("A8_sample_parity", lambda s, d: Q.sample_parity(pairs(s, d), found(s, d)).s
 add("A9_field_parity", lambda s, d: Q.field_parity(found(s, d)), f"with {PARITY} select field, count(*) filter (matched) as matched, count(*) as total, round(count(*) filter (matched) * 100 / count(*))::bigint as percent from found group by 1")
 add("A10_parity_gate", lambda s, d: Q.parity_gate(Q.sample_parity(pairs(s, d), found(s, d))), f"with {PARITY}, g as (select coalesce(avg(accuracy) filter (not failed), 0) a, round(avg(a_total_ms)) l, round(avg(total_ms) filter (not failed)) b, coalesce(sum(fallbacks) filter (not failed), 0)::bigint f, coalesce(sum(fields) filter (not failed), 0)::bigint n from samples) select round(a, 6) as accuracy, l as latency, b as baseline, f as fallbacks, n as fields, round(f * {Q.COST}::double, 3) as cost, a >= {1 - Q.TOLERANCE} and l <= b as passed from g")
 add("A11_batch_progress", lambda s, d: Q.batch_progress(X.table(s, d, "events").where("event_type <> 'view'").select(c("user_id").alias("batch_id")), X.table(s, d, "events").groupBy(c("user_id").alias("batch_id")).agg(F.count("*").alias("n")).select("batch_id", (c("n") - c("batch_id") % 20).alias("total"))), "with t as (select user_id batch_id, count(*) - user_id % 20 total, count(*) filter (event_type <> 'view') received from events group by user_id) select batch_id, received, total, total > 0 and received >= total as complete from t")
-add("A12_stage_timings", lambda s, d: Q.stage_timings(X.table(s, d, "events").select((c("event_id") / 5).cast("long").alias("doc_id"), c("event_type").alias("stage"), F.floor(c("value") * 10).alias("ms")), ["click", "error", "purchase"]), "select event_id // 5 as doc_id, sum(floor(value * 10)::bigint) filter (event_type = 'click')::bigint as click, sum(floor(value * 10)::bigint) filter (event_type = 'error')::bigint as error, sum(floor(value * 10)::bigint) filter (event_type = 'purchase')::bigint as purchase from events group by 1")
+add("A12_stage_timings", lambda s, d: Q.stage_timings(X.table(s, d, "events").select((c("event_id") / 5).cast("long").alias("doc_id"), c("event_type").alias("stage"), F.floor(c("value") * 10).alias("ms")), ["click", "error", "purchase", "signup", "view"]), "select event_id // 5 as doc_id, sum(floor(value * 10)::bigint) filter (event_type = 'click')::bigint as click, sum(floor(value * 10)::bigint) filter (event_type = 'error')::bigint as error, sum(floor(value * 10)::bigint) filter (event_type = 'purchase')::bigint as purchase, sum(floor(value * 10)::bigint) filter (event_type = 'signup')::bigint as signup, sum(floor(value * 10)::bigint) filter (event_type = 'view')::bigint as view from events group by 1")
 
 # --- sources with nested and JSON forms ---
 
 
 def applications(s, d):
-    """Application JSON with explicit checks: every wrong or missing value is named."""
-    text = F.to_json(F.struct(F.when(c("doc_id") % 11 != 0, c("brand_name")).alias("brandName"), F.when(c("doc_id") % 7 == 0, "Elsewhere").otherwise(c("source")).alias("source"), F.struct(F.when(c("doc_id") % 13 != 0, c("applicant_name")).alias("name")).alias("applicant")))
-    rows = X.forms(s, d).select("doc_id", F.when(c("doc_id") % 17 == 0, F.substring(text, 1, 20)).otherwise(text).alias("line"))
-    v = F.try_parse_json("line")
-    get = lambda p: F.try_variant_get(v, p, "string")
-    bad = [F.when(get("$.brandName").isNull(), "brandName: required"), F.when(get("$.source").isNull() | ~get("$.source").isin("Domestic", "Imported"), "source: not a known source"), F.when(get("$.applicant.name").isNull(), "applicant.name: required")]
-    return rows.select("doc_id", F.when(v.isNull(), "not JSON").otherwise(F.array_join(F.array_compact(F.array(*bad)), "; ")).alias("problems"))
-
-
-add("S4_application_json_source", applications, f"with {FX} select doc_id, case when doc_id % 17 = 0 then 'not JSON' else concat_ws('; ', case when doc_id % 11 = 0 then 'brandName: required' end, case when doc_id % 7 <> 0 and source is null or doc_id % 7 = 0 then 'source: not a known source' end, case when doc_id % 13 = 0 then 'applicant.name: required' end) end as problems from fx_forms")
+    """Applications as JSON documents in files, some wrong, read back and checked."""
+    full = lambda v, alt: F.coalesce(v, F.lit(alt))
+    text = lambda v: F.lit(v)
+    address = [F.when(c("doc_id") % 13 != 0, full(c("applicant_name"), "x")).alias("name"), *[text("x").alias(n) for n in ("addressLine1", "city", "state", "postalCode")]]
+    mailing = F.when(c("doc_id") % 3 == 0, F.struct(text("x").alias("name"), text("x").alias("addressLine1"), F.when(c("doc_id") % 2 == 0, "x").alias("city"), text("x").alias("state"), text("x").alias("postalCode")))
+    form = F.struct(
+        F.lit(None).cast("string").alias("repId"), text("p").alias("plantRegistryNumber"), F.when(c("doc_id") % 7 == 0, "Elsewhere").otherwise(full(c("source"), "Domestic")).alias("source"), text("1").alias("serialNumber"),
+        c("product_type").alias("productType"), F.when(c("doc_id") % 11 != 0, c("brand_name")).alias("brandName"), F.lit(None).cast("string").alias("fancifulName"), F.struct(*address).alias("applicant"), mailing.alias("mailingAddress"),
+        F.lit(None).cast("string").alias("formulaId"), c("grape_varietals").alias("grapeVarietals"), c("wine_appellation").alias("wineAppellation"), text("5").alias("phone"), text("e").alias("email"),
+        text("RESUBMISSION_AFTER_REJECTION").alias("applicationType"), F.lit(None).cast("string").alias("containerInfo"), text("2024-01-01").alias("applicationDate"), text("s").alias("applicantSignatureName"),
+    )
+    cross = F.struct(c("brand_name").alias("brandName"), text("c").alias("classType"), text("p").alias("producer"), text("c").alias("countryOfOrigin"))
+    label_only = F.struct(text("").alias("abv"), text("").alias("netContents"), F.when(c("doc_id") % 19 == 0, "MAYBE").otherwise("ABSENT").alias("governmentWarning"))
+    rows = X.forms(s, d).select("doc_id", F.struct(text("f").alias("ttbFormId"), text("r").alias("formRevision"), c("doc_id").cast("string").alias("scenarioId"), text("COMPLIANT").alias("expectedVerdict"), form.alias("form"), cross.alias("crossCheckExpectations"), label_only.alias("labelOnlyExpectations")).alias("a"))
+    line = F.to_json("a", {"ignoreNullFields": "false"})
+    line = F.when(c("doc_id") % 5 == 0, F.replace(line, F.lit('"phone":"5"'), F.lit('"phone":5'))).otherwise(line)
+    line = F.when(c("doc_id") % 23 == 0, F.replace(line, F.lit('"email":"e",'), F.lit(""))).otherwise(line)
+    path = scratch(s, "applications") + "/text"
+    rows.select(F.concat(c("doc_id").cast("string"), F.lit("\t"), F.when(c("doc_id") % 17 == 0, F.substring(line, 1, 60)).otherwise(line)).alias("value")).write.text(path)
+    read = s.read.text(path).select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), F.expr("substr(value, instr(value, '\t') + 1)").alias("value"))
+    return S.parse_applications(read).select("doc_id", "problems", c("application").isNotNull().alias("valid"))
+
+
+_wrong = [
+    ("form.source: expected one of Domestic, Imported", "doc_id % 7 = 0"), ("form.brandName: expected string", "doc_id % 11 = 0"), ("form.applicant.name: expected string", "doc_id % 13 = 0"),
+    ("form.mailingAddress.city: expected string", "doc_id % 3 = 0 and doc_id % 2 <> 0"), ("form.phone: expected string", "doc_id % 5 = 0"), ("form.email: required", "doc_id % 23 = 0"),
+    ("labelOnlyExpectations.governmentWarning: expected one of PRESENT_AND_VERBATIM, ABSENT", "doc_id % 19 = 0"),
+]
+add("S4_application_json_source", applications, f"with {FX}, p as (select doc_id, case when doc_id % 17 = 0 then '(root): not JSON' else nullif(concat_ws('; ', {', '.join(f'case when {bad} then {chr(39)}{m}{chr(39)} end' for m, bad in _wrong)}), '') end as problems from fx_forms) select doc_id, problems, problems is null as valid from p")
 
 
 def snapshot(s, d):
-    entries = F.collect_list(F.struct(c("doc_id").alias("filename"), c("total_ms").alias("totalLatencyMs"), c("failed")))
-    day = runs(s, d).groupBy((c("doc_id") % 97).alias("capturedAt")).agg(F.array_sort(entries).alias("entries"))
-    return S.explode_baseline(day)
+    """Saved runs of at most a thousand orders each, written as JSON documents and read back."""
+    entries = F.collect_list(F.struct(F.lpad(c("doc_id").cast("string"), 12, "0").alias("filename"), c("total_ms").alias("totalLatencyMs"), F.when(c("failed"), "failed").alias("errorMessage")))
+    day = runs(s, d).groupBy(F.floor(c("doc_id") / 1000).cast("string").alias("capturedAt")).agg(F.array_sort(entries).alias("entries"))
+    path = scratch(s, "baseline") + "/json"
+    day.write.json(path)
+    return S.baseline_entries(s, path, lines=True).select("capturedAt", c("filename").cast("long").alias("filename"), c("totalLatencyMs"), c("errorMessage").isNotNull().alias("failed"))
 
 
-add("S10_baseline_snapshot_source", lambda s, d: snapshot(s, d), f'with {ORDERS} select doc_id % 97 as "capturedAt", doc_id as filename, total_ms as "totalLatencyMs", failed from runs')
+add("S10_baseline_snapshot_source", snapshot, f'with {ORDERS} select (doc_id // 1000)::varchar as "capturedAt", doc_id as filename, total_ms::double as "totalLatencyMs", failed from runs')
 
 
 def blocks(s, d):
@@ -137,8 +159,9 @@ def stream_verify(s, d):
     at = scratch(s, "stream")
     stream = T.table_stream(s, d, "part")
     names = X.table(s, d, "supplier").join(F.broadcast(X.table(s, d, "nation")), c("n_nationkey") == c("s_nationkey"))
-    sql = X.LABELS[len("select ") : X.LABELS.index("from part join")]
-    labels = stream.join(names, c("s_suppkey") == c("p_partkey") % 10).selectExpr(*split_columns(sql))
+    names = names.crossJoin(names.agg((F.max("s_suppkey") + 1).alias("suppliers")))
+    sql = X.LABELS[len("select ") : X.LABELS.index("from part cross join")]
+    labels = stream.join(names, c("s_suppkey") == c("p_partkey") % c("suppliers")).selectExpr(*split_columns(sql))
     T.drain(T.verify(labels, X.forms(s, d), X.forms(s, d).where("doc_id % 5 = 0"), f"{at}/out", f"{at}/log"))
     return s.read.parquet(f"{at}/out").select("doc_id", "product_type", "verdict")
 

@@ -52,8 +52,29 @@ _gap = "case when x0 - lag(x1) over (partition by doc_id, page, line order by x0
 _wide = lambda s, d: words(s, d).withColumns({"x0": c("x0") + (c("line") * 7 + c("idx") % 100000) * 9.0 * (c("idx") % 5), "x1": c("x1") + (c("line") * 7 + c("idx") % 100000) * 9.0 * (c("idx") % 5)})
 WIDE = f"{WORDS}, wide as (select * replace (x0 + (line * 7 + idx % 100000) * 9.0 * (idx % 5) as x0, x1 + (line * 7 + idx % 100000) * 9.0 * (idx % 5) as x1) from fx_words)"
 add("G9_line_gap_split", lambda s, d: W.split_at_gaps(_wide(s, d), 48).select("doc_id", "idx", "cluster"), f"with {WIDE}, g as (select *, {_gap} j from wide) select doc_id, idx, (sum(j) over (partition by doc_id, page, line order by x0, idx rows unbounded preceding))::bigint as cluster from g")
-add("G7_line_cluster_centroid", lambda s, d: W.cluster_lines(words(s, d).drop("line"), 10.0).select("doc_id", "page", "idx", "line"))
-add("G8_line_cluster_anchor", lambda s, d: W.cluster_lines(words(s, d).drop("line"), 18.0, centroid=False).select("doc_id", "page", "idx", "line"))
+# Rows less than a tolerance apart, so that the running mean decides; heights differ by document and word.
+TALL = f"{WORDS}, tall as (select doc_id, page, idx, text, x0, y0 * 0.37 as y0, x1, y0 * 0.37 + 6 + doc_id % 25 + idx % 3 as y1 from fx_words)"
+
+
+def tall(s, d):
+    return words(s, d).drop("line").withColumns({"y0": c("y0") * 0.37, "y1": c("y0") * 0.37 + 6 + c("doc_id") % 25 + c("idx") % 3})
+
+
+def clustered(centre: str, tolerance: str, centroid: bool) -> str:
+    """The greedy rule as a recursion over the different centres of a page, from the first to the last."""
+    near = f"abs(f.mean - o.y) {'<=' if centroid else '<'} o.tol"
+    mean = "(f.mean * f.n + o.y * o.m) / (f.n + o.m)" if centroid else "f.mean"
+    return f"""with recursive {TALL.replace("ln as (", "ln as (", 1)}, tl as (select doc_id, page, {tolerance} tol from tall group by all),
+g as (select t.doc_id, t.page, {centre} y, tol, count(*) m from tall t join tl using (doc_id, page) group by all), o as (select *, row_number() over (partition by doc_id, page order by y) k from g),
+f as (select doc_id, page, k, y, y::double mean, m n, 0 line from o where k = 1 union all
+ select o.doc_id, o.page, o.k, o.y, case when {near} then {mean} else o.y end, case when {near} then f.n + o.m else o.m end, case when {near} then f.line else f.line + 1 end from f join o on o.doc_id = f.doc_id and o.page = f.page and o.k = f.k + 1)
+select t.doc_id, t.page, t.idx, f.line from tall t join f on f.doc_id = t.doc_id and f.page = t.page and f.y = {centre}"""
+
+
+_median = "greatest(10, 0.8 * coalesce(list_sort(list(y1 - y0) filter (y1 > y0))[count(*) filter (y1 > y0) // 2 + 1], 16))"
+add("G7_line_cluster_centroid", lambda s, d: W.cluster_lines(tall(s, d), 10.0).select("doc_id", "page", "idx", "line"), clustered("(t.y0 + t.y1) / 2", "10.0", True))
+add("G7_line_cluster_ocr", lambda s, d: W.cluster_lines(tall(s, d)).select("doc_id", "page", "idx", "line"), clustered("(t.y0 + t.y1) / 2", _median, True))
+add("G8_line_cluster_anchor", lambda s, d: W.cluster_lines(tall(s, d), 18.0, centroid=False).select("doc_id", "page", "idx", "line"), clustered("t.y0", "18.0", False))
 
 
 def overlaps(s, d):
@@ -67,10 +88,49 @@ _plain = "regexp_replace(lower(text), '[:.,]+$', '')"
 RUNS = f"""{WORDS}, lead_ as (select *, {_plain} p0, lead({_plain}) over w p1, lead(x1) over w e1, row_number() over w pos from fx_words window w as (partition by doc_id, page order by y0, x0, idx)),
 runs as (select doc_id, page, arg_min({{'x0': x0, 'y0': y0, 'e1': e1, 'idx': idx}}, pos) m from lead_ where contains(p0, 'th') and contains(p1, 'on') group by all)"""
 add("G12_marker_run_search", lambda s, d: W.marker_runs(words(s, d), "th ON").select("doc_id", "x0", "y0", c("end_x1"), "idx"), f"with {RUNS} select doc_id, m.x0 as x0, m.y0 as y0, m.e1 as end_x1, m.idx as idx from runs")
+_th_on = [W.Landmark("x", "th ON", "right", 250)]
 add(
     "G13_landmark_value",
-    lambda s, d: W.value_right_of(words(s, d), W.marker_runs(words(s, d), "th ON"), 250),
-    f"with {RUNS} select f.doc_id, f.page, string_agg(f.text, ' ' order by f.y0, f.x0, f.idx) as value from fx_words f join runs using (doc_id, page) where abs(f.y0 - m.y0) < 18 and f.x0 > m.e1 and f.x0 - m.e1 < 250 group by all",
+    lambda s, d: W.landmark_values(words(s, d), _th_on).select("doc_id", "page", "value"),
+    f"""with {RUNS}, every as (select doc_id, page, pos, y0 my0, e1 from lead_ where contains(p0, 'th') and contains(p1, 'on')), v as (select f.doc_id, f.page, pos, string_agg(f.text, ' ' order by f.y0, f.x0, f.idx) as value from fx_words f join every using (doc_id, page) where abs(f.y0 - my0) < 18 and f.x0 > e1 and f.x0 - e1 < 250 group by all)
+select doc_id, page, arg_min(value, pos) as value from v group by all""",
+)
+
+# --- a form's words: printed labels and, below or beside them, values; some labels stand there twice, first without a value ---
+FORM_LINES = [
+    (0, "'5. TYPE OF PRODUCT (Required)'"), (1, "case when doc_id % 4 = 0 then 'Wine Distilled Spirits Malt Beverages' when doc_id % 4 = 1 then 'none' else product_type end"), (3, "'CLASS/TYPE'"),
+    (4, "case doc_id % 3 when 0 then 'TABLE WINE' when 1 then 'BOURBON WHISKEY' else 'PALE ALE' end"), (7, "'6. BRAND NAME'"), (8, "case when doc_id % 5 <> 0 then brand_name else '' end"), (12, "'BRAND NAME:'"),
+    (13, "'other ' || brand_name"), (16, "'Serial Number,'"), (17, "'A-' || doc_id"), (18, "'second line'"), (21, "'PHONE: 555 ' || doc_id"), (24, "'8a. NAME AND ADDRESS OF APPLICANT (Required)'"), (25, "applicant_name"),
+]
+LANDMARKS = [*W.LANDMARKS, W.Landmark("phoneRight", "PHONE", "right")]
+_laid = "100.0 + 60 * k as x0, 30.0 * line as y0, 100.0 + 60 * k + 8 * len(text) as x1, 30.0 * line + 12 as y1"
+FORM_WORDS = f"""fl_ as (select doc_id, unnest([{", ".join(f"{{'line': {n}, 'text': {t}}}" for n, t in FORM_LINES)}]) u from fx_forms), fp as (select doc_id, u.line as line, unnest(list_zip(string_split(u.text, ' '), range(len(string_split(u.text, ' '))))) z from fl_),
+fw as (select doc_id, 1 as page, line * 100 + k as idx, text, {_laid} from (select doc_id, line, z[1] text, z[2] k from fp) where text <> '')"""
+
+
+def form_words(s, d):
+    rows = X.forms(s, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("line"), F.expr(t).alias("text")) for n, t in FORM_LINES])).alias("u"))
+    rows = rows.select("doc_id", "u.line", F.posexplode(F.split("u.text", " ")).alias("k", "text")).where("text <> ''")
+    return rows.selectExpr("doc_id", "1 as page", "line * 100 + k as idx", "text", *[f"cast({x} as double) {n}" for x, n in (part.rsplit(" as ", 1) for part in _laid.split(", "))])
+
+
+_markers = ", ".join(f"({i}, '{m.field}', [{', '.join(D.quote(t) for t in m.marker.lower().split())}], {str(m.direction == 'right').lower()}, {m.distance})" for i, m in enumerate(LANDMARKS))
+LANDED = f"""{FORM_WORDS}, lm(n, field, toks, is_right, dist) as (values {_markers}), ps as (select *, regexp_replace(lower(text), '[:.,]+$', '') plain, row_number() over (partition by doc_id, page order by y0, x0, idx) pos from fw),
+pl as (select doc_id, page, list(plain order by pos) plains from ps group by all),
+rn as (select a.doc_id, a.page, n, field, is_right, dist, a.pos, a.x0 mx0, a.y0 my0, b.x1 ex1, b.y0 ey0, b.y1 ey1 from ps a join pl using (doc_id, page) cross join lm join ps b on b.doc_id = a.doc_id and b.page = a.page and b.pos = a.pos + len(toks) - 1 where len(list_filter(list_zip(plains[a.pos : a.pos + len(toks) - 1], toks), lambda z: contains(z[1], z[2]))) = len(toks)),
+nr as (select rn.*, w.text, w.y0, w.x0, w.idx, min(w.y0) over (partition by rn.doc_id, rn.page, n, rn.pos) top from rn join fw w using (doc_id, page) where case when is_right then abs(w.y0 - my0) < 18 and w.x0 > ex1 and w.x0 - ex1 < dist else w.y0 > ey1 and w.y0 - ey1 < greatest((ey1 - ey0) * 2, 50) and w.x0 < ex1 + dist and w.x0 > mx0 - 80 end),
+vl as (select doc_id, page, n, field, pos, string_agg(text, ' ' order by y0, x0, idx) as value from nr where is_right or y0 - top < 18 group by all), bs as (select doc_id, page, n, field, arg_min(value, pos) as value from vl group by all)"""
+_hits = {k: f"regexp_matches(upper(value), {D.quote(p)})" for k, p in E.STRICT.items()}
+_one = f"case when {' + '.join(f'({v})::int' for v in _hits.values())} = 1 then case {' '.join(f'when {v} then {D.quote(k)}' for k, v in _hits.items())} end end"
+add(
+    "G13_landmark_below",
+    lambda s, d: W.landmark_values(form_words(s, d), LANDMARKS).where("field <> 'productType'").select("doc_id", "page", "field", "value"),
+    f"with {FX}, {LANDED} select doc_id, page, field, value from bs where field <> 'productType'",
+)
+add(
+    "G13_product_type",
+    lambda s, d: W.landmark_fields(form_words(s, d), E.strict_family).where("field = 'productType'").select("doc_id", c("value").alias("product_type")),
+    f"with {FX}, {LANDED}, t as (select doc_id, n, {_one} as family from bs where field = 'productType') select doc_id, arg_min(family, n) as product_type from t where family is not null group by 1",
 )
 add("K6_reading_order", lambda s, d: words(s, d).select("doc_id", "idx", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "idx")).alias("place")), f"with {WORDS} select doc_id, idx, row_number() over (partition by doc_id, page order by y0, x0, idx) as place from fx_words")
 
@@ -172,28 +232,53 @@ add(
 )
 
 
+_box_fields = "['application.brandName', 'application.serialNumber', 'application.applicant', 'label.abv', 'application.phone']"
+BOXES = f"{IMAGES}, bx as (select doc_id, {{f}} field, min(page) page, floor(min(x)) / 1000 x, floor(min(y)) / 1000 y, floor(max(width)) / 10000 w, floor(max(height)) / 10000 h, case when doc_id % 3 = 0 then 'low' else 'medium' end confidence from im group by 1, 2)"
+
+
 def snapped(s, d):
-    rect = W.rect_union(images(s, d).select("doc_id", "page", c("x").alias("x0"), c("y").alias("y0"), (c("x") + c("width")).alias("x1"), (c("y") + c("height")).alias("y1"), "page_width", "page_height"))
-    norm = rect.select("doc_id", "page", *[F.floor(v * 1000000).cast("long").alias(n) for n, v in {"x": c("x0") / 600, "y": 1 - c("y1") / 800, "w": (c("x1") - c("x0")) / 600, "h": (c("y1") - c("y0")) / 800}.items()])
-    return norm.withColumn("confidence", F.lit("high"))
+    boxes = X.view(s, d, f"with {BOXES.format(f=f'element_at(array({_box_fields[1:-1]}), cast(page % 5 + 1 as int))')} select * from bx")
+    # The applicant's block is the union of two widgets here.
+    widgets = [(f"application.{n}", *map(float, r), 612.0, 792.0) for n, r in W.FORM_BOXES.items()] + [("application.applicant", 200.0, 500.0, 400.0, 540.0, 612.0, 792.0)]
+    found = W.snap_provenance(boxes, s.createDataFrame(widgets, "field string, rx0 double, ry0 double, rx1 double, ry1 double, page_width double, page_height double"))
+    return found.select("doc_id", "field", "page", *[F.round(v, 6).alias(v) for v in "xywh"], "confidence")
+
 
+def _widget_sql(field: str, x0, y0, x1, y1) -> str:
+    return f"('application.{field}', {x0} / 612.0, 1 - {y1} / 792.0, ({x1} - {x0}) / 612.0, ({y1} - {y0}) / 792.0)"
 
-add("G20_provenance_snap", snapped, f"with {IMAGES} select doc_id, page, floor(min(x) / 600 * 1000000)::bigint as x, floor((1 - max(y + height) / 800) * 1000000)::bigint as y, floor((max(x + width) - min(x)) / 600 * 1000000)::bigint as w, floor((max(y + height) - min(y)) / 800 * 1000000)::bigint as h, 'high' as confidence from im group by all")
+
+_rects = W.FORM_BOXES | {"applicant": (200, 500, 590, 596)}
+add(
+    "G20_provenance_snap", snapped,
+    f"with {BOXES.format(f=_box_fields + '[page % 5 + 1]')}, wd_(field, wx, wy, ww, wh) as (values {', '.join(_widget_sql(n, *r) for n, r in _rects.items())}) select doc_id, field, page, round(coalesce(wx, x), 6) as x, round(coalesce(wy, y), 6) as y, round(coalesce(ww, w), 6) as w, round(coalesce(wh, h), 6) as h, case when wx is not null then 'high' else confidence end as confidence from bx left join wd_ using (field)",
+)
 
 # --- extraction: two pages of text for each label ---
-PAGES = f"{FX}, pg as (select doc_id, u.page, u.text from fx_labels, lateral (values (1, concat_ws(' ', brand_name, class_type, net_contents)), (2, concat_ws(' ', producer, abv || case when doc_id % 2 = 0 then ' by vol' else '' end, country_of_origin || '. CONTAINS SULFITES'))) u(page, text))"
+# Countries of several words, with and without something that ends them; the fallback pattern's case has nothing in reach that does.
+_country = "case doc_id % 7 when 3 then 'PRODUCT OF NEW ZEALAND' when 4 then 'Product of U.S.A.' when 5 then null else country_of_origin end"
+_first = "case when doc_id % 7 = 5 then 'product of South Africa estate grown on hillside slopes near the old river 1890' end"
+PAGES = f"{FX}, pg as (select doc_id, u.page, u.text from fx_labels, lateral (values (1, concat_ws(' ', brand_name, class_type, net_contents, {_first})), (2, concat_ws(' ', producer, abv || case when doc_id % 2 = 0 then ' by vol' else '' end, {_country} || '. CONTAINS SULFITES'))) u(page, text))"
 
 
 def pages(s, d):
-    two = F.concat_ws(" ", "producer", F.concat("abv", F.when(c("doc_id") % 2 == 0, " by vol").otherwise("")), F.concat("country_of_origin", F.lit(". CONTAINS SULFITES")))
-    return X.labels(s, d).select("doc_id", F.posexplode(F.array(F.concat_ws(" ", "brand_name", "class_type", "net_contents"), two)).alias("p", "text")).select("doc_id", (c("p") + 1).alias("page"), "text")
+    two = F.concat_ws(" ", "producer", F.concat("abv", F.when(c("doc_id") % 2 == 0, " by vol").otherwise("")), F.concat(F.expr(_country), F.lit(". CONTAINS SULFITES")))
+    return X.labels(s, d).select("doc_id", F.posexplode(F.array(F.concat_ws(" ", "brand_name", "class_type", "net_contents", F.expr(_first)), two)).alias("p", "text")).select("doc_id", (c("p") + 1).alias("page"), "text")
 
 
-_some = {k: v for k, v in E.PATTERNS.items() if k != "countryOfOrigin"}
-_found = " union all ".join(f"select doc_id, page, '{f}' field, {i} priority, regexp_extract(text, {D.quote(p)}, 0) as v from pg" for f, own in _some.items() for i, p in enumerate(own))
+
+
+def captured(pattern: str) -> str:
+    """A pattern without look-ahead: what it looked at is taken too, and group 1 is the match."""
+    flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    match, ahead, rest = body.partition("(?=")
+    plain = match.replace("of\\s+(", "of\\s+(?:")
+    return f"{flag}({plain})(?:{rest}" if ahead else f"{flag}({plain})"
+
+
+_found = " union all ".join(f"select doc_id, page, '{f}' field, {i} priority, regexp_extract(text, {D.quote(captured(p))}, 1) as v from pg" for f, own in E.PATTERNS.items() for i, p in enumerate(own))
 HITS = f"{PAGES}, hits as ({_found}), best as (select doc_id, field, arg_min({{'page': page, 'value': v}}, {{'a': priority, 'b': page}}) b from hits where v <> '' group by all)"
-add("X1_pattern_priority_extract", lambda s, d: E.first_patterns(pages(s, d), _some), f"with {HITS} select doc_id, field, b.page as page, b.value as value from best")
-add("X1_country_pattern", lambda s, d: E.first_patterns(pages(s, d), {"countryOfOrigin": E.PATTERNS["countryOfOrigin"]}), f"with {PAGES} select doc_id, 'countryOfOrigin' as field, page, regexp_extract(text, '(?i)\\bproduct\\s+of\\s+\\w+', 0) as value from pg where regexp_matches(text, '(?i)\\bproduct\\s+of\\s+\\w+')")
+add("X1_pattern_priority_extract", lambda s, d: E.first_patterns(pages(s, d)), f"with {HITS} select doc_id, field, b.page as page, b.value as value from best")
 SPANS = "sp as (select doc_id, page, z[2] as idx, z[1] as text, sum(len(z[1]) + 1) over (partition by doc_id, page order by z[2]) - len(z[1]) - 1 as start from (select doc_id, page, unnest(list_zip(string_split(text, ' '), range(len(string_split(text, ' '))))) z from pg))"
 
 
@@ -205,7 +290,7 @@ def page_spans(s, d):
 
 
 def match_words(s, d):
-    found = E.first_patterns(pages(s, d), _some).join(pages(s, d), ["doc_id", "page"])
+    found = E.first_patterns(pages(s, d)).join(pages(s, d), ["doc_id", "page"])
     spans = found.select("doc_id", "page", "field", (F.instr("text", c("value")) - 1).alias("from_"), (F.instr("text", c("value")) - 1 + F.length("value")).alias("to_"))
     return E.words_of_match(page_spans(s, d), spans).select("doc_id", "page", "field", "idx", "text")
 
@@ -253,7 +338,15 @@ def answers(s, d):
     return fields(s, d).where("doc_id % 3 = 0").select("doc_id", "field", F.when(c("field") == "governmentWarning", K.WARNING).when(c("field") == "countryOfOrigin", F.when(c("doc_id") % 2 == 0, "American").otherwise("France")).when(c("field") == "brandName", c("value")).when(c("doc_id") % 4 == 0, "none").otherwise("Shiraz, Napa Valley").alias("value"))
 
 
-add("X15_fallback_merge", lambda s, d: E.merge_answers(fields(s, d), answers(s, d)))
+_answer = f"""case field when 'governmentWarning' then {D.quote(K.WARNING)} when 'countryOfOrigin' then case when doc_id % 2 = 0 then 'American' else 'France' end when 'brandName' then value else case when doc_id % 4 = 0 then 'none' else 'Shiraz, Napa Valley' end end"""
+_kept = """case field when 'wineVarietal' then case when answer <> 'none' then 'Syrah' end when 'wineAppellation' then case when answer <> 'none' then 'Napa Valley' end when 'countryOfOrigin' then case when answer <> 'American' then answer end else answer end"""
+_score = f"regexp_matches(lw, '\\bgovernment\\s+warning\\b')::int + contains(lw, {D.quote(K.WARNING_PREFIX.lower())})::int + 2 * ({D.anchors('value', K.ANCHORS_1)} >= {K.ANCHOR_SHARE})::int + 2 * ({D.anchors('value', K.ANCHORS_2)} >= {K.ANCHOR_SHARE})::int + (lw = {D.quote(K.WARNING.lower())})::int"
+add(
+    "X15_fallback_merge", lambda s, d: E.merge_answers(fields(s, d), answers(s, d)),
+    f"""with {FIELDS}, an as (select *, case when doc_id % 3 = 0 then {_answer} end answer, lower({D.whitespace('coalesce(value, ' + D.quote('') + ')')}) lw from fl), st as (select *, {_kept} stored from an),
+tk as (select *, stored is not null and (field <> 'governmentWarning' or coalesce(trim(value), '') = '' or 7 > {_score}) taken from st)
+select doc_id, field, case when taken then stored else value end as value, case when not taken or field = 'governmentWarning' or {D.comparison_text('value')} = {D.comparison_text('stored')} then source else 'vlm' end as source, taken from tk""",
+)
 add("X16_form_fallback_merge", lambda s, d: X.forms(s, d).select("doc_id", F.coalesce(F.when(c("doc_id") % 4 == 0, "Answered brand"), "brand_name").alias("brand_name"), F.when(c("product_type") == "WINE", E.form_wine_value(c("grape_varietals"))).alias("grapes")), f"with {FX} select doc_id, case when doc_id % 4 = 0 then 'Answered brand' else brand_name end as brand_name, case when product_type = 'WINE' then grape_varietals end as grapes from fx_forms")
 add("X17_value_sanitizers", lambda s, d: X.forms(s, d).select("doc_id", E.form_wine_value(c("grape_varietals")).alias("grapes"), E.label_value(F.lit("countryOfOrigin"), c("grape_varietals")).alias("country"), E.label_value(F.lit("wineVarietal"), c("grape_varietals")).alias("varietal"), E.source_value(c("source")).alias("source")), f"with {FX} select doc_id, grape_varietals as grapes, case when grape_varietals = 'Shiraz' then 'Shiraz' end as country, case grape_varietals when 'Shiraz' then 'Syrah' when 'Cabernet Sauvignon' then 'Cabernet Sauvignon' end as varietal, case when source = 'Imported' then 'Imported' else 'Domestic' end as source from fx_forms")
 _strict = {k: f"regexp_matches(upper(class_type), {D.quote(p)})" for k, p in E.STRICT.items()}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rules import initial_status
+
 MOST_FILE, MOST_UPLOAD, MOST_BATCH = 10 << 20, 25 << 20, 25
 #: Accepted kinds of files.
 ACCEPTED = ["image/png", "image/jpeg", "image/webp", "application/pdf"]
@@ -68,6 +72,68 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+#: What parts of a result line may be.
+RULE_STATUSES = ["pass", "warn", "fail", "uncertain"]
+CROSS_STATUSES = ["match", "mismatch", "not_on_label", "not_on_application", "not_applicable"]
+BOX_SOURCES, CONFIDENCES = ["pdf", "tesseract", "vlm"], ["high", "medium", "low"]
+FIELD_PATHS = [
+    *[f"application.{f}" for f in (
+        "repId", "brandName", "fancifulName", "productType", "classType", "source", "applicant.name", "applicant.address", "applicant.city", "applicant.state", "mailingAddress",
+        "formula", "grapeVarietals", "wineAppellation", "serialNumber", "plantRegistryNumber", "phone", "email", "applicationType", "containerWording", "applicationDate",
+        "applicantSignatureName",
+    )],
+    *[f"label.{f}" for f in ("brandName", "abv", "governmentWarning", "netContents", "classType", "producer", "countryOfOrigin", "wineVarietal", "wineAppellation")],
+]
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def contract_problems(v: Column) -> Column:
+    """``path: message`` of everything in a result line (a variant) that its contract forbids; for lists and maps once a path, with ``*`` for their members."""
+    get = lambda x, p, t="string": F.try_variant_get(x, f"$.{p}", t)
+    kind = lambda x, p: F.coalesce(kind_of(x, f"$.{p}"), F.lit("MISSING"))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    number = lambda x, p: kind(x, p).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & get(x, p, "double").isNotNull()
+    whole = lambda x, p, least: number(x, p) & (get(x, p, "double") == F.floor(get(x, p, "double"))) & (get(x, p, "double") >= least)
+    within = lambda x, p, most: number(x, p) & get(x, p, "double").between(0, most)
+    one_of = lambda x, p, values: (kind(x, p) == "STRING") & get(x, p).isin(values)
+    texts = lambda x, p: kind(x, p) == "STRING"
+    entries = lambda p: F.map_entries(F.coalesce(get(v, p, "map<string, variant>"), F.create_map().cast("map<string, variant>")))
+    items = lambda x, p: F.coalesce(get(x, p, "array<variant>"), F.array().cast("array<variant>"))
+    any_entry = lambda p, bad: F.exists(entries(p), lambda e: no(bad(e)))
+    given = lambda p: ~kind(v, p).isin("MISSING")
+    ok, failed = get(v, "status") == "ok", get(v, "status") == "error"
+    fine_box = lambda b: reduce(lambda a, c: a & c, [within(b, c, 1) for c in "xywh"])
+    fine_provenance = lambda e: (kind(e["value"], "page") != "MISSING") & whole(e["value"], "page", 0) & one_of(e["value"], "confidence", CONFIDENCES) & fine_box(get(e["value"], "bbox", "variant"))
+    fine_word = lambda w: texts(w, "text") & within(w, "confidence", 100) & reduce(lambda a, c: a & c, [number(get(w, "bbox", "variant"), c) for c in ("x0", "y0", "x1", "y1")])
+    mean_ok = lambda b: (kind(b, "meanConfidence") == "VOID") | within(b, "meanConfidence", 100)
+    fine_bbox = lambda e: whole(e["value"], "page", 1) & one_of(e["value"], "source", BOX_SOURCES) & mean_ok(e["value"]) & F.forall(items(e["value"], "words"), lambda w: F.coalesce(fine_word(w), F.lit(False)))
+    checks = [
+        ("status: expected ok, error", no(ok | failed)), ("index: expected a whole number from 0", no(whole(v, "index", 0))), ("filename: expected string", no(texts(v, "filename"))),
+        ("durationMs: expected a number from 0", no(number(v, "durationMs") & (get(v, "durationMs", "double") >= 0))), ("errorMessage: expected string", failed & no(texts(v, "errorMessage"))),
+        ("applicationId: expected uuid", ok & given("applicationId") & no((kind(v, "applicationId") == "VOID") | (texts(v, "applicationId") & get(v, "applicationId").rlike(UUID)))),
+        ("report.overallStatus: expected " + ", ".join(VERDICTS), ok & no(one_of(v, "report.overallStatus", VERDICTS))),
+        ("report.fields: required", ok & no(kind(v, "report.fields").startswith("OBJECT"))),
+        ("report.fields.*.status: expected " + ", ".join(RULE_STATUSES), ok & any_entry("report.fields", lambda e: one_of(e["value"], "status", RULE_STATUSES))),
+        ("report.crossCheck.overallStatus: expected match, mismatch", ok & given("report.crossCheck") & no(one_of(v, "report.crossCheck.overallStatus", ["match", "mismatch"]))),
+        ("report.crossCheck.fields.*.status: expected " + ", ".join(CROSS_STATUSES), ok & any_entry("report.crossCheck.fields", lambda e: one_of(e["value"], "status", CROSS_STATUSES))),
+        ("report.provenance: required", ok & no(kind(v, "report.provenance").startswith("OBJECT"))),
+        ("report.provenance: unknown key", ok & any_entry("report.provenance", lambda e: e["key"].isin(FIELD_PATHS))),
+        ("report.provenance.*: page, bbox or confidence out of range", ok & any_entry("report.provenance", lambda e: (F.schema_of_variant(e["value"]) == "VOID") | fine_provenance(e))),
+        ("report.bboxes: unknown key", ok & any_entry("report.bboxes", lambda e: e["key"].isin(FIELD_PATHS))),
+        ("report.bboxes.*: page, source, words or confidence out of range", ok & any_entry("report.bboxes", fine_bbox)),
+        ("report.pages.*: pageNumber or kind", ok & F.exists(items(v, "report.pages"), lambda p: no(whole(p, "pageNumber", 1) & texts(p, "kind")))),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), message) for message, bad in checks]))
+
+
+def check_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Result lines with ``problems``: what their contract forbids, joined; null without any. Blank lines are gone."""
+    rows = lines.where(F.trim(value) != "").withColumn("v_", F.try_parse_json(F.col(value)))
+    found = F.when(F.col("v_").isNull(), F.array(F.lit("(root): not JSON"))).otherwise(contract_problems(F.col("v_")))
+    rows = rows.select(*[c for c in lines.columns if c != value], found.alias("p_"))
+    return rows.withColumn("problems", F.when(F.size("p_") > 0, F.array_join("p_", "; "))).drop("p_")
+
+
 def json_line(*columns: str) -> Column:
     """A compact JSON object that keeps nulls."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
@@ -92,25 +158,113 @@ def report_rows(results: DataFrame, rule_results: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header, CRLF line ends and minimal quoting."""
-    rows.select(*CSV_COLUMNS).write.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="", nullValue="")
+    """The report as part files whose concatenation, by name, is one CSV text: a single header, CRLF line ends, minimal quoting, values as they are."""
+    lines = rows.select(csv_line(CSV_COLUMNS).alias("value"))
+    header = rows.sparkSession.createDataFrame([(",".join(CSV_COLUMNS),)], lines.schema).coalesce(1)
+    header.union(lines).write.text(path, lineSep="\r\n")
+
+
+def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (value) of a written report without its header; line ends inside a value are no CRLF."""
+    return spark.read.text(path, lineSep="\r\n").where(F.col("value") != ",".join(CSV_COLUMNS))
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(own)
 
-def append_verified(rows: DataFrame, path: str, key: str = "content_hash") -> None:
-    """Appends rows whose key is not stored yet, so a replayed batch adds nothing."""
-    from pyspark.errors import AnalysisException
 
+def verification_rows(documents: DataFrame) -> DataFrame:
+    """What is stored of a verified document: documents has form_brand, label_brand and verdict, and any other columns."""
+    rest = [c for c in documents.columns if c not in ("form_brand", "label_brand")]
+    return documents.select(*rest, F.coalesce("form_brand", "label_brand").alias("brand_name"), initial_status(F.col("verdict")).alias("status"))
+
+
+def append_verified(rows: DataFrame, path: str, batch: int, key: str = "content_hash", order: str = "app_id") -> None:
+    """Appends, as part ``batch``, the row with the least ``order`` of each key that no other batch holds. A replayed batch replaces its own part.
+
+    Writers of different batches may run at once; where both store a key, ``read_verified`` takes the smaller batch's row.
+    """
     spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except AnalysisException:
-        known = None
-    rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path) if known is not None else rows.dropDuplicates([key]).write.parquet(path)
+    first = rows.groupBy(F.col(key).alias("key_")).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    if exists(spark, path):
+        known = spark.read.parquet(path).where(F.col("batch") != batch).select(key)
+        first = first.join(known, key, "left_anti")
+    first.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_verified(spark: SparkSession, path: str, key: str = "content_hash") -> DataFrame:
+    """One row for each stored key."""
+    rows = spark.read.parquet(path)
+    kept = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(F.col(key).alias("key_")).agg(F.min_by(F.struct(*kept), "batch").alias("r")).select("r.*")
+
+
+#: The fields of a saved run.
+BASELINE = (
+    "capturedAt string, entries array<struct<filename: string, sizeBytes: long, pages: array<struct<pageNumber: int, kind: string, pngSizeBytes: long>>, extractionLatencyMs: double, "
+    "renderLatencyMs: double, totalLatencyMs: double, modelId: string, providerName: string, extraction: variant, errorMessage: string>>, "
+    "summary struct<totalPdfs: long, successCount: long, errorCount: long, meanRenderLatencyMs: double, meanExtractionLatencyMs: double, meanTotalLatencyMs: double>"
+)
+
+
+def baseline_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each entry of the saved runs in a folder, a JSON document a file (or a line): capturedAt and the entry's fields."""
+    return spark.read.json(path, schema=BASELINE, multiLine=not lines).select("capturedAt", F.explode("entries").alias("e")).select("capturedAt", "e.*")
+
+
+#: The fields of an application and their kinds; a ``?`` allows null, ``~`` a missing field.
+PRODUCT_TYPES, SOURCES = ["WINE", "DISTILLED SPIRITS", "MALT BEVERAGES"], ["Domestic", "Imported"]
+APPLICATION_TYPES = ["CERTIFICATE_OF_LABEL_APPROVAL", "CERTIFICATE_OF_EXEMPTION", "DISTINCTIVE_LIQUOR_BOTTLE_APPROVAL", "RESUBMISSION_AFTER_REJECTION"]
+ADDRESS = ["name", "addressLine1", "city", "state", "postalCode"]
+APPLICATION = {
+    "ttbFormId": "string", "formRevision": "string", "scenarioId": "string", "expectedVerdict": ["COMPLIANT", "NEEDS_REVIEW"],
+    "form.repId": "string?", "form.plantRegistryNumber": "string", "form.source": SOURCES, "form.serialNumber": "string", "form.productType": PRODUCT_TYPES,
+    "form.brandName": "string", "form.fancifulName": "string?", **{f"form.applicant.{c}": "string" for c in ADDRESS}, "form.mailingAddress": "object?",
+    **{f"form.mailingAddress.{c}": "string" for c in ADDRESS}, "form.formulaId": "string?", "form.grapeVarietals": "string?", "form.wineAppellation": "string?",
+    "form.phone": "string", "form.email": "string", "form.applicationType": APPLICATION_TYPES, "form.applicationDate": "string", "form.applicantSignatureName": "string",
+    **{f"crossCheckExpectations.{c}": "string" for c in ("brandName", "classType", "producer", "countryOfOrigin")},
+    **{f"crossCheckExpectations.{c}": "string~" for c in ("wineVarietal", "wineAppellation")},
+    "labelOnlyExpectations.abv": "string", "labelOnlyExpectations.netContents": "string", "labelOnlyExpectations.governmentWarning": ["PRESENT_AND_VERBATIM", "ABSENT"], "notes": "string~",
+}
+
+
+def kind_of(v: Column, path: str) -> Column:
+    """The variant type at a path: null where nothing stands there, VOID for a null."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def problems_of(v: Column, contract: dict[str, str | list[str]]) -> Column:
+    """``path: message`` of every field of a variant that breaks a contract, in its order. A nullable object that is null or missing has no fields to check."""
+    out = []
+    for path, want in contract.items():
+        kind, text = kind_of(v, f"$.{path}"), F.try_variant_get(v, f"$.{path}", "string")
+        if isinstance(want, list):
+            bad = F.when(kind.isNull(), "required").when((kind != "STRING") | ~text.isin(want), "expected one of " + ", ".join(want))
+        else:
+            base = want.rstrip("?~")
+            bad = F.when(kind.isNull(), None if want.endswith("~") else "required")
+            bad = bad.when(F.lit(want.endswith("?")) & (kind == "VOID"), None).when(~kind.startswith(base.upper()), f"expected {base}")
+        parent = path.rpartition(".")[0]
+        if str(contract.get(parent, "")).endswith("?"):
+            bad = F.when(F.coalesce(kind_of(v, f"$.{parent}").startswith("OBJECT"), F.lit(False)), bad)
+        out.append(F.concat(F.lit(f"{path}: "), bad))
+    return F.array_compact(F.array(*out))
+
+
+def parse_applications(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Application documents with ``problems`` (null: valid) in place of their JSON text, and the parsed ``application`` of valid ones."""
+    v = F.try_parse_json(F.col(value))
+    rows = lines.withColumn("v_", v)
+    found = F.when(F.col("v_").isNull(), F.array(F.lit("(root): not JSON"))).otherwise(problems_of(F.col("v_"), APPLICATION))
+    rest = [c for c in lines.columns if c != value]
+    rows = rows.select(*rest, "v_", found.alias("p_"))
+    return rows.select(*rest, F.when(F.size("p_") > 0, F.array_join("p_", "; ")).alias("problems"), F.when(F.size("p_") == 0, F.col("v_")).alias("application"))
 
 
-def explode_baseline(snapshot: DataFrame) -> DataFrame:
-    """One row for each entry of saved runs: captured_at and the entry's fields."""
-    return snapshot.select("capturedAt", F.explode("entries").alias("e")).select("capturedAt", "e.*")
+def read_applications(spark: SparkSession, path: str) -> DataFrame:
+    """The application documents of a folder, a JSON document a file."""
+    return parse_applications(spark.read.text(path, wholetext=True))
 
 
 def flatten_blocks(pages: DataFrame) -> DataFrame:

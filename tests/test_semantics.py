@@ -111,9 +111,122 @@ def test_files_and_sinks(spark, tmp_path):
     row = results.scan_files(spark, str(tmp_path / "in")).first()
     assert (row.byte_size, row.hash_prefix) == (3, "ba7816bf8f01cfea")
     df = spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h1")], "n int, content_hash string")
-    for _ in range(2):
-        results.append_verified(df, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for batch in (0, 0, 1):
+        results.append_verified(df, str(tmp_path / "out"), batch, order="n")
+    assert sorted((r.n, r.content_hash) for r in results.read_verified(spark, str(tmp_path / "out")).collect()) == [(1, "h1"), (2, "h2")]
+    # Two writers of different batches that did not see each other.
+    df.where("n = 3").write.parquet(str(tmp_path / "out/batch=9"))
+    assert results.read_verified(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_csv_report_is_one_text(spark, tmp_path):
+    schema = ", ".join(f"{k} string" for k in results.CSV_COLUMNS)
+    rows = [("  lead and trail  ", 'say "x"', "a,b", "two\nlines", None, *[""] * 12), ("f2", *["v"] * 16)]
+    results.write_csv(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "csv"))
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv").glob("part-*")))
+    head, *lines = text.split("\r\n")
+    assert head == ",".join(results.CSV_COLUMNS) and text.count("filename") == 1 and text.endswith("\r\n")
+    assert sorted(x for x in lines if x) == ['  lead and trail  ,"say ""x""","a,b","two\nlines",' + "," * 12, "f2" + ",v" * 16]
+
+
+def test_result_line_contract(spark):
+    import copy
+    import json
+
+    box = {"page": 1, "source": "pdf", "words": [{"text": "a", "confidence": 90, "bbox": {"x0": 1, "y0": 2.5, "x1": 3, "y1": 4}}], "meanConfidence": None}
+    report = {
+        "overallStatus": "compliant", "fields": {"brand": {"status": "pass"}}, "provenance": {"label.abv": {"page": 0, "bbox": {"x": 0, "y": 0.1, "w": 1, "h": 0.5}, "confidence": "high"}, "label.brandName": None},
+        "bboxes": {"label.abv": box}, "pages": [{"pageNumber": 1, "kind": "front"}], "crossCheck": {"overallStatus": "match", "fields": {"brandName": {"status": "match"}}},
+    }
+    ok = {"status": "ok", "index": 0, "filename": "f", "durationMs": 1.5, "applicationId": None, "report": report}
+
+    def changed(path, value):
+        out = copy.deepcopy(ok)
+        *way, last = path
+        at = out
+        for k in way:
+            at = at[k]
+        at[last] = value
+        return out
+
+    label = ["report", "bboxes", "label.abv"]
+    cases = [
+        (ok, None), ({"status": "error", "index": 1, "filename": "g", "durationMs": 0, "errorMessage": "x"}, None), ({"status": "error", "index": 1, "filename": "g", "durationMs": 0}, "errorMessage"),
+        (changed(["index"], 1.5), "index"), (changed(["durationMs"], "5"), "durationMs"), (changed(["applicationId"], "nope"), "applicationId"), (changed(["report", "provenance", "label.abv", "bbox", "x"], 1.5), "report.provenance.*"),
+        (changed(["report", "provenance", "foo"], None), "report.provenance"), (changed([*label, "page"], 0), "report.bboxes.*"), (changed([*label, "words", 0, "confidence"], 101), "report.bboxes.*"), (changed([*label, "source"], "scan"), "report.bboxes.*"),
+        (changed(["report", "bboxes", "label.colour"], box), "report.bboxes"), (changed(["report", "pages", 0, "pageNumber"], 0), "report.pages.*"), (changed(["report", "fields", "brand", "status"], "good"), "report.fields.*.status"),
+        (changed(["report", "crossCheck", "overallStatus"], "maybe"), "report.crossCheck.overallStatus"), (changed(["report", "fields"], None), "report.fields"), (changed(["status"], "done"), "status"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(100, "{bad"), (101, "  ")], "i int, value string")
+    got = {r.i: r.problems for r in results.check_lines(df).collect()}
+    assert got.pop(100) == "(root): not JSON" and len(got) == len(cases)
+    for i, (_, path) in enumerate(cases):
+        assert got[i] is None if path is None else got[i].startswith(path + ": ") and ";" not in got[i], (i, got[i])
+
+
+def test_baseline_documents_are_read(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"capturedAt": "t", "entries": [{"filename": "x", "sizeBytes": 5, "pages": [{"pageNumber": 1, "kind": "form", "pngSizeBytes": 9}], "totalLatencyMs": 7.5, "extraction": {"a": 1}}, {"filename": "y", "errorMessage": "no"}], "summary": {"totalPdfs": 2}}, indent=1))
+    rows = sorted(results.baseline_entries(spark, str(tmp_path)).collect(), key=lambda r: r.filename)
+    assert [(r.capturedAt, r.filename, r.totalLatencyMs, r.errorMessage) for r in rows] == [("t", "x", 7.5, None), ("t", "y", None, "no")] and rows[0].pages[0].kind == "form"
+
+
+def test_requests_name_one_to_two_hundred_rows(spark):
+    state = spark.createDataFrame([(i, "approved" if i % 2 else "pending_approval", None) for i in range(500)], "app_id int, status string, archived_at string")
+    asked = spark.createDataFrame([(1, i) for i in range(200)] + [(1, 5), (2, None)] + [(3, i) for i in range(201)] + [(4, 301), (4, 999)], "request_id int, app_id int")
+    got = {r.request_id: (r.ids, r.moved, r.problem) for r in lifecycle.archive_requests(state, asked).collect()}
+    assert got == {1: (200, 100, None), 2: (0, 0, "no ids"), 3: (201, 0, "too many ids"), 4: (2, 1, None)}
+    assert lifecycle.archived_by(state, asked).count() == 101
+
+
+def test_landmarks(spark):
+    def page(doc, *lines):
+        return [(doc, 1, 100 * k + j, w, 60.0 * j, 30.0 * y, 60.0 * j + 50, 30.0 * y + 12) for k, (y, line) in enumerate(lines) for j, w in enumerate(line.split())]
+
+    rows = page(1, (0, "BRAND NAME"), (4, "6. Brand Name: (Required)"), (5, "Ridge Creek"), (6, "wrapped")) + page(2, (0, "TYPE OF PRODUCT"), (1, "Wine Malt Beverages"), (5, "CLASS TYPE"), (6, "India Pale Ale"))
+    rows += page(3, (0, "Phone 555 123"), (2, "BRAND NAME"))
+    df = spark.createDataFrame(rows, "doc_id int, page int, idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    own = [*words.LANDMARKS, words.Landmark("phone", "PHONE", "right", 100)]
+    got = {(r.doc_id, r.field, r.value) for r in words.landmark_fields(df, extract.strict_family, own).collect()}
+    # The first place has no value, so the second counts; only its first line does. An ambiguous text leaves the type to the next landmark.
+    assert got == {(1, "brandName", "Ridge Creek"), (2, "productType", "MALT BEVERAGES"), (3, "phone", "555 123")}
+    assert next(r.idxs for r in words.landmark_values(df, own).collect() if r.doc_id == 1) == [200, 201]
+
+
+def test_line_tolerance_of_ocr_words(spark):
+    rows = [(1, 1, i, f"w{i}", 10.0 * i, y, 10.0 * i + 5, y + h) for i, (y, h) in enumerate([(0.0, 30), (20.0, 30), (60.0, 10), (64.0, 10)])]
+    df = spark.createDataFrame(rows, "doc_id int, page int, idx int, text string, x0 double, y0 double, x1 double, y1 double")
+    # The upper median height is 30, so centres up to 24 apart share a line.
+    assert [r.line for r in words.cluster_lines(df).orderBy("idx").collect()] == [0, 0, 1, 1]
+
+
+def test_boxes_snap_to_widgets(spark):
+    boxes = spark.createDataFrame([(1, "application.brandName", 2, 0.1, 0.1, 0.1, 0.1, "low"), (1, "label.abv", 1, 0.2, 0.2, 0.2, 0.2, "medium")], "doc_id int, field string, page int, x double, y double, w double, h double, confidence string")
+    widgets = spark.createDataFrame([("application.brandName", 0.0, 50.0, 50.0, 100.0, 100.0, 200.0), ("application.brandName", 50.0, 100.0, 100.0, 150.0, 100.0, 200.0), ("application.email", 0.0, 0.0, 1.0, 1.0, 100.0, 200.0)], "field string, rx0 double, ry0 double, rx1 double, ry1 double, page_width double, page_height double")
+    got = {r.field: (r.page, r.x, r.y, r.w, r.h, r.confidence) for r in words.snap_provenance(boxes, widgets).collect()}
+    assert got == {"application.brandName": (2, 0.0, 0.25, 1.0, 0.5, "high"), "label.abv": (1, 0.2, 0.2, 0.2, 0.2, "medium")}
+
+
+def test_large_differences_are_the_same_in_linear_space(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        monkeypatch.setattr(diff, "CELLS", 1 << 20)
+        want = diff.segments(a, b)
+        monkeypatch.setattr(diff, "CELLS", rng.choice([1, 6, 20]))
+        assert diff.segments(a, b) == want
+
+
+def test_patterns_of_producers_and_countries(spark):
+    cases = ["Imported by Tropical Spirits LLC, New York, NY Government Warning", "brewed and canned by: Hop Forge, Denver, CO", "Product of New Zealand. Contains", "PRODUCT OF U.S.A. net", "product of South Africa estate grown on hillside slopes near 1890"]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(cases)], "doc_id int, page int, text string")
+    got = {(r.doc_id, r.field): r.value for r in extract.first_patterns(df).collect()}
+    assert got == {
+        (0, "producer"): "Imported by Tropical Spirits LLC, New York, NY", (1, "producer"): cases[1], (2, "countryOfOrigin"): "Product of New Zealand", (3, "countryOfOrigin"): "PRODUCT OF U.S", (4, "countryOfOrigin"): "product of South Africa estate grown on hi",
+    }
 
 
 def test_streamed_lines_go_to_two_tables_and_a_restart_adds_nothing(spark, tmp_path):
@@ -128,9 +241,9 @@ def test_streamed_lines_go_to_two_tables_and_a_restart_adds_nothing(spark, tmp_p
 
 def test_archiving_twice_moves_nothing(spark):
     state = spark.createDataFrame([(1, "approved", None), (2, "pending_approval", None), (3, "rejected", "2024")], "app_id int, status string, archived_at string")
-    ids = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "app_id int")
-    assert [r.app_id for r in lifecycle.archive_request(state, ids).collect()] == [1]
-    assert lifecycle.archive_request(state.withColumn("archived_at", F.lit("x")), ids).count() == 0
+    ids = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (0, 3), (0, 9)], "request_id int, app_id int")
+    assert [r.app_id for r in lifecycle.archived_by(state, ids).collect()] == [1]
+    assert lifecycle.archived_by(state.withColumn("archived_at", F.lit("x")), ids).count() == 0
     assert state.where(lifecycle.status_filter([], None)).count() == 0
 
 
