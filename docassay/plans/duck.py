@@ -7,6 +7,9 @@ from functools import reduce
 from ..functions import constants as K
 from ..functions import normalize as N
 
+#: Fixed value: marks at the ends of a label line.
+EDGES = r"^[|\\/.,;:-]+|[|\\/.,;:-]+$"
+
 
 def quote(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
@@ -126,3 +129,14 @@ def presence_match(a: str, b: str) -> str:
 
 def blank(v: str) -> str:
     return f"coalesce(trim({v}) = '', true)"
+
+
+def similar(a: str, b: str) -> str:
+    short, long = f"least(len({a}), len({b}))", f"greatest(len({a}), len({b}), 1)"
+    within = f"{short} >= 4 and {short}::double / {long} >= 0.75 and (contains({a}, {b}) or contains({b}, {a}))"
+    return f"({a} = {b} or ({within}) or ({short} >= 4 and left({a}, 4) = left({b}, 4)))"
+
+
+def clean_line(v: str) -> str:
+    plain = whitespace(replace(v, "[“”\"']", ""))
+    return f"trim({replace(plain, EDGES, '')})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import prominent as P
 from ..operators import words as W
 from . import duck as D
@@ -49,8 +50,88 @@ def pages(s, d):
     return X.labels(s, d).select("doc_id", F.lit(1).alias("page"), F.when(c("doc_id") % 2 == 0, "front").otherwise("label").alias("kind"))
 
 
-add("X5_class_type_candidate", lambda s, d: P.class_type_candidate(words(s, d), pages(s, d), X.forms(s, d).select("doc_id", "product_type")))
-add("X6_prominent_name", lambda s, d: P.prominent_name(words(s, d), pages(s, d), X.forms(s, d).select("doc_id", c("applicant_name").alias("brand"))))
+def matches_any(v: str, patterns: list[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches({v}, {D.quote(p)})" for p in patterns) + ")"
+
+
+def lines_sql(least_conf: int, most_words: int) -> str:
+    """Lines of sure words, with their words and cleaned text, as SQL."""
+    return f"""
+ext as (
+  select doc_id, page, greatest(max(x1)::double, 1) as page_x, greatest(max(y1)::double, 1) as page_y from lw group by all),
+gathered as (
+  select doc_id, page, line, string_agg(text, ' ' order by x0, idx) as raw,
+    list({{'text': text, 'conf': conf::double, 'x0': x0::double, 'y0': y0::double, 'x1': x1::double, 'y1': y1::double}} order by x0, idx) as w
+  from lw where conf >= {least_conf} and regexp_matches(text, '[A-Za-z0-9]')
+  group by all having count(*) <= {most_words}),
+lines as (select *, {D.clean_line("raw")} as line_text from gathered)"""
+
+
+def measured_sql(source: str) -> str:
+    """The measures of the words w of each row of ``source``, as SQL."""
+    each = lambda n: f"list_transform(w, lambda x: x.{n})"
+    return f"""
+extents as (
+  select s.*, page_x, page_y, round(list_avg({each("conf")})) as mean_conf,
+    list_min({each("x0")}) as x0, list_max({each("x1")}) as x1, list_min({each("y0")}) as y0, list_max({each("y1")}) as y1
+  from {source} s join ext using (doc_id, page)),
+measured as (
+  select *, y1 - y0 as height, x1 - x0 as width, (y0 + y1) / 2 as cy,
+    1 - least(1.0::double, abs((x0 + x1) / 2 - page_x / 2) / (page_x / 2)) as centred, doc_id % 2 = 0 as front
+  from extents)"""
+
+
+FIRST = "qualify row_number() over (partition by doc_id order by score desc, front desc, page, line) = 1"
+
+_values = ", ".join(["nullif(array_to_string(grapes, ', '), '')", *(f"nullif(regexp_extract(line_text, {D.quote(p)}), '')" for p in P.CLASS_PATTERNS)])
+_starts = "list_filter(range(1, len(p) - len(t) + 2), lambda i: len(t) > 0 and p[i:i + len(t) - 1] = t)"
+_near = f"list_filter({_starts}, lambda i: list_contains(p[greatest(1, i - 2):i + len(t) + 2], 'wine'))"
+add(
+    "X5_class_type_candidate",
+    lambda s, d: P.class_type_candidate(words(s, d), pages(s, d), X.forms(s, d).select("doc_id", "product_type")),
+    f"""with {FX}, {LAID}, {D.keys("lexicon", K.VARIETALS)}, {lines_sql(30, 12)},
+named as (
+  select doc_id, page, line, w, line_text, {D.accepted(D.candidates("line_text", "ks"))} as grapes from lines, lexicon
+  where line_text <> '' and not {matches_any("line_text", [P.NOT_FIELD, P.MADE_BY, P.CHROME])}),
+kept as (select *, {D.family("line_text", "grapes")} as family, [{_values}] as found from named),
+tokens as (
+  select *, list_transform(w, lambda x: {D.lexicon_text("x.text")}) as p,
+    list_transform(found, lambda v: list_filter(string_split({D.lexicon_text("v")}, ' '), lambda u: u <> '')) as ts
+  from kept where family is not null),
+placed as (select *, list_transform(ts, lambda t: coalesce(({_near})[1], ({_starts})[1])) as places from tokens),
+chosen as (select *, list_filter(range(1, len(ts) + 1), lambda k: places[k] is not null)[1] as k from placed),
+runs as (
+  select doc_id, page, line, family, case when k is null then w else w[places[k]:places[k] + len(ts[k]) - 1] end as w from chosen),
+texts as (select *, array_to_string(list_transform(w, lambda x: x.text), ' ') as raw from runs),
+cleaned as (select *, {D.clean_line("raw")} as text from texts), {measured_sql("cleaned")},
+scored as (
+  select m.*, round(case when family = product_type then 60 else 0 end + case when front then 10 else 0 end
+    + case when cy <= page_y * 0.7::double then 8 else 0 end + centred * 10 + height, 6) as score
+  from measured m join fx_forms using (doc_id) where text <> '' and mean_conf >= 45)
+select doc_id, page, line, text, score, family from scored {FIRST}""",
+)
+
+
+def name_tokens_sql(v: str) -> str:
+    plain = D.replace(f"lower(coalesce({v}, ''))", r"[^a-z0-9\s]", " ")
+    return f"list_filter(list_distinct(regexp_split_to_array({plain}, '\\s+')), lambda t: len(t) >= 3)"
+
+
+_shared = f"len(list_filter({name_tokens_sql('text')}, lambda a: len(list_filter({name_tokens_sql('applicant_name')}, lambda b: {D.similar('a', 'b')})) > 0)) > 0"
+add(
+    "X6_prominent_name",
+    lambda s, d: P.prominent_name(words(s, d), pages(s, d), X.forms(s, d).select("doc_id", c("applicant_name").alias("brand"))),
+    f"""with {FX}, {LAID}, {lines_sql(35, 5)},
+named as (
+  select doc_id, page, line, w, line_text as text from lines
+  where regexp_matches(line_text, '[A-Za-z]{{3}}') and len(regexp_replace(line_text, '[^A-Za-z]', '', 'g')) >= 5
+    and not {matches_any("line_text", P.NOT_NAME)}), {measured_sql("named")},
+scored as (
+  select m.*, round(height * 2 + width * 0.03::double + centred * 20 - case when regexp_matches(text, '[0-9]') then 30 else 0 end, 6) as score
+  from measured m join fx_forms using (doc_id)
+  where mean_conf >= 75 and cy <= page_y * 0.62::double and not ({_shared}))
+select doc_id, page, line, text, score from scored {FIRST}""",
+)
 add("X8_warning_block", lambda s, d: P.warning_block(W.split_at_gaps(words(s, d), 200)))
 _token = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 _hits = " or ".join(f"{_token} = '{a}'" + (f" or (len({_token}) >= 5 and (contains({_token}, '{a}') or contains('{a}', {_token})))" if len(a) >= 5 else "") for a in P.REGION_ANCHORS)
