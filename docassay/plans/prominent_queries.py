@@ -132,7 +132,49 @@ scored as (
   where mean_conf >= 75 and cy <= page_y * 0.62::double and not ({_shared}))
 select doc_id, page, line, text, score from scored {FIRST}""",
 )
-add("X8_warning_block", lambda s, d: P.warning_block(W.split_at_gaps(words(s, d), 200)))
+
+
+def block_sql(gap: int, most_lines: int = 18) -> str:
+    """The walk over the lines below a warning's first words, one line a step, as SQL."""
+    complete = f"""(regexp_matches(lower({D.whitespace("text")}), '\\bproblems\\b')
+      or (contains(lower({D.whitespace("text")}), {D.quote(K.WARNING_PREFIX.lower())})
+        and {D.anchors("text", K.ANCHORS_1)} >= {K.ANCHOR_SHARE} and {D.anchors("text", K.ANCHORS_2)} >= {K.ANCHOR_SHARE}))"""
+    return f"""with recursive {FX}, {LAID},
+ordered as (
+  select *, row_number() over (partition by doc_id, page order by line, x0, idx) as place, lead(text) over l as next_text,
+    coalesce((x0 - lag(x1) over l > {gap})::int, 0) as jump
+  from lw window l as (partition by doc_id, page, line order by x0, idx)),
+split as (
+  select *, sum(jump) over (partition by doc_id, page, line order by x0, idx rows unbounded preceding) as cluster from ordered),
+begins as (
+  select doc_id, page, min(place) as first_place, arg_min(line, place) as first_line, arg_min(cluster, place) as first_cluster
+  from split where lower(text) = 'government' and starts_with(lower(next_text), 'warning') group by all),
+numbered as (
+  select doc_id, page, line, row_number() over (partition by doc_id, page order by line) as k
+  from (select distinct doc_id, page, line from split) join begins using (doc_id, page) where line >= first_line),
+clusters as (
+  select doc_id, page, k, cluster, min(x0) as a, max(x1) as b, count(*) as n, sum(conf) as conf, string_agg(text, ' ' order by x0, idx) as text
+  from split join numbered using (doc_id, page, line) where k > 1 group by all),
+walk as (
+  select doc_id, page, 1::bigint as k, min(x0)::double as a, max(x1)::double as b, 0 as missed, count(*)::bigint as n, sum(conf)::double as conf,
+    string_agg(text, ' ' order by x0, idx) as text, true as grown
+  from split join begins using (doc_id, page)
+  where line = first_line and cluster = first_cluster and place >= first_place group by doc_id, page
+  union all
+  select w.doc_id, w.page, w.k + 1, least(w.a, arg_min(c.a, c.cluster))::double, greatest(w.b, arg_min(c.b, c.cluster))::double,
+    case when count(c.cluster) = 0 then w.missed + 1 else 0 end, (w.n + coalesce(arg_min(c.n, c.cluster), 0))::bigint,
+    (w.conf + coalesce(arg_min(c.conf, c.cluster), 0))::double, concat_ws(' ', w.text, arg_min(c.text, c.cluster)), count(c.cluster) > 0
+  from (select * from walk where k < {most_lines} and missed < 2 and not (grown and {complete})) w
+  join numbered l on l.doc_id = w.doc_id and l.page = w.page and l.k = w.k + 1
+  left join clusters c on c.doc_id = w.doc_id and c.page = w.page and c.k = w.k + 1 and c.a <= w.b + 80 and c.b >= w.a - 80
+  group by w.doc_id, w.page, w.k, w.a, w.b, w.missed, w.n, w.conf, w.text)
+select doc_id, page, text, n as words, floor(conf / n + 0.5)::int as mean_conf from walk
+where n >= 10 qualify row_number() over (partition by doc_id, page order by k desc) = 1"""
+
+
+add("X8_warning_block", lambda s, d: P.warning_block(W.split_at_gaps(words(s, d), 200)), block_sql(200))
+# Lines that fall apart after every short word.
+add("X8_warning_block_narrow", lambda s, d: P.warning_block(W.split_at_gaps(words(s, d), 80)), block_sql(80))
 _token = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 _hits = " or ".join(f"{_token} = '{a}'" + (f" or (len({_token}) >= 5 and (contains({_token}, '{a}') or contains('{a}', {_token})))" if len(a) >= 5 else "") for a in P.REGION_ANCHORS)
 add(

@@ -296,7 +296,31 @@ def match_words(s, d):
 
 
 add("X2_match_to_words", match_words, f"with {HITS}, {SPANS} select sp.doc_id, sp.page, best.field, sp.idx, sp.text from best join pg on pg.doc_id = best.doc_id and pg.page = b.page join sp on sp.doc_id = pg.doc_id and sp.page = pg.page where start < instr(pg.text, b.value) - 1 + len(b.value) and start + len(sp.text) > instr(pg.text, b.value) - 1")
-add("X3_brand_ngram_match", lambda s, d: E.brand_match(X.forms(s, d).select("doc_id", c("brand_name").alias("brand")).join(pages(s, d).select("doc_id", "page", F.split("text", " ").alias("words")), "doc_id")))
+# Every run of words of every page, scored as it stands.
+_covered = f"len(list_filter(brand, lambda b: len(list_filter(run, lambda t: {D.similar('t', 'b')})) > 0 or (n > 1 and contains(array_to_string(run, ''), b))))"
+add(
+    "X3_brand_ngram_match",
+    lambda s, d: E.brand_match(X.forms(s, d).select("doc_id", c("brand_name").alias("brand")).join(pages(s, d).select("doc_id", "page", F.split("text", " ").alias("words")), "doc_id")),
+    f"""with {PAGES},
+brands as (
+  select doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(brand_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: len(t) >= 2) as brand
+  from fx_forms),
+plain as (
+  select doc_id, page, brand, len(brand) as n, least(greatest(len(brand) + 1, 3), 6) as most, string_split(text, ' ') as words,
+    list_transform(string_split(text, ' '), lambda w: regexp_replace(lower(w), '[^a-z0-9]', '', 'g')) as plain
+  from pg join brands using (doc_id) where len(brand) > 0),
+starts as (select *, unnest(range(0, len(plain))) as start from plain),
+sizes as (select *, unnest(range(1, most + 1)) as size from starts where len(plain[start + 1]) >= 2),
+runs as (
+  select *, list_filter(plain[start + 1:start + size], lambda t: len(t) >= 2) as run from sizes
+  where start + size <= len(plain) and not regexp_matches(array_to_string(words[start + 1:start + size], ' '), {D.quote(E.NOT_BRAND)})),
+scored as (
+  select doc_id, page, start, size, round({_covered}::double / n + case when len(run) = n then 0.05::double else 0 end
+    - greatest(0, len(run) - n) * 0.08::double, 9) as score
+  from runs)
+select doc_id, page, start, size, score from scored where score >= {E.LEAST_BRAND}
+qualify row_number() over (partition by doc_id order by score desc, page, start, size) = 1""",
+)
 _tok = "select distinct unnest(string_split(lower({v}), ' ')) {n} from {t}"
 _sim = "(a = b or (least(len(a), len(b)) >= 4 and least(len(a), len(b)) / greatest(len(a), len(b)) >= 0.75 and (contains(a, b) or contains(b, a))) or (least(len(a), len(b)) >= 4 and a[:4] = b[:4]))"
 add(
