@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+BITMAP = 1 << 27  # bits: 16 MB at the driver and in each executor
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
@@ -178,6 +180,23 @@ def windows(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), at[inside]
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """BITMAP bits with that of every hash ``h`` set. Its size does not depend on the rows; of very many hashes it says little, but never leaves one out."""
+    bit = F.pmod("h", F.lit(BITMAP)) + 1
+    # Dealt out by bucket before they are set, so that no task sends parts of all buckets.
+    rows = hashes.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p")).repartition("b")
+    bits = np.zeros(BITMAP // 8 + 4096, np.uint8)
+    for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():  # at most BITMAP bits in all
+        bits[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(r.m, np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of some unsigned hashes may be among those of a bitmap."""
+    b = (h & np.uint64(BITMAP - 1)).astype(np.int64)
+    return (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores added until no column of the frames is called so (column names ignore case)."""
     taken = {c.lower() for df in frames for c in df.columns}

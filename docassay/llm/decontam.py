@@ -9,7 +9,7 @@ common unmarked runs, the longest are marked first in both texts, and the search
 tokens that tiles cover is its coverage; a pair leaks from ``COVERAGE`` on.
 
 A benchmark of at most ``BLOCK_BYTES`` goes to the tasks as a broadcast of token hashes and seeds, and no document row is
-shuffled. A larger one is joined with the documents on seeds; a bitmap of ``BITMAP`` bits keeps most
+shuffled. A larger one is joined with the documents on seeds; a bitmap of 16 MB keeps most
 windows of documents out of that join, and only the texts of pairs that met are shuffled. Both ways give the same rows.
 
 Defined cases: a null or empty document leaks nothing; an item without tokens never matches; an
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .batches import Tokens, buffers, slices, sums, windows
+from .batches import Tokens, bitmap, buffers, in_bitmap, slices, sums, windows
 from .cluster import cut
 
 SHORTEST, COVERAGE = 5, 0.8
-BLOCK_BYTES, BITMAP = 32 << 20, 1 << 27
+BLOCK_BYTES = 32 << 20
 NAMES = ["item_id", "coverage", "tiles", "covered", "tokens"]
 _KNOWN = 1 << 22
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
@@ -391,12 +391,7 @@ def joined_leaks(docs: DataFrame, items: DataFrame, shortest: int, coverage: flo
     texts = items.select("t1", "t2", "t").dropDuplicates(["t1", "t2"])
     seeds = item_seeds(texts, shortest, coverage)
     lengths = [r.k for r in seeds.select("k").distinct().collect()]  # at most SHORTEST
-    bit = F.pmod("h", F.lit(BITMAP)) + 1
-    held = seeds.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    known = np.zeros(BITMAP // 8 + 4096, np.uint8)
-    for r in held:  # at most BITMAP bits in all
-        known[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(r.m, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(seeds))
     own = docs.where("t is not null").select("t", *text_key("t", "d"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +401,7 @@ def joined_leaks(docs: DataFrame, items: DataFrame, shortest: int, coverage: flo
                 tokens = Tokens(*buffers(part.column("t")))
                 for k in lengths:
                     h, at = windows(tokens, k)
-                    b = (h & np.uint64(BITMAP - 1)).astype(np.int64)
-                    near = np.flatnonzero(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1)
+                    near = np.flatnonzero(in_bitmap(bits, h))
                     document = np.searchsorted(tokens.first, at[near], "right") - 1
                     pair = np.unique(np.stack([document.astype(np.uint64), h[near]], 1), axis=0)
                     d = pa.array(pair[:, 0].astype(np.int64))

@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import Tokens, beside, buffers, mix, powers, slices, unused
+from .batches import Tokens, beside, bitmap, buffers, in_bitmap, mix, powers, slices, unused
+from .cluster import cut
 
 SENTENCES, WORDS, WINDOW = 3, 20, 8
 ADDED = ["n_sentences", "n_units", "n_removed"]
@@ -119,8 +121,8 @@ class Runs:
         return b"".join(kept).decode("utf-8", "replace").strip()
 
 
-def runs(docs: DataFrame, long: int | None) -> DataFrame:
-    """(id_, h, g): every different run of every document (id_, t)."""
+def runs(docs: DataFrame, long: int | None, among: Broadcast | None = None) -> DataFrame:
+    """(id_, h, g): every different run of every document (id_, t), or those that a bitmap may hold."""
     rows = docs.where("id_ is not null and t is not null")
     schema = T.StructType([rows.schema["id_"], T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])
 
@@ -129,6 +131,8 @@ def runs(docs: DataFrame, long: int | None) -> DataFrame:
             for part in slices(whole, "t"):
                 own = Runs(part.column("t"), long)
                 pick = own.firsts()
+                if among is not None:
+                    pick = pick[in_bitmap(among.value, own.hash[pick].view(np.uint64))]
                 ids = part.column("id_").take(pa.array(own.document[pick]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(own.hash[pick]), pa.array(own.check[pick])], ["id_", "h", "g"])
 
@@ -137,9 +141,12 @@ def runs(docs: DataFrame, long: int | None) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int | None = None) -> DataFrame:
     """``docs`` with repeated sentences taken out of ``text``, and n_sentences, n_units (sentences, or pieces with ``long``) and n_removed (of these) added."""
-    found = runs(docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t")), long)
-    first = found.groupBy("h", "g").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_")).where("first_ < last_")
-    later = found.join(first.select("h", "g", "first_"), ["h", "g"]).where("id_ <> first_")
+    texts = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t"))
+    ends = runs(texts, long).groupBy("h", "g").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_"))
+    first = cut(ends.where("first_ < last_").select("h", "g", "first_"))
+    # Most runs stand in one document: a bitmap of the others keeps them from being shuffled again.
+    among = docs.sparkSession.sparkContext.broadcast(bitmap(first))
+    later = runs(texts, long, among).join(first, ["h", "g"]).where("id_ <> first_")
     # The document's own run has these 96 bits, so 64 of them find it again inside the document.
     id_, hits = unused("later_id_", docs), unused("later_h_", docs)
     later = later.groupBy(F.col("id_").alias(id_)).agg(F.collect_set("h").alias(hits))
