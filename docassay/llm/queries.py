@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.folders import scratch
-from . import decontam, langid, media, mixing, quality, simhash, spans, toxicity, warc, wordpiece
+from . import decontam, divergence, langid, media, mixing, quality, reversed_search, simhash, spans, toxicity, warc, whitening, wordpiece
+from .sql import QUALITY_RULES, SEARCH
 
 
 #: Sentences of more words are cut further, so that passages that begin inside a sentence are found too.
@@ -75,6 +76,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", *divergence.RESULT[:7])
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +100,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_whitening": op13_whitening,
 }
 
 
@@ -101,6 +118,8 @@ def _base32_sql(h: str) -> str:
 
 #: The other operators are trained, hashed in a way that SQL lacks, or iterate; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op11_quality_rules": QUALITY_RULES,
+    "op12_reversed_search": SEARCH,
     "op8_warc": f"""with p as (select page_id, url, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
         f as (select *, min(page_id) over (partition by body) as first_id from p)
         select page_id, strlen(body) as payload_bytes, {_base32_sql("h")} as payload_digest,
