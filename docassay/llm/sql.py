@@ -32,10 +32,10 @@ with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '')
 w as (select rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, {_TERMS} as ts from d),
 lines as (select rid, unnest(string_split(t, chr(10))) as line from d),
 dup as (select rid, sum(n - 1) as n from (select rid, count(*) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid, line) group by rid),
-words as (select rid, unnest(ws) as w1, unnest(range(1, len(ws) + 1)) as i from w),
-places as (select a.rid, a.i, a.w1 || ' ' || b.w1 || ' ' || c.w1 as three from words a join words b on b.rid = a.rid and b.i = a.i + 1 join words c on c.rid = a.rid and c.i = a.i + 2),
-twice as (select rid, three from places group by rid, three having count(*) > 1),
-repeated as (select rid, i from places join twice using (rid, three)),
+words as (select rid, unnest(ws) as w, unnest(range(len(ws))) as i from w),
+threes as (select rid, i, w || ' ' || lead(w) over o || ' ' || lead(w, 2) over o as three from words window o as (partition by rid order by i)),
+twice as (select rid, three from threes where three is not null group by rid, three having count(*) > 1),
+repeated as (select rid, i from threes join twice using (rid, three)),
 covered as (select rid, count(distinct i + j) as n from repeated, (values (0), (1), (2)) as o(j) group by rid),
 base as (select d.rid, d.doc_id, len(ws) as n_words, coalesce(length(array_to_string(ws, '')), 0) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
   coalesce(dup.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words from d join w using (rid) left join dup using (rid) left join covered using (rid)),
