@@ -131,3 +131,11 @@ WINE_COUNTRIES = [
 APPELLATIONS = {"American": ["USA", "U.S.A.", "United States", "United States of America"]}
 for _name in [*(" ".join(w.capitalize() for w in s.split()) for s in STATES), *WINE_REGIONS, *WINE_COUNTRIES]:
     APPELLATIONS.setdefault(_name, ["Burgundy"] if _name == "Bourgogne" else [])
+
+# Printed text that tells a form's page, a label's page, and the sides of a label.
+FORM_MARKERS = [
+    "PART I - APPLICATION", "BRAND NAME", "TYPE OF PRODUCT", "PLANT REGISTRY", "SERIAL NUMBER", "TYPE OF APPLICATION", "NAME AND ADDRESS OF APPLICANT", "FANCIFUL NAME",
+]
+LABEL_MARKERS = ["AFFIX COMPLETE SET OF LABELS", "Image Type:", "Brand (front)"]
+FRONT_MARKERS = ["Brand (front) or keg collar", "Brand (front)", "or keg collar"]
+BACK_MARKERS = ["Image Type: Back"]

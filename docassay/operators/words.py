@@ -228,12 +228,6 @@ def pick_pages(stats: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", kind.alias("kind"), place.alias("place")).where(F.col("place") <= MOST_PAGES).select("doc_id", "page", "kind")
 
 
-def tabs(pages: DataFrame) -> DataFrame:
-    """doc_id, page, tab: form over back over front where kinds say so; a label page is the front's."""
-    kind = F.col("kind")
-    return pages.select("doc_id", "page", F.when(F.contains(kind, F.lit("form")), "form").when(F.contains(kind, F.lit("back")), "back").otherwise("front").alias("tab"))
-
-
 def city_state_zip(v: Column) -> dict[str, Column]:
     """city, state and postal code of a line; null unless all three are there (the value is trimmed first)."""
     pattern = r"(?i)^(.+?)\s+([A-Z]{2})\s+(\d{5}(?:-\d{4})?)$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import normalize as N
 from ..operators import extract as E
+from ..operators import pages as P
 from ..operators import words as W
 from . import duck as D
 from . import fixtures as X
@@ -144,7 +145,7 @@ def items(s, d):
 
 
 def clean_items(s, d):
-    return items(s, d).where(F.trim("text") != "").withColumns({"text": F.trim("text"), "height": F.coalesce("height", F.hypot("m2", "m3"))})
+    return P.clean_items(items(s, d))
 
 
 add("G1_clean_text_items", lambda s, d: clean_items(s, d).select("doc_id", "item_idx", "text", "height"), f"with {ITEMS} select doc_id, item_idx, trim(text) as text, coalesce(height, sqrt(m2 * m2 + m3 * m3)) as height from fx_items where trim(text) <> ''")
@@ -157,54 +158,102 @@ select doc_id, item_idx, count(*) as n, round(sum(round((x + width * st / len(te
 )
 
 # --- images and pages: lineitem rows as the images of a page ---
-IMAGES = "im as (select l_orderkey doc_id, l_linenumber page, l_quantity * 16 width, l_extendedprice / 100 height, cast(30 * l_linenumber - 40 as double) x, cast(5 as double) y, cast(600 as double) page_width, cast(800 as double) page_height, case l_returnflag when 'A' then 3 when 'N' then 1 else 2 end hits, l_linestatus = 'O' marker from lineitem)"
-STATS = f"{IMAGES}, st as (select doc_id, page, max(hits) marker_hits, bool_or(marker) has_marker, bool_or(width * height >= {W.AREA} or (least(width, height) >= {W.SHORT_SIDE} and greatest(width, height) >= {W.LONG_SIDE})) has_image, max(width * height) largest, count(*) n from im group by all)"
+IMAGES = "im as (select l_orderkey doc_id, l_linenumber page, l_quantity * 16 width, l_extendedprice / 100 height, cast(30 * l_linenumber - 40 as double) x, cast(5 as double) y, cast(600 as double) page_width, cast(800 as double) page_height from lineitem)"
+#: Lines of documents that give way to these, dealt over four pages; neighbours on a page are four apart, so that one marker stands in two items.
+PRINTED = [
+    "PART I - APPLICATION", "5. BRAND", "4. TYPE OF PRODUCT (Required)", "2. PLANT REGISTRY/BASIC PERMIT", "3. SERIAL NUMBER", " NAME ", "14. TYPE OF APPLICATION", "8. NAME AND ADDRESS OF APPLICANT", "6. FANCIFUL NAME",
+    "AFFIX COMPLETE SET OF LABELS BELOW", "Image Type: Back", "Brand (front) or keg collar", "Brand name", "Image Type:", "or keg collar", "   ", "Brand (front)", "SERIAL", "NUMBER", "serial number", "x", "y",
+]
+PAGE_TEXTS = f"""pgi as (select doc_id, z[2] % 4 + 1 as page, z[2] as i, trim(coalesce({D.lists(PRINTED)}[(doc_id * 7 + z[2]) % 41 + 1], z[1])) t from (select doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) z from documents)),
+pt as (select doc_id, page, string_agg(t, ' ' order by i) t, count(*) n_items from pgi where t <> '' group by all)"""
+_hits = lambda markers: " + ".join(f"contains(t, {D.quote(m)})::int" for m in markers)
+STATS = f"""{IMAGES}, {PAGE_TEXTS}, pi as (select doc_id, page, bool_or(width * height >= {W.AREA} or (least(width, height) >= {W.SHORT_SIDE} and greatest(width, height) >= {W.LONG_SIDE})) has_image, max(width * height) largest, count(*) n_images from im group by all),
+st as (select doc_id, page, coalesce({_hits(K.FORM_MARKERS)}, 0) marker_hits, coalesce(({_hits(K.LABEL_MARKERS)}) > 0, false) has_marker, coalesce({_hits(K.FRONT_MARKERS)}, 0) front_hits, coalesce({_hits(K.BACK_MARKERS)}, 0) back_hits, coalesce(n_items, 0) n_items, coalesce(n_images, 0) n_images, coalesce(has_image, false) has_image, coalesce(largest, 0) largest from pt full join pi using (doc_id, page))"""
 
 
 def images(s, d):
     return X.view(s, d, f"with {IMAGES} select * from im")
 
 
+def page_items(s, d):
+    rows = X.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item_idx", "line"))
+    printed = F.try_element_at(F.array(*map(F.lit, PRINTED)), ((c("doc_id") * 7 + c("item_idx")) % 41 + 1).cast("int"))
+    return rows.select("doc_id", (c("item_idx") % 4 + 1).alias("page"), "item_idx", F.coalesce(printed, "line").alias("text"), *[F.lit(1.0).alias(v) for v in ("height", "m2", "m3")])
+
+
 def stats(s, d):
-    return images(s, d).groupBy("doc_id", "page").agg(F.max("hits").alias("marker_hits"), F.bool_or("marker").alias("has_marker"), F.bool_or(W.substantial(c("width"), c("height"))).alias("has_image"), F.max(c("width") * c("height")).alias("largest"), F.count("*").alias("n"))
+    return P.page_stats(P.clean_items(page_items(s, d)), images(s, d))
 
 
 PICKED = f"""{STATS}, r as (select *, row_number() over (partition by doc_id order by marker_hits desc, page) = 1 is_form from st), r2 as (select *, max((not is_form and has_image)::int) over (partition by doc_id) = 1 any_image from r),
 r3 as (select *, not is_form and case when any_image then has_image else has_marker end is_label from r2), r4 as (select *, max(is_label::int) over (partition by doc_id) = 1 any_label from r3),
 picked as (select doc_id, page, case when is_label then 'label' when any_label then 'form' else 'form+label' end kind from r4 where is_form or is_label qualify row_number() over (partition by doc_id order by page) <= {W.MOST_PAGES})"""
-add("G2_page_stats", stats, f"with {STATS} select doc_id, page, marker_hits, has_marker, has_image, largest, n from st")
+add(
+    "G2_page_stats", lambda s, d: stats(s, d).withColumn("largest", F.round("largest", 6)),
+    f"with {STATS} select doc_id, page, marker_hits, has_marker, front_hits, back_hits, n_items, n_images, has_image, round(largest, 6) as largest from st",
+)
 add(
     "G3_substantial_images",
     lambda s, d: W.label_rects(images(s, d)).select("doc_id", "page", "rx0", "ry0", "rx1", "ry1"),
     f"with {IMAGES}, k as (select doc_id, page, greatest(0, least(page_width, x - 4)) rx0, greatest(0, least(page_height, y - 4)) ry0, greatest(0, least(page_width, x + width + 4)) rx1, greatest(0, least(page_height, y + height + 4)) ry1 from im where width * height >= {W.AREA} or (least(width, height) >= {W.SHORT_SIDE} and greatest(width, height) >= {W.LONG_SIDE})) select * from k where rx1 - rx0 > 1 and ry1 - ry0 > 1",
 )
 add("G4_pick_pages", lambda s, d: W.pick_pages(stats(s, d)), f"with {PICKED} select doc_id, page, kind from picked")
-TABS = f"{PICKED}, tabs as (select doc_id, page, case when contains(kind, 'form') then 'form' when contains(kind, 'back') then 'back' else 'front' end tab from picked)"
-add("G21_page_kind_derive", lambda s, d: W.tabs(W.pick_pages(stats(s, d))), f"with {TABS} select doc_id, page, tab from tabs")
-add("G22_available_tabs", lambda s, d: W.tabs(W.pick_pages(stats(s, d))).groupBy("doc_id", "tab").agg(F.min("page").alias("page")), f"with {TABS} select doc_id, tab, min(page) as page from tabs group by all")
+# Kinds as a renderer may give them, and boxes of fields: lineitem rows, of those that share a field the first.
+KINDS = f"{PICKED}, kd as (select doc_id, page, case when kind = 'label' then case (doc_id + page) % 5 when 0 then 'label-back' when 1 then 'label-front' when 2 then 'unknown' else 'label' end else kind end kind from picked)"
+BOXED = ["application.brandName", "application.serialNumber", "application.applicant.name", "label.brandName", "label.abv", "label.governmentWarning", "label.producer", "label.wineVarietal"]
+BOX_ROWS = f"""bxr as (select l_orderkey doc_id, {{field}} field, l_linenumber page, case when l_suppkey % 3 = 0 then 'vlm' when l_suppkey % 3 = 1 then 'pdf' else 'tesseract' end source, l_quantity % 4 n_words,
+case when l_suppkey % 3 = 0 then null else l_quantity + 50 end mean_confidence, row_number() over (partition by l_orderkey, l_partkey % {len(BOXED)} order by l_linenumber, l_partkey, l_suppkey, l_quantity) k from lineitem)"""
+BOX_SQL = BOX_ROWS.format(field=f"{D.lists(BOXED)}[l_partkey % {len(BOXED)} + 1]")
+WANTED = f"wt as (select doc_id, unnest({D.lists(BOXED)}) field from (select distinct l_orderkey doc_id from lineitem))"
+
 
+def kinds(s, d):
+    named = F.when((c("doc_id") + c("page")) % 5 == 0, "label-back").when((c("doc_id") + c("page")) % 5 == 1, "label-front").when((c("doc_id") + c("page")) % 5 == 2, "unknown").otherwise("label")
+    return W.pick_pages(stats(s, d)).withColumn("kind", F.when(c("kind") == "label", named).otherwise(c("kind")))
 
-def routes(s, d):
-    tabs = W.tabs(W.pick_pages(stats(s, d)))
-    own = images(s, d).where("marker").groupBy("doc_id").agg(F.min("page").alias("own_page"))
-    have = tabs.groupBy("doc_id").agg(F.bool_or(c("tab") == "front").alias("front"), F.bool_or(c("tab") == "back").alias("back"))
-    page = own.join(tabs.withColumnsRenamed({"page": "own_page", "tab": "own_tab"}), ["doc_id", "own_page"], "left")
-    return have.join(page, "doc_id", "left").select("doc_id", F.coalesce("own_tab", F.when(c("front") | ~c("back"), "front").otherwise("back")).alias("tab"))
 
+def boxes(s, d):
+    rows = X.view(s, d, f"with {BOX_ROWS.format(field=f'element_at(array({D.lists(BOXED)[1:-1]}), cast(l_partkey % {len(BOXED)} + 1 as int))')} select * from bxr where k = 1")
+    return rows.withColumn("words", F.transform(F.sequence(F.lit(1), c("n_words").cast("int") + 1), lambda i: F.concat(F.lit("w"), i.cast("string")))).withColumn("words", F.slice("words", F.lit(1), c("n_words").cast("int")))
 
-add("G23_field_route", routes, f"with {TABS}, own as (select doc_id, min(page) page from im where marker group by 1), have as (select doc_id, bool_or(tab = 'front') f, bool_or(tab = 'back') b from tabs group by 1) select h.doc_id, coalesce(t.tab, case when f or not b then 'front' else 'back' end) as tab from have h left join own o using (doc_id) left join tabs t on t.doc_id = o.doc_id and t.page = o.page")
 
+def wanted(s, d):
+    return X.table(s, d, "lineitem").select(c("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(*map(F.lit, BOXED))).alias("field"))
 
-def vlm_page(s, d):
-    pages = W.pick_pages(stats(s, d))
-    ocr = images(s, d).where("hits = 2").select("doc_id", "page").distinct()
-    label = F.contains(c("kind"), F.lit("label"))
-    rows = pages.join(ocr.withColumn("ocr", F.lit(True)), ["doc_id", "page"], "left")
-    return rows.groupBy("doc_id").agg(F.coalesce(F.min(F.when(label & c("ocr"), c("page"))), F.min(F.when(label, c("page"))), F.min("page"), F.lit(1)).alias("page"))
 
+def provenance(s, d):
+    """Entries of an older kind of run, for the first line of some orders."""
+    field = F.try_element_at(F.array(*map(F.lit, BOXED)), (c("l_suppkey") % len(BOXED) + 1).cast("int"))
+    rows = X.table(s, d, "lineitem").where("l_linenumber = 1")
+    return rows.select(c("l_orderkey").alias("doc_id"), field.alias("field"), F.when(c("l_orderkey") % 4 == 0, "low").when(c("l_orderkey") % 4 != 3, "high").alias("confidence")).distinct()
 
-add("G24_vlm_routing_page", vlm_page, f"with {PICKED}, ocr as (select distinct doc_id, page from im where hits = 2) select p.doc_id, coalesce(min(p.page) filter (contains(kind, 'label') and o.page is not null), min(p.page) filter (contains(kind, 'label')), min(p.page), 1) as page from picked p left join ocr o on o.doc_id = p.doc_id and o.page = p.page group by 1")
-add("P11_ocr_page_selection", lambda s, d: W.pick_pages(stats(s, d)).where((c("doc_id") % 3 != 0) | F.contains(c("kind"), F.lit("label"))).select("doc_id", "page"), f"with {PICKED} select doc_id, page from picked where doc_id % 3 <> 0 or contains(kind, 'label')")
+
+_kind_rank = "case when contains(kind, 'form') then 3 when contains(kind, 'back') then 2 when contains(kind, 'front') or contains(kind, 'label') then 1 end"
+_field_rank = "case when field like 'application.%' then 3 when field = 'label.governmentWarning' then 2 else 1 end"
+_tab = lambda rank: f"case {rank} when 3 then 'form' when 2 then 'back' when 1 then 'front' end"
+TABS = f"""{KINDS}, {BOX_SQL}, bx1 as (select * from bxr where k = 1), locked as (select doc_id, page from kd where contains(kind, 'form') or contains(kind, 'front') or contains(kind, 'back')),
+cand as (select doc_id, page, {_kind_rank} as rank from kd where {_kind_rank} is not null union all select doc_id, page, {_field_rank} from bx1 anti join locked using (doc_id, page) where source <> 'vlm' and n_words > 0),
+tabs as (select doc_id, page, {_tab('max(rank)')} tab from cand group by all)"""
+add("G21_page_kind_derive", lambda s, d: P.page_kinds(kinds(s, d), boxes(s, d)), f"with {TABS} select doc_id, page, tab from tabs")
+add("G22_available_tabs", lambda s, d: P.available_tabs(P.page_kinds(kinds(s, d), boxes(s, d))), f"with {TABS} select doc_id, tab, min(page) as page from tabs group by all")
+add(
+    "G23_field_route",
+    lambda s, d: P.select_fields(wanted(s, d), boxes(s, d), P.page_kinds(kinds(s, d), boxes(s, d))).withColumns({"words": F.array_join("words", " "), "page": c("page").cast("string")}),
+    f"""with {TABS}, {WANTED}, have as (select doc_id, min(page) filter (tab = 'form') form_page, min(page) filter (tab = 'front') front_page, min(page) filter (tab = 'back') back_page from tabs group by 1),
+j as (select w.doc_id, w.field, b.page box_page, b.source, b.n_words, t.tab box_tab, h.*, coalesce(b.source <> 'vlm' and b.n_words > 0, false) shown from wt w left join bx1 b using (doc_id, field) left join tabs t on t.doc_id = w.doc_id and t.page = b.page left join have h on h.doc_id = w.doc_id),
+p as (select *, case when shown then coalesce(box_tab, {_tab(_field_rank)}) when field like 'application.%' then 'form' when field = 'label.brandName' then 'front' when front_page is null and back_page is not null then 'back' else 'front' end tab from j)
+select doc_id, field, tab, case when shown then box_page else case tab when 'form' then form_page when 'back' then back_page else front_page end end::varchar as page, case when shown then array_to_string(list_transform(range(1, n_words::int + 1), lambda i: 'w' || i), ' ') end as words, coalesce(source = 'vlm', false) as is_fallback from p""",
+)
+add(
+    "G24_vlm_routing_page", lambda s, d: P.vlm_pages(W.pick_pages(stats(s, d)), boxes(s, d).where(P.drawn())),
+    f"with {TABS}, ocr as (select distinct doc_id, page from bx1 where source <> 'vlm' and n_words > 0) select p.doc_id, coalesce(min(p.page) filter (contains(kind, 'label') and o.page is not null), min(p.page) filter (contains(kind, 'label')), min(p.page), 1) as page from picked p left join ocr o on o.doc_id = p.doc_id and o.page = p.page group by 1",
+)
+add("P11_ocr_page_selection", lambda s, d: P.pages_to_read(W.pick_pages(stats(s, d)), X.table(s, d, "orders").where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("doc_id"))), f"with {PICKED} select doc_id, page from picked where doc_id not in (select o_orderkey from orders where o_orderkey % 3 = 0) or contains(kind, 'label')")
+SOURCES = f"""{BOX_SQL}, {WANTED}, bx1 as (select * from bxr where k = 1), pv as (select distinct l_orderkey doc_id, {D.lists(BOXED)}[l_suppkey % {len(BOXED)} + 1] field, case l_orderkey % 4 when 0 then 'low' when 3 then null else 'high' end confidence from lineitem where l_linenumber = 1),
+fs as (select w.doc_id, w.field, case when b.source in ('pdf', 'tesseract') and n_words > 0 then b.source when b.source = 'vlm' then 'vlm' when confidence is not null then 'tesseract' else 'none' end source, coalesce(confidence = 'low', false) or coalesce(mean_confidence < {P.LOW_CONFIDENCE}, false) low from wt w left join bx1 b using (doc_id, field) left join pv using (doc_id, field))"""
+_sources = lambda s, d: P.field_sources(wanted(s, d), boxes(s, d), provenance(s, d))
+add("P7_field_source_class", lambda s, d: _sources(s, d).drop("low"), f"with {SOURCES} select doc_id, field, source from fs")
+add("P9_field_low_confidence", lambda s, d: _sources(s, d).drop("source"), f"with {SOURCES} select doc_id, field, low from fs")
 CHOICES = "ch as (select l_orderkey doc_id, 'c' || l_linenumber || '-' || l_partkey || '-' || l_suppkey choice, max(l_extendedprice) score from lineitem group by all)"
 add("G15_checked_choice", lambda s, d: W.checked_choice(X.view(s, d, f"with {CHOICES.replace('group by all', 'group by 1, 2')} select * from ch")), f"with {CHOICES}, r as (select *, row_number() over w p, lead(score) over w n from ch window w as (partition by doc_id order by score desc, choice)) select doc_id, choice, score from r where p = 1 and n is not null and score >= {W.LEAST_INK} and score >= {W.MARGIN} * n")
 ADDRESS = """ad as (select s_suppkey doc_id, u.line, u.text from supplier join nation on n_nationkey = s_nationkey, lateral (values (0, case when s_suppkey % 3 = 0 then 'Basic permit no. 12' else s_name || ' Holding' end), (1, case when s_suppkey % 2 = 0 then s_name || ' ( used on label )' else 'Tradename line' end), (2, (s_suppkey + 10) || ' Main  Street'), (3, n_name || ' ky ' || case when s_suppkey % 5 = 0 then '' else (10000 + s_suppkey) || '' end)) u(line, text))"""
@@ -376,5 +425,3 @@ add("X17_value_sanitizers", lambda s, d: X.forms(s, d).select("doc_id", E.form_w
 _strict = {k: f"regexp_matches(upper(class_type), {D.quote(p)})" for k, p in E.STRICT.items()}
 add("X18_family_from_text_strict", lambda s, d: X.labels(s, d).select("doc_id", E.strict_family(c("class_type")).alias("family")), f"with {FX} select doc_id, case when {' + '.join(f'({v})::int' for v in _strict.values())} = 1 then case {' '.join(f'when {v} then {D.quote(k)}' for k, v in _strict.items())} end end as family from fx_labels")
 add("X19_all_caps_flag", lambda s, d: X.labels(s, d).select("doc_id", E.all_caps(c("brand_name")).alias("v")), f"with {FX} select doc_id, not regexp_matches(brand_name, '[a-z]') as v from fx_labels")
-add("P7_field_source_class", lambda s, d: fields(s, d).select("doc_id", "field", F.when(c("source") == "vlm", "vlm").when(c("has_box"), c("source")).when(c("mean_conf") > 60, "tesseract").otherwise("none").alias("source")), f"with {FIELDS} select doc_id, field, case when source = 'vlm' then 'vlm' when has_box then source when mean_conf > 60 then 'tesseract' else 'none' end as source from fl")
-add("P9_field_low_confidence", lambda s, d: fields(s, d).select("doc_id", "field", (c("mean_conf") < 70).alias("low")), f"with {FIELDS} select doc_id, field, mean_conf < 70 as low from fl")
