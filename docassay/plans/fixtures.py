@@ -48,7 +48,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "part") else rows
+    return spread(rows) if name in ("documents", "part", "events") else rows
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import rules as R
 from ..sources import results as S
 from ..sources.folders import scratch
 from . import fixtures as X
+from .result_lines import LINES, PARSED
 from .text_queries import FX, RULED, _reasons, _tests
 
 QUERIES: dict = {}
@@ -55,48 +56,24 @@ def admit(s, d, sql):
 
 add("S3_batch_admission", lambda s, d: admit(s, d, UPLOADS), batches(UPLOADS))
 add("S3_batch_admission_small", lambda s, d: admit(s, d, SMALL), batches(SMALL))
-LINES = """fx_ndjson as (select event_id, case when event_id % 101 = 0 then '   ' when event_id % 97 = 0 then '{"filename": "f' || event_id || '", "sta' when event_id % 89 = 0 then '{"filename": ' || event_id || ', "status": "ok", "overallStatus": "compliant", "durationMs": 5}'
- when event_type = 'error' then '{"filename": "f' || event_id || '", "status": "error", "errorMessage": "failed ' || user_id || '", "durationMs": ' || (event_id % 900) || '}'
- when event_type = 'view' then '{"filename": "f' || event_id || '", "status": "ok", "overallStatus": "unknown", "durationMs": 7}'
- else '{"filename": "f' || event_id || '", "status": "ok", "overallStatus": "' || case event_id % 3 when 0 then 'compliant' when 1 then 'needs_review' else 'non_compliant' end || '", "durationMs": ' || (event_id % 900) || '}' end as value from events)"""
 lines = lambda s, d: X.view(s, d, f"with {LINES} select * from fx_ndjson")
-KINDS = "case when not json_valid(value) then 'parse-error' when json_type(value, '$.filename') <> 'VARCHAR' then 'schema-error' when value->>'$.status' = 'ok' and value->>'$.overallStatus' in ('compliant', 'needs_review', 'non_compliant') then 'ok' when value->>'$.status' = 'error' and json_type(value, '$.errorMessage') = 'VARCHAR' then 'error' else 'schema-error' end"
-PARSED = f"{LINES}, j as (select event_id, value, {KINDS} kind from fx_ndjson where trim(value) <> '')"
-_get = lambda p, when: f"case when {when} then json_extract_string(case when json_valid(value) then value else '{{}}' end, '$.{p}') end"
+_got = lambda path: f"json_extract_string(v, '$.{path}')"
 add(
     "S5_result_lines_source",
-    lambda s, d: S.parse_lines(lines(s, d)),
-    f"with {PARSED} select event_id, kind, {_get('filename', chr(107) + 'ind in (' + repr('ok') + ', ' + repr('error') + ')')} as filename, {_get('overallStatus', 'kind = ' + repr('ok'))} as overall_status, {_get('errorMessage', 'kind = ' + repr('error'))} as error_message, ({_get('durationMs', 'kind in (' + repr('ok') + ', ' + repr('error') + ')')})::double as duration_ms, case when kind like '%-error' then value end as quarantined from j",
+    lambda s, d: S.parse_lines(lines(s, d)).withColumn("index", F.coalesce("index", F.lit(-1))).drop("report"),
+    f"""with {PARSED} select event_id, kind, {_got('status')} as status, coalesce({_got('index')}::bigint, -1) as "index", {_got('filename')} as filename, {_got('durationMs')}::double as duration_ms, {_got('applicationId')} as application_id,
+ {_got('report.overallStatus')} as overall_status, {_got('errorMessage')} as error_message, problems, case when problems is not null then value end as quarantined from j""",
 )
-# Result lines with a report, a fault in each of some residue classes of event_id.
-_report = """'{"status": "ok", "index": ' || case event_id % 23 when 1 then '-1' when 2 then '1.5' else event_id || '' end || ', "filename": "f", "durationMs": 5, "applicationId": ' || case event_id % 19 when 1 then '"12-34"' when 2 then 'null' else '"0a1b2c3d-0000-4000-8000-0123456789ab"' end
- || ', "report": {"overallStatus": "' || case when event_id % 29 = 1 then 'fine' else 'compliant' end || '", "fields": {"brand": {"status": "' || case when event_id % 17 = 1 then 'good' else 'pass' end || '"}}, "provenance": {"' || case when event_id % 13 = 1 then 'label.colour' else 'label.abv' end
- || '": {"page": ' || case when event_id % 11 = 1 then '-1' else '0' end || ', "bbox": {"x": 0.5, "y": ' || case when event_id % 31 = 1 then '1.5' else '0' end || ', "w": 1, "h": 0.25}, "confidence": "high"}}, "bboxes": {"label.abv": {"page": ' || case when event_id % 7 = 1 then '0' else '1' end
- || ', "source": "' || case when event_id % 37 = 1 then 'scan' else 'pdf' end || '", "words": [], "meanConfidence": ' || case when event_id % 41 = 1 then '101' else 'null' end || '}}, "pages": [{"pageNumber": ' || case when event_id % 5 = 1 then '0' else '2' end || ', "kind": "front"}]}}'"""
-CONTRACT = f"cl as (select event_id, case when event_id % 43 = 1 then '{{{{' when event_id % 3 = 1 then '{{\"status\": \"error\", \"index\": ' || event_id || ', \"filename\": \"f\", \"durationMs\": ' || case when event_id % 2 = 0 then '-4' else '4' end || case when event_id % 9 = 1 then '' else ', \"errorMessage\": \"x\"' end || '}}' else {_report} end as value from events)"
-_j = lambda p: f"json_extract_string(v, '$.{p}')"
-_at = lambda p: f"json_extract_string(v, '$.report.{p}')"
-_checks = [
-    ("index: expected a whole number from 0", f"not regexp_matches({_j('index')}, '^\\d+$')"), ("durationMs: expected a number from 0", f"{_j('durationMs')}::double < 0"),
-    ("errorMessage: expected string", f"{_j('status')} = 'error' and {_j('errorMessage')} is null"),
-    ("applicationId: expected uuid", f"{_j('status')} = 'ok' and {_j('applicationId')} is not null and len({_j('applicationId')}) <> 36"),
-    ("report.overallStatus: expected compliant, needs_review, non_compliant", f"{_at('overallStatus')} not in ('compliant', 'needs_review', 'non_compliant')"),
-    ("report.fields.*.status: expected pass, warn, fail, uncertain", f"{_at('fields.brand.status')} not in ('pass', 'warn', 'fail', 'uncertain')"),
-    ("report.provenance: unknown key", "json_keys(v, '$.report.provenance')[1] not like 'label.abv'"),
-    ("report.provenance.*: page, bbox or confidence out of range", "json_extract_string(v, '$.report.provenance.*.page')[1]::int < 0 or json_extract_string(v, '$.report.provenance.*.bbox.y')[1]::double > 1"),
-    ("report.bboxes.*: page, source, words or confidence out of range", "json_extract_string(v, '$.report.bboxes.*.page')[1]::int < 1 or json_extract_string(v, '$.report.bboxes.*.source')[1] not in ('pdf', 'tesseract', 'vlm') or json_extract_string(v, '$.report.bboxes.*.meanConfidence')[1]::double > 100"),
-    ("report.pages.*: pageNumber or kind", "json_extract_string(v, '$.report.pages[0].pageNumber')::int < 1"),
-]
 add(
-    "P6_result_contract_checks",
-    lambda s, d: S.check_lines(X.view(s, d, f"with {CONTRACT} select * from cl")),
-    f"with {CONTRACT}, jv as (select event_id, case when json_valid(value) then value::json end v from cl) select event_id, case when v is null then '(root): not JSON' else nullif(concat_ws('; ', {', '.join(f'case when {bad} then {chr(39)}{message}{chr(39)} end' for message, bad in _checks)}), '') end as problems from jv",
+    "S5_last_lines",
+    lambda s, d: S.last_lines(S.parse_lines(lines(s, d)), "index").select("filename", "index", "status", F.try_variant_get("report", "$.bboxes['label.abv'].words[1].text", "string").alias("word")),
+    f"""with {PARSED}, o as (select {_got('filename')} filename, {_got('index')}::bigint i, v from j where kind = 'value') select filename, max(i) as "index", {_got('status').replace('(v,', '(arg_max(v, i),')} as status, {_got('report.bboxes."label.abv".words[1].text').replace('(v,', '(arg_max(v, i),')} as word from o group by 1""",
 )
+add("P6_result_contract_checks", lambda s, d: S.check_lines(lines(s, d)), f"with {PARSED} select event_id, problems from j")
 add(
-    "P6_kinds",
-    lambda s, d: S.parse_lines(lines(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 3).alias("total_ms")),
-    f"with {PARSED} select kind, count(*) as n, round(sum(({_get('durationMs', 'kind in (' + repr('ok') + ', ' + repr('error') + ')')})::double), 3) as total_ms from j group by kind",
-)
+    "P6_kinds", lambda s, d: S.parse_lines(lines(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 3).alias("total_ms")),
+    f"with {PARSED} select kind, count(*) as n, round(sum({_got('durationMs')}::double), 3) as total_ms from j group by kind",
+)
 add(
     "S6_result_lines_sink",
     lambda s, d: X.labels(s, d).select("doc_id", S.json_line("doc_id", "abv", "appears_bold", "country_of_origin").alias("line")),

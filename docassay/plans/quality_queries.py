@@ -13,7 +13,7 @@ from ..sources.folders import scratch
 from ..streaming import streams as T
 from . import duck as D
 from . import fixtures as X
-from .lifecycle_queries import LINES, PARSED
+from .result_lines import PARSED, VALUE
 from .text_queries import FX, VERDICT
 
 QUERIES: dict = {}
@@ -83,10 +83,14 @@ def applications(s, d):
     )
     cross = F.struct(c("brand_name").alias("brandName"), text("c").alias("classType"), text("p").alias("producer"), text("c").alias("countryOfOrigin"))
     label_only = F.struct(text("").alias("abv"), text("").alias("netContents"), F.when(c("doc_id") % 19 == 0, "MAYBE").otherwise("ABSENT").alias("governmentWarning"))
-    rows = X.forms(s, d).select("doc_id", F.struct(text("f").alias("ttbFormId"), text("r").alias("formRevision"), c("doc_id").cast("string").alias("scenarioId"), text("COMPLIANT").alias("expectedVerdict"), form.alias("form"), cross.alias("crossCheckExpectations"), label_only.alias("labelOnlyExpectations")).alias("a"))
+    mismatch = lambda rationale: F.struct(text("brandName").alias("field"), text("a").alias("expectedFromApplication"), text("b").alias("appearsOnLabelAs"), rationale.alias("rationale"))
+    mismatches = F.when(c("doc_id") % 4 != 0, F.array(mismatch(text("r")), mismatch(F.when(c("doc_id") % 29 != 0, "s")))).otherwise(F.array(mismatch(text("r"))))
+    rows = X.forms(s, d).select("doc_id", F.struct(text("f").alias("ttbFormId"), text("r").alias("formRevision"), c("doc_id").cast("string").alias("scenarioId"), text("COMPLIANT").alias("expectedVerdict"), form.alias("form"), cross.alias("crossCheckExpectations"), label_only.alias("labelOnlyExpectations"), mismatches.alias("intentionalMismatches")).alias("a"))
     line = F.to_json("a", {"ignoreNullFields": "false"})
     line = F.when(c("doc_id") % 5 == 0, F.replace(line, F.lit('"phone":"5"'), F.lit('"phone":5'))).otherwise(line)
     line = F.when(c("doc_id") % 23 == 0, F.replace(line, F.lit('"email":"e",'), F.lit(""))).otherwise(line)
+    line = F.when(c("doc_id") % 31 == 0, F.regexp_replace(line, '"crossCheckExpectations":\\{[^}]*\\},', "")).otherwise(line)
+    line = F.when(c("doc_id") % 37 == 0, F.regexp_replace(line, '"intentionalMismatches":\\[.*\\]', '"intentionalMismatches":"none"')).otherwise(line)
     path = scratch(s, "applications") + "/text"
     rows.select(F.concat(c("doc_id").cast("string"), F.lit("\t"), F.when(c("doc_id") % 17 == 0, F.substring(line, 1, 60)).otherwise(line)).alias("value")).write.text(path)
     read = s.read.text(path).select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), F.expr("substr(value, instr(value, '\t') + 1)").alias("value"))
@@ -96,7 +100,8 @@ def applications(s, d):
 _wrong = [
     ("form.source: expected one of Domestic, Imported", "doc_id % 7 = 0"), ("form.brandName: expected string", "doc_id % 11 = 0"), ("form.applicant.name: expected string", "doc_id % 13 = 0"),
     ("form.mailingAddress.city: expected string", "doc_id % 3 = 0 and doc_id % 2 <> 0"), ("form.phone: expected string", "doc_id % 5 = 0"), ("form.email: required", "doc_id % 23 = 0"),
-    ("labelOnlyExpectations.governmentWarning: expected one of PRESENT_AND_VERBATIM, ABSENT", "doc_id % 19 = 0"),
+    ("crossCheckExpectations: required", "doc_id % 31 = 0"), ("labelOnlyExpectations.governmentWarning: expected one of PRESENT_AND_VERBATIM, ABSENT", "doc_id % 19 = 0"),
+    ("intentionalMismatches: expected array", "doc_id % 37 = 0"), ("intentionalMismatches.1.rationale: expected string", "doc_id % 37 <> 0 and doc_id % 4 <> 0 and doc_id % 29 = 0"),
 ]
 add("S4_application_json_source", applications, f"with {FX}, p as (select doc_id, case when doc_id % 17 = 0 then '(root): not JSON' else nullif(concat_ws('; ', {', '.join(f'case when {bad} then {chr(39)}{m}{chr(39)} end' for m, bad in _wrong)}), '') end as problems from fx_forms) select doc_id, problems, problems is null as valid from p")
 
@@ -147,12 +152,11 @@ def turns(s, d):
 def stream_lines(s, d):
     at = scratch(s, "stream")
     rows = T.table_stream(s, d, "events")
-    body = F.expr(LINES[LINES.index("case when event_id % 101") : LINES.index(" as value from events")])
-    T.drain(T.result_lines(rows.select("event_id", body.alias("value")), f"{at}/good", f"{at}/bad", f"{at}/log"))
-    return s.read.parquet(f"{at}/good").select("event_id", "kind").union(s.read.parquet(f"{at}/bad").select("event_id", "kind"))
+    T.drain(T.result_lines(rows.select("event_id", F.expr(VALUE).alias("value")), f"{at}/good", f"{at}/bad", f"{at}/log"))
+    return s.read.parquet(f"{at}/good").select("event_id", "kind", "problems").union(s.read.parquet(f"{at}/bad").select("event_id", "kind", "problems"))
 
 
-add("T1_stream_result_lines", stream_lines, f"with {PARSED} select event_id, kind from j")
+add("T1_stream_result_lines", stream_lines, f"with {PARSED} select event_id, kind, problems from j")
 
 
 def stream_verify(s, d):

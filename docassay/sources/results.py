@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import initial_status
+from . import contract as C
 
 MOST_FILE, MOST_UPLOAD, MOST_BATCH = 10 << 20, 25 << 20, 25
 #: Accepted kinds of files.
@@ -50,31 +49,10 @@ def admit_batches(files: DataFrame, batches: DataFrame) -> DataFrame:
     return rows.select("batch_id", reason.alias("reason"), F.when(reason.isNull(), good).otherwise(0).alias("accepted"))
 
 
-def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Result lines with ``kind``: ok, error, parse-error or schema-error, and their fields; blank lines are gone.
-
-    A malformed or misshapen line becomes a row of its own kind; nothing fails.
-    """
-    v = F.try_parse_json(F.col(value))
-    text = lambda p: F.try_variant_get(v, p, "string")
-    is_string = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING"
-    ms = F.try_variant_get(v, "$.durationMs", "double")
-    number = ms.isNotNull() & (ms >= 0) & ~F.coalesce(is_string("$.durationMs"), F.lit(False))
-    named = F.coalesce(is_string("$.filename"), F.lit(False)) & number
-    ok = named & (text("$.status") == "ok") & text("$.overallStatus").isin(VERDICTS)
-    error = named & (text("$.status") == "error") & F.coalesce(is_string("$.errorMessage"), F.lit(False))
-    kind = F.when(v.isNull(), "parse-error").when(F.coalesce(ok, F.lit(False)), "ok").when(F.coalesce(error, F.lit(False)), "error").otherwise("schema-error")
-    good = kind.isin("ok", "error")
-    rest = [c for c in lines.columns if c != value]
-    return lines.where(F.trim(value) != "").select(
-        *rest, kind.alias("kind"), F.when(good, text("$.filename")).alias("filename"), F.when(kind == "ok", text("$.overallStatus")).alias("overall_status"),
-        F.when(kind == "error", text("$.errorMessage")).alias("error_message"), F.when(good, ms).alias("duration_ms"), F.when(~good, F.col(value)).alias("quarantined"),
-    )
-
-
 #: What parts of a result line may be.
 RULE_STATUSES = ["pass", "warn", "fail", "uncertain"]
 CROSS_STATUSES = ["match", "mismatch", "not_on_label", "not_on_application", "not_applicable"]
+CROSS_FIELDS = ["brandName", "classType", "producer", "countryOfOrigin", "wineVarietal", "wineAppellation"]
 BOX_SOURCES, CONFIDENCES = ["pdf", "tesseract", "vlm"], ["high", "medium", "low"]
 FIELD_PATHS = [
     *[f"application.{f}" for f in (
@@ -85,53 +63,64 @@ FIELD_PATHS = [
     *[f"label.{f}" for f in ("brandName", "abv", "governmentWarning", "netContents", "classType", "producer", "countryOfOrigin", "wineVarietal", "wineAppellation")],
 ]
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+PRODUCT_TYPES, SOURCES = ["WINE", "DISTILLED SPIRITS", "MALT BEVERAGES"], ["Domestic", "Imported"]
+ADDRESS = ["name", "addressLine1", "city", "state", "postalCode"]
+_maybe = C.text(nullable=True)
+EXTRACTED_FORM = C.record({
+    "repId": _maybe, "plantRegistryNumber": _maybe, "source": C.one_of(SOURCES, nullable=True), "serialNumber": _maybe, "productType": C.one_of(PRODUCT_TYPES, nullable=True),
+    "brandName": _maybe, "fancifulName": _maybe, "applicant": C.record(dict.fromkeys(ADDRESS, _maybe)),
+    **dict.fromkeys(["mailingAddress", "formula", "grapeVarietals", "wineAppellation", "phone", "email", "applicationType", "containerWording", "applicationDate", "applicantSignatureName"], _maybe),
+})
+EXTRACTED_LABEL = C.record({
+    "brandName": _maybe, "abv": _maybe, "governmentWarning": C.record({"text": _maybe, "appearsAllCaps": C.flag(nullable=True), "appearsBold": C.flag(nullable=True)}),
+    **dict.fromkeys(["netContents", "classType", "producer", "countryOfOrigin", "wineVarietal", "wineAppellation"], _maybe), "extractionConfidence": C.one_of(CONFIDENCES),
+})
+BOX = C.record(dict.fromkeys("xywh", C.number(0, 1)))
+PROVENANCE = C.record({"page": C.number(0, whole=True), "bbox": BOX, "confidence": C.one_of(CONFIDENCES)}, nullable=True)
+WORD = C.record({"text": C.text(), "confidence": C.number(0, 100), "bbox": C.record(dict.fromkeys(["x0", "y0", "x1", "y1"], C.number()))})
+FIELD_BOX = C.record({"page": C.number(1, whole=True), "source": C.one_of(BOX_SOURCES), "words": C.listing(WORD), "meanConfidence": C.number(0, 100, nullable=True)})
+CROSS_FIELD = C.record({"id": C.one_of(CROSS_FIELDS), "label": C.text(), "status": C.one_of(CROSS_STATUSES), "applicationValue": _maybe, "labelValue": _maybe, "reason": C.text(optional=True)})
+REPORT = C.record({
+    "overallStatus": C.one_of(VERDICTS), "crossCheck": C.record({"overallStatus": C.one_of(["match", "mismatch"]), "fields": C.mapping(CROSS_FIELD, CROSS_FIELDS)}, optional=True),
+    "fields": C.mapping(C.record({"status": C.one_of(RULE_STATUSES), "reason": C.text(optional=True), "extractedValue": C.text(optional=True, nullable=True)})),
+    "provenance": C.mapping(PROVENANCE, FIELD_PATHS), "bboxes": C.mapping(FIELD_BOX, FIELD_PATHS, optional=True), "extractedForm": EXTRACTED_FORM, "extractedLabel": EXTRACTED_LABEL,
+    "pages": C.listing(C.record({"pageNumber": C.number(1, whole=True), "kind": C.text()}), optional=True),
+})
+_common = {"index": C.number(0, whole=True), "filename": C.text(), "durationMs": C.number(0)}
+#: A line of a result stream: the report of a document, or the error in its place.
+RESULT_LINE = C.variants("status", {
+    "ok": C.record({**_common, "report": REPORT, "applicationId": C.matching(UUID, "uuid", optional=True, nullable=True)}), "error": C.record({**_common, "errorMessage": C.text()}),
+})
+LINE_COLUMNS = ["kind", "status", "index", "filename", "duration_ms", "application_id", "overall_status", "error_message", "report", "problems", "quarantined"]
 
 
-def contract_problems(v: Column) -> Column:
-    """``path: message`` of everything in a result line (a variant) that its contract forbids; for lists and maps once a path, with ``*`` for their members."""
-    get = lambda x, p, t="string": F.try_variant_get(x, f"$.{p}", t)
-    kind = lambda x, p: F.coalesce(kind_of(x, f"$.{p}"), F.lit("MISSING"))
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    number = lambda x, p: kind(x, p).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & get(x, p, "double").isNotNull()
-    whole = lambda x, p, least: number(x, p) & (get(x, p, "double") == F.floor(get(x, p, "double"))) & (get(x, p, "double") >= least)
-    within = lambda x, p, most: number(x, p) & get(x, p, "double").between(0, most)
-    one_of = lambda x, p, values: (kind(x, p) == "STRING") & get(x, p).isin(values)
-    texts = lambda x, p: kind(x, p) == "STRING"
-    entries = lambda p: F.map_entries(F.coalesce(get(v, p, "map<string, variant>"), F.create_map().cast("map<string, variant>")))
-    items = lambda x, p: F.coalesce(get(x, p, "array<variant>"), F.array().cast("array<variant>"))
-    any_entry = lambda p, bad: F.exists(entries(p), lambda e: no(bad(e)))
-    given = lambda p: ~kind(v, p).isin("MISSING")
-    ok, failed = get(v, "status") == "ok", get(v, "status") == "error"
-    fine_box = lambda b: reduce(lambda a, c: a & c, [within(b, c, 1) for c in "xywh"])
-    fine_provenance = lambda e: (kind(e["value"], "page") != "MISSING") & whole(e["value"], "page", 0) & one_of(e["value"], "confidence", CONFIDENCES) & fine_box(get(e["value"], "bbox", "variant"))
-    fine_word = lambda w: texts(w, "text") & within(w, "confidence", 100) & reduce(lambda a, c: a & c, [number(get(w, "bbox", "variant"), c) for c in ("x0", "y0", "x1", "y1")])
-    mean_ok = lambda b: (kind(b, "meanConfidence") == "VOID") | within(b, "meanConfidence", 100)
-    fine_bbox = lambda e: whole(e["value"], "page", 1) & one_of(e["value"], "source", BOX_SOURCES) & mean_ok(e["value"]) & F.forall(items(e["value"], "words"), lambda w: F.coalesce(fine_word(w), F.lit(False)))
-    checks = [
-        ("status: expected ok, error", no(ok | failed)), ("index: expected a whole number from 0", no(whole(v, "index", 0))), ("filename: expected string", no(texts(v, "filename"))),
-        ("durationMs: expected a number from 0", no(number(v, "durationMs") & (get(v, "durationMs", "double") >= 0))), ("errorMessage: expected string", failed & no(texts(v, "errorMessage"))),
-        ("applicationId: expected uuid", ok & given("applicationId") & no((kind(v, "applicationId") == "VOID") | (texts(v, "applicationId") & get(v, "applicationId").rlike(UUID)))),
-        ("report.overallStatus: expected " + ", ".join(VERDICTS), ok & no(one_of(v, "report.overallStatus", VERDICTS))),
-        ("report.fields: required", ok & no(kind(v, "report.fields").startswith("OBJECT"))),
-        ("report.fields.*.status: expected " + ", ".join(RULE_STATUSES), ok & any_entry("report.fields", lambda e: one_of(e["value"], "status", RULE_STATUSES))),
-        ("report.crossCheck.overallStatus: expected match, mismatch", ok & given("report.crossCheck") & no(one_of(v, "report.crossCheck.overallStatus", ["match", "mismatch"]))),
-        ("report.crossCheck.fields.*.status: expected " + ", ".join(CROSS_STATUSES), ok & any_entry("report.crossCheck.fields", lambda e: one_of(e["value"], "status", CROSS_STATUSES))),
-        ("report.provenance: required", ok & no(kind(v, "report.provenance").startswith("OBJECT"))),
-        ("report.provenance: unknown key", ok & any_entry("report.provenance", lambda e: e["key"].isin(FIELD_PATHS))),
-        ("report.provenance.*: page, bbox or confidence out of range", ok & any_entry("report.provenance", lambda e: (F.schema_of_variant(e["value"]) == "VOID") | fine_provenance(e))),
-        ("report.bboxes: unknown key", ok & any_entry("report.bboxes", lambda e: e["key"].isin(FIELD_PATHS))),
-        ("report.bboxes.*: page, source, words or confidence out of range", ok & any_entry("report.bboxes", fine_bbox)),
-        ("report.pages.*: pageNumber or kind", ok & F.exists(items(v, "report.pages"), lambda p: no(whole(p, "pageNumber", 1) & texts(p, "kind")))),
+def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Result lines as rows: ``kind`` (value, parse-error or schema-error), the line's fields, and the report as a variant. Blank lines are gone.
+
+    A line that is not JSON, or that breaks the contract, becomes a row with all its ``problems`` and its text (``quarantined``); nothing fails.
+    """
+    rest = [c for c in lines.columns if c != value]
+    rows = C.checked(lines.where(F.col(value).rlike(r"\S")), value, RESULT_LINE, "v_", "problems")
+    good = F.col("problems").isNull()
+    take = lambda path, kind: F.when(good, F.try_variant_get("v_", f"$.{path}", kind))
+    kind = F.when(F.col("v_").isNull(), "parse-error").when(good, "value").otherwise("schema-error")
+    found = [
+        kind, take("status", "string"), take("index", "long"), take("filename", "string"), take("durationMs", "double"), take("applicationId", "string"), take("report.overallStatus", "string"),
+        take("errorMessage", "string"), take("report", "variant"), F.col("problems"), F.when(~good, F.col(value)),
     ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), message) for message, bad in checks]))
+    return rows.select(*rest, *[v.alias(n) for v, n in zip(found, LINE_COLUMNS)])
+
+
+def last_lines(parsed: DataFrame, order: str) -> DataFrame:
+    """Of the parsed lines that are values, the one with the greatest ``order`` for each file."""
+    rows = parsed.where("kind = 'value'")
+    held = [c for c in rows.columns if c != "filename"]
+    return rows.groupBy("filename").agg(F.max_by(F.struct(*held), order).alias("r")).select("filename", "r.*")
 
 
 def check_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Result lines with ``problems``: what their contract forbids, joined; null without any. Blank lines are gone."""
-    rows = lines.where(F.trim(value) != "").withColumn("v_", F.try_parse_json(F.col(value)))
-    found = F.when(F.col("v_").isNull(), F.array(F.lit("(root): not JSON"))).otherwise(contract_problems(F.col("v_")))
-    rows = rows.select(*[c for c in lines.columns if c != value], found.alias("p_"))
-    return rows.withColumn("problems", F.when(F.size("p_") > 0, F.array_join("p_", "; "))).drop("p_")
+    return parse_lines(lines, value).select(*[c for c in lines.columns if c != value], "problems")
 
 
 def json_line(*columns: str) -> Column:
@@ -213,53 +202,29 @@ def baseline_entries(spark: SparkSession, path: str, lines: bool = False) -> Dat
     return spark.read.json(path, schema=BASELINE, multiLine=not lines).select("capturedAt", F.explode("entries").alias("e")).select("capturedAt", "e.*")
 
 
-#: The fields of an application and their kinds; a ``?`` allows null, ``~`` a missing field.
-PRODUCT_TYPES, SOURCES = ["WINE", "DISTILLED SPIRITS", "MALT BEVERAGES"], ["Domestic", "Imported"]
+#: The kinds of an application's fields.
 APPLICATION_TYPES = ["CERTIFICATE_OF_LABEL_APPROVAL", "CERTIFICATE_OF_EXEMPTION", "DISTINCTIVE_LIQUOR_BOTTLE_APPROVAL", "RESUBMISSION_AFTER_REJECTION"]
-ADDRESS = ["name", "addressLine1", "city", "state", "postalCode"]
-APPLICATION = {
-    "ttbFormId": "string", "formRevision": "string", "scenarioId": "string", "expectedVerdict": ["COMPLIANT", "NEEDS_REVIEW"],
-    "form.repId": "string?", "form.plantRegistryNumber": "string", "form.source": SOURCES, "form.serialNumber": "string", "form.productType": PRODUCT_TYPES,
-    "form.brandName": "string", "form.fancifulName": "string?", **{f"form.applicant.{c}": "string" for c in ADDRESS}, "form.mailingAddress": "object?",
-    **{f"form.mailingAddress.{c}": "string" for c in ADDRESS}, "form.formulaId": "string?", "form.grapeVarietals": "string?", "form.wineAppellation": "string?",
-    "form.phone": "string", "form.email": "string", "form.applicationType": APPLICATION_TYPES, "form.applicationDate": "string", "form.applicantSignatureName": "string",
-    **{f"crossCheckExpectations.{c}": "string" for c in ("brandName", "classType", "producer", "countryOfOrigin")},
-    **{f"crossCheckExpectations.{c}": "string~" for c in ("wineVarietal", "wineAppellation")},
-    "labelOnlyExpectations.abv": "string", "labelOnlyExpectations.netContents": "string", "labelOnlyExpectations.governmentWarning": ["PRESENT_AND_VERBATIM", "ABSENT"], "notes": "string~",
-}
-
-
-def kind_of(v: Column, path: str) -> Column:
-    """The variant type at a path: null where nothing stands there, VOID for a null."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-
-
-def problems_of(v: Column, contract: dict[str, str | list[str]]) -> Column:
-    """``path: message`` of every field of a variant that breaks a contract, in its order. A nullable object that is null or missing has no fields to check."""
-    out = []
-    for path, want in contract.items():
-        kind, text = kind_of(v, f"$.{path}"), F.try_variant_get(v, f"$.{path}", "string")
-        if isinstance(want, list):
-            bad = F.when(kind.isNull(), "required").when((kind != "STRING") | ~text.isin(want), "expected one of " + ", ".join(want))
-        else:
-            base = want.rstrip("?~")
-            bad = F.when(kind.isNull(), None if want.endswith("~") else "required")
-            bad = bad.when(F.lit(want.endswith("?")) & (kind == "VOID"), None).when(~kind.startswith(base.upper()), f"expected {base}")
-        parent = path.rpartition(".")[0]
-        if str(contract.get(parent, "")).endswith("?"):
-            bad = F.when(F.coalesce(kind_of(v, f"$.{parent}").startswith("OBJECT"), F.lit(False)), bad)
-        out.append(F.concat(F.lit(f"{path}: "), bad))
-    return F.array_compact(F.array(*out))
+_address = dict.fromkeys(ADDRESS, C.text())
+APPLICATION = C.record({
+    "ttbFormId": C.text(), "formRevision": C.text(), "scenarioId": C.text(), "expectedVerdict": C.one_of(["COMPLIANT", "NEEDS_REVIEW"]),
+    "form": C.record({
+        "repId": _maybe, "plantRegistryNumber": C.text(), "source": C.one_of(SOURCES), "serialNumber": C.text(), "productType": C.one_of(PRODUCT_TYPES), "brandName": C.text(),
+        "fancifulName": _maybe, "applicant": C.record(_address), "mailingAddress": C.record(_address, nullable=True), "formulaId": _maybe, "grapeVarietals": _maybe, "wineAppellation": _maybe,
+        "phone": C.text(), "email": C.text(), "applicationType": C.one_of(APPLICATION_TYPES), "containerInfo": C.anything(), "applicationDate": C.text(),
+        "applicantSignatureName": C.text(),
+    }),
+    "crossCheckExpectations": C.record({**dict.fromkeys(["brandName", "classType", "producer", "countryOfOrigin"], C.text()), **dict.fromkeys(["wineVarietal", "wineAppellation"], C.text(optional=True))}),
+    "labelOnlyExpectations": C.record({"abv": C.text(), "netContents": C.text(), "governmentWarning": C.one_of(["PRESENT_AND_VERBATIM", "ABSENT"])}),
+    "intentionalMismatches": C.listing(C.record(dict.fromkeys(["field", "expectedFromApplication", "appearsOnLabelAs", "rationale"], C.text())), optional=True),
+    "notes": C.text(optional=True),
+})
 
 
 def parse_applications(lines: DataFrame, value: str = "value") -> DataFrame:
     """Application documents with ``problems`` (null: valid) in place of their JSON text, and the parsed ``application`` of valid ones."""
-    v = F.try_parse_json(F.col(value))
-    rows = lines.withColumn("v_", v)
-    found = F.when(F.col("v_").isNull(), F.array(F.lit("(root): not JSON"))).otherwise(problems_of(F.col("v_"), APPLICATION))
     rest = [c for c in lines.columns if c != value]
-    rows = rows.select(*rest, "v_", found.alias("p_"))
-    return rows.select(*rest, F.when(F.size("p_") > 0, F.array_join("p_", "; ")).alias("problems"), F.when(F.size("p_") == 0, F.col("v_")).alias("application"))
+    rows = C.checked(lines, value, APPLICATION, "v_", "problems")
+    return rows.select(*rest, "problems", F.when(F.col("problems").isNull(), F.col("v_")).alias("application"))
 
 
 def read_applications(spark: SparkSession, path: str) -> DataFrame:

@@ -129,41 +129,6 @@ def test_csv_report_is_one_text(spark, tmp_path):
     assert sorted(x for x in lines if x) == ['  lead and trail  ,"say ""x""","a,b","two\nlines",' + "," * 12, "f2" + ",v" * 16]
 
 
-def test_result_line_contract(spark):
-    import copy
-    import json
-
-    box = {"page": 1, "source": "pdf", "words": [{"text": "a", "confidence": 90, "bbox": {"x0": 1, "y0": 2.5, "x1": 3, "y1": 4}}], "meanConfidence": None}
-    report = {
-        "overallStatus": "compliant", "fields": {"brand": {"status": "pass"}}, "provenance": {"label.abv": {"page": 0, "bbox": {"x": 0, "y": 0.1, "w": 1, "h": 0.5}, "confidence": "high"}, "label.brandName": None},
-        "bboxes": {"label.abv": box}, "pages": [{"pageNumber": 1, "kind": "front"}], "crossCheck": {"overallStatus": "match", "fields": {"brandName": {"status": "match"}}},
-    }
-    ok = {"status": "ok", "index": 0, "filename": "f", "durationMs": 1.5, "applicationId": None, "report": report}
-
-    def changed(path, value):
-        out = copy.deepcopy(ok)
-        *way, last = path
-        at = out
-        for k in way:
-            at = at[k]
-        at[last] = value
-        return out
-
-    label = ["report", "bboxes", "label.abv"]
-    cases = [
-        (ok, None), ({"status": "error", "index": 1, "filename": "g", "durationMs": 0, "errorMessage": "x"}, None), ({"status": "error", "index": 1, "filename": "g", "durationMs": 0}, "errorMessage"),
-        (changed(["index"], 1.5), "index"), (changed(["durationMs"], "5"), "durationMs"), (changed(["applicationId"], "nope"), "applicationId"), (changed(["report", "provenance", "label.abv", "bbox", "x"], 1.5), "report.provenance.*"),
-        (changed(["report", "provenance", "foo"], None), "report.provenance"), (changed([*label, "page"], 0), "report.bboxes.*"), (changed([*label, "words", 0, "confidence"], 101), "report.bboxes.*"), (changed([*label, "source"], "scan"), "report.bboxes.*"),
-        (changed(["report", "bboxes", "label.colour"], box), "report.bboxes"), (changed(["report", "pages", 0, "pageNumber"], 0), "report.pages.*"), (changed(["report", "fields", "brand", "status"], "good"), "report.fields.*.status"),
-        (changed(["report", "crossCheck", "overallStatus"], "maybe"), "report.crossCheck.overallStatus"), (changed(["report", "fields"], None), "report.fields"), (changed(["status"], "done"), "status"),
-    ]
-    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(100, "{bad"), (101, "  ")], "i int, value string")
-    got = {r.i: r.problems for r in results.check_lines(df).collect()}
-    assert got.pop(100) == "(root): not JSON" and len(got) == len(cases)
-    for i, (_, path) in enumerate(cases):
-        assert got[i] is None if path is None else got[i].startswith(path + ": ") and ";" not in got[i], (i, got[i])
-
-
 def test_baseline_documents_are_read(spark, tmp_path):
     import json
 
@@ -229,16 +194,6 @@ def test_patterns_of_producers_and_countries(spark):
     }
 
 
-def test_streamed_lines_go_to_two_tables_and_a_restart_adds_nothing(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text('{"filename": "f", "status": "ok", "overallStatus": "compliant", "durationMs": 1}\n\n{"broken\n{"filename": 3}\n')
-    for _ in range(2):
-        lines = spark.readStream.text(str(tmp_path / "in"))
-        streams.drain(streams.result_lines(lines, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "log")))
-    assert [r.filename for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["f"]
-    assert sorted(r.kind for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["parse-error", "schema-error"]
-
-
 def test_archiving_twice_moves_nothing(spark):
     state = spark.createDataFrame([(1, "approved", None), (2, "pending_approval", None), (3, "rejected", "2024")], "app_id int, status string, archived_at string")
     ids = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (0, 3), (0, 9)], "request_id int, app_id int")
