@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as L
 from ..operators import rules as R
 from ..sources import results as S
+from ..sources import snapshots as V
 from ..sources.folders import scratch
 from . import fixtures as X
 from .result_lines import LINES, PARSED
@@ -186,16 +187,29 @@ add(
     lambda s, d: L.archive_requests(state(s, d), _asked(s, d)),
     f"with {STATE}, {ASKED}, mv as (select request_id, count(distinct s.app_id) n from asked a join state s on s.app_id = a.app_id where status in ('approved', 'rejected') and archived_at is null group by 1) select request_id, ids, case when ids between 1 and {L.MOST_ARCHIVED} then coalesce(n, 0) else 0 end as moved, case when ids = 0 then 'no ids' when ids > {L.MOST_ARCHIVED} then 'too many ids' end as problem from rq left join mv using (request_id)",
 )
-add(
-    "L4_delete_by_hash",
-    lambda s, d: L.without(apps(s, d), reviews(s, d), apps(s, d).where("app_id % 10 = 0"), "content_hash")[1].groupBy("app_id").agg(F.count("*").alias("n")),
-    f"with {APPS}, {REVIEWS} select app_id, count(*) as n from reviews where app_id in (select app_id from apps where content_hash not in (select content_hash from apps where app_id % 10 = 0)) group by 1",
-)
-add(
-    "L4_delete_recent",
-    lambda s, d: L.without(apps(s, d), reviews(s, d), L.newest(apps(s, d), "created_at", 25), "app_id")[0].select("app_id"),
-    f"with {APPS} select app_id from apps where app_id not in (select app_id from apps order by created_at desc, app_id limit 25)",
-)
+
+
+def stored(s, d):
+    """Applications and reviews as the first version of a folder."""
+    path = scratch(s, "snapshots") + "/queue"
+    V.write(s, path, {"apps": apps(s, d).drop("pdf_bytes"), "reviews": reviews(s, d)})
+    return path
+
+
+def deleted_by_hash(s, d):
+    path = stored(s, d)
+    V.delete_by_hash(s, path, V.read(s, path)["apps"].where("app_id % 10 = 0").select("content_hash"))
+    return V.read(s, path)["reviews"].groupBy("app_id").agg(F.count("*").alias("n"))
+
+
+def deleted_recent(s, d):
+    path = stored(s, d)
+    V.delete_recent(s, path, 25)
+    return V.read(s, path)["apps"].select("app_id")
+
+
+add("L4_delete_by_hash", deleted_by_hash, f"with {APPS}, {REVIEWS} select app_id, count(*) as n from reviews where app_id in (select app_id from apps where content_hash not in (select content_hash from apps where app_id % 10 = 0)) group by 1")
+add("L4_delete_recent", deleted_recent, f"with {APPS} select app_id from apps where app_id not in (select app_id from apps order by created_at desc, app_id limit 25)")
 add("A1_count_by_status", lambda s, d: apps(s, d).agg(F.count_if(c("verdict") == "compliant").alias("compliant"), F.count_if(c("verdict").isin("needs_review", "non_compliant")).alias("needs_review"), F.count_if(c("verdict").isNull()).alias("errors")), f"with {APPS} select count(*) filter (verdict = 'compliant') as compliant, count(*) filter (verdict in ('needs_review', 'non_compliant')) as needs_review, count(*) filter (verdict is null) as errors from apps")
 add("A2_queue_bucket_counts", lambda s, d: L.queue_counts(state(s, d)), f"with {STATE} select count(*) filter (status = 'pending_approval') as pending_approval, count(*) filter (status = 'pending_rejection') as pending_rejection, count(*) filter (status in ('approved', 'rejected')) as finalized from state where archived_at is null")
 for _name, _by, _n, _spark, _sql in [

@@ -160,14 +160,20 @@ add("T1_stream_result_lines", stream_lines, f"with {PARSED} select event_id, kin
 
 
 def stream_verify(s, d):
+    """Two streams into one table: a fifth of the labels, then all of them. Labels with the same brand word, model and prompt are one run."""
     at = scratch(s, "stream")
-    stream = T.table_stream(s, d, "part")
     names = X.table(s, d, "supplier").join(F.broadcast(X.table(s, d, "nation")), c("n_nationkey") == c("s_nationkey"))
     names = names.crossJoin(names.agg((F.max("s_suppkey") + 1).alias("suppliers")))
     sql = X.LABELS[len("select ") : X.LABELS.index("from part cross join")]
-    labels = stream.join(names, c("s_suppkey") == c("p_partkey") % c("suppliers")).selectExpr(*split_columns(sql))
-    T.drain(T.verify(labels, X.forms(s, d), X.forms(s, d).where("doc_id % 5 = 0"), f"{at}/out", f"{at}/log"))
-    return s.read.parquet(f"{at}/out").select("doc_id", "product_type", "verdict")
+    run = {"content_hash": F.sha2((c("doc_id") % RUNS).cast("string"), 256), "prompt_version": F.lit("p1"), "extractor_model": F.concat(F.lit("m"), (c("doc_id") % 2).cast("string"))}
+    for name, part in (("some", "doc_id % 5 = 0"), ("all", "true")):
+        stream = T.table_stream(s, d, "part")
+        labels = stream.join(names, c("s_suppkey") == c("p_partkey") % c("suppliers")).selectExpr(*split_columns(sql)).where(part).withColumns(run)
+        T.drain(T.verify(labels, X.forms(s, d), f"{at}/out", f"{at}/log-{name}", name=name))
+    return s.read.parquet(f"{at}/out").select("doc_id", "content_hash", "product_type", "verdict")
+
+
+RUNS = 701
 
 
 def split_columns(sql: str) -> list[str]:
@@ -183,26 +189,29 @@ def split_columns(sql: str) -> list[str]:
     return out
 
 
-add("T2_stream_verify", stream_verify, f"with {VERDICT} select doc_id, product_type, verdict from vd join fx_forms using (doc_id) where doc_id % 5 <> 0")
+add(
+    "T2_stream_verify", stream_verify,
+    f"with {VERDICT}, k as (select doc_id, sha256((doc_id % {RUNS})::varchar) content_hash, doc_id % 2 m, doc_id % 5 <> 0 later from fx_forms), f as (select content_hash, arg_min(doc_id, {{'a': later, 'b': doc_id}}) doc_id from k group by content_hash, m) select doc_id, content_hash, product_type, verdict from f join vd using (doc_id) join fx_forms using (doc_id)",
+)
 
 
 def stream_progress(s, d):
     at = scratch(s, "stream")
     counts = T.batch_progress(T.table_stream(s, d, "events").select(c("user_id").alias("batch_id")))
-    T.drain(counts.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/log"))
-    return s.read.parquet(f"{at}/out")
+    T.drain(T.upserts(counts, f"{at}/out", f"{at}/log"))
+    sizes = X.table(s, d, "events").groupBy(c("user_id").alias("batch_id")).agg((F.count("*") + c("user_id") % 3 - 1).alias("total"))
+    return T.progress(T.newest(s, f"{at}/out", "batch_id"), sizes)
 
 
-add("T3_stream_batch_progress", stream_progress, "select user_id as batch_id, count(*) as received from events group by 1")
+add("T3_stream_batch_progress", stream_progress, "with n as (select user_id as batch_id, count(*) as received, count(*) + user_id % 3 - 1 as total from events group by user_id) select batch_id, received, total, total > 0 and received >= total as complete from n")
 
 
 def stream_reviews(s, d):
     at = scratch(s, "stream")
     rows = T.table_stream(s, d, "events").where("event_type in ('purchase', 'error') or event_type = 'signup' and event_id % 29 = 0")
     rows = rows.select("event_id", c("user_id").alias("app_id"), c("ts").cast("timestamp").alias("ts"), F.when(c("event_type") == "signup", "archive").otherwise("review").alias("kind"), F.when(c("event_type") == "purchase", "approved").when(c("event_type") == "error", "rejected").alias("decision"), F.when(c("event_id") % 5 != 0, "why").alias("reason"), F.lit("r").alias("reviewer"))
-    T.drain(T.newest_states(T.review_state(rows), f"{at}/out", f"{at}/log"))
-    last = s.read.parquet(f"{at}/out").groupBy("app_id").agg(F.max_by(F.struct("status", "status_at", "archived_at"), "batch_no").alias("x"))
-    return last.select("app_id", "x.status", *[c(f"x.{n}").cast("timestamp_ntz").alias(n) for n in ("status_at", "archived_at")])
+    T.drain(T.upserts(T.review_state(rows, "0 seconds"), f"{at}/out", f"{at}/log"), T.STATE_STORE)
+    return T.newest(s, f"{at}/out", "app_id", "as_of").select("app_id", "status", *[c(n).cast("timestamp_ntz").alias(n) for n in ("status_at", "archived_at")])
 
 
 add(

@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import cross_check
 from ..operators.lifecycle import review_problem
-from ..sources.results import parse_lines
+from ..sources.results import exists, parse_lines
 
+#: What ``review_state`` needs of the session: keyed state with timers lives in this kind of store only.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+RUN_KEY = ["content_hash", "prompt_version", "extractor_model"]
 
-def drain(query) -> None:
-    """Starts a query on what is there now and waits for it."""
-    query.trigger(availableNow=True).start().awaitTermination()
+
+def drain(query, settings: dict[str, str] | None = None) -> None:
+    """Starts a query on what is there now and waits for it. ``settings`` hold for the query alone."""
+    conf = SparkSession.active().conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
+        running = query.trigger(availableNow=True).start()  # takes a copy of the settings
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+    running.awaitTermination()
 
 
 def result_lines(lines: DataFrame, good: str, bad: str, checkpoint: str):
@@ -23,68 +36,134 @@ def result_lines(lines: DataFrame, good: str, bad: str, checkpoint: str):
 
     def write(batch: DataFrame, number: int) -> None:
         parsed = parse_lines(batch).persist()
-        parsed.where("quarantined is null").drop("quarantined").write.mode("overwrite").parquet(f"{good}/batch={number}")
-        parsed.where("quarantined is not null").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        parsed.where("kind = 'value'").drop("quarantined", "problems").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        parsed.where("kind <> 'value'").write.mode("overwrite").parquet(f"{bad}/batch={number}")
         parsed.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def verify(labels: DataFrame, forms: DataFrame, done: DataFrame, out: str, checkpoint: str):
-    """Streaming labels into verdict rows; documents in ``done`` are passed over. Stateless, with static sides."""
+def verify(labels: DataFrame, forms: DataFrame, out: str, checkpoint: str, keys: list[str] = RUN_KEY, name: str = "main"):
+    """Streaming labels, with a run's ``keys``, into verdict rows in ``out``. A run is verified once: keys that ``out`` holds are passed over, and of rows that share one in a
+    batch that with the least doc_id stays.
+
+    Only the key columns of earlier results are read. ``name`` keeps apart the batches of streams that write to one table; a replayed batch replaces its own part.
+    """
+    spark = labels.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.join(done.select("doc_id"), "doc_id", "left_anti")
-        cross_check.verify(new, forms).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new = batch.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min_by(F.struct(*batch.columns), "doc_id").alias("r")).select("r.*")
+        if exists(spark, out):
+            known = spark.read.parquet(out).where(~((F.col("stream") == name) & (F.col("batch") == number))).select(*keys)
+            new = new.join(known, keys, "left_anti")
+        found = cross_check.verify(new, forms).join(new.select("doc_id", *keys), "doc_id")
+        found.write.mode("overwrite").parquet(f"{out}/stream={name}/batch={number}")
 
     return labels.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def batch_progress(received: DataFrame) -> DataFrame:
-    """A running count for each batch_id, for update or complete mode."""
+    """A running count for each batch_id; in update mode only those that a micro-batch changes."""
     return received.groupBy("batch_id").agg(F.count("*").alias("received"))
 
 
-def review_state(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Streaming review and archive events (event_id, app_id, ts, kind, decision, reason, reviewer) into state changes.
+def upserts(changes: DataFrame, out: str, checkpoint: str):
+    """Writes the changed rows of each micro-batch, and no others, as a part of its own; ``newest`` reads the last of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def newest(spark: SparkSession, out: str, key: str, *order: str) -> DataFrame:
+    """The last row of each key: of the latest part, and inside it of the greatest ``order``."""
+    rows = spark.read.parquet(out)
+    held = [c for c in rows.columns if c not in (key, "part")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*held), F.struct("part", *order)).alias("r")).select(key, "r.*")
+
+
+def compact(spark: SparkSession, out: str, target: str, key: str, *order: str) -> None:
+    """The newest rows as a table of one part, for a reader that starts anew there."""
+    newest(spark, out, key, *order).write.mode("overwrite").parquet(f"{target}/part=-1")
+
+
+def progress(counts: DataFrame, batches: DataFrame) -> DataFrame:
+    """batch_id, received, total, complete: running counts against the sizes of the batches (batch_id, total). One is complete once as many came as it holds, and it holds any."""
+    got = F.coalesce("received", F.lit(0))
+    return batches.join(counts.select("batch_id", "received"), "batch_id", "left").select("batch_id", got.alias("received"), "total", ((F.col("total") > 0) & (got >= F.col("total"))).alias("complete"))
+
 
-    Repeated events fall out within the watermark. Events of an application are taken in the order
-    of their time; one that is older than the state is late and changes nothing; an archive event counts once there is a
-    decision, and locks. Columns: app_id, status, status_at, archived_at.
+class Reviews(StatefulProcessor):
+    """The review state of one application. Events wait until the watermark has passed them, then they count in the order of their time.
+
+    Waiting events are kept by millisecond, and a timer for each takes them out again, so that no step holds more than the events of one millisecond. An event that the
+    watermark has passed is late and changes nothing; so does one that is repeated. After ``keep`` milliseconds without an event the state goes.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    valid = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    valid = valid.withColumn("problem", F.when(F.col("kind") == "review", review_problem(F.lit(True)))).where("problem is null")
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "status string, status_at long, archived_at long, ends long")
+        self.waiting = handle.getMapState("waiting", "at long", "events array<struct<ts: long, event_id: long, kind: string, decision: string>>")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, at, archived = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows.itertuples():
-            if archived is not None or (at is not None and r.ts < at):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            if r.at <= passed:
                 continue
-            if r.kind == "archive":
-                archived = r.ts if status is not None and r.ts > at else None
+            held = list(self.waiting.getValue((r.at,))[0]) if self.waiting.containsKey((r.at,)) else []
+            if all(e[1] != r.event_id for e in held):
+                self.waiting.updateValue((r.at,), ([*map(tuple, held), (r.ts, r.event_id, r.kind, r.decision)],))
+                self.handle.registerTimer(r.at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        status, status_at, archived_at, ends = self.state.get() if self.state.exists() else (None, None, None, None)
+        if not self.waiting.containsKey((at,)):
+            if ends is not None and ends <= at:
+                self.state.clear()
+            return
+        events = sorted(map(tuple, self.waiting.getValue((at,))[0]))
+        self.waiting.removeKey((at,))
+        before = status, status_at, archived_at
+        for ts, _, kind, decision in events:
+            if archived_at is not None:
+                continue
+            if kind == "archive":
+                archived_at = ts if status is not None and ts > status_at else None
             else:
-                status, at = r.decision, r.ts
-        state.update((status, at, archived))
-        if status is not None:
-            yield pd.DataFrame({"app_id": [key[0]], "status": [status], "status_at": [at], "archived_at": [archived]})
+                status, status_at = decision, ts
+        if ends is not None:
+            self.handle.deleteTimer(ends)
+        self.handle.registerTimer(at + self.keep)
+        self.state.update((status, status_at, archived_at, at + self.keep))
+        if before != (status, status_at, archived_at):
+            yield Row(app_id=key[0], status=status, status_at=status_at, archived_at=archived_at, as_of=at)
+
+    def close(self) -> None:
+        pass
 
-    kinds = "app_id long, status string, status_at timestamp, archived_at timestamp"
-    return valid.groupBy("app_id").applyInPandasWithState(step, kinds, "status string, status_at timestamp, archived_at timestamp", "update", GroupStateTimeout.NoTimeout)
+
+def review_state(events: DataFrame, delay: str = "1 hour", keep: str = "365 days") -> DataFrame:
+    """Streaming review and archive events (event_id, app_id, ts, kind, decision, reason, reviewer) into state changes: app_id, status, status_at, archived_at and as_of.
+
+    Events may come in any order within ``delay``; an archive event counts once there is a decision, and locks. An application without events for ``keep`` is
+    forgotten. ``upserts`` writes the changes, ``newest(..., "as_of")`` reads the state. Needs ``STATE_STORE``.
+    """
+    valid = events.withWatermark("ts", delay).withColumn("problem", F.when(F.col("kind") == "review", review_problem(F.lit(True)))).where("problem is null")
+    rows = valid.select("app_id", F.col("ts").alias("event_time"), F.unix_millis("ts").alias("at"), F.unix_micros("ts").alias("ts"), "event_id", "kind", "decision")
+    kept = events.sparkSession.range(1).select((F.expr(f"unix_millis(timestamp_seconds(0) + interval {keep})")).alias("ms")).first().ms
+    made = f"app_id {events.schema['app_id'].dataType.simpleString()}, status string, status_at long, archived_at long, as_of long"
+    found = rows.groupBy("app_id").transformWithState(Reviews(kept), made, "Update", "EventTime")
+    times = {c: F.timestamp_micros(c) for c in ("status_at", "archived_at")}
+    return found.where("status is not null").withColumns(times)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables as a stream of files."""
     path = f"{sf_dir}/{name}.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
-
-
-def newest_states(changes: DataFrame, out: str, checkpoint: str):
-    """Writes state changes; the newest batch's row of an application is its state."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
-
-    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
