@@ -278,9 +278,15 @@ def kinds(item_type: T.DataType) -> list[T.DataType]:
     return [item_type, T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType()]
 
 
-def small(benchmark: DataFrame, item_text: str) -> bool:
-    """Whether the benchmark fits into a broadcast of about BLOCK_BYTES."""
-    return benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text) + 16), F.lit(0))).first()[0] <= BLOCK_BYTES
+def items_of(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(i, t): the items that have a text; no other can leak."""
+    return benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+
+
+def small(items: DataFrame) -> bool:
+    """Whether items (i, t) fit into a broadcast of about BLOCK_BYTES, texts and ids counted."""
+    size = F.octet_length("t") + F.coalesce(F.octet_length(F.to_json(F.struct("i"))), F.lit(0)) + 16
+    return items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BLOCK_BYTES
 
 
 def broadcast_items(docs: DataFrame, rows: DataFrame, shortest: int, coverage: float):
@@ -296,8 +302,8 @@ def leaks(
     """One row per leaked (document, item): the document's id, item_id, coverage, tiles, covered and tokens."""
     item_type = benchmark.schema[item_id].dataType
     names = result_names(doc_id)
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    if not small(rows, "t"):
+    rows = items_of(benchmark, item_id, item_text)
+    if not small(rows):
         own = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t"))
         found = joined_leaks(own, rows, shortest, coverage)
         keyed = own.where("t is not null").select("id_", *text_key("t", "d"))
@@ -325,8 +331,8 @@ def clean(
     shortest: int = SHORTEST, coverage: float = COVERAGE,
 ) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    if not small(rows, "t"):
+    rows = items_of(benchmark, item_id, item_text)
+    if not small(rows):
         found = joined_leaks(docs.select(F.col(text).alias("t")), rows, shortest, coverage).select("d1", "d2").distinct()
         one, two = (k for k in text_key(text, "d"))
         return docs.join(found, one.eqNullSafe(found.d1) & two.eqNullSafe(found.d2), "left_anti")

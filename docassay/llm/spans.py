@@ -14,7 +14,8 @@ take the place of sentences; a removed one may be a part of a sentence. Without
 Words are runs of ASCII letters, digits and other characters beyond ASCII; a stretch of a script that is written without spaces is one word here.
 
 Defined cases: rows with a null id or null text are returned unchanged; texts with fewer
-sentences or words than a run has no run; rows that share an id count as one document; an empty
+sentences or words than a run has no run; rows that share an id, equal ones too, are told apart by their place in the table, of which the
+first counts as first (the rows are then written once with a number, so that it stays); an empty
 table gives an empty result; an input column named like a result column is replaced.
 """
 
@@ -141,7 +142,12 @@ def runs(docs: DataFrame, long: int | None, among: Broadcast | None = None) -> D
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int | None = None) -> DataFrame:
     """``docs`` with repeated sentences taken out of ``text``, and n_sentences, n_units (sentences, or pieces with ``long``) and n_removed (of these) added."""
-    texts = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("t"))
+    place, given = F.col(doc_id), docs.columns
+    if not docs.where(place.isNotNull()).groupBy(place.alias("id_")).count().where("count > 1").isEmpty():
+        row = unused("row_", docs)
+        docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        place = F.when(F.col(doc_id).isNotNull(), F.struct(F.col(doc_id).alias("id"), F.col(row).alias("row")))
+    texts = docs.select(place.alias("id_"), F.col(text).alias("t"))
     ends = runs(texts, long).groupBy("h", "g").agg(F.min("id_").alias("first_"), F.max("id_").alias("last_"))
     first = cut(ends.where("first_ < last_").select("h", "g", "first_"))
     # Most runs stand in one document: a bitmap of the others keeps them from being shuffled again.
@@ -150,8 +156,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The document's own run has these 96 bits, so 64 of them find it again inside the document.
     id_, hits = unused("later_id_", docs), unused("later_h_", docs)
     later = later.groupBy(F.col("id_").alias(id_)).agg(F.collect_set("h").alias(hits))
-    keep = [c for c in docs.columns if c.lower() not in ADDED]
-    rows = docs.select(*keep).join(later, docs[doc_id] == F.col(id_), "left").drop(id_)
+    keep = [c for c in given if c.lower() not in ADDED]
+    rows = docs.join(later, place == F.col(id_), "left").select(*keep, hits)
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != hits), *(T.StructField(n, T.IntegerType()) for n in ADDED)])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

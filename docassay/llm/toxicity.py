@@ -6,7 +6,7 @@ false discovery rate of ``DISCOVERY``, however many. A
 document's result has its most probable grade, the expected severity (the mean grade), and whether P(grade > 0)
 reaches the value that had the best F1 on rows held out in turn from selection and fit.
 
-Labels above 1 are grades as they are. Where labels only say toxic or not, ``grades`` ranks toxic rows by how
+Labels above 1 are grades as they are: every different label of the sample is a grade, and thresholds lie between neighbouring ones, however many; severity is the mean label. Where labels only say toxic or not, ``grades`` ranks toxic rows by how
 often they hold tokens that are indicative in the other folds, so that no row's grade comes from a selection that saw it.
 
 Training reads at most ``SAMPLE_ROWS`` labelled rows, of any length: tasks count their tokens, grouped
@@ -63,13 +63,18 @@ class Sparse:
 class Model:
     """bucket: hashed token of each feature, ascending; weight: of each feature; cut: ascending thresholds.
 
-    least: the P(grade > 0) from which a text counts as toxic.
+    least: the P(grade > 0) from which a text counts as toxic. value: what each grade stands for, ascending from 0; None: its number.
     """
 
     bucket: np.ndarray
     weight: np.ndarray
     cut: np.ndarray
     least: float = 0.5
+    value: np.ndarray | None = None
+
+    @property
+    def values(self) -> np.ndarray:
+        return np.arange(len(self.cut) + 1) if self.value is None else self.value
 
     def above(self, x: np.ndarray) -> np.ndarray:
         """P(grade > j) of each row, for each threshold."""
@@ -133,18 +138,19 @@ def rows_of(x: Sparse, use: np.ndarray) -> Sparse:
     return Sparse((np.cumsum(use) - 1)[x.row[at]], x.column[at], x.value[at], (int(use.sum()), x.shape[1]))
 
 
-def grades(hits: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The labels, if any is above 1; else 0 for rows that are not toxic and 1 to GRADES - 1 by thirds of ``hits`` for the others."""
+def grades(hits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(grade of each row, what each grade stands for): the different labels, if any is above 1; else 0 for rows that are not toxic and 1 to GRADES - 1 by thirds of ``hits`` for the others."""
     if label.max(initial=0) > 1:
-        return np.clip(label, 0, GRADES - 1).astype(np.int64)
+        value = np.unique(np.append(np.maximum(label, 0), 0))
+        return np.searchsorted(value, np.maximum(label, 0)), value
     own = hits[(label > 0) & (hits > 0)]
     cuts = np.quantile(own, np.arange(1, GRADES - 1) / (GRADES - 1)) if len(own) else np.zeros(GRADES - 2)
-    return np.where(label > 0, 1 + (hits[:, None] > cuts[None, :]).sum(1), 0)
+    return np.where(label > 0, 1 + (hits[:, None] > cuts[None, :]).sum(1), 0), np.arange(GRADES)
 
 
-def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-4, rounds: int = 400) -> Model:
+def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-4, rounds: int = 400, value: np.ndarray | None = None) -> Model:
     """Maximum likelihood by gradient steps with per-parameter scaling; cuts stay ordered as sums of positive steps."""
-    k = GRADES - 1
+    k = (GRADES if value is None else len(value)) - 1
     level = np.clip([(grade > j).mean() for j in range(k)], 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(np.log((1 - level) / level) + np.arange(k) * 1e-2)
     par = np.concatenate([np.zeros(x.shape[1]), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
@@ -170,7 +176,7 @@ def fit(x: np.ndarray, grade: np.ndarray, bucket: np.ndarray, ridge: float = 1e-
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         par = par + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     cut = par[x.shape[1]] + np.append(0, np.cumsum(np.exp(par[x.shape[1] + 1 :])))
-    return Model(bucket, par[: x.shape[1]], cut)
+    return Model(bucket, par[: x.shape[1]], cut, value=value)
 
 
 def best_threshold(p: np.ndarray, toxic: np.ndarray) -> float:
@@ -237,14 +243,14 @@ def fit_sample(key: np.ndarray, y: np.ndarray, n: np.ndarray, hit: np.ndarray, c
     hits = np.zeros(len(key))
     for k in range(FOLDS):
         hits[fold == k] = (of_features(pairs, without[k]) @ np.ones(len(without[k])))[fold == k]
-    grade = grades(hits, y)
+    grade, value = grades(hits, y)
     own = of_features(pairs, every).log1p()
-    model = fit(own, grade, every)
+    model = fit(own, grade, every, value=value)
     p = model.above(own)[:, 0]
     if parted:
         for k in range(FOLDS):
             x, use = of_features(pairs, without[k]).log1p(), fold != k
-            p[~use] = fit(rows_of(x, use), grade[use], without[k]).above(x)[~use, 0]
+            p[~use] = fit(rows_of(x, use), grade[use], without[k], value=value).above(x)[~use, 0]
     # The threshold lies above what a text without any feature has: its severity is the base rate's and says nothing about it.
     base = float(model.above(np.zeros((1, len(every))))[0, 0])
     model.least = max(best_threshold(p, toxic), base + 1e-9)
@@ -261,8 +267,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: b
             else:
                 above = model.above(counts(Tokens(*buffers(column)), model.bucket).log1p())
             full = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
-            grade = np.argmax(full[:, :-1] - full[:, 1:], 1).astype(np.int32)
-            return {"grade": grade, "severity": above.sum(1), "toxic": above[:, 0] >= (model.least if model else 1)}
+            values = model.values if model else np.arange(GRADES)
+            grade = values[np.argmax(full[:, :-1] - full[:, 1:], 1)].astype(np.int32)
+            return {"grade": grade, "severity": above @ np.diff(values).astype(float), "toxic": above[:, 0] >= (model.least if model else 1)}
 
         return compute
 

@@ -140,3 +140,14 @@ def test_shared_templates_and_repeated_words_stay_small(spark, monkeypatch):
     b = spark.createDataFrame(list(enumerate(bench)), "item_id int, text string")
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()] == [(1, 7)]
+
+
+def test_items_without_text_are_never_collected(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    items = spark.createDataFrame([(f"item {i}", None) for i in range(50)], "item_id string, text string")
+    assert decontam.small(decontam.items_of(items, "item_id", "text")) and decontam.items_of(items, "item_id", "text").count() == 0
+    long_ids = spark.createDataFrame([("x" * 300, "a")], "item_id string, text string")
+    assert not decontam.small(decontam.items_of(long_ids, "item_id", "text"))
+    docs = spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")
+    mixed = items.unionByName(spark.createDataFrame([("y", "one two three four five six seven")], "item_id string, text string"))
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, mixed).collect()] == [(1, "y")] and decontam.clean(docs, mixed).count() == 0

@@ -113,10 +113,22 @@ def test_odd_rows(spark):
     out = spans.remove_repeats(spark.createDataFrame(rows, schema))
     assert out.columns == ["doc_id", "text", "h", "g", "first_", "later_id_", "later_h_", "n_sentences", "n_units", "n_removed"]
     got = {(r.doc_id, r.text, r.n_removed) for r in out.collect()}
-    assert got == {(1, None, 0), (2, "", 0), (None, long, 0), (4, long, 0), (5, "", 5000)}
+    assert got == {(1, None, 0), (2, "", 0), (None, long, 0), (4, long, 0), (4, "", 5000), (5, "", 5000)}
     assert spans.remove_repeats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_rows_that_share_an_id_are_places_of_their_own(spark):
+    passage = "The grey heron stood very still in reeds. It watched the slow water for fish. Nothing moved until the evening bell rang."
+    other = "A second passage has words of its own. They are not those of the first one. It is told once more somewhere below."
+    rows = [(1, passage), (1, passage), (1, f"{passage} Something more."), (2, f"{passage} {other}"), (2, f"{other} End."), (0, "Short."), (3, other)]
+    found = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    keyed = [((i, n), t) for n, (i, t) in enumerate(rows)]  # by id, then by row
+    want = brute(keyed)
+    assert sorted((r.doc_id, r.n_units, r.n_removed) for r in found) == sorted((i, *want[i, n]) for n, (i, _) in enumerate(rows))
+    assert sum(r.n_removed == 0 for r in found if r.doc_id == 1) == 1
+    assert {c for r in found for c in r.asDict()} == {"doc_id", "text", *spans.ADDED}
+
+
 @pytest.mark.parametrize("text", ["", "...", "a", "\n\n", "é. ü! ñ?"])
 def test_short_texts_have_no_run(text):
     import pyarrow as pa

@@ -136,3 +136,36 @@ def test_graded_labels_are_used_as_they_are(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = toxicity.score(d.select("doc_id", "text"), toxicity.train(d, d)).collect()
     assert np.mean([abs(r.severity - level[r.doc_id]) < 0.5 for r in got]) > 0.95
+
+
+def test_every_label_is_a_grade(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {0: ["calm", "river"], 1: ["mild", "rude"], 4: ["harsh", "vile"], 7: ["brutal", "foul"]}
+    rows, labels = [], []
+    for i in range(800):
+        y = [0, 0, 0, 1, 4, 7][i % 6]
+        text = [f"w{rng.randrange(300)}" for _ in range(20)] + ([rng.choice(words[y]) for _ in range(3)] if y else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, y))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.values.tolist() == [0, 1, 4, 7] and len(model.cut) == 3 and (np.diff(model.cut) > 0).all()
+    found = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    mean = {y: np.mean([found[i].severity for i, v in labels if v == y]) for y in (0, 1, 4, 7)}
+    assert mean[0] < mean[1] < mean[4] < mean[7] and mean[7] > 4
+    assert {found[i].grade for i, _ in labels} <= {0, 1, 4, 7} and sum(found[i].grade == y for i, y in labels) > 600
+
+
+def test_recall_by_language(spark):
+    """Toxic rows of every language with many labels are found; held-out rows."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(d.where("doc_id % 4 <> 1"), labels)
+    rows = toxicity.score(d.where("doc_id % 4 = 1"), model).select("doc_id", "lang", F.col("toxic").alias("found")).join(labels, "doc_id").collect()
+    share = lambda lang: np.mean([r.found for r in rows if r.toxic and (lang is None or r.lang == lang)])
+    print({lang: (share(lang), sum(r.toxic for r in rows if r.lang == lang)) for lang in ("en", "fr", "de", "es")})
+    assert share("en") > 0.8 and share(None) > 0.8
+    assert np.mean([r.found for r in rows if not r.toxic]) < 0.01
