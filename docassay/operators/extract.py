@@ -210,3 +210,91 @@ def strict_family(v: Column) -> Column:
 
 def all_caps(v: Column) -> Column:
     return ~v.rlike("[a-z]")
+
+
+# --- boxes that go with values ----------------------------------------------------------------------------------------
+
+BOX = "struct<page: int, source: string, words: array<struct<text: string, conf: double>>, mean_confidence: double>"
+NEAR_BEFORE, NEAR_AFTER, WINE_BONUS = 2, 3, 10
+
+
+def best_run(box: Column, values: Column) -> Column:
+    """A field's box (BOX) narrowed to the run of its words that reads like one of ``values`` (an array of texts); null without one, or for a box without words of its own.
+
+    A run scores its words, and WINE_BONUS if "wine" stands near it; of equal scores the first run counts.
+    """
+
+    def placed(plain: Column, tokens: Column) -> Column:
+        size = F.size(tokens)
+        starts = F.when((size > 0) & (F.size(plain) >= size), F.sequence(F.lit(0), F.size(plain) - size)).otherwise(F.array().cast("array<int>"))
+        runs = F.filter(starts, lambda i: F.slice(plain, i + 1, size) == tokens)
+        low = lambda i: F.greatest(i - NEAR_BEFORE, F.lit(0))
+        near = lambda i: F.array_contains(F.slice(plain, low(i) + 1, i + size + NEAR_AFTER - low(i)), "wine")
+        return F.transform(runs, lambda i: F.struct((size + F.when(near(i), WINE_BONUS).otherwise(0)).alias("score"), (-i).alias("before"), size.alias("size")))
+
+    def narrowed(plain: Column) -> Column:
+        tokens = lambda v: F.filter(F.split(N.lexicon_text(v), " "), lambda t: t != "")
+        runs = F.flatten(F.transform(values, lambda v: N.once(tokens(v), lambda t: placed(plain, t))))
+        return N.once(F.array_max(runs), cut_out)
+
+    def cut_out(best: Column) -> Column:
+        words = F.slice(box["words"], -best["before"] + 1, best["size"])
+        mean = F.round(F.aggregate(words, F.lit(0.0), lambda a, w: a + w["conf"]) / best["size"])
+        return F.when(best.isNotNull(), F.struct(box["page"].alias("page"), box["source"].alias("source"), words.alias("words"), mean.alias("mean_confidence")))
+
+    usable = box.isNotNull() & (box["source"] != "vlm") & (F.size(box["words"]) > 0)
+    return F.when(usable, N.once(F.transform(box["words"], lambda w: N.lexicon_text(w["text"])), narrowed))
+
+
+def wine_hints(labels: DataFrame) -> DataFrame:
+    """``labels`` (class_type, producer, wine_varietal, wine_appellation, and a BOX of each: class_type_box, producer_box, wine_varietal_box, wine_appellation_box) with missing
+    varietals and appellations taken from the class and the producer, and their boxes narrowed to the words that say so. A value that is there keeps its box."""
+    grapes = N.lexicon_found(F.col("class_type"), K.VARIETALS)
+    of_class, of_producer = (N.lexicon_found(F.col(c), K.APPELLATIONS) for c in ("class_type", "producer"))
+    no_varietal, no_appellation = (F.coalesce(F.col(c) == "", F.lit(True)) for c in ("wine_varietal", "wine_appellation"))
+    first = lambda found: F.get(found, F.lit(0))
+    rows = labels.withColumns({"grapes_": F.when(no_varietal, grapes), "of_class_": F.when(no_appellation, first(of_class)), "of_producer_": F.when(no_appellation, first(of_producer))})
+    said = lambda m: F.array(m["key"], m["name"])
+    grape_box = F.when(F.size("grapes_") > 0, best_run(F.col("class_type_box"), F.transform("grapes_", lambda e: e["key"])))
+    place_box = F.when(F.col("of_class_").isNotNull(), best_run(F.col("class_type_box"), said(F.col("of_class_")))).when(F.col("of_producer_").isNotNull(), best_run(F.col("producer_box"), said(F.col("of_producer_"))))
+    return rows.withColumns({
+        "wine_varietal_box": F.coalesce(grape_box, "wine_varietal_box"), "wine_appellation_box": F.coalesce(place_box, "wine_appellation_box"),
+        "wine_varietal": F.coalesce(F.nullif(F.array_join(F.transform("grapes_", lambda e: e["name"]), ", "), F.lit("")), "wine_varietal"),
+        "wine_appellation": F.coalesce(F.col("of_class_")["name"], F.col("of_producer_")["name"], F.col("wine_appellation")),
+    }).drop("grapes_", "of_class_", "of_producer_")
+
+
+def origin_hint(labels: DataFrame) -> DataFrame:
+    """``labels`` (country_of_origin, producer, and country_of_origin_box, producer_box) with USA, and the producer's box, where no country stands and the producer is a domestic one."""
+    hint = (F.coalesce(F.col("country_of_origin"), F.lit("")) == "") & domestic_hint(F.col("producer"))
+    rows = labels.withColumn("hint_", hint)
+    return rows.withColumns({"country_of_origin": F.when(F.col("hint_"), "USA").otherwise(F.col("country_of_origin")), "country_of_origin_box": F.when(F.col("hint_"), F.coalesce("producer_box", "country_of_origin_box")).otherwise(F.col("country_of_origin_box"))}).drop("hint_")
+
+
+#: The fields of a form that are read again, and those that only wine has.
+FORM_TARGETS = ["application.brandName", "application.fancifulName", "application.source", "application.productType", "application.applicant.name"]
+WINE_TARGETS = ["application.grapeVarietals", "application.wineAppellation"]
+
+
+def form_fallback_targets(fields: DataFrame) -> DataFrame:
+    """doc_id, field of what of a form must be read again: fields (doc_id, field, value, box, is_wine). A vision model's value is not asked for twice."""
+    value, box = F.col("value"), F.col("box")
+    poor = (F.coalesce(F.trim(value), F.lit("")) == "") | box.isNull() | F.coalesce(box["mean_confidence"] < UNSURE, F.lit(False))
+    asked = F.col("field").isin(FORM_TARGETS) | (F.col("field").isin(WINE_TARGETS) & F.col("is_wine"))
+    return fields.where(asked & ~F.coalesce(box["source"] == "vlm", F.lit(False)) & poor).select("doc_id", "field").distinct()
+
+
+def merge_form_answers(fields: DataFrame, answers: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, field, value, box: fields of a form (doc_id, field, value, box) with re-read values in their place.
+
+    answers: doc_id, field, value, one for each field that was asked for. A null answer keeps the value; whatever it says, the box of a field that was asked for is a vision
+    model's from now on, without words, on the document's first page (pages: doc_id, page; 1 without any).
+    """
+    first = pages.groupBy("doc_id").agg(F.min("page").cast("int").alias("first_page"))
+    rows = fields.join(answers.select("doc_id", "field", F.col("value").alias("answer"), F.lit(True).alias("asked")), ["doc_id", "field"], "left").join(first, "doc_id", "left")
+    box = F.struct(F.coalesce("first_page", F.lit(1)).alias("page"), F.lit("vlm").alias("source"), F.array().cast("array<struct<text: string, conf: double>>").alias("words"), F.lit(None).cast("double").alias("mean_confidence"))
+    field = F.col("field")
+    answer = F.col("answer")
+    stored = F.when(answer.isNull(), F.col("value")).when(field.isin(WINE_TARGETS), form_wine_value(answer)).when(field == "application.source", source_value(answer))
+    stored = stored.when(field == "application.productType", F.coalesce(strict_family(answer), "value")).otherwise(answer)
+    return rows.select("doc_id", "field", stored.alias("value"), F.when(F.col("asked"), box).otherwise(F.col("box")).alias("box"))

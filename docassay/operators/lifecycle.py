@@ -42,12 +42,23 @@ def archive_times(valid: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def current_state(apps: DataFrame, reviews: DataFrame, archives: DataFrame) -> DataFrame:
-    """``apps`` with status, status_at and archived_at: the newest accepted review decides, later ids among equal times."""
-    accepted = judged_reviews(apps, reviews, archives).where("problem is null")
-    last = accepted.groupBy(F.col("app_id").alias("last_id")).agg(F.max_by("decision", F.struct("ts", "review_id")).alias("decision"), F.max("ts").alias("decided_at"))
-    locks = archive_times(accepted, archives).withColumnRenamed("app_id", "lock_id")
-    rows = apps.join(last, F.col("app_id") == F.col("last_id"), "left").join(locks, F.col("app_id") == F.col("lock_id"), "left")
-    return rows.withColumns({"status": F.coalesce("decision", initial_status(F.col("verdict"))), "status_at": F.coalesce("decided_at", "created_at")}).drop("decision", "decided_at", "last_id", "lock_id")
+    """``apps`` with status, status_at and archived_at: the newest accepted review decides, later ids among equal times.
+
+    A review that is valid by itself is accepted unless the archive event that locks its application came before; those of unknown applications meet no row of ``apps``.
+    """
+    valid = reviews.withColumn("problem", review_problem(F.lit(True))).where("problem is null")
+    locks = archive_times(valid, archives).withColumnRenamed("app_id", "lock_id")
+    rows = valid.join(locks, F.col("app_id") == F.col("lock_id"), "left").where("archived_at is null or ts < archived_at")
+    last = rows.groupBy(F.col("app_id").alias("last_id")).agg(F.max_by("decision", F.struct("ts", "review_id")).alias("decision"), F.max("ts").alias("decided_at"), F.max("archived_at").alias("archived_at"))
+    found = apps.join(last, F.col("app_id") == F.col("last_id"), "left")  # a lock comes after a review that counts, so it is here
+    return found.withColumns({"status": F.coalesce("decision", initial_status(F.col("verdict"))), "status_at": F.coalesce("decided_at", "created_at")}).drop("decision", "decided_at", "last_id")
+
+
+def newest_states(apps: DataFrame, reviews: DataFrame, archives: DataFrame, by: str, limit: int) -> DataFrame:
+    """The state of the ``limit`` applications that are newest by a column of ``apps``: their ids are picked first, and only their events are read."""
+    ids = [r.app_id for r in newest(apps, by, limit).select("app_id").collect()]  # limit rows
+    own = F.col("app_id").isin(ids)
+    return newest(current_state(apps.where(own), reviews.where(own), archives.where(own)), by, limit)
 
 
 def status_filter(statuses: list[str], archived: bool | None) -> Column:
@@ -83,9 +94,10 @@ def archive_requests(state: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def archived_by(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """app_id of the rows that valid requests (request_id, app_id) move."""
-    valid = archive_requests(state, requests).where("problem is null").select("request_id")
-    ids = requests.join(valid, "request_id", "left_semi").select("app_id").distinct()
+    """app_id of the rows that valid requests (request_id, app_id) move. Which requests are valid does not depend on the state, which is read once."""
+    named = requests.where("app_id is not null").distinct()
+    valid = named.groupBy("request_id").agg(F.count("*").alias("ids")).where(F.col("ids") <= MOST_ARCHIVED).select("request_id")
+    ids = named.join(valid, "request_id", "left_semi").select("app_id").distinct()
     return state.where(status_filter(FINAL, False)).join(ids, "app_id", "left_semi").select("app_id")
 
 

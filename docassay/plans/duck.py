@@ -81,10 +81,23 @@ def candidates(v: str, ks: str) -> str:
     return f"list_filter(list_transform({ks}, lambda e: {{'at': instr(' ' || {lexicon_text(v)} || ' ', ' ' || e.key || ' '), 'size': len(e.key), 'name': e.name, 'ord': e.ord}}), lambda e: e.at > 0)"
 
 
-def accepted(c: str) -> str:
-    """Names of the candidates that no earlier candidate touches or names; equal to the greedy choice unless a refused one would have stood between."""
+def kept(c: str) -> str:
+    """The candidates that no earlier candidate touches or names; equal to the greedy choice unless a refused one would have stood between."""
     clash = "((e.at < h.at + h.size and e.at + e.size > h.at) or h.name = e.name) and h.ord < e.ord"
-    return f"list_transform(list_filter({c}, lambda e: len(list_filter({c}, lambda h: {clash})) = 0), lambda e: e.name)"
+    return f"list_filter({c}, lambda e: len(list_filter({c}, lambda h: {clash})) = 0)"
+
+
+def accepted(c: str) -> str:
+    """Their names."""
+    return f"list_transform({kept(c)}, lambda e: e.name)"
+
+
+def best_run(words: str, values: str) -> str:
+    """{score, before, size} of the best run of normalised words that reads like one of some values."""
+    at = f"lambda i: {words}[i + 1 : i + len(string_split(v, ' '))] = string_split(v, ' ')"
+    near = f"list_contains({words}[greatest(i - 2, 0) + 1 : i + len(string_split(v, ' ')) + 3], 'wine')"
+    runs = f"list_transform(list_filter(range(0, len({words}) - len(string_split(v, ' ')) + 1), {at}), lambda i: {{'score': len(string_split(v, ' ')) + case when {near} then 10 else 0 end, 'before': -i, 'size': len(string_split(v, ' '))}})"
+    return f"list_aggregate(flatten(list_transform(list_filter({values}, lambda v: v <> ''), lambda v: {runs})), 'max')"
 
 
 def family(v: str, varietals: str) -> str:

@@ -213,12 +213,12 @@ add("L4_delete_recent", deleted_recent, f"with {APPS} select app_id from apps wh
 add("A1_count_by_status", lambda s, d: apps(s, d).agg(F.count_if(c("verdict") == "compliant").alias("compliant"), F.count_if(c("verdict").isin("needs_review", "non_compliant")).alias("needs_review"), F.count_if(c("verdict").isNull()).alias("errors")), f"with {APPS} select count(*) filter (verdict = 'compliant') as compliant, count(*) filter (verdict in ('needs_review', 'non_compliant')) as needs_review, count(*) filter (verdict is null) as errors from apps")
 add("A2_queue_bucket_counts", lambda s, d: L.queue_counts(state(s, d)), f"with {STATE} select count(*) filter (status = 'pending_approval') as pending_approval, count(*) filter (status = 'pending_rejection') as pending_rejection, count(*) filter (status in ('approved', 'rejected')) as finalized from state where archived_at is null")
 for _name, _by, _n, _spark, _sql in [
-    ("K1_recent_applications", "created_at", 50, lambda rows: rows, "true"),
     ("K2_queue_page", "created_at", 100, lambda rows: rows.where(L.status_filter(["pending_approval"], False)), "status = 'pending_approval' and archived_at is null"),
     ("K3_finalized_page", "status_at", 100, lambda rows: rows.where(L.status_filter(L.FINAL, False)), "status in ('approved', 'rejected') and archived_at is null"),
-    ("K4_recent_n", "created_at", 5, lambda rows: rows, "true"),
 ]:
     add(_name, lambda s, d, by=_by, n=_n, f=_spark: L.newest(f(state(s, d)), by, n).select("app_id", "status", by), f"with {STATE} select app_id, status, {_by} from state where {_sql} order by {_by} desc, app_id limit {_n}")
+for _name, _n in [("K1_recent_applications", 50), ("K4_recent_n", 5)]:
+    add(_name, lambda s, d, n=_n: L.newest_states(apps(s, d), reviews(s, d), archives(s, d), "created_at", n).select("app_id", "status", "created_at"), f"with {STATE} select app_id, status, created_at from state order by created_at desc, app_id limit {_n}")
 RUNS = "runs as (select doc_id, sha256(text) content_hash, 'p' || (doc_id % 2) prompt_version, 'm' || (doc_id % 3) extractor_model from documents)"
 _runs = lambda s, d: documents(s, d).select("doc_id", F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("p"), (c("doc_id") % 2).cast("string")).alias("prompt_version"), F.concat(F.lit("m"), (c("doc_id") % 3).cast("string")).alias("extractor_model"))
 KEY = ["content_hash", "prompt_version", "extractor_model"]

@@ -245,8 +245,8 @@ p as (select *, case when shown then coalesce(box_tab, {_tab(_field_rank)}) when
 select doc_id, field, tab, case when shown then box_page else case tab when 'form' then form_page when 'back' then back_page else front_page end end::varchar as page, case when shown then array_to_string(list_transform(range(1, n_words::int + 1), lambda i: 'w' || i), ' ') end as words, coalesce(source = 'vlm', false) as is_fallback from p""",
 )
 add(
-    "G24_vlm_routing_page", lambda s, d: P.vlm_pages(W.pick_pages(stats(s, d)), boxes(s, d).where(P.drawn())),
-    f"with {TABS}, ocr as (select distinct doc_id, page from bx1 where source <> 'vlm' and n_words > 0) select p.doc_id, coalesce(min(p.page) filter (contains(kind, 'label') and o.page is not null), min(p.page) filter (contains(kind, 'label')), min(p.page), 1) as page from picked p left join ocr o on o.doc_id = p.doc_id and o.page = p.page group by 1",
+    "G24_vlm_routing_page", lambda s, d: P.vlm_pages(W.pick_pages(stats(s, d)), boxes(s, d).where(P.drawn() & (c("source") == "tesseract"))),
+    f"with {TABS}, ocr as (select distinct doc_id, page from bx1 where source = 'tesseract' and n_words > 0) select p.doc_id, coalesce(min(p.page) filter (contains(kind, 'label') and o.page is not null), min(p.page) filter (contains(kind, 'label')), min(p.page), 1) as page from picked p left join ocr o on o.doc_id = p.doc_id and o.page = p.page group by 1",
 )
 add("P11_ocr_page_selection", lambda s, d: P.pages_to_read(W.pick_pages(stats(s, d)), X.table(s, d, "orders").where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("doc_id"))), f"with {PICKED} select doc_id, page from picked where doc_id not in (select o_orderkey from orders where o_orderkey % 3 = 0) or contains(kind, 'label')")
 SOURCES = f"""{BOX_SQL}, {WANTED}, bx1 as (select * from bxr where k = 1), pv as (select distinct l_orderkey doc_id, {D.lists(BOXED)}[l_suppkey % {len(BOXED)} + 1] field, case l_orderkey % 4 when 0 then 'low' when 3 then null else 'high' end confidence from lineitem where l_linenumber = 1),
@@ -387,12 +387,45 @@ add(
     lambda s, d: X.labels(s, d).select("doc_id", E.warning_score(c("warning_text")).alias("score")),
     f"with {FX} select doc_id, regexp_matches({_lowered}, '\\bgovernment\\s+warning\\b')::int + {_has}::int + 2 * ({D.anchors('warning_text', K.ANCHORS_1)} >= {K.ANCHOR_SHARE})::int + 2 * ({D.anchors('warning_text', K.ANCHORS_2)} >= {K.ANCHOR_SHARE})::int + ({_lowered} = {D.quote(K.WARNING.lower())})::int as score from fx_labels",
 )
+
+
+def boxed_labels(s, d):
+    """Labels with a box for class and producer: a word for each word, of a vision model for some."""
+    word = lambda t, i: F.struct(t.alias("text"), (40 + (F.length(t) * 7 + i) % 60).cast("double").alias("conf"))
+    box = lambda v: F.when(c(v).isNotNull() & (c("doc_id") % 7 != 3), F.struct((c("doc_id") % 3 + 1).cast("int").alias("page"), F.when(c("doc_id") % 11 == 0, "vlm").otherwise("tesseract").alias("source"), F.transform(F.split(v, " "), word).alias("words"), F.lit(50.0).alias("mean_confidence")))
+    rows = X.labels(s, d).withColumn("class_type", F.when(c("doc_id") % 3 == 0, F.concat(F.lit("Red Wine of Merlot, Napa Valley "), "class_type")).otherwise(c("class_type")))
+    none = F.lit(None).cast(E.BOX)
+    return rows.withColumns({"class_type_box": box("class_type"), "producer_box": box("producer"), **dict.fromkeys(["wine_varietal_box", "wine_appellation_box", "country_of_origin_box"], none)})
+
+
+_said = lambda v: F.array_join(F.transform(c(v)["words"], lambda w: w["text"]), " ")
+
+
+def hinted(s, d):
+    rows = E.wine_hints(boxed_labels(s, d))
+    return rows.select("doc_id", c("wine_varietal").alias("varietal"), c("wine_appellation").alias("appellation"), _said("wine_varietal_box").alias("varietal_words"), c("wine_varietal_box")["mean_confidence"].alias("varietal_confidence"), _said("wine_appellation_box").alias("appellation_words"))
+
+
+_has_box = lambda v: f"({v} is not null and doc_id % 7 <> 3 and doc_id % 11 <> 0)"
+_plain = lambda v: f"list_transform(string_split({v}, ' '), lambda w: {D.lexicon_text('w')})"
+_key_of = lambda e, v: f"substr({D.lexicon_text(v)}, {e}.at::int, {e}.size::int)"
+_cut = lambda best, v: f"array_to_string(string_split({v}, ' ')[1 - {best}.before : {best}.size - {best}.before], ' ')"
+_conf = "list_aggregate(list_transform(range(1 - bv.before, bv.size - bv.before + 1), lambda i: 40 + (len(string_split(class_type, ' ')[i]) * 7 + i - 1) % 60), 'avg')"
 add(
-    "X12_wine_hints",
-    lambda s, d: X.labels(s, d).select("doc_id", F.coalesce("wine_varietal", N.varietal(c("class_type"))).alias("varietal"), F.coalesce("wine_appellation", N.appellation(c("class_type")), N.appellation(c("producer"))).alias("appellation")),
-    f"with {FX}, {KEYS}, h as (select doc_id, wine_varietal, wine_appellation, {D.candidates('class_type', 'kv.ks')} v, {D.candidates('class_type', 'ka.ks')} a, {D.candidates('producer', 'ka.ks')} p from fx_labels, kv, ka) select doc_id, coalesce(wine_varietal, nullif(array_to_string({D.accepted('v')}, ', '), '')) as varietal, coalesce(wine_appellation, {D.accepted('a')}[1], {D.accepted('p')}[1]) as appellation from h",
-)
-add("X13_extractor_domestic_hint", lambda s, d: X.labels(s, d).select("doc_id", F.coalesce("country_of_origin", F.when(E.domestic_hint(c("producer")), "USA")).alias("country")), f"with {FX} select doc_id, coalesce(country_of_origin, case when regexp_matches(upper(producer), {D.quote(E.STATE_CODE)}) and not regexp_matches(producer, '(?i)^\\s*imported\\s+by\\b') then 'USA' end) as country from fx_labels")
+    "X12_wine_hints", hinted,
+    f"""with {FX}, {KEYS}, l as (select * replace (case when doc_id % 3 = 0 then 'Red Wine of Merlot, Napa Valley ' || class_type else class_type end as class_type) from fx_labels),
+h as (select l.*, {D.candidates('class_type', 'kv.ks')} v, {D.candidates('class_type', 'ka.ks')} a, {D.candidates('producer', 'ka.ks')} p from l, kv, ka),
+k as (select *, case when coalesce(wine_varietal, '') = '' then {D.kept('v')} end gv, case when coalesce(wine_appellation, '') = '' then {D.kept('a')}[1] end ga, case when coalesce(wine_appellation, '') = '' then {D.kept('p')}[1] end gp from h),
+r as (select *, case when {_has_box('class_type')} then {D.best_run(_plain('class_type'), f"list_transform(gv, lambda e: {_key_of('e', 'class_type')})")} end bv,
+ case when ga is not null then case when {_has_box('class_type')} then {D.best_run(_plain('class_type'), f"[{_key_of('ga', 'class_type')}, {D.lexicon_text('ga.name')}]")} end end ba,
+ case when ga is null and gp is not null and {_has_box('producer')} then {D.best_run(_plain('producer'), f"[{_key_of('gp', 'producer')}, {D.lexicon_text('gp.name')}]")} end bp from k)
+select doc_id, coalesce(nullif(array_to_string(list_transform(gv, lambda e: e.name), ', '), ''), wine_varietal) as varietal, coalesce(ga.name, gp.name, wine_appellation) as appellation, case when bv is not null then {_cut('bv', 'class_type')} end as varietal_words,
+ case when bv is not null then round({_conf}) end as varietal_confidence, case when ba is not null then {_cut('ba', 'class_type')} when bp is not null then {_cut('bp', 'producer')} end as appellation_words from r""",
+)
+add(
+    "X13_extractor_domestic_hint", lambda s, d: E.origin_hint(boxed_labels(s, d)).select("doc_id", c("country_of_origin").alias("country"), _said("country_of_origin_box").alias("words")),
+    f"with {FX}, h as (select *, country_of_origin is null and coalesce(regexp_matches(upper(producer), {D.quote(E.STATE_CODE)}) and not regexp_matches(producer, '(?i)^\\s*imported\\s+by\\b'), false) hint from fx_labels) select doc_id, case when hint then 'USA' else country_of_origin end as country, case when hint and doc_id % 7 <> 3 then producer end as words from h",
+)
 _targets = {"brandName": "brand_name", "governmentWarning": "warning_text", "countryOfOrigin": "country_of_origin", "wineVarietal": "wine_varietal", "wineAppellation": "wine_appellation"}
 FIELDS = f"{FX}, fl as (select l.doc_id, f.product_type, u.field, u.value, l.doc_id % 13 <> 0 has_box, 50 + l.doc_id % 40 mean_conf, case when l.doc_id % 5 = 0 then 'vlm' else 'tesseract' end source from fx_labels l join fx_forms f using (doc_id), lateral (values {', '.join(f'({D.quote(k)}, l.{v})' for k, v in _targets.items())}) u(field, value))"
 
@@ -420,7 +453,35 @@ add(
 tk as (select *, stored is not null and (field <> 'governmentWarning' or coalesce(trim(value), '') = '' or 7 > {_score}) taken from st)
 select doc_id, field, case when taken then stored else value end as value, case when not taken or field = 'governmentWarning' or {D.comparison_text('value')} = {D.comparison_text('stored')} then source else 'vlm' end as source, taken from tk""",
 )
-add("X16_form_fallback_merge", lambda s, d: X.forms(s, d).select("doc_id", F.coalesce(F.when(c("doc_id") % 4 == 0, "Answered brand"), "brand_name").alias("brand_name"), F.when(c("product_type") == "WINE", E.form_wine_value(c("grape_varietals"))).alias("grapes")), f"with {FX} select doc_id, case when doc_id % 4 = 0 then 'Answered brand' else brand_name end as brand_name, case when product_type = 'WINE' then grape_varietals end as grapes from fx_forms")
+_form_fields = {"application.brandName": "brand_name", "application.productType": "product_type", "application.source": "source", "application.applicant.name": "applicant_name", "application.grapeVarietals": "grape_varietals"}
+FORM_FIELDS = f"""{FX}, ff as (select f.doc_id, f.product_type, u.i, u.field, u.value, case when (f.doc_id + u.i) % 6 = 0 then null when (f.doc_id + u.i) % 6 = 1 then 'vlm' else 'pdf' end source, 45.0 + (f.doc_id + u.i) % 30 conf
+ from fx_forms f, lateral (values {', '.join(f'({i}, {D.quote(k)}, f.{v})' for i, (k, v) in enumerate(_form_fields.items()))}) u(i, field, value)),
+wanted as (select doc_id, field, i from ff where (field <> 'application.grapeVarietals' or product_type = 'WINE') and source is distinct from 'vlm' and (coalesce(trim(value), '') = '' or source is null or conf < {E.UNSURE}))"""
+
+
+def form_fields(s, d):
+    rows = X.forms(s, d).select("doc_id", c("product_type").alias("kind_"), F.posexplode(F.array(*[F.struct(F.lit(k).alias("field"), c(v).alias("value")) for k, v in _form_fields.items()])).alias("i", "u"))
+    turn = (c("doc_id") + c("i")) % 6
+    box = F.struct(F.lit(1).alias("page"), F.when(turn == 1, "vlm").otherwise("pdf").alias("source"), F.array(F.struct(F.lit("w").alias("text"), F.lit(90.0).alias("conf"))).alias("words"), (45.0 + (c("doc_id") + c("i")) % 30).alias("mean_confidence"))
+    return rows.select("doc_id", "i", "u.*", F.when(turn != 0, box).alias("box"), (c("kind_") == "WINE").alias("is_wine"))
+
+
+def form_merged(s, d):
+    rows = form_fields(s, d)
+    asked = E.form_fallback_targets(rows).join(rows.select("doc_id", "field", "i"), ["doc_id", "field"])
+    said = F.when(c("doc_id") % 4 == 0, None).when(c("i") == 1, "Fine Vodka").when(c("i") == 2, "imported goods").when(c("i") == 4, F.when(c("doc_id") % 5 == 0, "null").otherwise(" n/a")).otherwise("Answered")
+    pages = X.table(s, d, "lineitem").where("l_orderkey % 3 = 0").select(c("l_orderkey").alias("doc_id"), c("l_linenumber").alias("page"))
+    found = E.merge_form_answers(rows, asked.select("doc_id", "field", said.alias("value")), pages)
+    return found.select("doc_id", "field", "value", F.coalesce(c("box")["source"], F.lit("none")).alias("source"), F.coalesce(c("box")["page"], F.lit(0)).alias("page"), F.coalesce(F.size(c("box")["words"]), F.lit(0)).alias("n_words"))
+
+
+add("X16_form_fallback_targets", lambda s, d: E.form_fallback_targets(form_fields(s, d)), f"with {FORM_FIELDS} select doc_id, field from wanted")
+add(
+    "X16_form_fallback_merge", form_merged,
+    f"""with {FORM_FIELDS}, pg as (select l_orderkey doc_id, min(l_linenumber) page from lineitem where l_orderkey % 3 = 0 group by 1), m as (select ff.*, w.doc_id is not null asked, pg.page p from ff left join wanted w using (doc_id, field) left join pg on pg.doc_id = ff.doc_id)
+select doc_id, field, case when not asked or doc_id % 4 = 0 then value when i = 1 then 'DISTILLED SPIRITS' when i = 2 then 'Imported' when i = 4 then case when doc_id % 5 = 0 then null else 'N/A' end else 'Answered' end as value,
+ case when asked then 'vlm' else coalesce(source, 'none') end as source, case when asked then coalesce(p, 1) when source is null then 0 else 1 end::int as page, case when asked or source is null then 0 else 1 end as n_words from m""",
+)
 add("X17_value_sanitizers", lambda s, d: X.forms(s, d).select("doc_id", E.form_wine_value(c("grape_varietals")).alias("grapes"), E.label_value(F.lit("countryOfOrigin"), c("grape_varietals")).alias("country"), E.label_value(F.lit("wineVarietal"), c("grape_varietals")).alias("varietal"), E.source_value(c("source")).alias("source")), f"with {FX} select doc_id, grape_varietals as grapes, case when grape_varietals = 'Shiraz' then 'Shiraz' end as country, case grape_varietals when 'Shiraz' then 'Syrah' when 'Cabernet Sauvignon' then 'Cabernet Sauvignon' end as varietal, case when source = 'Imported' then 'Imported' else 'Domestic' end as source from fx_forms")
 _strict = {k: f"regexp_matches(upper(class_type), {D.quote(p)})" for k, p in E.STRICT.items()}
 add("X18_family_from_text_strict", lambda s, d: X.labels(s, d).select("doc_id", E.strict_family(c("class_type")).alias("family")), f"with {FX} select doc_id, case when {' + '.join(f'({v})::int' for v in _strict.values())} = 1 then case {' '.join(f'when {v} then {D.quote(k)}' for k, v in _strict.items())} end end as family from fx_labels")
