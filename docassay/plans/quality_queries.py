@@ -153,7 +153,7 @@ def stream_lines(s, d):
     at = scratch(s, "stream")
     rows = T.table_stream(s, d, "events")
     T.drain(T.result_lines(rows.select("event_id", F.expr(VALUE).alias("value")), f"{at}/good", f"{at}/bad", f"{at}/log"))
-    return s.read.parquet(f"{at}/good").select("event_id", "kind", "problems").union(s.read.parquet(f"{at}/bad").select("event_id", "kind", "problems"))
+    return s.read.parquet(f"{at}/good").select("event_id", "kind").unionByName(s.read.parquet(f"{at}/bad").select("event_id", "kind", "problems"), allowMissingColumns=True)
 
 
 add("T1_stream_result_lines", stream_lines, f"with {PARSED} select event_id, kind, problems from j")
