@@ -100,20 +100,28 @@ def lexicon_keys(entries: dict[str, list[str]]) -> list[tuple[str, str]]:
     return sorted(found, key=lambda x: -len(x[0]))
 
 
-def lexicon_found(v: Column, entries: dict[str, list[str]]) -> Column:
-    """What a text names of a lexicon, as an array of at, size, name (the canonical one) and key (as it stands in ``lexicon_text``): longest key first, only a key's first place, no overlap, each name once."""
-    keys = F.from_json(F.lit(json.dumps([{"key": f" {k} ", "name": c} for k, c in lexicon_keys(entries)])), "array<struct<key: string, name: string>>")
-    any_key = " (?:" + "|".join(sorted({k for k, _ in lexicon_keys(entries)}, reverse=True)) + ") "
-    none = F.from_json(F.lit("[]"), "array<struct<at: int, size: int, name: string, key: string>>")
+def no_places() -> Column:
+    return F.from_json(F.lit("[]"), "array<struct<at: int, size: int, name: string, key: string>>")
+
+
+def greedy(placed: Column) -> Column:
+    """Of places (at, size, name, key) in order of preference those that neither overlap a chosen one nor repeat its name."""
 
     def take(held: Column, e: Column) -> Column:
         clash = F.exists(held, lambda h: ((e["at"] < h["at"] + h["size"]) & (e["at"] + e["size"] > h["at"])) | (h["name"] == e["name"]))
         return F.when(clash, held).otherwise(F.concat(held, F.array(e)))
 
+    return F.aggregate(placed, no_places(), take)
+
+
+def lexicon_found(v: Column, entries: dict[str, list[str]]) -> Column:
+    """What a text names of a lexicon, as an array of at, size, name (the canonical one) and key (as it stands in ``lexicon_text``): longest key first, only a key's first place, no overlap, each name once."""
+    keys = F.from_json(F.lit(json.dumps([{"key": f" {k} ", "name": c} for k, c in lexicon_keys(entries)])), "array<struct<key: string, name: string>>")
+    any_key = " (?:" + "|".join(sorted({k for k, _ in lexicon_keys(entries)}, reverse=True)) + ") "
     def found(t: Column) -> Column:
         held = F.filter(keys, lambda e: F.contains(t, e["key"]))
         placed = F.transform(held, lambda e: F.struct(F.instr(t, e["key"]).alias("at"), (F.length(e["key"]) - 2).alias("size"), e["name"].alias("name"), F.trim(e["key"]).alias("key")))
-        return F.when(t.rlike(any_key), F.aggregate(placed, none, take)).otherwise(none)
+        return F.when(t.rlike(any_key), greedy(placed)).otherwise(no_places())
 
     return once(F.concat(F.lit(" "), lexicon_text(v), F.lit(" ")), found)
 

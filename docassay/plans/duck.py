@@ -82,9 +82,10 @@ def candidates(v: str, ks: str) -> str:
 
 
 def kept(c: str) -> str:
-    """The candidates that no earlier candidate touches or names; equal to the greedy choice unless a refused one would have stood between."""
-    clash = "((e.at < h.at + h.size and e.at + e.size > h.at) or h.name = e.name) and h.ord < e.ord"
-    return f"list_filter({c}, lambda e: len(list_filter({c}, lambda h: {clash})) = 0)"
+    """The greedy choice: a fold over the candidates, in order, that takes each one that clashes with none taken before."""
+    clash = "(e[1].at < h.at + h.size and e[1].at + e[1].size > h.at) or h.name = e[1].name"
+    fold = f"list_reduce(list_transform({c}, lambda e: [e]), lambda taken, e: case when len(list_filter(taken, lambda h: {clash})) > 0 then taken else list_concat(taken, e) end)"
+    return f"(case when len({c}) = 0 then {c} else {fold} end)"
 
 
 def accepted(c: str) -> str:

@@ -20,7 +20,7 @@ FORMS = f"""select p_partkey doc_id,
  case when p_partkey % 16 = 15 then null when p_partkey % 4 = 0 then 'Imported' else 'Domestic' end source,
  p_name brand_name, s_name || ', LLC' applicant_name, n_name applicant_city,
  case p_partkey % 4 when 0 then 'KY' when 1 then 'CA' when 2 then 'OR' else 'WV' end applicant_state,
- case p_partkey % 5 when 0 then 'Cabernet Sauvignon' when 1 then 'N/A' when 2 then 'Shiraz' when 3 then 'red wine blend' else null end grape_varietals,
+ case p_partkey % 5 when 0 then 'Cabernet Sauvignon' when 1 then 'N/A' when 2 then 'Shiraz' when 3 then 'red wine blend' when 4 then case when p_partkey % 2 = 0 then 'Garnacha Blanca / Grenache Blanc' end end grape_varietals,
  case p_partkey % 4 when 0 then 'Napa Valley' when 1 then 'U.S.A.' when 2 then 'Mosel' else null end wine_appellation {_FROM}"""
 
 _TERSE = K.WARNING.replace("to the Surgeon", "Surgeon").replace("of the risk", "risk").replace("drive a car", "drive car")
@@ -32,10 +32,10 @@ LABELS = f"""select p_partkey doc_id,
  case p_partkey % 9 when 0 then false when 1 then null else true end appears_bold,
  case when p_partkey % 10 = 0 then false else true end appears_all_caps,
  case p_partkey % 5 when 0 then '750 mL' when 1 then '1.75 L' when 2 then '12 fl. oz' when 3 then '5.17 gal' else null end net_contents,
- case p_partkey % 8 when 0 then 'Cabernet Sauvignon' when 1 then 'Straight Bourbon Whiskey' when 2 then 'India Pale Ale' when 3 then 'red wine blend' when 4 then 'Vodka' when 5 then 'Lager' when 6 then 'Single Malt Scotch Whisky' else null end class_type,
+ case p_partkey % 8 when 0 then 'Cabernet Sauvignon' when 1 then 'Straight Bourbon Whiskey' when 2 then 'India Pale Ale' when 3 then case when p_partkey % 16 = 3 then 'Petite Sirah, Petite Syrah' else 'red wine blend' end when 4 then 'Vodka' when 5 then 'Lager' when 6 then 'Single Malt Scotch Whisky' else null end class_type,
  case when p_partkey % 12 = 0 then null when p_partkey % 12 = 1 then 'Imported by Tropical Spirits LLC, New York, NY' else 'Bottled by ' || s_name || ' LLC, ' || n_name || ', ' || case p_partkey % 4 when 0 then 'Kentucky' when 1 then 'California' when 2 then 'Oregon' else 'West Virginia' end end producer,
  case p_partkey % 6 when 0 then 'Product of France' when 1 then 'United States' when 2 then 'Product of USA' else null end country_of_origin,
- case p_partkey % 5 when 0 then 'Merlot' when 1 then null when 2 then 'Syrah' else 'Cabernet Sauvignon, Merlot' end wine_varietal,
+ case p_partkey % 5 when 0 then 'Merlot' when 1 then null when 2 then 'Syrah' when 3 then 'Petite Sirah, Petite Syrah' else 'Cabernet Sauvignon, Merlot' end wine_varietal,
  case p_partkey % 3 when 0 then 'Napa Valley' else null end wine_appellation,
  case when p_partkey % 19 = 0 then 'low' else 'high' end extraction_confidence {_FROM}"""
 

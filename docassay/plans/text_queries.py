@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import normalize as N
 from ..operators import cross_check as C
+from ..operators import lexicon as L
 from ..operators import matching as M
 from ..operators import rules as R
 from . import duck as D
@@ -157,11 +158,40 @@ add(
 )
 _ct = f"case when lower(product_type) = {D.exact('class_type')} then true else coalesce(l_family = product_type, false) end"
 add("J5_class_type_match", lambda s, d: pairs(s, d).select("doc_id", N.class_type_match(c("x_class"), F.coalesce("class_type", F.lit(""))).alias("matched")), f"with {FX}, {ITEMS} select doc_id, {_ct} as matched from claims")
+
+
+def lexicon_matches(s, d):
+    found = L.lexicon_join(X.labels(s, d), "wine_varietal", L.lexicon(s, K.VARIETALS), "varietals")
+    found = L.lexicon_join(found, "producer", L.lexicon(s, K.APPELLATIONS), "appellations")
+    return found.select("doc_id", F.array_join("varietals", "|").alias("varietals"), F.array_join("appellations", "|").alias("appellations"))
+
+
+add(
+    "J6_lexicon_match", lexicon_matches,
+    f"""with {FX}, {KEYS}, x as (select doc_id, {D.candidates('wine_varietal', 'kv.ks')} v, {D.candidates('producer', 'ka.ks')} a from fx_labels, kv, ka)
+select doc_id, array_to_string({D.accepted('v')}, '|') as varietals, array_to_string({D.accepted('a')}, '|') as appellations from x""",
+)
 add(
-    "J6_lexicon_match",
+    "J6_lexicon_expression",
     lambda s, d: X.labels(s, d).select("doc_id", F.array_join(N.lexicon_matches(c("wine_varietal"), K.VARIETALS), "|").alias("varietals"), F.array_join(N.lexicon_matches(c("producer"), K.APPELLATIONS), "|").alias("appellations")),
-    f"with {FX}, {KEYS}, x as (select doc_id, {D.candidates('wine_varietal', 'kv.ks')} v, {D.candidates('producer', 'ka.ks')} a from fx_labels, kv, ka) select doc_id, array_to_string({D.accepted('v')}, '|') as varietals, array_to_string({D.accepted('a')}, '|') as appellations from x",
+    ORACLE_SQL["J6_lexicon_match"],
 )
+
+
+def places_named(s, d):
+    """A lexicon that is a table: nations and regions, whose keys may have several words, in what labels say of their producers."""
+    nations = X.table(s, d, "nation").select(c("n_name").alias("key"), c("n_name").alias("name"), c("n_nationkey").alias("place"))
+    regions = X.table(s, d, "region").select(c("r_name").alias("key"), F.concat(c("r_name"), F.lit(" (region)")).alias("name"), (c("r_regionkey") + 1000).alias("place"))
+    rows = X.labels(s, d).select("doc_id", F.concat_ws(" of ", "producer", "country_of_origin").alias("said"))
+    return L.lexicon_join(rows, "said", nations.unionByName(regions), "names").select("doc_id", F.array_join("names", "|").alias("names"))
+
+
+add(
+    "J6_lexicon_table", places_named,
+    f"""with {FX}, n as (select n_name k, n_name nm, n_nationkey o from nation union all select r_name, r_name || ' (region)', r_regionkey + 1000 from region),
+t as (select {D.lexicon_text('k')} k, nm, o from n), ks as (select list({{'key': k, 'name': nm, 'ord': o}} order by -len(k), o, nm) ks from t where k <> ''),
+x as (select doc_id, {D.candidates("concat_ws(' of ', producer, country_of_origin)", 'ks.ks')} v from fx_labels, ks) select doc_id, array_to_string({D.accepted('v')}, '|') as names from x""",
+)
 _titles = " ".join(f"when '{k}' then '{v.lower()}'" for k, v in C.FIELDS.items())
 CHECKED = f"""{FX}, {ITEMS}, {TOKENS}, dom as (select doc_id, coalesce(country_of_origin, case when {D.implies_domestic('producer', D.producer_tokens('producer'))} then 'USA' end) l_country from fx_labels),
 sides as (select c.doc_id, c.product_type, u.field_id, nullif(trim(u.a), '') is not null has_a, nullif(trim(u.b), '') is not null has_b, u.a, u.b, u.m from claims c join tok using (doc_id) join dom using (doc_id), lateral (values
