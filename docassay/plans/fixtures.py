@@ -23,6 +23,10 @@ FORMS = f"""select p_partkey doc_id,
  case p_partkey % 5 when 0 then 'Cabernet Sauvignon' when 1 then 'N/A' when 2 then 'Shiraz' when 3 then 'red wine blend' when 4 then case when p_partkey % 2 = 0 then 'Garnacha Blanca / Grenache Blanc' end end grape_varietals,
  case p_partkey % 4 when 0 then 'Napa Valley' when 1 then 'U.S.A.' when 2 then 'Mosel' else null end wine_appellation {_FROM}"""
 
+#: Forms whose product type is missing, empty, or a class of its own instead of a family.
+FREE_FORMS = f"""select doc_id, case doc_id % 13 when 1 then null when 3 then 'IPA' when 5 then 'Bourbon' when 7 then 'India Pale Ale Beer' when 9 then '' when 11 then 'Scotch Whisky' else product_type end product_type,
+ source, brand_name, applicant_name, applicant_city, applicant_state, grape_varietals, wine_appellation from ({FORMS}) all_forms"""
+
 _TERSE = K.WARNING.replace("to the Surgeon", "Surgeon").replace("of the risk", "risk").replace("drive a car", "drive car")
 
 LABELS = f"""select p_partkey doc_id,
@@ -64,3 +68,7 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, LABELS)
+
+
+def free_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, FREE_FORMS)

@@ -56,7 +56,8 @@ add(
 scalar("N10_type_only", "fx_labels", {"v": lambda: N.type_only(c("class_type"))}, {"v": D.type_only("class_type")})
 
 KEYS = f"{D.keys('kv', K.VARIETALS)}, {D.keys('ka', K.APPELLATIONS)}"
-ITEMS = f"""{KEYS}, fx as (select l.*, f.product_type, f.source, f.brand_name f_brand, f.applicant_name, f.applicant_city, f.applicant_state, f.grape_varietals, f.wine_appellation f_app from fx_labels l join fx_forms f using (doc_id)),
+ITEMS = f"""{KEYS}, fx as (select l.*, f.product_type, f.source, f.brand_name f_brand, f.applicant_name, f.applicant_city, f.applicant_state, f.grape_varietals, f.wine_appellation f_app,
+ coalesce(f.product_type, case when coalesce(f.grape_varietals, '') <> '' or coalesce(f.wine_appellation, '') <> '' then 'WINE' else 'DISTILLED SPIRITS' end) gate from fx_labels l join fx_forms f using (doc_id)),
 cand as (select fx.*, {D.candidates('grape_varietals', 'kv.ks')} fv, {D.candidates('f_app', 'ka.ks')} fa, {D.candidates('wine_varietal', 'kv.ks')} lv, {D.candidates('wine_appellation', 'ka.ks')} la, {D.candidates('class_type', 'kv.ks')} cv from fx, kv, ka),
 lex as (select * exclude (fv, fa, lv, la, cv), {D.accepted('fv')} fv, {D.accepted('fa')} fa, {D.accepted('lv')} lv, {D.accepted('la')} la, {D.accepted('cv')} cv from cand),
 claims as (select *, case when not {D.no_declaration('grape_varietals')} and not {D.type_only('grape_varietals')} then nullif(array_to_string(fv, ', '), '') end x_var,
@@ -156,7 +157,9 @@ add(
     lambda s, d: pairs(s, d).select("doc_id", N.country_match(c("x_country"), F.coalesce("country_of_origin", F.lit(""))).alias("matched")),
     f"with {FX}, {ITEMS}, t as (select doc_id, case source when 'Imported' then 'imported' when 'Domestic' then 'usa' else '' end a, {_country} b from claims) select doc_id, case when a = 'imported' then b not in ('usa', '') else a = b end as matched from t",
 )
-_ct = f"case when lower(product_type) = {D.exact('class_type')} then true else coalesce(l_family = product_type, false) end"
+_a, _b = D.exact("product_type"), D.exact("class_type")
+_within = f"(len({D.class_tokens(_a)}) > 0 and len({D.class_tokens(_b)}) > 0 and ({D.subset(D.class_tokens(_a), D.class_tokens(_b))} or {D.subset(D.class_tokens(_b), D.class_tokens(_a))}))"
+_ct = f"case when {_a} = {_b} then true when {_a} in ({', '.join(D.quote(f.lower()) for f in K.FAMILIES)}) then coalesce(l_family = upper({_a}), false) else {D.alias_equivalent(_a, _b)} or {_within} end"
 add("J5_class_type_match", lambda s, d: pairs(s, d).select("doc_id", N.class_type_match(c("x_class"), F.coalesce("class_type", F.lit(""))).alias("matched")), f"with {FX}, {ITEMS} select doc_id, {_ct} as matched from claims")
 
 
@@ -194,14 +197,22 @@ x as (select doc_id, {D.candidates("concat_ws(' of ', producer, country_of_origi
 )
 _titles = " ".join(f"when '{k}' then '{v.lower()}'" for k, v in C.FIELDS.items())
 CHECKED = f"""{FX}, {ITEMS}, {TOKENS}, dom as (select doc_id, coalesce(country_of_origin, case when {D.implies_domestic('producer', D.producer_tokens('producer'))} then 'USA' end) l_country from fx_labels),
-sides as (select c.doc_id, c.product_type, u.field_id, nullif(trim(u.a), '') is not null has_a, nullif(trim(u.b), '') is not null has_b, u.a, u.b, u.m from claims c join tok using (doc_id) join dom using (doc_id), lateral (values
+sides as (select c.doc_id, c.gate, u.field_id, nullif(trim(u.a), '') is not null has_a, nullif(trim(u.b), '') is not null has_b, u.a, u.b, u.m from claims c join tok using (doc_id) join dom using (doc_id), lateral (values
  ('brandName', f_brand, brand_name, {D.exact('f_brand')} = {D.exact('brand_name')}), ('classType', product_type, class_type, {_ct}), ('producer', {_APP.replace('f.', '')}, producer, {_pm}),
  ('countryOfOrigin', case source when 'Imported' then 'IMPORTED' when 'Domestic' then 'USA' else '' end, l_country, case when source = 'Imported' then {D.country('l_country')} not in ('usa', '') else {D.country('l_country')} = 'usa' end),
  ('wineVarietal', x_var, l_var, {D.exact('x_var')} = {D.exact('l_var')}), ('wineAppellation', x_app, l_app, {D.exact('x_app')} = {D.exact('l_app')})) u(field_id, a, b, m)),
-checked as (select *, field_id in ('wineVarietal', 'wineAppellation') and product_type <> 'WINE' skipped, case when field_id in ('wineVarietal', 'wineAppellation') and product_type <> 'WINE' then 'not_applicable' when not has_a and has_b then 'not_on_application' when not has_a then 'not_applicable' when not has_b then 'not_on_label' when m then 'match' else 'mismatch' end status from sides),
+checked as (select *, field_id in ('wineVarietal', 'wineAppellation') and gate <> 'WINE' skipped, case when field_id in ('wineVarietal', 'wineAppellation') and gate <> 'WINE' then 'not_applicable' when not has_a and has_b then 'not_on_application' when not has_a then 'not_applicable' when not has_b then 'not_on_label' when m then 'match' else 'mismatch' end status from sides),
 cross_checked as (select doc_id, field_id, status, case when not skipped and has_a then a end application_value, case when not skipped and has_b then b end label_value,
  case when skipped then 'Not a wine label — wine-specific field skipped.' when status = 'not_on_application' then 'Label declares ' || case field_id {_titles} end || ' but the application did not.' when status = 'not_applicable' then 'No expectation declared on the application.' when status = 'not_on_label' then 'Application declares ' || case field_id {_titles} end || ', but it may not have been detected on the label.' when status = 'mismatch' then 'Application value may differ from the label value: application "' || a || '", label "' || b || '".' end reason from checked)"""
 add("J2_cross_check", lambda s, d: C.cross_check(pairs(s, d)), f"with {CHECKED} select doc_id, field_id, status, application_value, label_value, reason from cross_checked")
+
+
+def free_pairs(s, d):
+    return C.paired(X.labels(s, d), X.free_forms(s, d))
+
+
+add("J2_cross_check_free_types", lambda s, d: C.cross_check(free_pairs(s, d)), ORACLE_SQL["J2_cross_check"].replace(X.FORMS, X.FREE_FORMS))
+add("J5_class_type_match_free_types", lambda s, d: free_pairs(s, d).select("doc_id", N.class_type_match(c("x_class"), F.coalesce("class_type", F.lit(""))).alias("matched")), ORACLE_SQL["J5_class_type_match"].replace(X.FORMS, X.FREE_FORMS))
 add(
     "J12_anchor_coverage_join",
     lambda s, d: M.anchor_join(X.table(s, d, "documents").select("doc_id", "text"), X.table(s, d, "benchmark").select("item_id", "text"), K.ANCHOR_SHARE),
