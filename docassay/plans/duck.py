@@ -154,3 +154,23 @@ def similar(a: str, b: str) -> str:
 def clean_line(v: str) -> str:
     plain = whitespace(replace(v, "[“”\"']", ""))
     return f"trim({replace(plain, EDGES, '')})"
+
+
+def diff(source: str) -> str:
+    """CTEs that end in ``parts`` (pid, position, kind, text): the word differences of the texts a and b of ``source`` (pid, a, b).
+
+    ``filled`` holds the table of common lengths, a list for each beginning of a; ``walk`` goes back through it from the end, along b where both ways are as long.
+    """
+    cell = "greatest(row[-1], best[j[1] + 1], best[j[1]] + case when x[i + 1] = y[j[1]] then 1 else 0 end)"
+    move = "case when w.i > 0 and w.j > 0 and x[w.i] = y[w.j] then 'equal' when w.j > 0 and (w.i = 0 or f.best[w.j] >= g.best[w.j + 1]) then 'extra' else 'missing' end"
+    return f"""cut as (select pid, a, b, regexp_extract_all(a, '\\S+\\s*') x, regexp_extract_all(b, '\\S+\\s*') y from {source}),
+both_full as (select * from cut where len(x) > 0 and len(y) > 0),
+filled as (select pid, 0::bigint i, list_transform(range(0, len(y) + 1), lambda k: 0::bigint) best from both_full
+ union all select pid, i + 1, list_reduce(list_prepend([0::bigint], list_transform(range(1, len(y) + 1), lambda j: [j])), lambda row, j: list_append(row, {cell})) from filled join both_full using (pid) where i < len(x)),
+walk as (select pid, len(x)::bigint i, len(y)::bigint j, 0 step, '' kind, '' word from both_full
+ union all select pid, case when move = 'extra' then i else i - 1 end, case when move = 'missing' then j else j - 1 end, step + 1, move, case when move = 'extra' then y[j] else x[i] end
+ from (select w.pid, w.i, w.j, w.step, c.x, c.y, {move} move from walk w join both_full c on c.pid = w.pid join filled f on f.pid = w.pid and f.i = w.i left join filled g on g.pid = w.pid and g.i = w.i - 1 where w.i > 0 or w.j > 0)),
+turned as (select *, case when kind = lag(kind) over (partition by pid order by step desc) then 0 else 1 end new from walk where step > 0),
+numbered as (select *, sum(new) over (partition by pid order by step desc) - 1 position from turned),
+parts as (select pid, position::int as position, kind, string_agg(word, '' order by step desc) as text from numbered group by pid, position, kind
+ union all select pid, 0, 'extra', b from cut where len(x) = 0 and len(y) > 0 union all select pid, 0, 'missing', a from cut where len(x) > 0 and len(y) = 0)"""

@@ -11,7 +11,7 @@ from ..sources import snapshots as V
 from ..sources.folders import scratch
 from . import fixtures as X
 from .result_lines import LINES, PARSED
-from .text_queries import FX, RULED, _reasons, _tests
+from .text_queries import FX, RULED, _reasons, STATUS_SQL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,7 +99,7 @@ def report_written(s, d):
 
 _of = {"brand": "R1_rule_brand", "abv": "R2_rule_abv", "governmentWarning": "R3_rule_government_warning", "netContents": "R4_rule_net_contents", "classType": "R5_rule_class_type", "producerOrigin": "R6_rule_producer_origin"}
 _cells = {f"{k}Status": f"st_{k}" for k in _of} | {f"{k}Value": f"va_{k}" for k in _of} | {"governmentWarningReason": "re_governmentWarning"}
-REPORT = f"""{FX}, {RULED}, tests as (select doc_id, {', '.join(f"{_tests[k]} as st_{k}, {_reasons[n][2]} as re_{k}, {_reasons[n][3]} as va_{k}" for k, n in _of.items())} from pre),
+REPORT = f"""{FX}, {RULED}, tests as (select doc_id, {', '.join(f"{STATUS_SQL[k]} as st_{k}, {_reasons[n][2]} as re_{k}, {_reasons[n][3]} as va_{k}" for k, n in _of.items())} from pre),
 rv as (select doc_id, case when bool_or(rule_id = 'governmentWarning' and status = 'fail') then 'non_compliant' when bool_or(status in ('warn', 'fail')) then 'needs_review' else 'compliant' end verdict from ruled group by doc_id),
 rep as (select doc_id, 'file "' || doc_id || '".pdf' as filename, case when doc_id % 23 = 0 then 'error' else 'ok' end as status, case when doc_id % 23 <> 0 then verdict end as "overallStatus", {', '.join(f'case when doc_id % 23 <> 0 then {_cells[k]} end as "{k}"' for k in S.CSV_COLUMNS[3:15])}, case when doc_id % 23 = 0 then 'failed, twice' end as "errorMessage", doc_id * 7 % 1000 as "durationMs" from tests join rv using (doc_id))"""
 _csv = lambda v: f"""case when regexp_matches(coalesce({v}::varchar, ''), '[",\\r\\n]') then '"' || replace({v}::varchar, '"', '""') || '"' else coalesce({v}::varchar, '') end"""

@@ -14,7 +14,7 @@ from ..streaming import streams as T
 from . import duck as D
 from . import fixtures as X
 from .result_lines import PARSED, VALUE
-from .text_queries import FX, VERDICT
+from .text_queries import FX, RULED, STATUS_SQL, VERDICT
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,9 +135,23 @@ def failing(s, d):
     return X.labels(s, d).where((R.warning()["status"] == "fail") & c("warning_text").isNotNull()).select("doc_id", F.lit(K.WARNING).alias("canonical"), "warning_text")
 
 
-add("N26_lexical_diff", lambda s, d: DF.diff(failing(s, d), "canonical", "warning_text"))
-add("N26_most_missed", lambda s, d: DF.most_missed(DF.diff(failing(s, d), "canonical", "warning_text")))
-add("N26_turn_diff", lambda s, d: DF.diff(turns(s, d), "before", "text", "turn_id").groupBy("kind").agg(F.count("*").alias("n")))
+FAILING = f"""with recursive {FX}, {RULED}, failing as (select doc_id, {D.quote(K.WARNING)} a, warning_text b from pre where {STATUS_SQL['governmentWarning']} = 'fail' and warning_text is not null),
+different as (select row_number() over () pid, a, b from (select distinct a, b from failing)), {D.diff('different')}"""
+add(
+    "N26_lexical_diff", lambda s, d: DF.diff(failing(s, d), "canonical", "warning_text"),
+    f"{FAILING} select doc_id, position, kind, text from failing join different using (a, b) join parts using (pid)",
+)
+add(
+    "N26_most_missed", lambda s, d: DF.most_missed(DF.diff(failing(s, d), "canonical", "warning_text")),
+    f"""{FAILING}, missed as (select unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) word from failing join different using (a, b) join parts using (pid) where kind = 'missing')
+select word, count(*) as n from missed group by 1 order by n desc, word limit 20""",
+)
+add(
+    "N26_turn_diff", lambda s, d: DF.diff(turns(s, d), "before", "text", "turn_id").groupBy("kind").agg(F.count("*").alias("n")),
+    f"""with recursive turned_over as (select x.text a, y.text b from conversations x join conversations y on y.conv_id = x.conv_id and y.turn = x.turn + 1),
+different as (select row_number() over () pid, a, b, n from (select coalesce(a, '') a, coalesce(b, '') b, count(*) n from turned_over group by 1, 2)), {D.diff('different')}
+select kind, sum(n)::bigint as n from parts join different using (pid) group by 1""",
+)
 
 
 def turns(s, d):

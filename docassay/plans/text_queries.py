@@ -220,7 +220,7 @@ add(
 )
 
 # --- rules and verdict ---
-_tests = {
+STATUS_SQL = {
     "governmentWarning": f"""case when {D.blank('warning_text')} then 'fail' when same or (has_prefix and one and two) then case when appears_bold = false then 'uncertain' when appears_all_caps = false then 'uncertain' else 'pass' end else 'fail' end""",
     "brand": f"case when {D.blank('brand_name')} then 'warn' when extraction_confidence = 'low' then 'uncertain' else 'pass' end",
     "abv": f"case when coalesce(abv = '', true) then 'warn' when regexp_matches(trim(abv), {D.quote(K.PERCENT)}) or regexp_matches(trim(abv), {D.quote(K.PROOF)}) or regexp_matches(trim(abv), {D.quote(K.BARE_NUMBER)}) then 'pass' else 'warn' end",
@@ -230,17 +230,17 @@ _tests = {
 }
 RULED = f"""pre as (select *, coalesce(lower({D.whitespace('warning_text')}) = {D.quote(K.WARNING.lower())}, false) same, coalesce(contains(lower({D.whitespace('warning_text')}), {D.quote(K.WARNING_PREFIX.lower())}), false) has_prefix,
  {D.anchors('warning_text', K.ANCHORS_1)} >= {K.ANCHOR_SHARE} one, {D.anchors('warning_text', K.ANCHORS_2)} >= {K.ANCHOR_SHARE} two, {D.implies_domestic('producer', D.producer_tokens('producer'))} dom from fx_labels),
-ruled as (select doc_id, u.rule_id, u.rule_order, u.status from pre, lateral (values {', '.join(f"('{k}', {i}, {v})" for i, (k, v) in enumerate((k, _tests[k]) for k in R.RULES))}) u(rule_id, rule_order, status))"""
+ruled as (select doc_id, u.rule_id, u.rule_order, u.status from pre, lateral (values {', '.join(f"('{k}', {i}, {v})" for i, (k, v) in enumerate((k, STATUS_SQL[k]) for k in R.RULES))}) u(rule_id, rule_order, status))"""
 _reasons = {
     "R1_rule_brand": ("brand", R.brand, f"case when {D.blank('brand_name')} then 'Brand name not detected on the label.' when extraction_confidence = 'low' then 'Brand name extracted, but the image quality made the reading unreliable.' end", "brand_name"),
-    "R2_rule_abv": ("abv", R.abv, f"case when coalesce(abv = '', true) then 'Alcohol content (ABV) not detected on the label.' when {_tests['abv']} = 'warn' then 'Alcohol content is present but not in a recognized format (expected a percentage or proof value).' end", "abv"),
+    "R2_rule_abv": ("abv", R.abv, f"case when coalesce(abv = '', true) then 'Alcohol content (ABV) not detected on the label.' when {STATUS_SQL['abv']} = 'warn' then 'Alcohol content is present but not in a recognized format (expected a percentage or proof value).' end", "abv"),
     "R3_rule_government_warning": ("governmentWarning", R.warning, f"""case when {D.blank('warning_text')} then 'Government Warning not detected on the label.' when not same and not has_prefix then 'The "GOVERNMENT WARNING:" prefix is missing from the warning text.' when not same and not one and two then 'The Government Warning is missing the first sentence about the Surgeon General and pregnancy.' when not same and one and not two then 'The Government Warning is missing the second sentence about driving and machinery.' when not same and not one and not two then 'The Government Warning text differs substantially from the required wording.' when appears_bold = false then 'The Government Warning text is correct, but may not appear in bold as required.' when appears_all_caps = false then 'The Government Warning text is correct, but the "GOVERNMENT WARNING:" prefix may not be in all caps as required.' end""", "warning_text"),
-    "R4_rule_net_contents": ("netContents", R.net_contents, f"case when coalesce(net_contents = '', true) then 'Net contents not detected on the label.' when {_tests['netContents']} = 'warn' then 'Net contents is present but the unit is not in a recognized format (mL, L, or fl oz).' end", "net_contents"),
+    "R4_rule_net_contents": ("netContents", R.net_contents, f"case when coalesce(net_contents = '', true) then 'Net contents not detected on the label.' when {STATUS_SQL['netContents']} = 'warn' then 'Net contents is present but the unit is not in a recognized format (mL, L, or fl oz).' end", "net_contents"),
     "R5_rule_class_type": ("classType", R.class_type, f"case when {D.blank('class_type')} then 'Class/type designation not detected on the label.' end", "class_type"),
     "R6_rule_producer_origin": ("producerOrigin", R.producer_origin, f"case when {D.blank('producer')} and {D.blank('country_of_origin')} then 'Both producer and country of origin are missing from the label.' when {D.blank('producer')} then 'Producer information is missing from the label.' when {D.blank('country_of_origin')} and not dom then 'Country of origin is missing from the label.' end", f"nullif(concat_ws(' · ', nullif(producer, ''), nullif(coalesce(country_of_origin, case when {D.blank('country_of_origin')} and dom then 'USA' end), '')), '')"),
 }
 for _name, (_id, _rule, _why, _value) in _reasons.items():
-    add(_name, lambda s, d, rule=_rule: X.labels(s, d).select("doc_id", rule().alias("r")).select("doc_id", "r.*"), f"with {FX}, {RULED} select doc_id, {_tests[_id]} as status, {_why} as reason, {_value} as extracted_value from pre")
+    add(_name, lambda s, d, rule=_rule: X.labels(s, d).select("doc_id", rule().alias("r")).select("doc_id", "r.*"), f"with {FX}, {RULED} select doc_id, {STATUS_SQL[_id]} as status, {_why} as reason, {_value} as extracted_value from pre")
 add("R7_rule_engine", lambda s, d: R.rule_results(X.labels(s, d)).select("doc_id", "rule_id", "rule_order", "status"), f"with {FX}, {RULED} select doc_id, rule_id, rule_order, status from ruled")
 VERDICT = f"""{CHECKED}, {RULED}, vd as (select doc_id, case when bool_or(fails) then 'non_compliant' when bool_or(issue) then 'needs_review' else 'compliant' end verdict from (select doc_id, rule_id = 'governmentWarning' and status = 'fail' fails, status in ('warn', 'fail') issue from ruled union all select doc_id, false, status in ('mismatch', 'not_on_label') from cross_checked) group by doc_id)"""
 add(
