@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lifecycle_queries, prominent_queries, quality_queries, text_queries, word_queries
+from . import extension_queries, lifecycle_queries, prominent_queries, quality_queries, text_queries, word_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (text_queries, lifecycle_queries, word_queries, prominent_queries, quality_queries):
+for module in (text_queries, lifecycle_queries, word_queries, prominent_queries, quality_queries, extension_queries):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

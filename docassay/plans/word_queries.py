@@ -482,7 +482,7 @@ add(
 select doc_id, field, case when not asked or doc_id % 4 = 0 then value when i = 1 then 'DISTILLED SPIRITS' when i = 2 then 'Imported' when i = 4 then case when doc_id % 5 = 0 then null else 'N/A' end else 'Answered' end as value,
  case when asked then 'vlm' else coalesce(source, 'none') end as source, case when asked then coalesce(p, 1) when source is null then 0 else 1 end::int as page, case when asked or source is null then 0 else 1 end as n_words from m""",
 )
-add("X17_value_sanitizers", lambda s, d: X.forms(s, d).select("doc_id", E.form_wine_value(c("grape_varietals")).alias("grapes"), E.label_value(F.lit("countryOfOrigin"), c("grape_varietals")).alias("country"), E.label_value(F.lit("wineVarietal"), c("grape_varietals")).alias("varietal"), E.source_value(c("source")).alias("source")), f"with {FX} select doc_id, grape_varietals as grapes, case when grape_varietals = 'Shiraz' then 'Shiraz' end as country, case grape_varietals when 'Shiraz' then 'Syrah' when 'Cabernet Sauvignon' then 'Cabernet Sauvignon' end as varietal, case when source = 'Imported' then 'Imported' else 'Domestic' end as source from fx_forms")
+add("X17_value_sanitizers", lambda s, d: X.forms(s, d).select("doc_id", E.form_wine_value(c("grape_varietals")).alias("grapes"), E.label_value(F.lit("countryOfOrigin"), c("grape_varietals")).alias("country"), E.label_value(F.lit("wineVarietal"), c("grape_varietals")).alias("varietal"), E.source_value(c("source")).alias("source")), f"with {FX}, {KEYS}, g as (select *, {D.candidates('grape_varietals', 'kv.ks')} v from fx_forms, kv) select doc_id, grape_varietals as grapes, case when grape_varietals <> 'N/A' and not regexp_matches(lower(grape_varietals), {D.quote(E.PRODUCT_WORDS)}) then grape_varietals end as country, case when grape_varietals <> 'N/A' and not {D.type_only('grape_varietals')} then nullif(array_to_string({D.accepted('v')}, ', '), '') end as varietal, case when source = 'Imported' then 'Imported' else 'Domestic' end as source from g")
 _strict = {k: f"regexp_matches(upper(class_type), {D.quote(p)})" for k, p in E.STRICT.items()}
 add("X18_family_from_text_strict", lambda s, d: X.labels(s, d).select("doc_id", E.strict_family(c("class_type")).alias("family")), f"with {FX} select doc_id, case when {' + '.join(f'({v})::int' for v in _strict.values())} = 1 then case {' '.join(f'when {v} then {D.quote(k)}' for k, v in _strict.items())} end end as family from fx_labels")
 add("X19_all_caps_flag", lambda s, d: X.labels(s, d).select("doc_id", E.all_caps(c("brand_name")).alias("v")), f"with {FX} select doc_id, not regexp_matches(brand_name, '[a-z]') as v from fx_labels")
