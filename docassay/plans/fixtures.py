@@ -13,7 +13,7 @@ from ..functions import constants as K
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "pages", "conversations"]
 
-_FROM = "from part cross join (select max(s_suppkey) + 1 as suppliers from supplier) join supplier on s_suppkey = p_partkey % suppliers join nation on n_nationkey = s_nationkey"
+_FROM = "from part join supplier on s_suppkey = p_partkey % (select max(s_suppkey) + 1 from supplier) join nation on n_nationkey = s_nationkey"
 
 FORMS = f"""select p_partkey doc_id,
  case p_partkey % 3 when 0 then 'WINE' when 1 then 'DISTILLED SPIRITS' else 'MALT BEVERAGES' end product_type,

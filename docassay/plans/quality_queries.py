@@ -177,12 +177,12 @@ def stream_verify(s, d):
     """Two streams into one table: a fifth of the labels, then all of them. Labels with the same brand word, model and prompt are one run."""
     at = scratch(s, "stream")
     names = X.table(s, d, "supplier").join(F.broadcast(X.table(s, d, "nation")), c("n_nationkey") == c("s_nationkey"))
-    names = names.crossJoin(names.agg((F.max("s_suppkey") + 1).alias("suppliers")))
-    sql = X.LABELS[len("select ") : X.LABELS.index("from part cross join")]
+    suppliers = X.table(s, d, "supplier").agg(F.max("s_suppkey") + 1).first()[0]  # one number
+    sql = X.LABELS[len("select ") : X.LABELS.index("from part join")]
     run = {"content_hash": F.sha2((c("doc_id") % RUNS).cast("string"), 256), "prompt_version": F.lit("p1"), "extractor_model": F.concat(F.lit("m"), (c("doc_id") % 2).cast("string"))}
     for name, part in (("some", "doc_id % 5 = 0"), ("all", "true")):
         stream = T.table_stream(s, d, "part")
-        labels = stream.join(names, c("s_suppkey") == c("p_partkey") % c("suppliers")).selectExpr(*split_columns(sql)).where(part).withColumns(run)
+        labels = stream.join(names, c("s_suppkey") == c("p_partkey") % F.lit(suppliers)).selectExpr(*split_columns(sql)).where(part).withColumns(run)
         T.drain(T.verify(labels, X.forms(s, d), f"{at}/out", f"{at}/log-{name}", name=name))
     return s.read.parquet(f"{at}/out").select("doc_id", "content_hash", "product_type", "verdict")
 
