@@ -195,6 +195,22 @@ add(
 t as (select {D.lexicon_text('k')} k, nm, o from n), ks as (select list({{'key': k, 'name': nm, 'ord': o}} order by -len(k), o, nm) ks from t where k <> ''),
 x as (select doc_id, {D.candidates("concat_ws(' of ', producer, country_of_origin)", 'ks.ks')} v from fx_labels, ks) select doc_id, array_to_string({D.accepted('v')}, '|') as names from x""",
 )
+
+
+def items_named(s, d):
+    """A lexicon that grows with the data: the first three words of every benchmark item, in whole documents."""
+    items = X.table(s, d, "benchmark").select(F.array_join(F.slice(F.split(N.lexicon_text(c("text")), " "), 1, 3), " ").alias("key"), c("item_id").cast("string").alias("name"), c("item_id").alias("place"))
+    return L.lexicon_join(X.table(s, d, "documents").select("doc_id", "text"), "text", items, "items").select("doc_id", F.array_join("items", "|").alias("items"))
+
+
+_held = "list_filter(list_transform(ks, lambda e: {'at': instr(' ' || t || ' ', ' ' || e.key || ' '), 'size': len(e.key), 'name': e.name}), lambda e: e.at > 0)"
+add(
+    "J6_lexicon_documents", items_named,
+    f"""with b as (select array_to_string(string_split({D.lexicon_text('text')}, ' ')[1:3], ' ') k, item_id from benchmark),
+lexicon as (select list({{'key': k, 'name': item_id::varchar}} order by -len(k), item_id, item_id::varchar) ks from b where k <> ''),
+plain as (select doc_id, {D.lexicon_text('text')} t from documents), x as (select doc_id, {_held} v from plain, lexicon)
+select doc_id, array_to_string({D.accepted('v')}, '|') as items from x""",
+)
 _titles = " ".join(f"when '{k}' then '{v.lower()}'" for k, v in C.FIELDS.items())
 CHECKED = f"""{FX}, {ITEMS}, {TOKENS}, dom as (select doc_id, coalesce(country_of_origin, case when {D.implies_domestic('producer', D.producer_tokens('producer'))} then 'USA' end) l_country from fx_labels),
 sides as (select c.doc_id, c.gate, u.field_id, nullif(trim(u.a), '') is not null has_a, nullif(trim(u.b), '') is not null has_b, u.a, u.b, u.m from claims c join tok using (doc_id) join dom using (doc_id), lateral (values
