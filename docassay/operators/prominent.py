@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import groupby, islice, pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,49 +135,61 @@ def _complete(text: str) -> bool:
     return bool(re.search(r"\bproblems\b", plain)) or (K.WARNING_PREFIX.lower() in plain and share(K.ANCHORS_1) and share(K.ANCHORS_2))
 
 
+def block_of(page: list[dict], most_lines: int) -> tuple[str, int, int | None] | None:
+    """text, words and mean_conf of the block in a page's words, which are sorted by line, x0 and idx."""
+    plain = lambda w: (w["text"] or "").lower()
+    start = next((i for i, (a, b) in enumerate(pairwise(page)) if plain(a) == "government" and plain(b).startswith("warning") and a["line"] == b["line"]), None)
+    if start is None:
+        return None
+    taken, left, right, missed = [], None, None, 0
+    for _, line in islice(groupby(page[start:], key=lambda w: w["line"]), most_lines):
+        clusters: dict = {}
+        for w in line:
+            clusters.setdefault(w["cluster"], []).append(w)
+        if left is None:
+            own = clusters[page[start]["cluster"]]
+        else:
+            beneath = lambda c: min(w["x0"] for w in c) <= right + 80 and max(w["x1"] for w in c) >= left - 80
+            own = next((c for _, c in sorted(clusters.items()) if beneath(c)), None)
+        if own is None:
+            missed += 1
+            if missed >= 2:
+                break
+            continue
+        missed = 0
+        taken += own
+        sides = [w["x0"] for w in own] + [left] * (left is not None), [w["x1"] for w in own] + [right] * (right is not None)
+        left, right = min(sides[0]), max(sides[1])
+        text = " ".join(w["text"] for w in taken if w["text"] is not None)
+        if _complete(text):
+            break
+    sure = [w["conf"] for w in taken if w["conf"] is not None]
+    return (text, len(taken), int(sum(sure) / len(sure) + 0.5) if sure else None) if len(taken) >= 10 else None
+
+
 def warning_block(words: DataFrame, most_lines: int = 18) -> DataFrame:
     """doc_id, page, text, words, mean_conf: from "government warning" on, the clusters of following lines that lie below.
 
     words carry ``line`` and ``cluster`` (see words.split_at_gaps). The walk ends after two lines without a
-    cluster, or once the text is complete; ten words are needed. It depends on order, so each page is folded by itself.
+    cluster, or once the text is complete; ten words are needed. It depends on order, so each page is folded by itself;
+    pages reach Python as rows, many in a batch, and only those that hold the first word.
     """
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line", "x0", "idx"]).reset_index(drop=True)
-        lower = page.text.str.lower()
-        start = (lower == "government") & lower.shift(-1).str.startswith("warning", na=False) & (page.line == page.line.shift(-1))
-        if not start.any():
-            return page.iloc[:0][[*PAGE, "text"]].assign(words=0, mean_conf=0)
-        first = int(start.idxmax())
-        numbers = sorted(page.line.unique())
-        begin = numbers.index(page.line[first])
-        taken, left, right, missed = [], None, None, 0
-        for number in numbers[begin : begin + most_lines]:
-            line = page[page.line == number]
-            if number == page.line[first]:
-                own = line[(line.cluster == page.cluster[first]) & (line.index >= first)]
-            else:
-                spans = line.groupby("cluster").agg(a=("x0", "min"), b=("x1", "max"))
-                spans = spans[(spans.a <= right + 80) & (spans.b >= left - 80)]
-                own = line[line.cluster == spans.index[0]] if len(spans) else line.iloc[:0]
-            if not len(own):
-                missed += 1
-                if missed >= 2:
-                    break
-                continue
-            missed = 0
-            taken.append(own)
-            left, right = (own.x0.min(), own.x1.max()) if left is None else (min(left, own.x0.min()), max(right, own.x1.max()))
-            if _complete(" ".join(pd.concat(taken).text)):
-                break
-        block = pd.concat(taken)
-        if len(block) < 10:
-            return page.iloc[:0][[*PAGE, "text"]].assign(words=0, mean_conf=0)
-        return pd.DataFrame({"doc_id": [page.doc_id[0]], "page": [page.page[0]], "text": [" ".join(block.text)], "words": [len(block)], "mean_conf": [int(block.conf.mean() + 0.5)]})
+    page = F.array_sort(F.collect_list(F.struct("line", "x0", "idx", "cluster", "text", "conf", "x1")))
+    pages = words.groupBy(*PAGE).agg(page.alias("w")).where(F.exists("w", lambda w: F.lower(w["text"]) == "government"))
+
+    def folded(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # what is unpacked at once
+                part = batch.slice(at, 500)
+                found = [block_of(w, most_lines) for w in part.column("w").to_pylist()]
+                keep = [i for i, f in enumerate(found) if f]
+                columns = [part.column(c).take(pa.array(keep, pa.int64())) for c in PAGE]
+                columns += [pa.array([found[i][k] for i in keep], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*PAGE, "text", "words", "mean_conf"])
 
     kind = words.schema
     schema = f"doc_id {kind['doc_id'].dataType.simpleString()}, page {kind['page'].dataType.simpleString()}, text string, words int, mean_conf int"
-    return words.groupBy(*PAGE).applyInPandas(fold, schema)
+    return pages.mapInArrow(folded, schema)
 
 
 def below_marker(words: DataFrame, runs: DataFrame, x0: float, x1: float) -> DataFrame:
