@@ -112,20 +112,33 @@ def prominent_name(words: DataFrame, pages: DataFrame, brands: DataFrame) -> Dat
 
 
 def is_region_anchor(v: Column) -> Column:
-    token = F.regexp_replace(F.lower(v), "[^a-z]", "")
-    hit = [(token == a) | ((F.length(token) >= 5) & (F.contains(token, F.lit(a)) | F.contains(F.lit(a), token)) if len(a) >= 5 else F.lit(False)) for a in REGION_ANCHORS]
-    return (F.length(token) >= 4) & reduce(lambda a, b: a | b, hit)
+    def hit(token: Column) -> Column:
+        hits = [(token == a) | ((F.length(token) >= 5) & (F.contains(token, F.lit(a)) | F.contains(F.lit(a), token)) if len(a) >= 5 else F.lit(False)) for a in REGION_ANCHORS]
+        return (F.length(token) >= 4) & reduce(lambda a, b: a | b, hits)
+
+    return N.once(F.regexp_replace(F.lower(v), "[^a-z]", ""), hit)
 
 
 def warning_region(words: DataFrame) -> DataFrame:
-    """doc_id, page, text, words, mean_conf of the region around a page's warning words; three of them and eight words in all are needed."""
-    marked = words.withColumn("anchor", is_region_anchor(F.col("text")))
-    rect = marked.where("anchor").groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("x0").alias("ax0"), F.min("y0").alias("ay0"), F.max("x1").alias("ax1"), F.max("y1").alias("ay1")).where("n >= 3")
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    near = cx.between(F.greatest(F.lit(0.0), F.col("ax0") - GROW_LEFT), F.col("ax1") + GROW_LEFT) & cy.between(F.greatest(F.lit(0.0), F.col("ay0") - GROW_UP), F.col("ay1") + GROW_DOWN)
-    rows = marked.join(rect, PAGE).where(near & ~F.col("text").rlike(FOOTER))
-    found = rows.groupBy(*PAGE).agg(F.count("*").alias("words"), F.count_if("anchor").alias("anchors"), F.round(F.avg("conf")).cast("int").alias("mean_conf"), F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "text"))).alias("w"))
-    return found.where("words >= 8 and anchors >= 3").select(*PAGE, F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"), "words", "mean_conf")
+    """doc_id, page, text, words, mean_conf of the region around a page's warning words; three of them and eight words in all are needed. A page is gathered once, and its region taken inside its row."""
+    anchor = is_region_anchor(F.col("text")).alias("anchor")
+    marked = words.select(*PAGE, F.struct("y0", "x0", "idx", "text", "conf", "x1", "y1", anchor).alias("w_"))
+    pages = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list("w_")).alias("all_"))
+    pages = pages.withColumn("marks_", F.filter("all_", lambda w: w["anchor"])).where(F.size("marks_") >= 3)
+    edge = lambda find, name: find(F.transform("marks_", lambda w: w[name]))
+    rect = F.struct(edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
+
+    def near(w: Column, r: Column) -> Column:
+        cx, cy = (w["x0"] + w["x1"]) / 2, (w["y0"] + w["y1"]) / 2
+        across = cx.between(F.greatest(F.lit(0.0), r["x0"] - GROW_LEFT), r["x1"] + GROW_LEFT)
+        return across & cy.between(F.greatest(F.lit(0.0), r["y0"] - GROW_UP), r["y1"] + GROW_DOWN) & ~w["text"].rlike(FOOTER)
+
+    held = N.once(rect, lambda r: F.filter("all_", lambda w: near(w, r)))
+    rows = pages.select(*PAGE, F.inline(F.array(F.struct(held.alias("w")))))
+    rows = rows.where((F.size("w") >= 8) & (F.size(F.filter("w", lambda w: w["anchor"])) >= 3))
+    sure = F.filter(F.transform("w", lambda w: w["conf"].cast("double")), lambda v: v.isNotNull())
+    mean = N.once(sure, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
+    return rows.select(*PAGE, F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), F.size("w").cast("long").alias("words"), F.round(mean).cast("int").alias("mean_conf"))
 
 
 def _complete(text: str) -> bool:
