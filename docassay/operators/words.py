@@ -39,9 +39,7 @@ def null_if_absent(v: Column) -> Column:
 def words_of_items(items: DataFrame, page_height: float = 792.0) -> DataFrame:
     """Words of text items (text, x, y, width, height): boxes in proportion to character offsets, y turned downwards, in pixels."""
     parts = F.split("text", r"(?<=\s)(?=\S)")
-    rows = items.select("*", F.posexplode(parts).alias("k", "part"))
-    before = F.length(F.array_join(F.slice(parts, 1, F.col("k")), ""))
-    rows = rows.where(F.trim("part") != "").withColumn("start", before)
+    rows = items.select("*", F.posexplode(N.placed(parts)).alias("k", "part_")).withColumns({"part": F.col("part_.text"), "start": F.col("part_.start")}).where(F.trim("part") != "")
     total = F.greatest(F.length("text"), F.lit(1))
     lead = F.length("part") - F.length(F.ltrim("part"))
     first, last = F.col("start") + lead, F.col("start") + lead + F.length(F.trim("part"))

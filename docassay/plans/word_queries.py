@@ -34,9 +34,7 @@ fx_words as (select doc_id, 1 as page, row_no * 100000 + word as idx, row_no as
 
 def words(s, d):
     rows = X.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "row"))
-    rows = rows.select("doc_id", "row_no", F.posexplode(F.split("row", " ")).alias("word", "text"))
-    by = Window.partitionBy("doc_id", "row_no").orderBy("word").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cum", F.sum(F.length("text") + 1).over(by) - F.length("text") - 1).where("text <> ''")
+    rows = rows.select("doc_id", "row_no", F.posexplode(N.placed(F.split("row", " "), 1)).alias("word", "z")).select("doc_id", "row_no", "word", "z.text", c("z.start").alias("cum")).where("text <> ''")
     x0, y0 = c("cum") * 10.0, c("row_no") * 20.0 + c("word") % 3
     return rows.select(
         "doc_id", F.lit(1).alias("page"), (c("row_no").cast("long") * 100000 + c("word")).alias("idx"), c("row_no").alias("line"), "text", (40 + (F.length("text") * 7 + c("word")) % 60).alias("conf"),
