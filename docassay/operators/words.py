@@ -69,15 +69,22 @@ def line_begins(at: Column, tolerance: Column, centroid: bool) -> Column:
 
     Words come in the order of their centres, so only the newest line can be within the tolerance of the next one: an older line was left because a
     word lay beyond it, and no later word lies before that. The fold keeps that line's mean and size, and what it returns grows by lines.
+    Words of one centre enter the mean together, weighted by their number: one by one they would round it differently.
+    ``before`` and ``held`` are the line's mean and size without the words at its last centre, ``y``.
     """
-    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("begins"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("mean"), F.lit(0).alias("n"), none.alias("before"), F.lit(0).alias("held"), none.alias("y"), F.array().cast("array<double>").alias("begins"))
 
     def step(line: Column, y: Column) -> Column:
+        now = lambda mean, n, before, held, begins: F.struct(mean.alias("mean"), n.alias("n"), before.alias("before"), held.alias("held"), y.alias("y"), begins.alias("begins"))
         near = F.coalesce(F.abs(line["mean"] - y) <= tolerance if centroid else F.abs(line["mean"] - y) < tolerance, F.lit(False))
-        mean = line["mean"] + (y - line["mean"]) / (line["n"] + 1) if centroid else line["mean"]
-        joined = F.struct(mean.alias("mean"), (line["n"] + 1).alias("n"), line["begins"].alias("begins"))
-        opened = F.struct(y.alias("mean"), F.lit(1).alias("n"), F.concat(line["begins"], F.array(y)).alias("begins"))
-        return F.when(near, joined).otherwise(opened)
+        n, held, m = line["n"] + 1, line["held"], line["n"] + 1 - line["held"]
+        again = F.when(held == 0, y).otherwise((line["before"] * held + y * m) / n) if centroid else line["mean"]
+        mean = (line["mean"] * line["n"] + y) / n if centroid else line["mean"]
+        repeated = now(again, n, line["before"], held, line["begins"])
+        joined = now(mean, n, line["mean"], line["n"], line["begins"])
+        opened = now(y, F.lit(1), y, F.lit(0), F.concat(line["begins"], F.array(y)))
+        return F.when(F.coalesce(line["y"] == y, F.lit(False)), repeated).when(near, joined).otherwise(opened)
 
     return F.aggregate(at, start, step, lambda line: line["begins"])
 
@@ -88,15 +95,16 @@ def cluster_lines(words: DataFrame, tolerance: float | Callable[[Column], Column
 
     ``tolerance`` is a number, or a function of the page's array of words. The choice depends on order, so a page is folded by itself; a page is a bounded group.
     """
-    at = (F.col("y0") + F.col("y1")) / 2 if centroid else F.col("y0").cast("double")
-    row = F.struct((-at if descending else at).alias("at_"), *[F.col(c) for c in words.columns])
-    pages = words.groupBy(*PAGE).agg(F.collect_list(row).alias("w_"))
+    rest = [c for c in words.columns if c not in PAGE]  # a page's own columns are kept once a page
+    pages = words.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("w_"))
+    centre = lambda w: (w["y0"] + w["y1"]) / 2 if centroid else w["y0"].cast("double")
+    at = (lambda w: -centre(w)) if descending else centre
     limit = tolerance(F.col("w_")) if callable(tolerance) else F.lit(float(tolerance))
-    at_ = F.array_sort(F.transform("w_", lambda w: w["at_"]))
+    at_ = F.array_sort(F.transform("w_", at))
     begins = N.once(limit, lambda t: line_begins(at_, t, centroid))  # or the tolerance would be computed at every step
-    rows = pages.select("w_", begins.alias("begins_")).select(F.explode("w_").alias("w"), "begins_")
-    line = F.size(F.filter("begins_", lambda b: b <= F.col("w.at_"))) - 1
-    return rows.select(*[F.col(f"w.{c}").alias(c) for c in words.columns], line.alias("line"))
+    rows = pages.select(*PAGE, "w_", begins.alias("begins_")).select(*PAGE, F.explode("w_").alias("w"), "begins_")
+    line = F.size(F.filter("begins_", lambda b: b <= at(F.col("w")))) - 1
+    return rows.select(*[F.col(c) if c in PAGE else F.col(f"w.{c}").alias(c) for c in words.columns], line.alias("line"))
 
 
 def split_at_gaps(words: DataFrame, gap: float) -> DataFrame:

@@ -56,7 +56,7 @@ TALL = f"{WORDS}, tall as (select doc_id, page, idx, text, x0, y0 * 0.37 as y0,
 
 
 def tall(s, d):
-    return words(s, d).drop("line").withColumns({"y0": c("y0") * 0.37, "y1": c("y0") * 0.37 + 6 + c("doc_id") % 25 + c("idx") % 3})
+    return words(s, d).drop("line").withColumns({"y0": c("y0") * 0.37, "y1": c("y0") * 0.37 + 6 + c("doc_id") % 25 + c("idx") % 3}).select("doc_id", "page", "idx", "y0", "y1")
 
 
 def clustered(centre: str, tolerance: str, centroid: bool) -> str:
