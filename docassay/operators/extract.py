@@ -103,7 +103,7 @@ def brand_match(pages: DataFrame) -> DataFrame:
     at = F.filter(F.sequence(F.lit(0), F.size("plain") - 1), lambda i: N.once(F.get("plain", i), lambda t: (F.length(t) >= 2) & near(t)))
     rows = rows.where((n > 0) & (F.size("plain") > 0) & (whole != "")).select("*", n.alias("n"), F.least(F.greatest(n + 1, F.lit(3)), F.lit(6)).alias("most"), at.alias("at"))
     starts = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(F.lit(0), i - F.col("most") + 1), i)))))
-    rows = rows.where(F.size("at") > 0).withColumn("starts", F.filter(starts, lambda i: F.length(F.get("plain", i)) >= 2))
+    rows = rows.withColumn("starts", F.filter(starts, lambda i: F.length(F.get("plain", i)) >= 2))
 
     def scored(start: Column, size: Column) -> Column:
         def score(w: Column) -> Column:
@@ -118,8 +118,9 @@ def brand_match(pages: DataFrame) -> DataFrame:
         return F.when(fits & ~chrome, N.once(window, score))
 
     runs = F.flatten(F.transform("starts", lambda i: F.transform(F.sequence(F.lit(1), F.col("most")), lambda k: scored(i, k))))
-    best = rows.select("doc_id", F.array_max(F.filter(runs, lambda r: r["score"] >= LEAST_BRAND)).alias("r")).where("r is not null")
-    found = best.groupBy("doc_id").agg(F.max("r").alias("r"))
+    best = rows.select("doc_id", F.array_max(F.filter(runs, lambda r: r["score"] >= LEAST_BRAND)).alias("r"))
+    # Documents without a run go after the grouping: a filter before it would be pushed below the runs and make them twice.
+    found = best.groupBy("doc_id").agg(F.max("r").alias("r")).where("r is not null")
     return found.select("doc_id", (-F.col("r.p")).alias("page"), (-F.col("r.a")).alias("start"), (-F.col("r.b")).alias("size"), "r.score")
 
 
