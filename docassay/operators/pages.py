@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .words import PAGE, substantial
 
+#: What counts as blank at the ends of an item.
+SPACE = " \t\n\x0b\f\r\xa0\ufeff"
 FORM, BACK, FRONT = "form", "back", "front"
 LOW_CONFIDENCE = 70
 #: Of a page that several sources name, the first of these counts.
@@ -16,7 +20,7 @@ RANKS = {FORM: 3, BACK: 2, FRONT: 1}
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Text items without those that are blank: trimmed, with the height of their matrix (m2, m3) where they have none."""
-    text = F.regexp_replace("text", r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
+    text = F.trim("text", F.lit(SPACE))
     return items.withColumns({"text": text, "height": F.coalesce("height", F.hypot("m2", "m3"))}).where("text <> ''")
 
 
@@ -42,11 +46,14 @@ def page_stats(items: DataFrame, images: DataFrame, pages: DataFrame | None = No
         *PAGE, "n_items", marker_hits(t, K.FORM_MARKERS).alias("marker_hits"), (marker_hits(t, K.LABEL_MARKERS) > 0).alias("has_marker"),
         marker_hits(t, K.FRONT_MARKERS).alias("front_hits"), marker_hits(t, K.BACK_MARKERS).alias("back_hits"),
     )
-    area = F.col("width") * F.col("height")
-    drawn = images.groupBy(*PAGE).agg(F.bool_or(substantial(F.col("width"), F.col("height"))).alias("has_image"), F.max(area).alias("largest"), F.count("*").alias("n_images"))
-    rows = texts.join(drawn, PAGE, "full")
-    rows = rows if pages is None else pages.select(*PAGE).distinct().join(rows, PAGE, "full")
+    drawn = images.select(*PAGE, substantial(F.col("width"), F.col("height")).alias("has_image"), (F.col("width") * F.col("height")).alias("largest"), F.lit(1).cast("long").alias("n_images"))
+    parts = [texts, drawn] if pages is None else [texts, drawn, pages.select(*PAGE)]
+    # Rows without a document or page are those of no page: they stay apart by where they come from.
+    parts = [p.withColumn("apart_", F.when(F.col("doc_id").isNull() | F.col("page").isNull(), i)) for i, p in enumerate(parts)]
+    # Images are few a page: dealt out by document at once, neither they nor what is then worked out by document are shuffled again.
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("doc_id")
     numbers, flags = ["marker_hits", "front_hits", "back_hits", "n_items", "n_images", "largest"], ["has_marker", "has_image"]
+    rows = rows.groupBy(*PAGE, "apart_").agg(*[(F.sum(c) if c == "n_images" else F.max(c)).alias(c) for c in numbers], *[F.bool_or(c).alias(c) for c in flags])
     return rows.select(*PAGE, *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
 
 
@@ -106,6 +113,18 @@ def available_tabs(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("doc_id", "tab").agg(F.min("page").alias("page"))
 
 
+def of_fields(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """wanted (doc_id, field) with the other columns of each row of ``own`` for that document and field, or nulls.
+
+    A document's fields are few, so rows meet by document and ``between`` picks those of one field: an equality would be a key of the join, and
+    all rows be dealt out by document and field, apart from everything else about their document.
+    """
+    rest = [c for c in own.columns if c not in ("doc_id", "field")]
+    own = own.withColumnsRenamed({"doc_id": "own_doc_", "field": "own_field_"})
+    same = (F.col("doc_id") == F.col("own_doc_")) & F.col("field").between(F.col("own_field_"), F.col("own_field_"))
+    return wanted.join(own, same, "left").select(*wanted.columns, *rest)
+
+
 def select_fields(wanted: DataFrame, boxes: DataFrame, kinds: DataFrame) -> DataFrame:
     """doc_id, field, tab, page, words and is_fallback for each wanted field (doc_id, field): where it is shown.
 
@@ -117,7 +136,7 @@ def select_fields(wanted: DataFrame, boxes: DataFrame, kinds: DataFrame) -> Data
         *[F.min(F.when(F.col("tab") == t, F.col("page"))).alias(f"{t}_page") for t in RANKS],
     )
     own = boxes.select("doc_id", "field", F.col("page").alias("box_page"), F.col("source").alias("box_source"), F.col("words").alias("box_words"))
-    rows = wanted.join(own, ["doc_id", "field"], "left").join(by_doc, "doc_id", "left")
+    rows = of_fields(wanted, own).join(by_doc, "doc_id", "left")
     shown = drawn("box_")
     field = F.col("field")
     side = F.when(F.col("front_page").isNull() & F.col("back_page").isNotNull(), BACK).otherwise(FRONT)
@@ -142,7 +161,7 @@ def field_sources(wanted: DataFrame, boxes: DataFrame, provenance: DataFrame) ->
     """
     own = boxes.select("doc_id", "field", F.col("source").alias("box_source"), F.size("words").alias("n_words"), "mean_confidence")
     older = provenance.where("confidence is not null").select("doc_id", "field", "confidence")
-    rows = wanted.join(own, ["doc_id", "field"], "left").join(older, ["doc_id", "field"], "left")
+    rows = of_fields(of_fields(wanted, own), older)
     worded = F.col("box_source").isin("pdf", "tesseract") & (F.col("n_words") > 0)
     source = F.when(worded | (F.col("box_source") == "vlm"), F.col("box_source")).when(F.col("confidence").isNotNull(), "tesseract").otherwise("none")
     low = F.coalesce(F.col("confidence") == "low", F.lit(False)) | F.coalesce(F.col("mean_confidence") < LOW_CONFIDENCE, F.lit(False))

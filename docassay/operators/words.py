@@ -223,12 +223,14 @@ def label_rects(images: DataFrame) -> DataFrame:
 
 def pick_pages(stats: DataFrame) -> DataFrame:
     """doc_id, page, kind of at most MOST_PAGES pages of each document: the form page, and label pages by image, else by marker."""
-    by_doc = Window.partitionBy("doc_id")
     best = Window.partitionBy("doc_id").orderBy(F.col("marker_hits").desc(), "page")
-    rows = stats.withColumn("is_form", F.row_number().over(best) == 1)
-    rows = rows.withColumn("any_image", F.max((~F.col("is_form") & F.col("has_image")).cast("int")).over(by_doc) == 1)
+    whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number = lambda flag: F.coalesce(F.col(flag).cast("int"), F.lit(0))
+    # Whether a page besides the form's, the first one in this order, has the flag: in the order that the form's page needs anyway, so that one sort and one pass give all.
+    others = lambda flag: F.sum(number(flag)).over(whole) > F.first(number(flag)).over(whole)
+    rows = stats.select("doc_id", "page", (F.row_number().over(best) == 1).alias("is_form"), "has_image", "has_marker", others("has_image").alias("any_image"), others("has_marker").alias("any_marker"))
     rows = rows.withColumn("is_label", ~F.col("is_form") & F.when(F.col("any_image"), F.col("has_image")).otherwise(F.col("has_marker")))
-    rows = rows.withColumn("any_label", F.max(F.col("is_label").cast("int")).over(by_doc) == 1).where("is_form or is_label")
+    rows = rows.withColumn("any_label", F.col("any_image") | F.col("any_marker")).where("is_form or is_label")
     kind = F.when(F.col("is_label"), "label").when(F.col("any_label"), "form").otherwise("form+label")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
     return rows.select("doc_id", "page", kind.alias("kind"), place.alias("place")).where(F.col("place") <= MOST_PAGES).select("doc_id", "page", "kind")

@@ -211,8 +211,16 @@ def kinds(s, d):
 
 
 def boxes(s, d):
-    rows = X.view(s, d, f"with {BOX_ROWS.format(field=f'element_at(array({D.lists(BOXED)[1:-1]}), cast(l_partkey % {len(BOXED)} + 1 as int))')} select * from bxr where k = 1")
-    return rows.withColumn("words", F.transform(F.sequence(F.lit(1), c("n_words").cast("int") + 1), lambda i: F.concat(F.lit("w"), i.cast("string")))).withColumn("words", F.slice("words", F.lit(1), c("n_words").cast("int")))
+    # Lines are dealt out by order, as narrow as they are; texts are made of those that stay.
+    lines = X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey", c("l_partkey") % len(BOXED)).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = lines.withColumn("k", place).where("k = 1")
+    n_words = (c("l_quantity") % 4).cast("int")
+    return rows.select(
+        c("l_orderkey").alias("doc_id"), F.try_element_at(F.array(*map(F.lit, BOXED)), (c("l_partkey") % len(BOXED) + 1).cast("int")).alias("field"), c("l_linenumber").alias("page"),
+        F.when(c("l_suppkey") % 3 == 0, "vlm").when(c("l_suppkey") % 3 == 1, "pdf").otherwise("tesseract").alias("source"), F.when(c("l_suppkey") % 3 == 0, None).otherwise(c("l_quantity") + 50).alias("mean_confidence"),
+        F.slice(F.array(*[F.lit(f"w{i}") for i in range(1, 4)]), F.lit(1), n_words).alias("words"),
+    )
 
 
 def wanted(s, d):
