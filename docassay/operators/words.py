@@ -146,28 +146,87 @@ LANDMARKS = [
 ]
 
 
-def landmark_runs(words: DataFrame, landmarks: list[Landmark]) -> DataFrame:
-    """Every place where consecutive words of a page, in reading order (y0, x0), contain a landmark's tokens: PAGE, landmark (its number), pos, the first word's x0, y0 and idx, the last word's end_x1, end_y0 and end_y1."""
-    by = Window.partitionBy(*PAGE).orderBy("y0", "x0", "idx")
-    tokens = [m.marker.lower().split() for m in landmarks]
-    most = max(map(len, tokens))
-    rows = words.withColumns({"plain_0": F.regexp_replace(F.lower("text"), "[:.,]+$", ""), "pos": F.row_number().over(by)})
-    ahead = {f"plain_{i}": F.lead("plain_0", i).over(by) for i in range(1, most)}
-    ends = {f"end_{i}": F.lead(F.struct("x1", "y0", "y1"), i).over(by) for i in range(most)}
-    rows = rows.withColumns(ahead | ends)
-    hits = []
-    for n, own in enumerate(tokens):
-        hit = reduce(lambda a, b: a & b, [F.coalesce(F.contains(F.col(f"plain_{i}"), F.lit(t)), F.lit(False)) for i, t in enumerate(own)])
-        hits.append(F.when(hit, F.struct(F.lit(n).alias("landmark"), F.col(f"end_{len(own) - 1}").alias("e"))))
-    found = rows.select(*PAGE, "pos", "x0", "y0", "idx", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    return found.select(*PAGE, "h.landmark", "pos", "x0", "y0", "idx", F.col("h.e.x1").alias("end_x1"), F.col("h.e.y0").alias("end_y0"), F.col("h.e.y1").alias("end_y1"))
+#: What a word carries to its page's array; the first three give the reading order.
+READING = ["y0", "x0", "idx", "text", "x1", "y1"]
+
+
+def gather(words: DataFrame) -> DataFrame:
+    """PAGE and ``words``, the page's words as one array: the only time that landmarks shuffle a table of words."""
+    return words.groupBy(*PAGE).agg(F.collect_list(F.struct(*READING)).alias("words"))
+
+
+def tokens_of(m: Landmark) -> list[str]:
+    return m.marker.lower().split()
+
+
+def with_places(words: Column, landmarks: list[Landmark], use: Callable[[Column, list[Column]], Column]) -> Column:
+    """``use(w, places)``: a page's words in reading order (y0, x0, idx) and, of each landmark, every number in ``w`` from which on consecutive words contain its tokens."""
+    tokens = [tokens_of(m) for m in landmarks]
+    # Signs at a word's end are in the way of no token that holds none.
+    signs = any(set(":.,") & set(t) for own in tokens for t in own)
+    plain = lambda w: F.regexp_replace(F.lower(w["text"]), "[:.,]+$", "") if signs else F.lower(w["text"])
+    every = lambda conditions: reduce(lambda a, b: a & b, conditions)
+
+    def places(own: list[str], plains: Column, page: Column) -> Column:
+        hit = lambda i: every([F.contains(F.get(plains, i + k), F.lit(t)) for k, t in enumerate(own)])
+        found = F.filter(F.sequence(F.lit(0), F.greatest(F.size(plains) - 1, F.lit(0))), hit)
+        return F.when(every([F.contains(page, F.lit(t)) for t in own]), found).otherwise(F.array().cast("array<int>"))
+
+    def found(w: Column) -> Column:
+        return N.once(F.transform(w, plain), lambda plains: N.once(F.array_join(plains, " "), lambda page: use(w, [places(own, plains, page) for own in tokens])))
+
+    return N.once(F.sort_array(words), found)
 
 
 def marker_runs(words: DataFrame, marker: str) -> DataFrame:
     """The first place of each page where consecutive words contain the marker's tokens, in reading order (y0, x0)."""
-    runs = landmark_runs(words, [Landmark("", marker)])
-    best = runs.groupBy(*PAGE).agg(F.min_by(F.struct("x0", "y0", "end_x1", "end_y1", "idx"), "pos").alias("m"))
-    return best.select(*PAGE, "m.*")
+    return marker_runs_of(gather(words), marker)
+
+
+def marker_runs_of(pages: DataFrame, marker: str) -> DataFrame:
+    """``marker_runs`` of pages as ``gather`` gives them."""
+    own = Landmark("", marker)
+
+    def first(w: Column, places: list[Column]) -> Column:
+        at = F.get(places[0], F.lit(0))
+        begin, end = F.get(w, at), F.get(w, at + len(tokens_of(own)) - 1)
+        run = F.struct(begin["x0"].alias("x0"), begin["y0"].alias("y0"), end["x1"].alias("end_x1"), end["y1"].alias("end_y1"), begin["idx"].alias("idx"))
+        return F.when(at.isNotNull(), run)
+
+    # Through a generator, or a filter on the run would search for it once more.
+    runs = pages.select(*PAGE, F.explode_outer(F.array(with_places(F.col("words"), [own], first))).alias("m"))
+    return runs.where("m is not null").select(*PAGE, "m.*")
+
+
+def first_reached(w: Column, test: Callable[[Column], Column]) -> Column:
+    """The number of the first of a page's words, in reading order, whose y0 meets a test that all later ones meet too; their count if none does. Found by halving."""
+    size = F.size(w)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        now = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(F.coalesce(test(F.get(w, mid)["y0"]), F.lit(False)), now(s["lo"], mid)).otherwise(now(mid + 1, s["hi"]))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(size)))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+
+
+def words_near(w: Column, at: Column, m: Landmark) -> Column:
+    """Of a page's words in reading order those where the landmark whose tokens begin at number ``at`` has its value."""
+
+    def near(run: Column) -> Column:
+        begin, end = run["begin"], run["end"]
+        if m.direction == "right":
+            from_, to = lambda y: y - begin["y0"] > -SAME_LINE, lambda y: y - begin["y0"] >= SAME_LINE
+            inside = lambda x: (x > end["x1"]) & (x - end["x1"] < float(m.distance))
+        else:
+            reach = F.greatest((end["y1"] - end["y0"]) * 2, F.lit(BELOW))
+            from_, to = lambda y: y > end["y1"], lambda y: y - end["y1"] >= reach
+            inside = lambda x: (x < end["x1"] + float(m.distance)) & (x > begin["x0"] - LEFT_OF)
+        band = lambda lo: F.slice(w, lo + 1, F.greatest(first_reached(w, to) - lo, F.lit(0)))
+        return F.filter(N.once(first_reached(w, from_), band), lambda x: inside(x["x0"]))
+
+    return N.once(F.struct(F.get(w, at).alias("begin"), F.get(w, at + len(tokens_of(m)) - 1).alias("end")), near)
 
 
 def landmark_values(words: DataFrame, landmarks: list[Landmark] | None = None) -> DataFrame:
@@ -175,23 +234,26 @@ def landmark_values(words: DataFrame, landmarks: list[Landmark] | None = None) -
 
     To the right: words with a y0 within 18 of the landmark's and a gap under its distance. Below: words that begin under the landmark by less than two line heights
     (50 at least), from 80 left of its first word to its distance right of its last; of these the first visual line.
-    Runs and words are joined by document and page, so the bands are only filters on the joined rows.
     """
+    return landmark_values_of(gather(words), landmarks)
+
+
+def landmark_values_of(pages: DataFrame, landmarks: list[Landmark] | None = None) -> DataFrame:
+    """``landmark_values`` of pages as ``gather`` gives them, without a shuffle. A page's places are tried in reading order, and those after the first with a value are not."""
     landmarks = LANDMARKS if landmarks is None else landmarks
-    runs = landmark_runs(words, landmarks).select(*PAGE, "landmark", "pos", F.col("x0").alias("mx0"), F.col("y0").alias("my0"), "end_x1", "end_y0", "end_y1")
-    near = words.select(*PAGE, "x0", "y0", "idx", "text").join(runs, PAGE)
-    distance = F.get(F.array(*[F.lit(float(m.distance)) for m in landmarks]), F.col("landmark"))
-    right = F.get(F.array(*[F.lit(m.direction == "right") for m in landmarks]), F.col("landmark"))
-    x, y = F.col("x0"), F.col("y0")
-    beside = (F.abs(y - F.col("my0")) < SAME_LINE) & (x > F.col("end_x1")) & (x - F.col("end_x1") < distance)
-    reach = F.greatest((F.col("end_y1") - F.col("end_y0")) * 2, F.lit(BELOW))
-    below = (y > F.col("end_y1")) & (y - F.col("end_y1") < reach) & (x < F.col("end_x1") + distance) & (x > F.col("mx0") - LEFT_OF)
-    near = near.where(F.when(right, beside).otherwise(below))
-    found = near.groupBy(*PAGE, "landmark", "pos").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", "text"))).alias("w"))
-    line = F.when(right, F.col("w")).otherwise(F.filter("w", lambda w: w["y0"] - F.col("w")[0]["y0"] < SAME_LINE))
-    best = found.groupBy(*PAGE, "landmark").agg(F.min_by(line, "pos").alias("w"))
+
+    def value(w: Column, places: Column, m: Landmark) -> Column:
+        found = F.aggregate(places, F.slice(w, 1, 0), lambda held, i: F.when(F.size(held) > 0, held).otherwise(words_near(w, i, m)))
+        return found if m.direction == "right" else N.once(found, lambda f: F.filter(f, lambda x: x["y0"] - F.get(f, F.lit(0))["y0"] < SAME_LINE))
+
+    def values(w: Column, places: list[Column]) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("landmark"), value(w, own, m).alias("w")) for n, (own, m) in enumerate(zip(places, landmarks))])
+
+    rows = pages.where(" and ".join(f"{k} is not null" for k in PAGE))
+    # An inner generator would have its array filtered, and so made, once more below it.
+    rows = rows.select(*PAGE, F.explode_outer(with_places(F.col("words"), landmarks, values)).alias("h")).select(*PAGE, "h.*").where(F.size("w") > 0)
     field = F.get(N.words_in([m.field for m in landmarks]), F.col("landmark"))
-    return best.select(*PAGE, "landmark", field.alias("field"), F.trim(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("value"), F.transform("w", lambda w: w["idx"]).alias("idxs"))
+    return rows.select(*PAGE, "landmark", field.alias("field"), F.trim(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("value"), F.transform("w", lambda w: w["idx"]).alias("idxs"))
 
 
 def landmark_fields(words: DataFrame, family: Callable[[Column], Column], landmarks: list[Landmark] | None = None) -> DataFrame:

@@ -32,16 +32,36 @@ wp as (select doc_id, row_no, y[2] as word, y[1] as text, sum(len(y[1]) + 1) ove
 fx_words as (select doc_id, 1 as page, row_no * 100000 + word as idx, row_no as line, text, 40 + (len(text) * 7 + word) % 60 as conf, (10 * cum)::double as x0, (20 * row_no + word % 3)::double as y0, (10 * cum + 8 * len(text))::double as x1, (20 * row_no + word % 3 + 12)::double as y1 from wp where text <> '')"""
 
 
+def boxed(row_no, word, text, cum):
+    """A word's number and box on its page."""
+    x0, y0 = cum * 10.0, row_no * 20.0 + word % 3
+    return {"idx": row_no.cast("long") * 100000 + word, "x0": x0, "y0": y0, "x1": x0 + 8 * F.length(text), "y1": y0 + 12}
+
+
 def words(s, d):
     rows = X.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "row"))
     rows = rows.select("doc_id", "row_no", F.posexplode(N.placed(F.split("row", " "), 1)).alias("word", "z")).select("doc_id", "row_no", "word", "z.text", c("z.start").alias("cum")).where("text <> ''")
-    x0, y0 = c("cum") * 10.0, c("row_no") * 20.0 + c("word") % 3
+    at = boxed(c("row_no"), c("word"), c("text"), c("cum"))
     return rows.select(
-        "doc_id", F.lit(1).alias("page"), (c("row_no").cast("long") * 100000 + c("word")).alias("idx"), c("row_no").alias("line"), "text", (40 + (F.length("text") * 7 + c("word")) % 60).alias("conf"),
-        x0.alias("x0"), y0.alias("y0"), (x0 + 8 * F.length("text")).alias("x1"), (y0 + 12).alias("y1"),
+        "doc_id", F.lit(1).alias("page"), at["idx"].alias("idx"), c("row_no").alias("line"), "text", (40 + (F.length("text") * 7 + c("word")) % 60).alias("conf"),
+        *[at[k].alias(k) for k in ("x0", "y0", "x1", "y1")],
     )
 
 
+def word_pages(s, d):
+    """The same words, gathered by page: each is made where its text is, so that texts are shuffled and words are not. Rows that share an id are one page."""
+
+    def word(row_no, k, text, cum):
+        at = boxed(row_no, k, text, cum) | {"text": text}
+        return F.struct(*[at[n].alias(n) for n in W.READING])
+
+    boxes = lambda parts, row_no: N.once(N.offsets(parts, 1), lambda at: F.transform(parts, lambda p, k: word(row_no, k, p, F.get(at, k))))
+    row = lambda t, row_no: F.filter(N.once(F.split(t, F.lit(" ")), lambda parts: boxes(parts, row_no)), lambda w: w["text"] != "")
+    page = lambda t: F.flatten(F.transform(F.split(t, F.lit("\n")), row))
+    texts = X.table(s, d, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    return texts.select("doc_id", F.lit(1).alias("page"), F.flatten(F.transform("texts", page)).alias("words"))
+
+
 add("G25_spike_page_summary", lambda s, d: W.page_summary(words(s, d)), f"with {WORDS} select doc_id, page, count(*) as words, count(distinct line) as lines, round(avg(conf))::bigint as mean_confidence, count(*) filter (conf < 60) as unsure from fx_words group by all")
 add("G19_field_mean_confidence", lambda s, d: words(s, d).groupBy("doc_id", "line").agg(F.round(F.avg("conf")).cast("long").alias("mean_confidence")), f"with {WORDS} select doc_id, line, round(avg(conf))::bigint as mean_confidence from fx_words group by all")
 _boxes = ", ".join(f"('{n}', {a}, {b}, {e}, {f})" for n, (a, b, e, f) in W.FORM_BOXES.items())
@@ -86,11 +106,11 @@ add("G11_span_overlap", overlaps, f"with {WORDS}, r as (select doc_id, line, min
 _plain = "regexp_replace(lower(text), '[:.,]+$', '')"
 RUNS = f"""{WORDS}, lead_ as (select *, {_plain} p0, lead({_plain}) over w p1, lead(x1) over w e1, row_number() over w pos from fx_words window w as (partition by doc_id, page order by y0, x0, idx)),
 runs as (select doc_id, page, arg_min({{'x0': x0, 'y0': y0, 'e1': e1, 'idx': idx}}, pos) m from lead_ where contains(p0, 'th') and contains(p1, 'on') group by all)"""
-add("G12_marker_run_search", lambda s, d: W.marker_runs(words(s, d), "th ON").select("doc_id", "x0", "y0", c("end_x1"), "idx"), f"with {RUNS} select doc_id, m.x0 as x0, m.y0 as y0, m.e1 as end_x1, m.idx as idx from runs")
+add("G12_marker_run_search", lambda s, d: W.marker_runs_of(word_pages(s, d), "th ON").select("doc_id", "x0", "y0", c("end_x1"), "idx"), f"with {RUNS} select doc_id, m.x0 as x0, m.y0 as y0, m.e1 as end_x1, m.idx as idx from runs")
 _th_on = [W.Landmark("x", "th ON", "right", 250)]
 add(
     "G13_landmark_value",
-    lambda s, d: W.landmark_values(words(s, d), _th_on).select("doc_id", "page", "value"),
+    lambda s, d: W.landmark_values_of(word_pages(s, d), _th_on).select("doc_id", "page", "value"),
     f"""with {RUNS}, every as (select doc_id, page, pos, y0 my0, e1 from lead_ where contains(p0, 'th') and contains(p1, 'on')), v as (select f.doc_id, f.page, pos, string_agg(f.text, ' ' order by f.y0, f.x0, f.idx) as value from fx_words f join every using (doc_id, page) where abs(f.y0 - my0) < 18 and f.x0 > e1 and f.x0 - e1 < 250 group by all)
 select doc_id, page, arg_min(value, pos) as value from v group by all""",
 )
